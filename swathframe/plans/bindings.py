@@ -17,7 +17,7 @@ CTE = {
     "centre": "SELECT o_orderkey AS patch_id, CAST(o_orderkey * 11 % 150 - 75 AS DOUBLE) + 0.25 AS lat, CAST(o_orderkey * 19 % 330 - 165 AS DOUBLE) + 0.25 AS lon FROM orders",
     "pulse": "SELECT event_id AS seq, ts, user_id % 4 AS stream, CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'IW1' ELSE 'IW2' END AS swath, value FROM events",
     "tile": "SELECT vec_id AS tile_id, label AS scene, embedding FROM embeddings",
-    "pixel_mask": "SELECT vec_id AS tile_id, a.r * 8 + b.r AS \"row\", c.r * 8 + d.r AS col, ((a.r * 8 + b.r) * 7 + (c.r * 8 + d.r) * 3 + vec_id) % 11 < 4 AS is_mask, CAST((a.r * 8 + b.r) * (c.r * 8 + d.r) + vec_id AS BIGINT) % 101 + 1 AS power FROM embeddings CROSS JOIN (VALUES (0), (1), (2), (3)) AS a(r) CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS b(r) CROSS JOIN (VALUES (0), (1), (2), (3)) AS c(r) CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS d(r) WHERE vec_id < 40",
+    "pixel_mask": "SELECT vec_id AS tile_id, a.r * 8 + b.r AS r, c.r * 8 + d.r AS c, ((a.r * 8 + b.r) * 7 + (c.r * 8 + d.r) * 3 + vec_id) % 11 < 4 AS is_mask, CAST((a.r * 8 + b.r) * (c.r * 8 + d.r) + vec_id AS BIGINT) % 101 + 1 AS power FROM embeddings CROSS JOIN (VALUES (0), (1), (2), (3)) AS a(r) CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS b(r) CROSS JOIN (VALUES (0), (1), (2), (3)) AS c(r) CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS d(r) WHERE vec_id < 40",
     "prediction": "SELECT l_orderkey AS image_id, l_linenumber AS px, CAST(l_partkey % 100 AS DOUBLE) / 100 AS prob, l_returnflag = 'R' AS gt, l_linestatus = 'F' AS valid, l_suppkey AS model FROM lineitem",
     "gt_box": "SELECT patch_id AS image_id, ship_no AS gt_no, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(w AS DOUBLE) AS w, CAST(h AS DOUBLE) AS h FROM ship WHERE ship_no % 4 <> 0",
     "detection": "SELECT patch_id AS image_id, ship_no AS det_no, CAST(x + ship_no % 3 AS DOUBLE) AS x, CAST(y - ship_no % 2 AS DOUBLE) AS y, CAST(w + ship_no % 2 AS DOUBLE) AS w, CAST(h AS DOUBLE) AS h, CAST((patch_id * 7 + ship_no * 13) % 1000 AS DOUBLE) / 1000 AS conf FROM ship WHERE ship_no % 5 <> 0",
