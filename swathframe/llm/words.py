@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow.compute as pc
 
 #: Every character of a text outside this set sends that text to the plain path, letter by letter exact.
 PLAIN = r"\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ſ"
@@ -59,10 +60,10 @@ def slices(batches, chars: int = 1 << 24):
     """Arrow batches cut into slices of at most about so many bytes of text, each row whole. Column 1 is the text."""
     for batch in batches:
         at, held = 0, 0
-        sizes = np.array([len(x) if x is not None else 0 for x in batch.column(1).cast("large_binary")]) if batch.nbytes > chars else None
-        if sizes is None:
+        if batch.nbytes <= chars:
             yield batch
             continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
         for i, n in enumerate(sizes):
             held += n
             if held > chars:
