@@ -29,14 +29,14 @@ def _(t):
     return J.containing_windows(t.target, t.product).select("target_id", "product_id")
 
 
-@bound("j04_nearest_wind", "SELECT patch_id, min(struct_pack(d := pow(c.lat - w.lat, 2) + pow(c.lon - w.lon, 2), cell := cell)).cell AS cell FROM centre c, wind_cell w WHERE patch_id % 10 = 0 GROUP BY patch_id")
+@bound("j04_nearest_wind", "SELECT patch_id, min(struct_pack(d := pow(c.lat - w.lat, 2) + pow(c.lon - w.lon, 2), cell := cell)).cell AS cell FROM centre c, wind_cell w GROUP BY patch_id")
 def _(t):
-    return J.nearest_cell(t.centre.where("patch_id % 10 = 0"), t.wind_cell, "patch_id").select("patch_id", "cell")
+    return J.nearest_cell(t.centre, t.wind_cell, "patch_id").select("patch_id", "cell")
 
 
-@bound("j05_grid_distance", "SELECT target_id, product_id, round(min(sqrt(pow(t.lat - g.lat, 2) + pow(t.lon - g.lon, 2))), 6) AS min_distance_deg FROM (SELECT target_id, product_id, t.lat, t.lon FROM target t JOIN product p ON t.start_ts <= p.start_ts AND t.stop_ts >= p.stop_ts WHERE target_id % 5 = 0) t JOIN grid_point g USING (product_id) GROUP BY ALL")
+@bound("j05_grid_distance", "SELECT target_id, product_id, round(min(sqrt(pow(t.lat - g.lat, 2) + pow(t.lon - g.lon, 2))), 6) AS min_distance_deg FROM (SELECT target_id, product_id, t.lat, t.lon FROM target t JOIN product p ON t.start_ts <= p.start_ts AND t.stop_ts >= p.stop_ts) t JOIN grid_point g USING (product_id) GROUP BY ALL")
 def _(t):
-    matches = J.containing_windows(t.target.where("target_id % 5 = 0"), t.product).select("target_id", "product_id", "lat", "lon")
+    matches = J.containing_windows(t.target, t.product).select("target_id", "product_id", "lat", "lon")
     return J.grid_distance(matches, t.grid_point).withColumn("min_distance_deg", F.round("min_distance_deg", 6))
 
 
@@ -54,22 +54,22 @@ def _(t):
     return inside(t).select("patch_id", "ship_no")
 
 
-@bound("j07_nearest_burst", "WITH l AS (SELECT user_id % 4 AS stream, event_id AS patch, ts FROM events WHERE event_id % 3 = 0), r AS (SELECT user_id % 4 AS stream, event_id AS burst, ts FROM events WHERE event_id % 5 = 1) SELECT stream, patch, burst FROM (SELECT l.stream, patch, burst, row_number() OVER (PARTITION BY l.stream, patch ORDER BY abs(epoch_us(l.ts) - epoch_us(r.ts)), r.ts, burst) AS n FROM l JOIN r ON l.stream = r.stream AND r.ts BETWEEN l.ts - INTERVAL 20 DAYS AND l.ts + INTERVAL 20 DAYS) WHERE n = 1")
+@bound("j07_nearest_burst", "WITH l AS (SELECT user_id % 4 AS stream, event_id AS patch, ts FROM events WHERE event_type IN ('view', 'click')), r AS (SELECT user_id % 4 AS stream, event_id AS burst, ts FROM events WHERE event_type = 'signup') SELECT stream, patch, burst FROM (SELECT l.stream, patch, burst, row_number() OVER (PARTITION BY l.stream, patch ORDER BY abs(epoch_us(l.ts) - epoch_us(r.ts)), r.ts, burst) AS n FROM l JOIN r ON l.stream = r.stream AND r.ts BETWEEN l.ts - INTERVAL 20 DAYS AND l.ts + INTERVAL 20 DAYS) WHERE n = 1")
 def _(t):
     own = t.events.withColumn("stream", F.col("user_id") % 4)
-    left = own.where("event_id % 3 = 0").select("stream", F.col("event_id").alias("patch"), "ts")
-    right = own.where("event_id % 5 = 1").select("stream", F.col("event_id").alias("burst"), "ts")
+    left = own.where("event_type IN ('view', 'click')").select("stream", F.col("event_id").alias("patch"), "ts")
+    right = own.where("event_type = 'signup'").select("stream", F.col("event_id").alias("burst"), "ts")
     return J.nearest_in_time(left, right, ["stream"], "patch", "burst").select("stream", "patch", "burst")
 
 
 RAW = "SELECT o_orderkey AS id, concat('S1A_IW_RAW__0SDV_20200407T0529', CAST(o_orderkey % 60 AS VARCHAR(9)), '_20200407T053029_', CAST(o_custkey AS VARCHAR(20)), '_03B2E2_') AS prefix FROM orders"
 
 
-@bound("j08_prefix_match", f"WITH a AS ({RAW}), b AS (SELECT concat(prefix, CASE id % 2 WHEN 0 THEN 'AAAA' ELSE 'BBBB' END, CASE WHEN id % 11 = 0 THEN '.zip' ELSE '.SAFE' END) AS name FROM a WHERE id % 4 <> 1) SELECT id AS patch_id, min(name) AS name FROM a JOIN b ON starts_with(name, prefix) AND ends_with(name, '.SAFE') WHERE id % 25 = 0 GROUP BY id")
+@bound("j08_prefix_match", f"WITH a AS ({RAW}), b AS (SELECT prefix, concat(prefix, CASE id % 2 WHEN 0 THEN 'AAAA' ELSE 'BBBB' END, CASE WHEN id % 11 = 0 THEN '.zip' ELSE '.SAFE' END) AS name FROM a WHERE id % 4 <> 1) SELECT id AS patch_id, min(name) AS name FROM a JOIN b USING (prefix) WHERE ends_with(name, '.SAFE') GROUP BY id")
 def _(t):
     own = t.sql(RAW)
     names = own.where("id % 4 <> 1").select(F.concat("prefix", F.when(F.col("id") % 2 == 0, "AAAA").otherwise("BBBB"), F.when(F.col("id") % 11 == 0, ".zip").otherwise(".SAFE")).alias("name"))
-    return J.by_prefix(own.where("id % 25 = 0").select(F.col("id").alias("patch_id"), "prefix"), names).select("patch_id", "name")
+    return J.by_prefix(own.select(F.col("id").alias("patch_id"), "prefix"), names).select("patch_id", "name")
 
 
 CALS = "SELECT l_suppkey AS key, concat('CAL', CAST(l_linenumber AS VARCHAR(3))) AS kind, concat('c', CAST(l_partkey AS VARCHAR(20))) AS path FROM lineitem WHERE l_suppkey % 3 <> 0 AND l_linenumber > l_suppkey % 6"
