@@ -69,15 +69,15 @@ def route(supply: dict[tuple, float], quota: dict, copies: int) -> dict[tuple, f
     for p in supply:
         for s in p:
             by_source.setdefault(s, []).append(p)
-    eps = 1e-6
+    eps, unmet = 1e-6, object()  # a null source is a source, so null says nothing
     for level in range(1, copies + 1):
         for p in supply:
             while supply[p] * level - sent[p] > eps:
                 # breadth first from p to a source with quota left; a step back frees what another pattern sends there
                 came: dict[object, tuple[tuple, object]] = {}
-                queue, end = deque([(p, None)]), None
+                queue, end = deque([(p, None)]), unmet
                 seen = {p}
-                while queue and end is None:
+                while queue and end is unmet:
                     q, _ = queue.popleft()
                     for s in q:
                         if s in came:
@@ -91,7 +91,7 @@ def route(supply: dict[tuple, float], quota: dict, copies: int) -> dict[tuple, f
                                 seen.add(other)
                                 came[other] = (other, s)
                                 queue.append((other, s))
-                if end is None:
+                if end is unmet:
                     break
                 path, s = [], end
                 while True:
