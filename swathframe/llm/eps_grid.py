@@ -94,6 +94,7 @@ def blocks_of(rows: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataF
             part = pd.concat(held)
             x = np.array([np.asarray(v, np.float64) for v in part["embedding"]])
             at = units(x) @ axes[int(part["dim"].iloc[0])]
+            at = np.pad(at, ((0, 0), (0, DIMS - at.shape[1])))
             return pd.DataFrame({"label": [part["label"].iloc[0]], "dim": [part["dim"].iloc[0]], "n": [len(part)], "uids": [part["uid"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()], "lo": [at.min(axis=0)], "hi": [at.max(axis=0)]})
 
         for batch in batches:
