@@ -142,6 +142,8 @@ def linked(near: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) ->
     """(uid, links, root) of the vectors of a block pair with a link; near: left x right. same: both are one block."""
     fresh_l, fresh_r = near.any(axis=1), near.any(axis=0)
     uids, links, roots = [left[fresh_l]], [near[fresh_l].sum(axis=1)], np.full(len(left), -1)
+    if same:  # a vector is on both sides: the walk steps from one to the other
+        near = near | np.diag(fresh_l)
     other = np.full(len(right), -1)
     for i in np.flatnonzero(fresh_l):
         if roots[i] >= 0:
