@@ -239,29 +239,100 @@ def fp_components(fps: DataFrame, links: DataFrame) -> DataFrame:
     return rooted.join(least, "root").select("fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 52, lanes: int = 4, keys: int = 8) -> DataFrame:
+def jaccard(sets: list[np.ndarray]) -> np.ndarray:
+    """Similarity of every two of some sets of hashes; hashes that one set alone has only count in its size."""
+    n, size = len(sets), np.array([len(x) for x in sets], np.float64)
+    owner = np.repeat(np.arange(n), size.astype(np.int64))
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    held = count[column] > 1
+    owner, column, both = owner[held], shared[column[held]], np.zeros((n, n))
+    for at in range(0, int(shared[-1]) + 1 if len(shared) else 0, BLOCK):
+        own = (column >= at) & (column < at + BLOCK)
+        part = np.zeros((n, BLOCK), np.float32)
+        part[owner[own], column[own] - at] = 1
+        both += part @ part.T
+    union = size[:, None] + size[None, :] - both
+    return np.divide(both, union, out=np.ones((n, n)), where=union > 0)
+
+
+def verify(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of rows (cell, fp, shingles), sorted by cell, whose sets have a similarity of ``least`` or more.
+
+    Fingerprints within the radius make groups by bit-sliced comparison; sets are compared inside those.
+    """
+
+    def links(rows: dict[str, bytes]) -> pa.RecordBatch:
+        names = sorted(rows)
+        raw = np.frombuffer(bytes.fromhex("".join(names)), np.uint8).reshape(len(names), -1)
+        groups: dict[int, list[int]] = {}
+        for root, member in forest(near_rows(raw, radius)):
+            groups.setdefault(root, [root]).append(member)
+        pairs = []
+        for own in groups.values():
+            alike = jaccard([np.frombuffer(rows[names[i]], np.uint64) for i in own]) >= least
+            n = len(own)
+            bits = np.zeros((n, -(-n // 64) * 64), np.uint8)
+            bits[:, :n] = alike
+            pairs += [(names[own[i]], names[own[j]]) for i, j in forest(np.packbits(bits, axis=1, bitorder="little").view(np.uint64))]
+        return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in pairs], pa.string()), "b": pa.array([b for _, b in pairs], pa.string())})
+
+    rows: dict[str, bytes] = {}  # several small cells together: links across cells are links too
+    cell: dict[str, bytes] = {}
+    last = None
+    for batch in batches:
+        for key, fp, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != last:
+                if rows and len(rows) + len(cell) > CHUNK:
+                    yield links(rows)
+                    rows = {}
+                rows, cell, last = rows | cell, {}, key
+            cell[fp] = shingles
+    if rows and cell and len(rows) + len(cell) > CHUNK:
+        yield links(rows)
+        rows = {}
+    if rows or cell:
+        yield links(rows | cell)
+
+
+def shingle_set(text: Column, width: int) -> Column:
+    """The distinct shingle hashes of a text, sorted, as 64-bit words."""
+
+    @F.pandas_udf("binary")
+    def packed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([np.unique(shingle_hashes(t, width)).tobytes() for t in batch], dtype=object)
+
+    return packed(text)
+
+
+def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 64, lanes: int = 4, keys: int = 8) -> DataFrame:
     """``docs`` with one row of each group of near copies, all columns kept.
 
     Near copies have distinct-shingle sets of ``width`` words with a Jaccard similarity of
-    0.8 or more: sets that similar differ in 39 of 256 fingerprint bits on average with a
-    deviation under 6, so ``radius`` 52 finds them with a margin of two deviations.
-    The document with the smallest id (nulls last) and then the smallest text hash stays;
-    of identical rows, one stays. The text is hashed once more to tell rows apart; nothing
-    is joined on the texts themselves.
+    ``least`` or more. Sets as similar as 0.8 differ in 39 of 256 fingerprint bits on
+    average with a deviation under 6, so ``radius`` 64 has a margin of four deviations;
+    what it lets through besides is refused by an exact comparison of the sets. The
+    document with the smallest id (nulls last) and then the smallest row hash stays; of
+    identical rows, one stays; texts without words are copies of each other.
     """
     held = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     marks = held.select("doc_id", "__row", sketched(F.col("text"), width, lanes, keys).alias("s"))
     marks = saved(marks.select("doc_id", "__row", "s.fp", "s.sketch"), "simhash-docs")
-    fps = saved(marks.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__row")).alias("best"), F.min("sketch").alias("sketch")), "simhash-distinct")
-    links = near_links(sketch_keys(fps), radius)
-    roots = connected_components(links)
+    first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__row")
+    fps = saved(marks.groupBy("fp").agg(F.min(first).alias("best"), F.min("sketch").alias("sketch")), "simhash-distinct")
+    coarse = connected_components(near_links(sketch_keys(fps), radius))
+    near = saved(fps.join(coarse, fps.fp == coarse.node).select("fp", F.col("best.__row").alias("__row"), F.col("component").alias("group")), "simhash-near")
+    once = held.select("__row", "text").join(near, "__row").dropDuplicates(["__row"])
+    sets = saved(once.select("group", "fp", shingle_set(F.col("text"), width).alias("shingles")), "simhash-sets")
+    sizes = saved(sets.groupBy("group").count(), "simhash-sizes")
+    parts = F.ceil(F.col("count") / (CHUNK // 2)).cast("int")
+    met = sets.join(sizes, "group").select("group", "fp", "shingles", parts.alias("k"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("c"))
+    cells = met.select("group", "fp", "shingles", "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+    cells = cells.select(F.xxhash64("group", F.least("c", "o"), F.greatest("c", "o")).alias("cell"), "fp", "shingles").repartition("cell").sortWithinPartitions("cell")
+    roots = connected_components(cells.mapInArrow(lambda b: verify(b, radius, least), "a string, b string"))
     rooted = fps.join(roots, fps.fp == roots.node, "left").select("best", F.coalesce("component", "fp").alias("root"))
-    chosen = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.__row").alias("__row")).distinct()
-    chosen = saved(chosen, "simhash-chosen")
-    # identical rows share __row: they are numbered, and the first stays
-    kept = saved(held.join(chosen, "__row", "left_semi"), "simhash-kept")
-    more = kept.groupBy("__row").count().where("count > 1").select("__row")
-    more = saved(more, "simhash-repeats")
-    single = kept.join(more, "__row", "left_anti")
-    first = kept.join(more, "__row", "left_semi").dropDuplicates(["__row"])
-    return single.unionByName(first).select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = saved(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.__row").alias("__row")).distinct(), "simhash-chosen")
+    # copies of a whole row are combined on the map side before they meet
+    kept = held.dropDuplicates(["__row"]).join(chosen, "__row", "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -381,6 +381,27 @@ def test_keep_one_of_near_copies(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0 and kept[0].fp == "x"
 
 
+def test_near_copies_are_those_of_similarity_point_eight(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 16)  # groups are split over cells
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for g in range(6):
+        text = list(rng.choice(words, 200))
+        for k in range(40):
+            own = text.copy()
+            for p in rng.choice(200, rng.integers(0, 9), replace=False):
+                own[p] = f"c{k}"
+            rows.append((len(rows), " ".join(own)))
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    comp = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and comp[a] != comp[b]:
+            comp = [min(comp[a], comp[b]) if c in (comp[a], comp[b]) else c for c in comp]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(comp)) and len(set(comp)) > 6
+
+
 # 10
 
 
