@@ -343,8 +343,9 @@ def training_rows(pages: Iterator[pd.DataFrame], copies: int) -> Iterator[pd.Dat
 def fit(pages: DataFrame, sample: int = 240, copies: int = 6, rounds: int = 20, depth: int = 5) -> list[tuple[np.ndarray, ...]]:
     """Trees over nodes of at most ``sample`` pages (page_id, html); without nodes of both kinds, no trees."""
     chosen = pages.where("html IS NOT NULL AND page_id IS NOT NULL").select("page_id", F.xxhash64("page_id").alias("h")).orderBy("h").limit(sample)
-    held = pages.select("page_id", "html").join(F.broadcast(chosen.select("page_id").distinct()), "page_id").limit(4 * sample)
-    rows = held.repartition(6).mapInPandas(lambda b: training_rows(b, copies), "x array<double>, label double").select("label", array_to_vector("x").alias("features")).cache()
+    held = pages.select("page_id", "html").join(F.broadcast(chosen.select("page_id").distinct()), "page_id")
+    held = held.groupBy("page_id").agg(F.min_by("html", F.xxhash64("html")).alias("html"))  # one row an id
+    rows = held.repartition(6, "page_id").mapInPandas(lambda b: training_rows(b, copies), "x array<double>, label double").select("label", array_to_vector("x").alias("features")).cache()
     try:
         if rows.select("label").distinct().count() < 2:
             return []

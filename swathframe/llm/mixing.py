@@ -142,13 +142,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
         passes = min(int(ships[p] / t + 1e-9), copies) if t else 0
         plan.append((list(p), t, float(sum(quota[s] for s in p)), passes, max(0.0, ships[p] - t * passes)))
     shape = "sources array<string>, pattern_size bigint, quota double, passes int, extra double"
-    quotas = F.broadcast(spark.createDataFrame(plan, shape))  # a row a pattern: at most max_patterns
-    upto = Window.partitionBy("sources").orderBy("bin")
-    bins = sums.withColumn("before", F.sum("tokens").over(upto) - F.col("tokens")).alias("d").join(quotas.alias("q"), F.col("d.sources").eqNullSafe(F.col("q.sources")))
-    share = F.when(F.col("before") + F.col("tokens") <= F.col("extra"), 1).when(F.col("before") >= F.col("extra"), 0)
-    bins = saved(bins.select(F.col("d.sources").alias("sources"), "bin", "before", "pattern_size", "quota", "passes", "extra", share.alias("more")), "mix-bins")
-    on = F.col("__m.s").eqNullSafe(F.col("sources")) & (F.col("__m.b") == F.col("bin"))
-    met = held.join(F.broadcast(bins), on)  # at most BINS rows a pattern
+    quotas = spark.createDataFrame(plan, shape)
+    upto = Window.partitionBy("sources").orderBy("bin")  # at most BINS rows a pattern
+    same = F.col("d.sources").eqNullSafe(F.col("q.sources"))
+    bins = sums.withColumn("before", F.sum("tokens").over(upto) - F.col("tokens")).alias("d").join(F.broadcast(quotas).alias("q"), same)
+    ends = bins.where(F.col("before") + F.col("tokens") > F.col("extra")).groupBy("d.sources").agg(F.min(F.struct("bin", "before")).alias("end"))
+    cuts = quotas.alias("q").join(ends.alias("d"), same, "left").select("q.*", F.coalesce("end.bin", F.lit(BINS)).alias("bin"), F.col("end.before").alias("before"))
+    cuts = saved(cuts, "mix-cuts")
+    # a row a pattern, and there are at most max_patterns
+    met = held.join(F.broadcast(cuts), F.col("__m.s").eqNullSafe(F.col("sources"))).withColumn("more", F.when(F.col("__m.b") < F.col("bin"), 1).when(F.col("__m.b") > F.col("bin"), 0))
     by_mark = Window.partitionBy("__m.s").orderBy("__m.h", "doc_id", "__m.n").rowsBetween(Window.unboundedPreceding, 0)
     cut = met.where("more IS NULL").withColumn("__u", F.col("before") + F.sum("__m.n").over(by_mark))  # one bin a pattern
     cut = cut.withColumn("more", (F.col("__u") - F.col("__m.n") / 2 <= F.col("extra")).cast("int")).drop("__u")

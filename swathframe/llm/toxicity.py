@@ -150,7 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, rounds: int =
     """Fit on rows of ``docs`` (doc_id, text) with labels (doc_id, toxic); see the bounds above."""
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(fold() > 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)  # bounded, so it can be broadcast
-    texts = saved(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").withColumn("fold", fold()).limit(4 * sample), "toxicity-sample")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one row an id
+    texts = saved(chosen.withColumn("fold", fold()), "toxicity-sample")
     lexicon = learn_lexicon(texts.where("fold IN (1, 2)"))
     rows = texts.where("fold IN (3, 4)").select("fold", F.col("toxic").cast("double").alias("label"), features(F.col("text"), lexicon).alias("__x"))
     rows = saved(rows, "toxicity-features")

@@ -92,7 +92,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFr
     ruled = nodes.select("node", "component", best_rule(host_of(at), path_of(at), rules).alias("own"))
     classes = ruled.groupBy("component").agg(F.max(F.col("own.allow")).alias("allowed"), F.max(~F.col("own.allow")).alias("blocked"))
     known = saved(ruled.join(saved(classes, "url-classes"), "component").select(F.col("node").alias("address"), (F.coalesce("blocked", F.lit(False)) & ~F.coalesce("allowed", F.lit(False))).alias("by_alias")), "url-aliases")
-    own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), address_of(F.col("url")).alias("address"))
+    own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.coalesce(address_of(F.col("url")), F.concat(F.lit("://"), F.xxhash64("page_id").cast("string"))).alias("address"))  # pages without an address are dealt out
     own = own.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
     joined = own.join(known, "address", "left")
     blocked = F.when(F.col("best").isNotNull(), ~F.col("best.allow")).otherwise(F.coalesce("by_alias", F.lit(False)))
