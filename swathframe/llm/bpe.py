@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from .words import LETTERS, PLAIN, WordTable, slices
 
+#: Bytes of text in a slice and words that a worker remembers: what bounds its memory.
+SLICE, HELD = 1 << 22, 400_000
 #: Unicode white space, as the tokenizer's \s means it.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -52,7 +54,7 @@ class Replay:
         self.pairs = np.array([x for x, _ in pairs], np.int64)
         self.made = np.array([r for _, r in pairs], np.int32)
         self.pattern = pattern
-        self.words = WordTable(self.encode_words, np.uint32)
+        self.words = WordTable(self.encode_words, np.uint32, HELD)
         self.odd = re.compile(f"[^{PLAIN}]")
         # on texts without odd characters these classes are the pattern's own, and re is faster
         self.quick = re.compile(pattern.replace(r"\p{L}", LETTERS).replace(r"\p{N}", "0-9").replace(f" ?{LETTERS}+", f" ?[{LETTERS}]+").replace(" ?0-9+", " ?[0-9]+"))
@@ -178,7 +180,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = replay(ranks_path, pattern)
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             ids = own.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())],

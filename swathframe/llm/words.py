@@ -10,15 +10,13 @@ import pyarrow.compute as pc
 #: Every character of a text outside this set sends that text to the plain path, letter by letter exact.
 PLAIN = r"\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ſ"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
-#: Words held at most; the table starts afresh beyond it.
-HELD = 1_000_000
 
 
 class WordTable(dict):
-    """word -> its place; ids of place i are ``flat[start[i] : start[i] + size[i]]``."""
+    """word -> its place; ids of place i are ``flat[start[i] : start[i] + size[i]]``. Beyond ``held`` words it starts afresh."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype):
-        self.encode, self.dtype = encode, dtype
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype, held: int = 1_000_000):
+        self.encode, self.dtype, self.held = encode, dtype, held
         self.reset()
 
     def reset(self) -> None:
@@ -34,7 +32,7 @@ class WordTable(dict):
 
     def texts(self, cut: Iterable[list[str]]) -> list[np.ndarray]:
         """The ids of each text, which comes as the list of its words."""
-        if len(self) > HELD:
+        if len(self) > self.held:
             self.reset()
         places = [np.fromiter(map(self.__getitem__, words), np.int32, len(words)) for words in cut]
         if self.fresh:
@@ -71,3 +69,8 @@ def slices(batches, chars: int = 1 << 24):
                 at, held = i + 1, 0
         if at < batch.num_rows:
             yield batch.slice(at)
+
+
+def small_batches(spark, rows: int = 1000) -> None:
+    """Arrow batches of fewer rows, as whole texts may be long: a worker's memory is that of a few batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
