@@ -41,14 +41,27 @@ def hold_out(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
     return own.select(key, F.when(F.col("rn") <= F.floor(F.col("n") * F.lit(fraction)), "val").otherwise("train").alias("split"))
 
 
+def range_ranked(df: DataFrame, cls: str, *order: str) -> DataFrame:
+    """``df`` with the rank of each row inside its class (``rn``, from 1), however large the class.
+
+    Range partitions hold neighbouring rows; ranks inside them are shifted by the counts of
+    the partitions before, a row a partition and class.
+    """
+    ranged = df.repartitionByRange(cls, *order).withColumn("__p", F.spark_partition_id())
+    counts = ranged.groupBy(cls, "__p").agg(F.count("*").alias("__k"))
+    before = counts.withColumn("__b", F.sum("__k").over(Window.partitionBy(cls).orderBy("__p")) - F.col("__k")).drop("__k")
+    own = ranged.withColumn("__n", F.row_number().over(Window.partitionBy(cls, "__p").orderBy(*order)))
+    return own.join(before, [cls, "__p"]).withColumn("rn", F.col("__n") + F.col("__b")).drop("__p", "__n", "__b")
+
+
 def balanced(df: DataFrame, cls: str, name: str, caps: dict | None = None) -> DataFrame:
     """The same number of each class (that of the rarest, at most its cap), in name order."""
     sizes = df.groupBy(cls).agg(F.count("*").alias("k"))
-    least = sizes.agg(F.min("k")).first()[0]
+    least = sizes.agg(F.min("k")).first()[0] or 0
     cap = F.lit(least)
     for value, most in (caps or {}).items():
         cap = F.when(F.col(cls) == value, F.least(F.lit(least), F.lit(most))).otherwise(cap)
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(cls).orderBy(name))).where(F.col("__n") <= cap).drop("__n")
+    return range_ranked(df, cls, name).where(F.col("rn") <= cap).drop("rn")
 
 
 def sampled_targets(products: DataFrame, grid: DataFrame, n: int, seed: int) -> DataFrame:

@@ -144,10 +144,10 @@ def _(t):
     return A.latency(t.events.select(F.col("event_type").alias("bucket"), F.col("value").alias("ms"))).withColumn("ms", F.round("ms", 6))
 
 
-@bound("a23_region_background", "WITH b AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS n, count(*) OVER (PARTITION BY user_id) AS k FROM events) SELECT user_id, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90, round(avg(value) FILTER (n > floor(k * 0.1) AND n <= k - floor(k * 0.1)), 6) AS trimmed FROM b GROUP BY user_id")
+@bound("a23_region_background", "WITH b AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS n, count(*) OVER (PARTITION BY user_id) AS k FROM events) SELECT user_id, round(avg(value), 9) AS mean, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.9), 9) AS p90, round(avg(value) FILTER (n > floor(k * 0.1) AND n <= k - floor(k * 0.1)), 9) AS trimmed FROM b GROUP BY user_id")
 def _(t):
-    own = t.events.groupBy("user_id").agg(*[F.round(A.region_stat("value", m), 6).alias(m) for m in ("mean", "median", "p90")])
-    return own.join(A.background_stat(t.events, ["user_id"], "value", "trimmed_mean").select("user_id", F.round("background", 6).alias("trimmed")), "user_id")
+    own = t.events.groupBy("user_id").agg(*[F.round(A.region_stat("value", m), 9).alias(m) for m in ("mean", "median", "p90")])
+    return own.join(A.background_stat(t.events, ["user_id"], "value", "trimmed_mean").select("user_id", F.round("background", 9).alias("trimmed")), "user_id")
 
 
 @bound("a24_resource_use", "SELECT event_type, round(avg(value), 6) AS avg_power, max(value) AS peak_power, count(*) AS samples FROM events GROUP BY event_type")
