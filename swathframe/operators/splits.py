@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.storage import saved
+
 
 def hash_order(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), key.cast("string")))
@@ -47,7 +49,7 @@ def range_ranked(df: DataFrame, cls: str, *order: str) -> DataFrame:
     Range partitions hold neighbouring rows; ranks inside them are shifted by the counts of
     the partitions before, a row a partition and class.
     """
-    ranged = df.repartitionByRange(cls, *order).withColumn("__p", F.spark_partition_id())
+    ranged = saved(df.repartitionByRange(cls, *order).withColumn("__p", F.spark_partition_id()), "ranged")  # one set of bounds for both uses
     counts = ranged.groupBy(cls, "__p").agg(F.count("*").alias("__k"))
     before = counts.withColumn("__b", F.sum("__k").over(Window.partitionBy(cls).orderBy("__p")) - F.col("__k")).drop("__k")
     own = ranged.withColumn("__n", F.row_number().over(Window.partitionBy(cls, "__p").orderBy(*order)))

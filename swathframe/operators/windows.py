@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.storage import saved
+
 
 def best_match(df: DataFrame, keys: list[str], distance: str, *order: Column) -> DataFrame:
     """The closest row of each key, the first in order among equals."""
@@ -29,7 +31,7 @@ def forward_fill(df: DataFrame, columns: list[str], order: list[str], within: li
     if within:
         over = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({c: F.last(blank(c), ignorenulls=True).over(over) for c in columns})
-    ranged = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    ranged = saved(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranged")  # one set of bounds for both uses
     over = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     filled = ranged.withColumns({c: F.last(blank(c), ignorenulls=True).over(over) for c in columns})
     ends = filled.groupBy("__p").agg(F.max(F.struct(*order, *columns)).alias("e"))
