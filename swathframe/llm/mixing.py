@@ -147,13 +147,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     same = F.col("d.sources").eqNullSafe(F.col("q.sources"))
     bins = sums.withColumn("before", F.sum("tokens").over(upto) - F.col("tokens")).alias("d").join(F.broadcast(quotas).alias("q"), same)
     ends = bins.where(F.col("before") + F.col("tokens") > F.col("extra")).groupBy("d.sources").agg(F.min(F.struct("bin", "before")).alias("end"))
-    cuts = quotas.alias("q").join(ends.alias("d"), same, "left").select("q.*", F.coalesce("end.bin", F.lit(BINS)).alias("bin"), F.col("end.before").alias("before"))
+    cuts = quotas.alias("q").join(ends.alias("d"), same, "left").select(F.struct("q.*", F.coalesce("end.bin", F.lit(BINS)).alias("bin"), F.col("end.before").alias("before")).alias("__c"))
     cuts = saved(cuts, "mix-cuts")
     # a row a pattern, and there are at most max_patterns
-    met = held.join(F.broadcast(cuts), F.col("__m.s").eqNullSafe(F.col("sources"))).withColumn("more", F.when(F.col("__m.b") < F.col("bin"), 1).when(F.col("__m.b") > F.col("bin"), 0))
+    met = held.join(F.broadcast(cuts), F.col("__m.s").eqNullSafe(F.col("__c.sources"))).withColumn("__w", F.when(F.col("__m.b") < F.col("__c.bin"), 1).when(F.col("__m.b") > F.col("__c.bin"), 0))
     by_mark = Window.partitionBy("__m.s").orderBy("__m.h", "doc_id", "__m.n").rowsBetween(Window.unboundedPreceding, 0)
-    cut = met.where("more IS NULL").withColumn("__u", F.col("before") + F.sum("__m.n").over(by_mark))  # one bin a pattern
-    cut = cut.withColumn("more", (F.col("__u") - F.col("__m.n") / 2 <= F.col("extra")).cast("int")).drop("__u")
-    taken = F.col("__m.n") * F.least(F.lit(copies), F.col("passes") + F.col("more"))
-    out = F.struct(F.col("__m.s").alias("sources"), F.col("__m.n").alias("size"), "pattern_size", "quota", taken.alias("taken"))
-    return met.where("more IS NOT NULL").unionByName(cut).select(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"], out.alias("mix"))
+    cut = met.where("__w IS NULL").withColumn("__u", F.col("__c.before") + F.sum("__m.n").over(by_mark))  # one bin a pattern
+    cut = cut.withColumn("__w", (F.col("__u") - F.col("__m.n") / 2 <= F.col("__c.extra")).cast("int")).drop("__u")
+    taken = F.col("__m.n") * F.least(F.lit(copies), F.col("__c.passes") + F.col("__w"))
+    out = F.struct(F.col("__m.s").alias("sources"), F.col("__m.n").alias("size"), F.col("__c.pattern_size").alias("pattern_size"), F.col("__c.quota").alias("quota"), taken.alias("taken"))
+    return met.where("__w IS NOT NULL").unionByName(cut).select(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"], out.alias("mix"))

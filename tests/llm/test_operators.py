@@ -119,7 +119,8 @@ def test_mixing_targets(spark):
 
 def test_mixing_awkward(spark, docs, empty):
     assert mixing.mix(empty).count() == 0
-    out = mixing.mix(docs).select("doc_id", "mix.size", "mix.taken", "fingerprint").collect()
+    clashing = docs.withColumns({c: F.lit("x") for c in ("sources", "bin", "before", "more", "passes", "extra", "quota", "pattern_size", "tokens", "end")})
+    out = mixing.mix(clashing).select("doc_id", "mix.size", "mix.taken", "fingerprint", "quota").collect()
     assert len(out) == len(TEXTS) + 2 and all(r.taken <= 2 * r.size for r in out) and {r.size for r in out if r.doc_id == 0} == {0}
 
 
