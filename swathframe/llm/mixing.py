@@ -30,6 +30,7 @@ from pyspark.sql.window import Window
 
 from ..plans.storage import saved
 
+#: Bins of the seeded order: the first three hex digits of a hash.
 BINS = 4096
 
 
@@ -132,8 +133,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     spark = docs.sparkSession
     pattern = F.array_sort(F.array_distinct(sources)) if sources is not None else F.array(F.col("source"))
     size = words_of(F.col("text")) if size is None else size
-    mark = F.xxhash64(F.lit(seed), F.col("doc_id"), size)
-    held = docs.withColumn("__m", F.struct(pattern.alias("s"), size.alias("n"), mark.alias("h"), F.pmod(mark, F.lit(BINS)).cast("int").alias("b")))
+    mark = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("doc_id").cast("string"), size.cast("string")))
+    held = docs.withColumn("__m", F.struct(pattern.alias("s"), size.alias("n"), mark.alias("h"), F.conv(F.substring(mark, 1, 3), 16, 10).cast("int").alias("b")))
     sums = saved(held.groupBy(F.col("__m.s").alias("sources"), F.col("__m.b").alias("bin")).agg(F.sum("__m.n").alias("tokens")), "mix-sums")
     rows, quota = targets(sums.groupBy(F.col("sources").alias("pattern")).agg(F.sum("tokens").alias("tokens")), tuple(weights), budget, copies, max_patterns)
     ships = route({p: float(t) for p, t in rows}, quota, copies)
