@@ -61,9 +61,9 @@ def test_no_nested_loops(spark, name):
 def test_no_nested_loops_on_pixels_and_polygons(spark):
     from swathframe.operators import joins, raster
 
-    pixels = spark.range(64).selectExpr("0L AS tile_id", "int(id div 8) AS r", "int(id % 8) AS c", "id AS power")
-    points = spark.range(9).selectExpr("0L AS k", "double(id) AS px", "double(id) AS py")
-    corners = spark.range(4).selectExpr("0L AS k", "id AS ord", "double(id * 3 % 7) AS px", "double(id * 5 % 7) AS py")
+    pixels = spark.range(64).selectExpr("id % 3 AS tile_id", "int(id div 8) AS r", "int(id % 8) AS c", "id AS power")
+    points = spark.range(9).selectExpr("id % 3 AS k", "double(id) AS px", "double(id) AS py")
+    corners = spark.range(4).selectExpr("id % 3 AS k", "id AS ord", "double(id * 3 % 7) AS px", "double(id * 5 % 7) AS py")
     for df in (raster.background_ring(pixels.where("r < 2").withColumn("region", pixels.tile_id), pixels), joins.points_in_polygons(points, corners, "k")):
         plan = df._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
