@@ -89,7 +89,8 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], key: str
     seen = F.when(F.col("__v").isNotNull(), F.struct("ts", F.col("__v").alias("v")))
     order = [F.col("ts"), F.col("__v").isNull(), F.col("__v")]
     before = F.last(seen, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(seen, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing))
+    back = [F.col("ts").desc(), F.col("__v").isNull().desc(), F.col("__v").desc()]  # a growing frame, read backwards
+    after = F.last(seen, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*back).rowsBetween(Window.unboundedPreceding, 0))
     found = both.withColumn("__b", before).withColumn("__a", after).where(F.col("__l").isNotNull())
     gap = lambda a, b: F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))
     take_after = F.col("__b").isNull() | (gap(F.col("__a.ts"), F.col("ts")) < gap(F.col("ts"), F.col("__b.ts")))
