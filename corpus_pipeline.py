@@ -20,9 +20,15 @@ from swathframe.plans.storage import saved
 ORACLE_SQL = None
 
 
+def ready(spark: SparkSession) -> None:
+    """Executors get the package, and Arrow batches that bound a worker's memory."""
+    ship_package(spark)
+    small_batches(spark)
+
+
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects (score of 0.5 or more) go."""
-    small_batches(spark)
+    ready(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels)
     return model.score(docs, out="__score").where("__score < 0.5").drop("__score")
@@ -30,7 +36,7 @@ def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
-    small_batches(spark)
+    ready(spark)
     return simhash.keep_one(docs)
 
 
@@ -56,7 +62,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def byte_bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row that is left."""
-    small_batches(spark)
+    ready(spark)
     coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -71,7 +77,6 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
