@@ -10,6 +10,7 @@ from ..operators import aggregates as A
 from ..operators import joins as J
 from ..sources import files as S
 from ..streaming import jobs
+from .bound_joins import whole_targets
 from .registry import bound
 
 
@@ -115,6 +116,13 @@ def _(t):
     return t.spark.read.csv(path, header=True, schema="target_id bigint, product_id bigint")
 
 
+@bound("s10_match_table_whole")
+def _(t):
+    path = S.scratch(t.spark, "matches-whole")
+    S.write_matches(J.containing_windows(whole_targets(t), t.product).select("target_id", "product_id", F.lit(0.0).alias("min_distance_deg")), path)
+    return t.spark.read.csv(path, header=True, schema="target_id bigint, product_id bigint")
+
+
 @bound("s11_legend", "SELECT scene, p.patch_id, (count(ship_no) > 0)::INT AS has_ship, swath FROM patch p LEFT JOIN ship s ON p.patch_id = s.patch_id GROUP BY ALL")
 def _(t):
     path = S.scratch(t.spark, "legend")

@@ -29,6 +29,17 @@ def _(t):
     return J.containing_windows(t.target, t.product).select("target_id", "product_id")
 
 
+def whole_targets(t):
+    """Targets with the window from their first to their last order, as FIXTURES binds them; ``target`` has three days."""
+    own = t.orders.groupBy(F.col("o_custkey").alias("target_id")).agg(F.min("o_orderdate").alias("start_ts"), F.max("o_orderdate").alias("stop_ts"))
+    return t.target.select("target_id", "lat", "lon").join(own, "target_id")
+
+
+@bound("j03_interval_match_whole")
+def _(t):
+    return J.containing_windows(whole_targets(t), t.product).select("target_id", "product_id")
+
+
 @bound("j04_nearest_wind", "SELECT patch_id, min(struct_pack(d := pow(c.lat - w.lat, 2) + pow(c.lon - w.lon, 2), cell := cell)).cell AS cell FROM centre c, wind_cell w GROUP BY patch_id")
 def _(t):
     return J.nearest_cell(t.centre, t.wind_cell, "patch_id").select("patch_id", "cell")
@@ -40,6 +51,12 @@ def _(t):
     return J.grid_distance(matches, t.grid_point).withColumn("min_distance_deg", F.round("min_distance_deg", 6))
 
 
+@bound("j05_grid_distance_whole")
+def _(t):
+    matches = J.containing_windows(whole_targets(t), t.product).select("target_id", "product_id", "lat", "lon")
+    return J.grid_distance(matches, t.grid_point).withColumn("min_distance_deg", F.round("min_distance_deg", 6))
+
+
 CROSSING = """WITH e AS (SELECT patch_id, px AS x1, py AS y1, coalesce(lead(px) OVER w, first_value(px) OVER w) AS x2, coalesce(lead(py) OVER w, first_value(py) OVER w) AS y2 FROM patch_polygon WINDOW w AS (PARTITION BY patch_id ORDER BY ord)),
 hits AS (SELECT s.patch_id, ship_no, count(*) FILTER ((y1 > s.y) <> (y2 > s.y) AND s.x < (x2 - x1) * (s.y - y1) / (y2 - y1) + x1) AS c FROM ship s JOIN e USING (patch_id) GROUP BY ALL)"""
 
