@@ -36,7 +36,8 @@ from .trees import arrays, probability
 
 # Element kinds and attribute tokens of common HTML practice.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = set("script style noscript template head title button select textarea iframe svg object canvas option datalist math audio video".split())
+SILENT = set("script style noscript template head title button select textarea iframe svg object canvas option datalist audio video".split())
+IN_HEAD = set("base basefont bgsound link meta title noscript noframes style script template head".split())
 BLOCK = set("html body div section article main nav header footer aside form p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption fieldset legend address details summary hgroup center menu dialog search".split())
 TOKENS = {
     "main": "article main content post entry story body text prose read single blog news page paragraph markdown",
@@ -95,16 +96,35 @@ def parse(html: str | None) -> list[Node]:
     root = Node("#page", None, set())
     nodes, block, at, silent, links = [root], root, 0, 0, 0
     open_tags: list[tuple[str, Node | None]] = []  # (tag, block that it opened)
+    loose: Node | None = None  # block of the text outside any block, up to the next block
+
+    def end_head() -> None:
+        """What cannot stand in an open head ends it."""
+        nonlocal silent, links
+        k = next((i for i, (t, _) in enumerate(open_tags) if t == "head"), None)
+        if k is not None:
+            silent -= sum(t in SILENT for t, _ in open_tags[k:])
+            links -= sum(t == "a" for t, _ in open_tags[k:])
+            del open_tags[k:]
 
     def text(upto: int) -> None:
-        if upto > at and not silent:
-            piece = html[at:upto]
-            block.parts.append((at, piece))
+        nonlocal loose
+        if upto <= at:
+            return
+        piece = html[at:upto]
+        if silent and open_tags[-1][0] == "head" and not piece.isspace():
+            end_head()
+        if not silent:
+            if block is root and loose is None and not piece.isspace():
+                loose = Node("#text", root, set())
+                nodes.append(loose)
+            own = loose or block if block is root else block
+            own.parts.append((at, piece))
             n = len(piece.strip())
-            block.chars += n
-            block.linked += n if links else 0
-            block.commas += piece.count(",") + piece.count(".")
-            block.words += piece.count(" ")
+            own.chars += n
+            own.linked += n if links else 0
+            own.commas += piece.count(",") + piece.count(".")
+            own.words += piece.count(" ")
 
     while m := _token.search(html, at):
         text(m.start())
@@ -114,10 +134,12 @@ def parse(html: str | None) -> list[Node]:
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if not closing:
+            if silent and tag not in IN_HEAD:
+                end_head()
             if tag in VOID:
                 block.inputs += tag == "input"
                 if tag in ("br", "hr") and not silent:
-                    block.parts.append((at, " "))
+                    (loose or block if block is root else block).parts.append((at, " "))
                 continue
             if tag in _raw and tag in SILENT:  # its content is not markup
                 end = _raw[tag].search(html, at)
@@ -140,7 +162,7 @@ def parse(html: str | None) -> list[Node]:
                         links -= sum(t == "a" for t, _ in open_tags[k:])
                         block = open_tags[k][1].parent
                         del open_tags[k:]
-                block = Node(tag, block, groups_of(attributes))
+                block, loose = Node(tag, block, groups_of(attributes)), None
                 nodes.append(block)
                 open_tags.append((tag, block))
             else:
@@ -309,6 +331,9 @@ def templates(pieces: list[str], heads: str, rng: random.Random, copies: int) ->
         first = first_spots(nodes)
         labels = [n.tag in ("#page", "html", "body") or core_at <= s < core_end and not any(a <= s < b for a, b in spans) for n, s in zip(nodes, first)]
         yield node_features(nodes), labels
+    for page in (prose(1)[0], f"<b>{prose(1)[0][:40]}</b> {prose(1)[0]}"):  # text without blocks
+        nodes = parse(page)
+        yield node_features(nodes), [True] * len(nodes)
 
 
 def first_spots(nodes: list[Node]) -> list[int]:
