@@ -72,12 +72,21 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str) -> Data
     An edge counts for a point if exactly one of its ends is above it (half-open), and it
     crosses to the right; an odd count is inside.
     """
+    return points.join(polygon_edges(polygons, key), key).where(inside_edges()).drop("edges")
+
+
+def polygon_edges(polygons: DataFrame, key: str) -> DataFrame:
+    """(key, edges): the closed ring of each polygon (key, ord, px, py)."""
     ring = Window.partitionBy(key).orderBy("ord")
     whole = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     edges = polygons.select(key, F.col("px").alias("x1"), F.col("py").alias("y1"), F.coalesce(F.lead("px").over(ring), F.first("px").over(whole)).alias("x2"), F.coalesce(F.lead("py").over(ring), F.first("py").over(whole)).alias("y2"))
-    edges = edges.groupBy(key).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+    return edges.groupBy(key).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+
+
+def inside_edges() -> Column:
+    """Whether px, py lies inside ``edges``."""
     crosses = lambda e: ((e["y1"] > F.col("py")) != (e["y2"] > F.col("py"))) & (F.col("px") < (e["x2"] - e["x1"]) * (F.col("py") - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
-    return points.join(edges, key).where(F.size(F.filter("edges", crosses)) % 2 == 1).drop("edges")
+    return F.size(F.filter("edges", crosses)) % 2 == 1
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], key: str, value: str) -> DataFrame:

@@ -68,6 +68,14 @@ def region_table(labelled: DataFrame, least: int = 1) -> DataFrame:
     return own.where(F.col("area") >= least)
 
 
+def rasterise(polygons: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, r, c) of every pixel of a size x size raster whose centre lies inside the polygon (key, ord, px, py)."""
+    from .joins import inside_edges, polygon_edges
+
+    pixels = polygon_edges(polygons, key).withColumn("r", span(size)).withColumn("c", span(size))
+    return pixels.withColumns({"px": F.col("c") + 0.5, "py": F.col("r") + 0.5}).where(inside_edges()).select(key, "r", "c")
+
+
 def diamond(radius: int) -> Column:
     """Offsets (dr, dc, d) within an L1 distance."""
     rows = [(a, b, abs(a) + abs(b)) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if abs(a) + abs(b) <= radius]

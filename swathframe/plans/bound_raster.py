@@ -91,6 +91,19 @@ def _(t):
     return own.select("tile_id", "region", "area", F.round("db", 6).alias("db"), "keep")
 
 
+@bound("r07_background_ring_whole")
+def _(t):
+    """The ring (3, 12] around the regions of is_mask."""
+    ring = R.background_ring(labelled(t), t.pixel_mask.select(*R.PIXEL, "power"))
+    return ring.groupBy("tile_id", "region").agg(F.count("*").alias("n"), F.sum("power").alias("power"))
+
+
+@bound("r08_region_contrast_whole")
+def _(t):
+    own = R.region_contrast(labelled(t), t.pixel_mask.select(*R.PIXEL, "power"), 0.5)
+    return own.select("tile_id", "region", "area", F.round("db", 6).alias("db"), "keep")
+
+
 PATCH = "SELECT tile_id, avg(power) FILTER (is_mask) AS s, quantile_cont(CASE WHEN NOT is_mask THEN power END, 0.5) AS b FROM pixel_mask GROUP BY tile_id"
 
 
@@ -112,6 +125,13 @@ def _(t):
     return J.points_in_polygons(points, poly, "patch_id").groupBy("patch_id").agg(F.count("*").alias("n"), F.sum(F.col("r") * 100 + F.col("c")).cast("bigint").alias("mark"))
 
 
+@bound("r11_rasterise_whole")
+def _(t):
+    """Every pixel centre of a 32 x 32 raster."""
+    poly = t.patch_polygon.withColumn("px", F.col("px") / 16).withColumn("py", F.col("py") / 16)
+    return R.rasterise(poly, "patch_id", 32).groupBy("patch_id").agg(F.count("*").alias("n"), F.sum(F.col("r") * 100 + F.col("c")).cast("bigint").alias("mark"))
+
+
 WINDOWS = "SELECT vec_id AS tile_id, w.i AS window, w.i * 10 AS top, w.i * 7 AS l, w.i * 10 + 5 AS bottom, w.i * 7 + 3 AS rt FROM embeddings CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS w(i)"
 
 
