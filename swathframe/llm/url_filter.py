@@ -25,7 +25,7 @@ from ..plans.storage import saved
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?[^"'>]*\bcanonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["'][^"'>]*?\burl\s*=\s*'?([^"'\s>]+)"""
+REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*(?:["'][^"'>]*?|[^\s"'>]*?)\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
 def rest_of(url: Column) -> Column:
@@ -41,10 +41,19 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest_of(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """The path without its segments . and .. (RFC 3986, 5.2.4)."""
+    parts = F.slice(F.split(path, "/"), 2, 1 << 20)
+    up = lambda kept: F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", up(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    end = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(kept, "/"), end)).otherwise(path)
+
+
 def address_of(url: Column) -> Column:
     """The key under which a URL is an alias: host, path and query; null for no URL."""
     query = F.regexp_extract(rest_of(url), r"^[^?#]*(\??[^#]*)", 1)
-    path = F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url))
+    path = F.when(path_of(url) == "", F.lit("/")).otherwise(without_dots(path_of(url)))
     return F.when(host_of(url) != "", F.concat(host_of(url), path, query))
 
 
@@ -66,6 +75,7 @@ def target_of(href: Column, url: Column) -> Column:
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
         .when(href.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), href))
         .when(href.startswith("#"), url)
+        .when(href.startswith("?"), F.concat(scheme, F.lit("://"), host_of(url), F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url)), href))
         .otherwise(F.concat(scheme, F.lit("://"), host_of(url), F.regexp_replace(F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url)), r"[^/]*$", ""), href))
     )
 
