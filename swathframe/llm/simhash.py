@@ -4,8 +4,9 @@ A text is lower-cased (A-Z), cut into words at ASCII white space and into word s
 a fingerprint bit is set if it is set in over half of the shingles' hashes. Distinct
 fingerprints are compared in blocks: bit planes lie vertically, 64 candidates to a machine
 word, and carry-save counters update all distances of a block plane by plane. The counters
-start so that passing the radius carries out of the top, and a block is abandoned once
-every lane has.
+start so that passing the radius carries out of the top. A block is one fingerprint against
+64 later ones; it is abandoned once every lane has passed the radius, and the counters then
+go on over the blocks that are left.
 
 Which fingerprints meet is decided by Spark: for small radii the pigeonhole keys of
 ``band_keys`` (no pair within the radius is missed), for similarity thresholds the smallest
@@ -36,6 +37,8 @@ from ..plans.storage import saved
 SEED = 42
 #: Rows of one key that meet in a cell, and fingerprints compared in one go.
 CHUNK, BLOCK, STRIP = 2048, 4096, 256
+#: Bytes of shingle sets that are compared in one go.
+SET_BYTES = 1 << 26
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -136,10 +139,12 @@ def sketch_keys(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode("sketch").alias("key"), "fp")
 
 
-def near_rows(fps: np.ndarray, radius: int) -> np.ndarray:
-    """Packed links of a block: bit j of row i is set if fingerprints i and j differ in ``radius`` bits at most.
+def near_rows(fps: np.ndarray, radius: int, tally: dict[str, int] | None = None) -> np.ndarray:
+    """Packed links of some fingerprints: bit j of row i is set if i and j are not the same and differ in ``radius`` bits at most.
 
-    fps: (m, bytes) of uint8, any m.
+    fps: (m, bytes) of uint8, any m. Each row meets the lanes after it; planes on which all
+    rows agree add nothing and are left out. tally: gets the blocks begun, those abandoned,
+    and the planes read of them.
     """
     m, width = len(fps), fps.shape[1] * 8
     words = -(-m // 64)
@@ -147,23 +152,40 @@ def near_rows(fps: np.ndarray, radius: int) -> np.ndarray:
     lanes = np.zeros((words * 64, width), np.uint8)
     lanes[:m] = own
     planes = np.packbits(np.ascontiguousarray(lanes.T), axis=1, bitorder="little").view(np.uint64)  # (width, words)
-    valid = np.packbits(np.arange(words * 64) < m, bitorder="little").view(np.uint64)
+    used = np.flatnonzero((own != own[:1]).any(axis=0)) if m else np.zeros(0, np.int64)
     depth, ones, out = int(radius).bit_length(), np.uint64(2**64 - 1), np.zeros((m, words), np.uint64)
+    start = (1 << depth) - 1 - radius
+    tally = tally if tally is not None else {}
     for at in range(0, m, STRIP):
-        rows = own[at : at + STRIP].astype(bool)
-        over = np.broadcast_to(~valid, (len(rows), words)).copy()
-        start = (1 << depth) - 1 - radius
-        count = [np.full(over.shape, ones if start >> i & 1 else 0, np.uint64) for i in range(depth)]
-        for p in range(width):
-            carry = planes[p][None, :] ^ np.where(rows[:, p], ones, np.uint64(0))[:, None]
+        rows, first = own[at : at + STRIP].astype(bool), at // 64
+        lane = np.arange(first * 64, words * 64)
+        barred = (lane[None, :] <= np.arange(at, at + len(rows))[:, None]) | (lane >= m)
+        over = np.packbits(barred, axis=1, bitorder="little").view(np.uint64)
+        row, word = np.nonzero(over != ones)  # the blocks that are still counted
+        over = over[row, word]
+        begun = len(row)
+        tally["blocks"] = tally.get("blocks", 0) + begun
+        count = [np.full(begun, ones if start >> i & 1 else 0, np.uint64) for i in range(depth)]
+        for seen, p in enumerate(used):
+            carry = planes[p][first + word] ^ np.where(rows[:, p], ones, np.uint64(0))[row]
             for c in count:
                 up = c & carry
                 c ^= carry
                 carry = up
             over |= carry
-            if p >= radius and p % 8 == 7 and (over == ones).all():
-                break
-        out[at : at + STRIP] = ~over
+            tally["planes"] = tally.get("planes", 0) + len(row)
+            if seen >= radius and seen % 4 == 3:
+                open_ = over != ones
+                if not open_.all():
+                    row, word, over, count = row[open_], word[open_], over[open_], [c[open_] for c in count]
+                    if not len(row):
+                        break
+        tally["abandoned"] = tally.get("abandoned", 0) + begun - len(row)
+        out[at + row, first + word] = ~over
+    row, word = np.nonzero(out)
+    k, lane = np.nonzero(np.unpackbits(out[row, word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    i, j = row[k], word[k] * 64 + lane
+    np.bitwise_or.at(out, (j, i >> 6), np.uint64(1) << (i & 63).astype(np.uint64))
     return out
 
 
@@ -172,7 +194,7 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     m = len(near)
     fresh = np.ones(m, bool)
     found = []
-    linked = np.flatnonzero(np.bitwise_count(near).sum(axis=1) > 1)
+    linked = np.flatnonzero(near.any(axis=1))
     for root in linked:
         if not fresh[root]:
             continue
@@ -279,16 +301,18 @@ def verify(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> Iter
 
     rows: dict[str, bytes] = {}  # several small cells together: links across cells are links too
     cell: dict[str, bytes] = {}
+    held = own = 0  # bytes of both
     last = None
     for batch in batches:
         for key, fp, shingles in zip(*(c.to_pylist() for c in batch.columns)):
             if key != last:
-                if rows and len(rows) + len(cell) > CHUNK:
+                if rows and (len(rows) + len(cell) > CHUNK or held + own > SET_BYTES):
                     yield links(rows)
-                    rows = {}
-                rows, cell, last = rows | cell, {}, key
+                    rows, held = {}, 0
+                rows, held, cell, own, last = rows | cell, held + own, {}, 0, key
             cell[fp] = shingles
-    if rows and cell and len(rows) + len(cell) > CHUNK:
+            own += len(shingles)
+    if rows and cell and (len(rows) + len(cell) > CHUNK or held + own > SET_BYTES):
         yield links(rows)
         rows = {}
     if rows or cell:
@@ -306,17 +330,66 @@ def shingle_set(text: Column, width: int) -> Column:
     return packed(text)
 
 
-def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 64, lanes: int = 4, keys: int = 8) -> DataFrame:
+def row_key(df: DataFrame) -> Column:
+    """SHA-256 over all columns. Each value stands with its length, and a null as a mark of its own, so only equal rows share a key."""
+    parts = []
+    for field in df.schema:
+        own = F.col(f"`{field.name}`")
+        text = F.to_json(F.struct(own)) if field.dataType.typeName() in ("array", "struct", "map", "variant") else own.cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), F.when(own.isNotNull(), text)), F.lit("-")))
+    return F.sha2(F.concat(*parts), 256)
+
+
+def alike_links(sets: DataFrame, radius: int, least: float) -> DataFrame:
+    """Links (a, b) that span the components of similar sets inside each group. sets: (group, fp, shingles).
+
+    A group is dealt in chunks, and its first member is in each of them. Where all members
+    turn out to hang together with that one, which is so in a group of copies, the work and
+    the bytes moved are linear in the group. Only members that do not are compared with all
+    chunks of their group.
+    """
+    deal = lambda n, size: F.greatest(F.ceil(n / (CHUNK // 2)), F.ceil(size / (SET_BYTES // 2))).cast("int")
+    sizes = sets.groupBy("group").agg(deal(F.count("*"), F.sum(F.octet_length("shingles"))).alias("k"), F.min("fp").alias("leader"))
+    sizes = saved(sizes, "simhash-sizes")
+    at = lambda parts: F.pmod(F.xxhash64("fp"), parts).cast("int")
+    every = lambda parts: F.sequence(F.lit(0), parts - 1)
+
+    def met(cells: DataFrame) -> DataFrame:
+        dealt = cells.select(F.xxhash64("group", "i", "j").alias("cell"), "fp", "shingles").repartition("cell").sortWithinPartitions("cell")
+        return saved(dealt.mapInArrow(lambda b: verify(b, radius, least), "a string, b string"), "simhash-alike")
+
+    chunks = F.when(F.col("fp") == F.col("leader"), every(F.col("k"))).otherwise(F.array(at(F.col("k"))))
+    links = met(sets.join(sizes, "group").select("group", "fp", "shingles", F.lit(0).alias("i"), F.explode(chunks).alias("j")))
+    large = sizes.where("k > 1")
+    if large.isEmpty():
+        return links
+    parts = connected_components(links)
+    own = sets.select("group", "fp").join(large, "group").join(parts, F.col("fp") == F.col("node"), "left").select("group", "fp", "leader", "k", F.coalesce("component", "fp").alias("part"))
+    own = saved(own, "simhash-large")
+    first = own.where("fp = leader").select("group", F.col("part").alias("main"))
+    rest = saved(own.join(first, "group").where("part <> main").select("group", "fp"), "simhash-rest")
+    if rest.isEmpty():
+        return links
+    left = saved(rest.groupBy("group").agg(F.ceil(F.count("*") / (CHUNK // 2)).cast("int").alias("r")), "simhash-left")
+    again = sets.join(left, "group").join(large.select("group", "k"), "group")
+    everyone = again.select("group", "fp", "shingles", F.explode(every(F.col("r"))).alias("i"), at(F.col("k")).alias("j"), "k")
+    outside = again.join(rest, ["group", "fp"], "left_semi").select("group", "fp", "shingles", at(F.col("r")).alias("i"), F.explode(every(F.col("k"))).alias("j"), "k")
+    return links.union(met(everyone.union(outside)))
+
+
+def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 88, lanes: int = 4, keys: int = 8) -> DataFrame:
     """``docs`` with one row of each group of near copies, all columns kept.
 
     Near copies have distinct-shingle sets of ``width`` words with a Jaccard similarity of
-    ``least`` or more. Sets as similar as 0.8 differ in 39 of 256 fingerprint bits on
-    average with a deviation under 6, so ``radius`` 64 has a margin of four deviations;
-    what it lets through besides is refused by an exact comparison of the sets. The
-    document with the smallest id (nulls last) and then the smallest row hash stays; of
+    ``least`` or more. They meet under one of their ``keys`` smallest shingle hashes and make
+    coarse groups by fingerprint; an exact comparison of the sets decides inside those. Two
+    sets of similarity 0.8 share none of their smallest hashes with a chance under 3 in a
+    million (none if they have at most ``keys`` shingles), and differ in most bits when they
+    have 4 and 5 shingles: 48 of 256 on average, in more than 88 with a chance of one in 10^9.
+    The document with the smallest id (nulls last) and then the smallest row key stays; of
     identical rows, one stays; texts without words are copies of each other.
     """
-    held = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    held = docs.withColumn("__row", row_key(docs))
     marks = held.select("doc_id", "__row", sketched(F.col("text"), width, lanes, keys).alias("s"))
     marks = saved(marks.select("doc_id", "__row", "s.fp", "s.sketch"), "simhash-docs")
     first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__row")
@@ -325,12 +398,7 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int =
     near = saved(fps.join(coarse, fps.fp == coarse.node).select("fp", F.col("best.__row").alias("__row"), F.col("component").alias("group")), "simhash-near")
     once = held.select("__row", "text").join(near, "__row").dropDuplicates(["__row"])
     sets = saved(once.select("group", "fp", shingle_set(F.col("text"), width).alias("shingles")), "simhash-sets")
-    sizes = saved(sets.groupBy("group").count(), "simhash-sizes")
-    parts = F.ceil(F.col("count") / (CHUNK // 2)).cast("int")
-    met = sets.join(sizes, "group").select("group", "fp", "shingles", parts.alias("k"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("c"))
-    cells = met.select("group", "fp", "shingles", "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
-    cells = cells.select(F.xxhash64("group", F.least("c", "o"), F.greatest("c", "o")).alias("cell"), "fp", "shingles").repartition("cell").sortWithinPartitions("cell")
-    roots = connected_components(cells.mapInArrow(lambda b: verify(b, radius, least), "a string, b string"))
+    roots = connected_components(alike_links(sets, radius, least))
     rooted = fps.join(roots, fps.fp == roots.node, "left").select("best", F.coalesce("component", "fp").alias("root"))
     chosen = saved(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.__row").alias("__row")).distinct(), "simhash-chosen")
     # copies of a whole row are combined on the map side before they meet
