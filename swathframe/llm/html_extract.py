@@ -59,53 +59,116 @@ for _name, _words in TOKENS.items():
 KINDS = [("article", "main"), ("nav", "menu"), ("header", "hgroup"), ("footer", "address"), ("aside", "dialog"), ("form", "fieldset", "search"), ("p", "blockquote", "pre"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("li", "ul", "ol", "dl", "dt", "dd"), ("div", "section"), ("table", "tr", "td", "th")]
 ASIDES = {1, 2, 3, 4, 5}
 _kind = {t: i for i, ts in enumerate(KINDS) for t in ts}
-_token = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
+_start = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_stop = re.compile(r"[>\"']")
 _attr = re.compile(r"\b(class|id|role|aria-label|itemprop|data-component)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_raw = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
+_raw = {t: re.compile(rf"</{t}\b", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 _closes = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _scope = {"ul", "ol", "dl", "table", "html", "body", "div", "article", "section", "main"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "parts", "depth", "own", "above", "chars", "linked", "tags", "commas", "paras", "inputs", "spot", "words")
-
-    def __init__(self, tag: str, parent: Node | None, own: set[int]):
-        self.tag, self.parent, self.kids, self.parts = tag, parent, [], []
-        self.depth = parent.depth + 1 if parent else 0
-        self.own = own
-        self.above = parent.own | parent.above if parent else set()
-        self.chars = self.linked = self.tags = self.commas = self.paras = self.inputs = self.words = 0
-        if parent:
-            self.spot = len(parent.kids)
-            parent.kids.append(self)
-        else:
-            self.spot = 0
+    """A block element. own, above: groups of its attributes' tokens and of its ancestors'; kinds: its ancestors' element kinds; all as sets of bits."""
+
+    __slots__ = ("tag", "up", "kind", "kinds", "parts", "depth", "own", "above", "chars", "linked", "tags", "commas", "inputs", "words")
+
+    def __init__(self, tag: str, up: int, parent: Node | None, own: int):
+        self.tag, self.up, self.parts, self.own = tag, up, [], own
+        self.kind = 1 << _kind[tag] if tag in _kind else 0
+        self.depth, self.above, self.kinds = (parent.depth + 1, parent.own | parent.above, parent.kind | parent.kinds) if parent else (0, 0, 0)
+        self.chars = self.linked = self.tags = self.commas = self.inputs = self.words = 0
 
 
-def groups_of(attributes: str) -> set[int]:
-    found = set()
+def groups_of(attributes: str) -> int:
+    """Token groups that the naming attributes of an element speak of, as bits."""
+    found = 0
     for m in _attr.finditer(attributes):
         for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower()):
-            found.update(_group.get(w, ()))
+            for k in _group.get(w, ()):
+                found |= 1 << k
     return found
 
 
+def tokens(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, tag, attributes) of each piece of markup; tag is empty for comments and declarations.
+
+    The reader of the tokens may send a place to go on from. Each character is looked at a
+    bounded number of times: a quote that never closes is remembered and is a character like
+    any other, and once quotes have hidden the end of a tag up to the end of the page, tags
+    end at their first ``>``.
+    """
+    at, n, quoted, unclosed = 0, len(html), True, set()
+    while m := _start.search(html, at):
+        start, tag = m.start(), (m[2] or "").lower()
+        if not tag:
+            comment = html.startswith("<!--", start)
+            end = html.find("-->" if comment else ">", m.end())
+            if end < 0 and not comment:
+                return
+            at = n if end < 0 else end + (3 if comment else 1)
+        else:
+            spot, end = m.end(), -1
+            while quoted and (hit := _stop.search(html, spot)):
+                spot = hit.end()
+                if hit[0] == ">":
+                    end = hit.start()
+                    break
+                if hit[0] not in unclosed and html[max(m.end(), spot - 9) : spot - 1].rstrip().endswith("="):
+                    close = html.find(hit[0], spot)
+                    if close < 0:
+                        unclosed.add(hit[0])
+                    else:
+                        spot = close + 1
+            if end < 0:
+                quoted, end = False, html.find(">", m.end())
+                if end < 0:
+                    return
+            at = end + 1
+        to = yield start, at, bool(m[1]), tag, html[m.end() : at - 1] if tag else ""
+        if to is not None:
+            at = to
+
+
 def parse(html: str | None) -> list[Node]:
-    """Block elements in page order. A node's ``parts`` are (position, raw text) directly in it; inline elements are transparent."""
+    """Block elements in page order, so that a subtree is a run of them. A node's ``parts`` are (position, raw text) directly in it; inline elements are transparent.
+
+    Time is linear in the page: what is open is also kept by name, and every element is
+    opened and closed once.
+    """
     html = html or ""
-    root = Node("#page", None, set())
-    nodes, block, at, silent, links = [root], root, 0, 0, 0
-    open_tags: list[tuple[str, Node | None]] = []  # (tag, block that it opened)
-    loose: Node | None = None  # block of the text outside any block, up to the next block
+    root = Node("#page", -1, None, 0)
+    nodes, block, silent, links, at = [root], 0, 0, 0, 0
+    open_tags: list[tuple[str, int]] = []  # (tag, the block that it opened or -1)
+    places: dict[str, list[int]] = {}  # where each tag stands in open_tags
+    blocks: list[int] = []  # where blocks stand in open_tags
+    loose = -1  # block of the text outside any block, up to the next block
+
+    def push(tag: str, opened: int) -> None:
+        nonlocal silent, links
+        places.setdefault(tag, []).append(len(open_tags))
+        if opened >= 0:
+            blocks.append(len(open_tags))
+        silent, links = silent + (tag in SILENT), links + (tag == "a")
+        open_tags.append((tag, opened))
+
+    def close_from(k: int) -> None:
+        """Everything from place k on ends."""
+        nonlocal silent, links, block
+        while len(open_tags) > k:
+            tag, opened = open_tags.pop()
+            places[tag].pop()
+            silent, links = silent - (tag in SILENT), links - (tag == "a")
+            if opened >= 0:
+                blocks.pop()
+                block = nodes[opened].up
 
     def end_head() -> None:
         """What cannot stand in an open head ends it."""
-        nonlocal silent, links
-        k = next((i for i, (t, _) in enumerate(open_tags) if t == "head"), None)
-        if k is not None:
-            silent -= sum(t in SILENT for t, _ in open_tags[k:])
-            links -= sum(t == "a" for t, _ in open_tags[k:])
-            del open_tags[k:]
+        if places.get("head"):
+            close_from(places["head"][0])
+
+    def here() -> Node:
+        return nodes[loose if block == 0 and loose >= 0 else block]
 
     def text(upto: int) -> None:
         nonlocal loose
@@ -115,10 +178,10 @@ def parse(html: str | None) -> list[Node]:
         if silent and open_tags[-1][0] == "head" and not piece.isspace():
             end_head()
         if not silent:
-            if block is root and loose is None and not piece.isspace():
-                loose = Node("#text", root, set())
-                nodes.append(loose)
-            own = loose or block if block is root else block
+            if block == 0 and loose < 0 and not piece.isspace():
+                loose = len(nodes)
+                nodes.append(Node("#text", 0, root, 0))
+            own = here()
             own.parts.append((at, piece))
             n = len(piece.strip())
             own.chars += n
@@ -126,118 +189,113 @@ def parse(html: str | None) -> list[Node]:
             own.commas += piece.count(",") + piece.count(".")
             own.words += piece.count(" ")
 
-    while m := _token.search(html, at):
-        text(m.start())
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+    def ended_by(tag: str) -> bool:
+        return bool(open_tags) and (open_tags[-1][0] == "p" or tag in _closes and any(t in _closes[tag] for t, _ in open_tags[-4:]) and open_tags[-1][0] not in _scope)
+
+    found, to = tokens(html), None
+    while True:
+        try:
+            start, end, closing, tag, attributes = found.send(to)
+        except StopIteration:
+            break
+        to = None
+        text(start)
+        at = end
         if not tag:
             continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
-        if not closing:
-            if silent and tag not in IN_HEAD:
-                end_head()
-            if tag in VOID:
-                block.inputs += tag == "input"
-                if tag in ("br", "hr") and not silent:
-                    (loose or block if block is root else block).parts.append((at, " "))
-                continue
-            if tag in _raw and tag in SILENT:  # its content is not markup
-                end = _raw[tag].search(html, at)
-                at = end.end() if end else len(html)
-                continue
-            if attributes.endswith("/") and tag not in BLOCK:
-                continue
-            if tag in BLOCK:
-                while open_tags and open_tags[-1][0] == "p" or tag in _closes and any(t in _closes[tag] for t, _ in open_tags[-4:]) and not (open_tags and open_tags[-1][0] in _scope):
-                    t, opened = open_tags.pop()
-                    silent, links = silent - (t in SILENT), links - (t == "a")
-                    if opened is not None:
-                        block = opened.parent
-                        if t in _closes.get(tag, ()):
-                            break
-                if tag == "p" and any(t == "p" for t, _ in open_tags):  # inline elements left open in a paragraph end with it
-                    k = max(i for i, (t, _) in enumerate(open_tags) if t == "p")
-                    if all(o is None for _, o in open_tags[k + 1 :]):
-                        silent -= sum(t in SILENT for t, _ in open_tags[k:])
-                        links -= sum(t == "a" for t, _ in open_tags[k:])
-                        block = open_tags[k][1].parent
-                        del open_tags[k:]
-                block, loose = Node(tag, block, groups_of(attributes)), None
-                nodes.append(block)
-                open_tags.append((tag, block))
-            else:
-                silent += tag in SILENT
-                links += tag == "a"
-                block.inputs += tag in ("button", "select")
-                block.tags += 1
-                open_tags.append((tag, None))
+        if closing:
+            k = places[tag][-1] if places.get(tag) else -1
+            if k >= 0 and (tag in BLOCK or not blocks or blocks[-1] <= k):
+                close_from(k)
+            continue
+        if silent and tag not in IN_HEAD:
+            end_head()
+        if tag in VOID:
+            nodes[block].inputs += tag == "input"
+            if tag in ("br", "hr") and not silent:
+                here().parts.append((start, " "))
+        elif tag in _raw and tag in SILENT:  # its content is not markup
+            last = _raw[tag].search(html, at)
+            close = html.find(">", last.end()) if last else -1
+            at = to = len(html) if close < 0 else close + 1
+        elif attributes.endswith("/") and tag not in BLOCK:
+            pass
+        elif tag in BLOCK:
+            while ended_by(tag):
+                last = open_tags[-1][0]
+                close_from(len(open_tags) - 1)
+                if last in _closes.get(tag, ()):
+                    break
+            if tag == "p" and places.get("p") and blocks[-1] == places["p"][-1]:  # inline elements left open in a paragraph end with it
+                close_from(places["p"][-1])
+            nodes.append(Node(tag, block, nodes[block], groups_of(attributes)))
+            block, loose = len(nodes) - 1, -1
+            push(tag, block)
         else:
-            k = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == tag), None)
-            if k is None or tag not in BLOCK and any(o is not None for _, o in open_tags[k + 1 :]):
-                continue
-            for t, opened in open_tags[k:]:
-                silent, links = silent - (t in SILENT), links - (t == "a")
-            first = next((o for _, o in open_tags[k:] if o is not None), None)
-            if first is not None:
-                block = first.parent
-            del open_tags[k:]
+            nodes[block].inputs += tag in ("button", "select")
+            nodes[block].tags += 1
+            push(tag, -1)
     text(len(html))
     return nodes
 
 
 def node_features(nodes: list[Node]) -> np.ndarray:
-    """One row a node; sums over subtrees are made here, children before parents."""
-    total = {id(n): np.array([n.chars, n.linked, n.tags + 1, n.commas, n.tag == "p", n.inputs, n.words], float) for n in nodes}
-    for n in reversed(nodes):
-        if n.parent:
-            total[id(n.parent)] += total[id(n)]
-    page = total[id(nodes[0])]
-    rows = np.zeros((len(nodes), len(KINDS) * 2 + len(GROUPS) * 2 + 19), np.float32)
-    kinds_above: dict[int, set[int]] = {}
-    for i, n in enumerate(nodes):
-        chars, linked, tags, commas, paras, inputs, words = total[id(n)]
-        above = kinds_above[id(n.parent)] if n.parent else set()
-        kind = _kind.get(n.tag)
-        kinds_above[id(n)] = above | {kind} if kind is not None else above
-        row, at = rows[i], 0
-        if kind is not None:
-            row[kind] = 1
-        for k in above:
-            row[len(KINDS) + k] = 1
-        at = 2 * len(KINDS)
-        for k in n.own:
-            row[at + k] = 1
-        for k in n.above:
-            row[at + len(GROUPS) + k] = 1
-        against = bool(n.own - {0}) or kind in ASIDES  # attribute or element names that speak against a node
-        against_above = bool(n.above - {0}) or bool(above & ASIDES)
-        for_it = 0 in n.own | n.above or kind == 0 or 0 in above
-        kin = n.parent.kids if n.parent else [n]
-        row[at + 2 * len(GROUPS) :] = (
-            against, against_above, for_it, n.depth, n.spot, len(kin), sum(x.tag == n.tag for x in kin) if len(kin) < 200 else len(kin), n.spot / len(kin), np.log1p(chars), np.log1p(n.chars), linked / (chars + 1), chars / tags, commas / (words + 1), np.log1p(paras), inputs, chars / (page[0] + 1), len(n.kids), np.log1p(total[id(kin[n.spot - 1])][0]) if n.spot else -1, np.log1p(total[id(kin[n.spot + 1])][0]) if n.spot + 1 < len(kin) else -1,
-        )
-    return rows
+    """One row a node. A subtree is a run of nodes, so its sums are differences of running totals."""
+    n = len(nodes)
+    up = np.array([x.up for x in nodes])
+    size = [1] * n
+    for i in range(n - 1, 0, -1):
+        size[nodes[i].up] += size[i]
+    base = np.array([(x.chars, x.linked, x.tags + 1, x.commas, x.tag == "p", x.inputs, x.words) for x in nodes], float)
+    running = np.concatenate([np.zeros((1, 7)), np.cumsum(base, axis=0)])
+    total = running[np.arange(n) + size] - running[:n]
+    kids, alike = [0] * n, {}  # children of a node, and those of one name
+    spot, before, after = [0] * n, [-1] * n, [-1] * n
+    latest = [-1] * n
+    for i in range(1, n):
+        p = nodes[i].up
+        spot[i], before[i] = kids[p], latest[p]
+        if latest[p] >= 0:
+            after[latest[p]] = i
+        latest[p] = i
+        kids[p] += 1
+        alike[p, nodes[i].tag] = alike.get((p, nodes[i].tag), 0) + 1
+    family = np.array([1] + [kids[x.up] for x in nodes[1:]])
+    same = np.array([1] + [alike[x.up, x.tag] for x in nodes[1:]])
+    spot, before, after = np.array(spot), np.array(before), np.array(after)
+    bits = lambda name, k: np.array([getattr(x, name) for x in nodes])[:, None] >> np.arange(k) & 1
+    kind, kinds, own, above = bits("kind", len(KINDS)), bits("kinds", len(KINDS)), bits("own", len(GROUPS)), bits("above", len(GROUPS))
+    aside = sorted(ASIDES)
+    against = own[:, 1:].any(axis=1) | kind[:, aside].any(axis=1)  # attribute or element names that speak against a node
+    against_above = above[:, 1:].any(axis=1) | kinds[:, aside].any(axis=1)
+    for_it = (own[:, 0] | above[:, 0] | kind[:, 0] | kinds[:, 0]) > 0
+    chars, linked, tags, commas, paras, inputs, words = total.T
+    beside = lambda place: np.where(place >= 0, np.log1p(chars[place]), -1)
+    single = np.stack([
+        against, against_above, for_it, [x.depth for x in nodes], spot, family, np.where(family < 200, same, family), spot / family, np.log1p(chars), np.log1p(base[:, 0]), linked / (chars + 1), chars / tags, commas / (words + 1), np.log1p(paras), inputs, chars / (chars[0] + 1), kids, beside(before), beside(after),
+    ], axis=1)
+    return np.concatenate([kind, kinds, own, above, single], axis=1).astype(np.float32)
 
 
 def decode(nodes: list[Node], p: np.ndarray) -> list[bool]:
     """The likeliest labels under which a node is kept only if its parent is. The page itself is kept."""
     p = np.clip(p, 1e-6, 1 - 1e-6)
-    keep, drop = dict(zip(map(id, nodes), np.log(p))), dict(zip(map(id, nodes), np.log(1 - p)))
-    best = {}
-    for n in reversed(nodes):
-        best[id(n)] = keep[id(n)] > drop[id(n)]
-        if n.parent:
-            keep[id(n.parent)] += max(keep[id(n)], drop[id(n)])
-            drop[id(n.parent)] += drop[id(n)]
-    kept: dict[int, bool] = {}
-    for n in nodes:
-        kept[id(n)] = n.parent is None or kept[id(n.parent)] and best[id(n)]
-    return [kept[id(n)] for n in nodes]
+    keep, drop = np.log(p).tolist(), np.log(1 - p).tolist()
+    kept = [False] * len(nodes)
+    for i in range(len(nodes) - 1, -1, -1):
+        kept[i] = keep[i] > drop[i]
+        if i:
+            keep[nodes[i].up] += max(keep[i], drop[i])
+            drop[nodes[i].up] += drop[i]
+    kept[0] = True
+    for i in range(1, len(nodes)):
+        kept[i] = kept[i] and kept[nodes[i].up]
+    return kept
 
 
 def joined(nodes: list[Node], kept: list[bool]) -> str:
     """Kept text: runs of one block become one piece; pieces in page order with one space between."""
-    parts = sorted((spot, i, raw) for i, n in enumerate(nodes) if kept[i] and n.parent is not None for spot, raw in n.parts)
+    parts = sorted((spot, i, raw) for i, n in enumerate(nodes) if i and kept[i] for spot, raw in n.parts)
     pieces, last = [], None
     for _, i, raw in parts:
         if i == last:
@@ -250,22 +308,18 @@ def joined(nodes: list[Node], kept: list[bool]) -> str:
 
 def gold(nodes: list[Node]) -> list[bool] | None:
     """Labels by semantic elements: inside <article> or <main> and in nothing marked as something else; None without one."""
-    good = {id(n) for n in nodes if n.tag in ("article", "main")}
-    if not good:
+    if not any(n.tag in ("article", "main") for n in nodes):
         return None
-    inside, out = {}, []
+    barred = sum(1 << GROUPS.index(g) for g in ("menu", "side", "ads", "note", "talk", "form", "more", "foot"))
+    inside, out = [], []
     for n in nodes:
-        bad = n.tag in ("nav", "header", "footer", "aside", "form", "dialog") or bool((n.own & {GROUPS.index(g) for g in ("menu", "side", "ads", "note", "talk", "form", "more", "foot")}) and n.tag not in ("article", "main"))
-        up = inside.get(id(n.parent), (False, False)) if n.parent else (False, False)
-        inside[id(n)] = (up[0] or id(n) in good, up[1] or bad)
-        out.append(inside[id(n)][0] and not inside[id(n)][1] or n.tag in ("#page", "html", "body"))
+        bad = n.tag in ("nav", "header", "footer", "aside", "form", "dialog") or bool(n.own & barred) and n.tag not in ("article", "main")
+        up = inside[n.up] if n.up >= 0 else (False, False)
+        inside.append((up[0] or n.tag in ("article", "main"), up[1] or bad))
+        out.append(inside[-1][0] and not inside[-1][1] or n.tag in ("#page", "html", "body"))
     # wrappers of an article are kept too: dropping one would drop the article
-    for i in range(len(nodes) - 1, -1, -1):
-        if out[i] and nodes[i].parent:
-            j = nodes[i].parent
-            while j is not None:
-                out[nodes.index(j)] = True
-                j = j.parent
+    for i in range(len(nodes) - 1, 0, -1):
+        out[nodes[i].up] |= out[i]
     return out
 
 
@@ -338,11 +392,10 @@ def templates(pieces: list[str], heads: str, rng: random.Random, copies: int) ->
 
 def first_spots(nodes: list[Node]) -> list[int]:
     """Where the first text at or below each node stands."""
-    spots = {id(n): min((s for s, _ in n.parts), default=1 << 60) for n in nodes}
-    for n in reversed(nodes):
-        if n.parent:
-            spots[id(n.parent)] = min(spots[id(n.parent)], spots[id(n)])
-    return [spots[id(n)] for n in nodes]
+    spots = [min((s for s, _ in n.parts), default=1 << 60) for n in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        spots[nodes[i].up] = min(spots[nodes[i].up], spots[i])
+    return spots
 
 
 def training_rows(pages: Iterator[pd.DataFrame], copies: int) -> Iterator[pd.DataFrame]:
