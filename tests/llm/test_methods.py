@@ -1,0 +1,138 @@
+"""What the methods save: counted on data with and without structure."""
+
+import itertools
+import time
+
+import numpy as np
+
+from swathframe.llm import eps_grid, html_extract, simhash, topk_nra
+
+
+def test_blocks_of_far_fingerprints_are_abandoned():
+    rng = np.random.default_rng(0)
+    fps = np.unique(rng.integers(0, 256, (2000, 8), dtype=np.uint8), axis=0)
+    tally = {}
+    near = simhash.near_rows(fps, 2, tally)
+    assert tally["abandoned"] > 0.95 * tally["blocks"] and tally["planes"] < 0.4 * 64 * tally["blocks"]
+    fps[5] = fps[4] ^ np.array([3, 0, 0, 0, 0, 0, 0, 0], np.uint8)
+    near, bits = simhash.near_rows(fps, 2), np.unpackbits(fps, axis=1)
+    want = (bits[:, None, :32] != bits[None, :, :32]).sum(axis=2) + (bits[:, None, 32:] != bits[None, :, 32:]).sum(axis=2) <= 2
+    np.fill_diagonal(want, False)
+    assert (np.unpackbits(near.view(np.uint8), axis=1, bitorder="little")[:, : len(fps)].astype(bool) == want).all() and want.any()
+
+
+def test_short_and_long_texts_of_similarity_point_eight_meet(spark):
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(50_000)]
+    rows = []
+    for g in range(3000):  # 8 words and one more: 4 of 5 shingles; and pairs of 12 to 60 words that differ at an end
+        n = 8 if g % 2 else int(rng.integers(6, 15)) * 4
+        text = list(rng.choice(words, n + 5))
+        more = 1 if n == 8 else max(1, (n - 4) // 4)
+        rows += [(2 * g, " ".join(text[:n])), (2 * g + 1, " ".join(text[: n + min(more, 5)]))]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    alike = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(alike) > 1500
+    assert [2 * g + 1 in kept for g in range(3000)] == [not x for x in alike] and all(2 * g in kept for g in range(3000))
+
+
+def test_rows_that_nulls_alone_tell_apart_stay(spark):
+    rows = [(1, None, "a b c d e f g", "x", 1), (1, "a b c d e f g", None, "x", 1), (1, "a b c d e f g", None, "x", 1)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    assert sorted(r.text or "" for r in kept.collect()) == ["", "a b c d e f g"]
+
+
+def test_a_large_group_whose_members_are_not_all_like_the_first(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(9000)]
+    rows = []
+    for g in range(3):  # each text replaces a few more words of the one before: a chain
+        text = list(rng.choice(words, 120))
+        for k in range(60):
+            rows.append((len(rows), " ".join(text)))
+            text[int(k * 2)] = f"c{g}x{k}"
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    comp = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and comp[a] != comp[b]:
+            comp = [min(comp[a], comp[b]) if c in (comp[a], comp[b]) else c for c in comp]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(comp))
+
+
+def candidates(kind, rng, n=2000, dims=64):
+    if kind == "clusters":
+        return np.floor(rng.normal(size=(40, dims))[rng.integers(0, 40, n)] * 60 + rng.normal(size=(n, dims)) * 3)
+    if kind == "few large components":
+        return np.floor(np.clip(rng.standard_t(1.2, size=(n, dims)) * 5, -1e5, 1e5))
+    return np.floor(rng.normal(size=(n, dims)) * 40)
+
+
+def test_lists_are_not_read_to_their_end():
+    """Entries read by the lists and resolved, against all entries that a full scan reads."""
+    for kind, most in (("clusters", 0.75), ("few large components", 0.2), ("no structure", 0.9)):
+        rng = np.random.default_rng(7)
+        x = candidates(kind, rng)
+        at, ids = rng.integers(0, len(x), 300), rng.permutation(len(x))
+        tally = {}
+        row, col, score = topk_nra.best_of_block(x[at], at, x, np.arange(len(x)), ids, 5, tally)
+        every = x[at] @ x.T
+        every[np.arange(300), at] = -np.inf
+        best = [sorted(zip(-every[i], ids))[:5] for i in range(300)]
+        assert [(-s, c) for s, c in zip(score, ids[col])] == [(int(s), c) for own in best for s, c in own]
+        assert tally["read"] + tally["resolved"] < most * every.size * x.shape[1], (kind, tally)
+        assert tally["resolved"] < 0.1 * every.size * x.shape[1]  # without the bounds every pair would be open
+
+
+def test_products_beyond_doubles_are_exact():
+    rng = np.random.default_rng(8)
+    for scale in (1e6, 1e8, 1e12, 1e150):
+        x = np.floor(rng.normal(size=(60, 5)) * scale)
+        row, col, score = topk_nra.best_of_block(x[:4], np.arange(4), x, np.arange(60), np.arange(60), 5)
+        for i in range(4):
+            exact = [(-min(max(sum(int(a) * int(b) for a, b in zip(x[i], y)), -(2**63)), 2**63 - 1), j) for j, y in enumerate(x) if j != i]
+            assert [(-s, c) for r, c, s in zip(row.tolist(), col.tolist(), score.tolist()) if r == i] == sorted(exact)[:5]
+
+
+def test_far_blocks_and_leaves_are_skipped():
+    rng = np.random.default_rng(9)
+    base = eps_grid.units(rng.normal(size=(60, 32)))
+    x = base[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 32)) * 0.02
+    unit = eps_grid.units(x)
+    _, axes = np.linalg.eigh(np.cov(unit.T))
+    axes = {32: axes[:, ::-1][:, : eps_grid.BOX]}
+    eps = float(np.sqrt(2 - 2 * 0.93))
+    unit = unit[np.lexsort(np.floor(eps_grid.coordinates(unit, axes)[:, : eps_grid.DIMS] / eps).T[::-1])]
+    blocks = {p: (np.arange(p * 750, p * 750 + 750), np.ones(750, np.int64), unit[p * 750 : p * 750 + 750]) for p in range(8)}
+    tally, links = {}, np.zeros(6000, np.int64)
+    for part in eps_grid.cell_links(blocks, 0, 0, axes, 0.93, tally):
+        np.add.at(links, part["uid"], part["links"])
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    assert (links == near.sum(axis=1)).all() and near.any()
+    assert tally["blocks_skipped"] > 0 and tally["leaves_skipped"] > 0.6 * tally["leaves"], tally
+
+
+def test_hostile_pages_take_time_in_proportion():
+    """Unclosed quotes, open tags, deep nesting and rows of siblings: four times the page takes about four times as long."""
+    kinds = ['<a "', '<a x="', "<a x='>\"<b y=\">'", '<a x="1>" ', "<span>x", "<p>y", "<script </script ", "<div>", "<b><div></b>", "<", "<!", "<li>x", "<table><tr><td>", "<p><b>", "</b>", "<b>", "<head>"]
+    for kind in kinds:
+        spent = []
+        for size in (1 << 17, 1 << 19):
+            page, began = kind * (size // len(kind)), time.process_time()
+            nodes = html_extract.parse(page)
+            kept = html_extract.decode(nodes, np.full(len(nodes), 0.9))
+            html_extract.node_features(nodes)
+            html_extract.joined(nodes, kept)
+            spent.append(time.process_time() - began)
+        assert spent[1] < 10 * spent[0] + 0.5, (kind, spent)
+
+
+def test_quotes_and_ends_of_tags():
+    text = lambda page: [r for n in html_extract.parse(page) for _, r in n.parts]
+    assert text("<p title='a > b'>x</p>") == ["x"]
+    assert text("<p don't>x</p><p it's>y</p>") == ["x", "y"]  # a quote that opens no value
+    assert text('<p title="a>x</p><p>y</p>') == ["x", "y"]  # one that never closes
+    assert text("<p>x</p><p") == ["x", "<p"] and text("a < b") == ["a < b"]
