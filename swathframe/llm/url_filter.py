@@ -7,8 +7,13 @@ of aliases. A page without a rule is blocked if an alias of it is blocked by a r
 an alias is allowed by one: an explicit allow takes precedence over what is propagated.
 Without any of these it is allowed.
 
-Aliases are the same address without scheme and fragment. Edges come from the pages'
-html, and from a table of redirects where one is given.
+Aliases are the same address without scheme, default port and fragment. Edges come from the
+pages' html, and from a table of redirects where one is given; references are resolved
+against the page's base as RFC 3986 says.
+
+Rules are a table, keyed by host. A host is looked up by its last labels, once for each
+number of labels that rules have, so there are as many joins as kinds of rules and none
+needs a group of rows.
 
 Edge cases: a null url and one without ``://`` have an empty host and path, fit no rule and
 are nobody's alias; null html has no edges; repeated rows are judged alike; an empty table
@@ -17,15 +22,22 @@ gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..plans.storage import saved
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?[^"'>]*\bcanonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*(?:["'][^"'>]*?|[^\s"'>]*?)\burl\s*=\s*["']?([^"'\s>]+)"""
+#: Elements that name another address, and what is read of them.
+TAGS = r"(?i)<(?:link|meta|base)\b[^>]*>"
+IS_CANONICAL, IS_REFRESH, IS_BASE = r"(?is)^<link\b.*\brel\s*=\s*(?:\"[^\"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)", r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b", r"(?is)^<base\b"
+HREF = r"(?is)\shref\s*=\s*[\"']?([^\"'\s>]+)"
+TARGET = r"(?is)\scontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
+#: Named character references that may stand in a link.
+NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+#: Up to so many rules the table is sent to every task instead of shuffling the pages.
+SENT = 100_000
 
 
 def rest_of(url: Column) -> Column:
@@ -51,40 +63,74 @@ def without_dots(path: Column) -> Column:
 
 
 def address_of(url: Column) -> Column:
-    """The key under which a URL is an alias: host, path and query; null for no URL."""
+    """The key under which a URL is an alias: host without its scheme's default port, path and query; null for no URL."""
     query = F.regexp_extract(rest_of(url), r"^[^?#]*(\??[^#]*)", 1)
     path = F.when(path_of(url) == "", F.lit("/")).otherwise(without_dots(path_of(url)))
-    return F.when(host_of(url) != "", F.concat(host_of(url), path, query))
+    usual = F.when(url.rlike("^(?i)http:"), ":80").when(url.rlike("^(?i)https:"), ":443")
+    host = F.when(host_of(url).endswith(usual), F.regexp_replace(host_of(url), r":[0-9]+$", "")).otherwise(host_of(url))
+    return F.when(host_of(url) != "", F.concat(host, path, query))
+
+
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """(rule_host, labels, rules): all rules of a host; rules: (allow or block, host, path beginning)."""
+    rows = [(h, h.count(".") + 1, len(h + p), v == "allow", h + p, p) for v, h, p in rules]
+    made = spark.createDataFrame(rows, "rule_host string, labels int, length int, allow boolean, rule string, path string")
+    return made.groupBy("rule_host", "labels").agg(F.collect_list(F.struct("length", "allow", "rule", "path")).alias("rules"))
+
+
+def with_best_rule(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """``rows`` (host, path, ...) with ``best``: struct(length, allow, rule) of the longest fitting rule, else null."""
+    spark = rows.sparkSession
+    table = rule_table(spark, rules) if rules else None
+    kept, found = rows.columns, []
+    for k in sorted({h.count(".") + 1 for _, h, _ in rules}):
+        own = table.where(F.col("labels") == k).select(F.col("rule_host").alias(f"__h{k}"), F.col("rules").alias(f"__r{k}"))
+        own = F.broadcast(own) if len(rules) <= SENT else own
+        rows = rows.withColumn(f"__h{k}", F.substring_index("host", ".", -k)).join(own, f"__h{k}", "left")
+        found.append(f"__r{k}")
+    fitting = F.filter(F.flatten(F.array_compact(F.array(*found))), lambda r: F.col("path").startswith(r["path"])) if found else None
+    best = F.array_max(F.transform(fitting, lambda r: F.struct(r["length"].alias("length"), r["allow"].alias("allow"), r["rule"].alias("rule")))) if found else F.lit(None).cast("struct<length:int,allow:boolean,rule:string>")
+    return rows.select(*[F.col(f"`{c}`") for c in kept], best.alias("best"))
+
+
+def unescaped(text: Column) -> Column:
+    """Character references decoded: numbers, and the names that a link may hold."""
+    reference = r"^(?:#([0-9]{1,7})|#[xX]([0-9a-fA-F]{1,6})|(amp|lt|gt|quot|apos));?"
 
+    def decoded(part: Column) -> Column:
+        number = F.coalesce(F.nullif(F.regexp_extract(part, reference, 1), F.lit("")).cast("int"), F.conv(F.nullif(F.regexp_extract(part, reference, 2), F.lit("")), 16, 10).cast("int"))
+        name = F.regexp_extract(part, reference, 3)
+        char = F.coalesce(*[F.when(name == n, F.lit(c)) for n, c in NAMED.items()], F.when((number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")))
+        return F.when(char.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(char, F.regexp_replace(part, reference, "")))
 
-def best_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """struct(length, allow, rule) of the longest fitting rule, else null. rules: (allow or block, host, path beginning)."""
-    fits = []
-    for verdict, rule_host, rule_path in rules:
-        fit = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
-        text = rule_host + rule_path
-        fits.append(F.when(fit, F.struct(F.lit(len(text)).alias("length"), F.lit(verdict == "allow").alias("allow"), F.lit(text).alias("rule"))))
-    return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<length:int,allow:boolean,rule:string>")
+    parts = F.split(text, "&")
+    return F.when(text.contains("&"), F.array_join(F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, F.lit(2), F.size(parts)), decoded)), "")).otherwise(text)
 
 
 def target_of(href: Column, url: Column) -> Column:
-    """The absolute form of a link found on ``url``."""
+    """The absolute form of a reference found under the base ``url`` (RFC 3986, 5.2.2; dot segments go with the address)."""
     scheme = F.regexp_extract(url, r"^([^:/?#]+)://", 1)
+    path = F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url))
+    site = F.concat(scheme, F.lit("://"), host_of(url))
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href)
+        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))  # another kind of address
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), href))
+        .when(href.startswith("/"), F.concat(site, href))
         .when(href.startswith("#"), url)
-        .when(href.startswith("?"), F.concat(scheme, F.lit("://"), host_of(url), F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url)), href))
-        .otherwise(F.concat(scheme, F.lit("://"), host_of(url), F.regexp_replace(F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url)), r"[^/]*$", ""), href))
+        .when(href.startswith("?"), F.concat(site, path, href))
+        .otherwise(F.concat(site, F.regexp_replace(path, r"[^/]*$", ""), href))
     )
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(a, b): addresses of pages and of what they redirect to or name as canonical."""
-    links = F.array_distinct(F.concat(F.regexp_extract_all("html", F.lit(CANONICAL), 1), F.regexp_extract_all("html", F.lit(REFRESH), 1)))
     found = pages.where("html IS NOT NULL AND url LIKE '%://%'").where(F.col("html").rlike(r"(?i)canonical|http-equiv"))
-    found = found.select("url", F.explode(links).alias("href")).select("url", target_of(F.regexp_replace("href", "&amp;", "&"), F.col("url")).alias("to"))
+    found = found.select("url", F.regexp_extract_all("html", F.lit(TAGS), F.lit(0)).alias("tags"))
+    of = lambda test, pattern: F.transform(F.filter("tags", lambda t: t.rlike(test)), lambda t: unescaped(F.regexp_extract(t, pattern, 1)))
+    found = found.select("url", F.get(F.filter(of(IS_BASE, HREF), lambda h: h != ""), F.lit(0)).alias("base"), F.concat(of(IS_CANONICAL, HREF), of(IS_REFRESH, TARGET)).alias("links"))
+    found = found.select("url", F.coalesce(target_of(F.col("base"), F.col("url")), F.col("url")).alias("base"), F.explode(F.array_distinct("links")).alias("href")).where("href <> ''")
+    found = found.select("url", target_of(F.col("href"), F.col("base")).alias("to"))
     return found.select(address_of(F.col("url")).alias("a"), address_of(F.col("to")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
 
 
@@ -99,11 +145,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFr
         edges = edges.union(redirects.select(address_of(F.col("from_url")), address_of(F.col("to_url"))))
     nodes = connected_components(edges)
     at = F.concat(F.lit("x://"), F.col("node"))
-    ruled = nodes.select("node", "component", best_rule(host_of(at), path_of(at), rules).alias("own"))
-    classes = ruled.groupBy("component").agg(F.max(F.col("own.allow")).alias("allowed"), F.max(~F.col("own.allow")).alias("blocked"))
+    ruled = with_best_rule(nodes.select("node", "component", host_of(at).alias("host"), path_of(at).alias("path")), rules)
+    classes = ruled.groupBy("component").agg(F.max(F.col("best.allow")).alias("allowed"), F.max(~F.col("best.allow")).alias("blocked"))
     known = saved(ruled.join(saved(classes, "url-classes"), "component").select(F.col("node").alias("address"), (F.coalesce("blocked", F.lit(False)) & ~F.coalesce("allowed", F.lit(False))).alias("by_alias")), "url-aliases")
     own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.coalesce(address_of(F.col("url")), F.concat(F.lit("://"), F.xxhash64("page_id").cast("string"))).alias("address"))  # pages without an address are dealt out
-    own = own.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
-    joined = own.join(known, "address", "left")
+    joined = with_best_rule(own, rules).join(known, "address", "left")
     blocked = F.when(F.col("best").isNotNull(), ~F.col("best.allow")).otherwise(F.coalesce("by_alias", F.lit(False)))
     return joined.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.when(blocked, "block").otherwise("allow").alias("verdict"))
