@@ -2,36 +2,35 @@
 
 Documents are aggregated by membership pattern (the set of sources that they belong to;
 one source each in the plain case). Each pattern supplies ``copies`` passes of its tokens,
-every further pass at a higher cost; each source wants its quota. Convex costs make the
-optimal flow fill first passes before second ones, so the flow is found by successive
-shortest augmenting paths over the small graph pass -> pattern -> source. What a pattern
-ships is then spread over its documents: whole passes for all of them and the rest for a
-seeded selection.
-
-The selection needs no total order: documents fall in hash bins, sums of bins find the bin
-in which the quota ends, and only that bin's documents are ordered. A source of any size is
-so split over all tasks. Only sources and patterns (sums, not documents) reach the driver;
+every further pass at a higher cost; each source wants its quota. The cost of a pass is the
+same for all patterns, so the optimal flow is a largest flow of first passes, then of second
+ones on top of it, and so on: shortest augmenting paths, all of one length in one go, over
+the small graph pattern -> source. What a pattern ships is then spread over its documents:
+whole passes for all of them and the rest for a seeded selection.
+
+The selection needs no total order: documents have a hash, sums over its leading digits find
+the bin in which the quota ends, and that bin is cut into finer ones, a few digits at a time,
+until the hash is known up to which documents are taken. Only sums and (hash, size) rows of
+the bins in question are moved, and only sums of sources and patterns reach the driver;
 beyond ``max_patterns`` it raises instead of collecting.
 
 Edge cases: a null text has size 0; a null source is a source, the last one; documents of
-size 0 take 0; sources of size 0 get target 0; repeated rows each count and may differ in
-what is taken only where the quota ends between them; an empty table gives an empty table;
-extra columns are kept
-(a column named ``mix`` is replaced).
+size 0 take 0; sources of size 0 get target 0; a document without an id is known by its text;
+repeated rows each count and may differ in what is taken only where the quota ends between
+them; an empty table gives an empty table; extra columns are kept (a column named ``mix`` is
+replaced).
 """
 
 from __future__ import annotations
 
-from collections import deque
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.storage import saved
 
-#: Bins of the seeded order: the first three hex digits of a hash.
-BINS = 4096
+#: Hex digits of the seeded order that a round of bins looks at, and rounds until whole hashes are compared.
+DIGITS, ROUNDS = 3, 4
 
 
 def words_of(text: Column) -> Column:
@@ -61,53 +60,78 @@ def route(supply: dict[tuple, float], quota: dict, copies: int) -> dict[tuple, f
     """Tokens that each pattern ships: min-cost flow from passes over patterns to source quotas.
 
     supply: tokens of each pattern (a tuple of sources). A pass k of a pattern costs k a
-    token; successive shortest paths with reversals give the optimum, and as costs depend on
-    the pattern alone, an augmenting path may be searched pass by pass.
+    token, so flows are made largest pass by pass. Each phase finds the distance of every
+    source from patterns with tokens left (a source is left for the patterns that ship to
+    it), and sends what it can along shortest paths, no edge being looked at twice.
     """
-    flow: dict[tuple[tuple, object], float] = {}
-    sent, left = dict.fromkeys(supply, 0.0), dict(quota)
-    by_source: dict[object, list[tuple]] = {}
-    for p in supply:
-        for s in p:
-            by_source.setdefault(s, []).append(p)
-    eps, unmet = 1e-6, object()  # a null source is a source, so null says nothing
+    patterns, names = list(supply), list(quota)
+    at = {s: j for j, s in enumerate(names)}
+    goes = [[at[s] for s in p] for p in patterns]
+    flow: list[dict[int, float]] = [{} for _ in names]  # of each source, by pattern
+    left = [float(quota[s]) for s in names]
+    sent = [0.0] * len(patterns)
+    eps = 1e-6
     for level in range(1, copies + 1):
-        for p in supply:
-            while supply[p] * level - sent[p] > eps:
-                # breadth first from p to a source with quota left; a step back frees what another pattern sends there
-                came: dict[object, tuple[tuple, object]] = {}
-                queue, end = deque([(p, None)]), unmet
-                seen = {p}
-                while queue and end is unmet:
-                    q, _ = queue.popleft()
-                    for s in q:
-                        if s in came:
-                            continue
-                        came[s] = (q, None)
-                        if left.get(s, 0.0) > eps:
-                            end = s
+        room = [supply[p] * level - sent[i] for i, p in enumerate(patterns)]
+        while True:
+            depth_p, depth_s = [-1] * len(patterns), [-1] * len(names)
+            edge, ends, depth = [i for i, r in enumerate(room) if r > eps and goes[i]], False, 0
+            for i in edge:
+                depth_p[i] = 0
+            while edge and not ends:
+                depth, fresh = depth + 1, []
+                for i in edge:
+                    for j in goes[i]:
+                        if depth_s[j] < 0:
+                            depth_s[j] = depth
+                            fresh.append(j)
+                ends = any(left[j] > eps for j in fresh)
+                edge = []
+                if not ends:
+                    for j in fresh:
+                        for i, f in flow[j].items():
+                            if f > eps and depth_p[i] < 0:
+                                depth_p[i] = depth
+                                edge.append(i)
+            if not ends:
+                break
+            to, back, held = [0] * len(patterns), [0] * len(names), {}  # how far each edge list has been used up
+            for first in [i for i, r in enumerate(room) if r > eps and depth_p[i] == 0]:
+                path: list[tuple[int, int]] = []  # steps from a pattern to a source; the next step's pattern ships to that source
+                i = first
+                while room[first] > eps:
+                    if to[i] == len(goes[i]):  # a dead end: the step that led here is used up
+                        if not path:
                             break
-                        for other in by_source[s]:
-                            if other not in seen and flow.get((other, s), 0.0) > eps:
-                                seen.add(other)
-                                came[other] = (other, s)
-                                queue.append((other, s))
-                if end is unmet:
-                    break
-                path, s = [], end
-                while True:
-                    q = came[s][0]
-                    path.append((q, s))
-                    if q == p:
-                        break
-                    s = came[q][1]
-                    path.append((q, s))
-                room = min([supply[p] * level - sent[p], left[end], *(flow[x] for x in path[1::2])])
-                for i, x in enumerate(path):
-                    flow[x] = flow.get(x, 0.0) + (room if i % 2 == 0 else -room)
-                sent[p] += room
-                left[end] -= room
-    return sent
+                        i, j = path.pop()
+                        back[j] += 1
+                        continue
+                    j = goes[i][to[i]]
+                    if depth_s[j] != depth_p[i] + 1 or depth_s[j] == depth and left[j] <= eps:
+                        to[i] += 1
+                    elif depth_s[j] < depth:
+                        if j not in held:
+                            held[j] = [k for k, f in flow[j].items() if f > eps and depth_p[k] == depth_s[j]]
+                        if back[j] == len(held[j]):
+                            to[i] += 1
+                        elif flow[j][held[j][back[j]]] <= eps:
+                            back[j] += 1
+                        else:
+                            path.append((i, j))
+                            i = held[j][back[j]]
+                    else:
+                        steps = [*path, (i, j)]
+                        over = [(steps[n + 1][0], steps[n][1]) for n in range(len(path))]  # what is taken back
+                        most = min([room[first], left[j], *(flow[s][k] for k, s in over)])
+                        for k, s in steps:
+                            flow[s][k] = flow[s].get(k, 0.0) + most
+                        for k, s in over:
+                            flow[s][k] -= most
+                        room[first] -= most
+                        sent[first] += most
+                        left[j] -= most
+                        path, i = [], first
+    return dict(zip(patterns, sent))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], budget: float, copies: int, max_patterns: int) -> tuple[list[tuple], dict]:
@@ -124,6 +148,32 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], budget: float, copies:
     return rows, dict(zip(order, share))
 
 
+def cuts_of(marks: DataFrame, sums: DataFrame, quotas: DataFrame) -> DataFrame:
+    """(q: row of ``quotas``, h, j, c) a pattern: documents with a hash below ``h`` are taken, and j of the c that have it; h null: all are.
+
+    marks: (s, n, h) of every document; sums: (s, bin, tokens) by the first digits of h.
+    Windows are over the bins of a pattern, at most 16 ** DIGITS rows.
+    """
+    same = F.col("d.s").eqNullSafe(F.col("q.sources"))
+    ends = quotas.select("sources", F.lit("").alias("prefix"), F.lit(0).cast("bigint").alias("before"), "extra")
+    for k in range(ROUNDS):
+        if k:
+            marks = saved(marks.alias("d").join(F.broadcast(ends).alias("q"), same).where(F.col("d.h").startswith(F.col("q.prefix"))).select("d.*"), "mix-marks")
+            sums = marks.groupBy("s", F.substring("h", k * DIGITS + 1, DIGITS).alias("bin")).agg(F.sum("n").alias("tokens"))
+        upto = F.sum("tokens").over(Window.partitionBy("s").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+        bins = sums.withColumn("upto", upto).alias("d").join(F.broadcast(ends).alias("q"), same)
+        over = bins.where(F.col("q.before") + F.col("d.upto") > F.col("q.extra")).groupBy("q.sources").agg(F.min(F.struct("d.bin", "q.prefix", (F.col("q.before") + F.col("d.upto") - F.col("d.tokens")).alias("before"), "q.extra")).alias("e"))
+        ends = saved(over.select("sources", F.concat("e.prefix", "e.bin").alias("prefix"), "e.before", "e.extra"), "mix-ends")
+    last = marks.alias("d").join(F.broadcast(ends).alias("q"), same).where(F.col("d.h").startswith(F.col("q.prefix"))).groupBy("q.sources", "q.before", "q.extra", "d.h").agg(F.max("d.n").alias("n"), F.count("*").alias("c"))
+    upto = F.sum(F.col("n") * F.col("c")).over(Window.partitionBy("sources").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
+    fits = F.floor((F.col("extra") - F.col("before") - F.col("upto") + F.col("n") * F.col("c")) / F.nullif("n", F.lit(0)) + 0.5)
+    last = last.withColumn("upto", upto).withColumn("j", F.least(F.greatest(F.coalesce(fits, "c"), F.lit(0)), F.col("c")))
+    # the first hash of which not all are taken, or else the last one
+    cut = last.groupBy("sources").agg(F.coalesce(F.min(F.when(F.col("j") < F.col("c"), F.struct("h", "j", "c"))), F.max(F.struct("h", "j", "c"))).alias("d"))
+    met = quotas.alias("q").join(cut.alias("e"), F.col("q.sources").eqNullSafe(F.col("e.sources")), "left")
+    return saved(met.select(F.struct("q.*").alias("q"), F.col("e.d.h").alias("h"), F.col("e.d.j").alias("j"), F.col("e.d.c").alias("c")), "mix-cuts")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, copies: int = 2, seed: int = 11, sources: Column | None = None, size: Column | None = None, max_patterns: int = 200_000) -> DataFrame:
     """``docs`` with a struct ``mix``: sources, size, pattern_size, quota (of its sources) and taken, the words that the mix takes of it, repeats counted.
 
@@ -133,28 +183,31 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     spark = docs.sparkSession
     pattern = F.array_sort(F.array_distinct(sources)) if sources is not None else F.array(F.col("source"))
     size = words_of(F.col("text")) if size is None else size
-    mark = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("doc_id").cast("string"), size.cast("string")))
-    held = docs.withColumn("__m", F.struct(pattern.alias("s"), size.alias("n"), mark.alias("h"), F.conv(F.substring(mark, 1, 3), 16, 10).cast("int").alias("b")))
-    sums = saved(held.groupBy(F.col("__m.s").alias("sources"), F.col("__m.b").alias("bin")).agg(F.sum("__m.n").alias("tokens")), "mix-sums")
-    rows, quota = targets(sums.groupBy(F.col("sources").alias("pattern")).agg(F.sum("tokens").alias("tokens")), tuple(weights), budget, copies, max_patterns)
+    name = F.col("doc_id").cast("string")
+    name = F.coalesce(name, F.md5(F.coalesce("text", F.lit("")))) if "text" in docs.columns else name
+    mark = F.md5(F.concat_ws("/", F.lit(str(seed)), name, size.cast("string")))
+    held = docs.withColumn("__m", F.struct(pattern.alias("s"), size.alias("n"), mark.alias("h")))
+    marks = saved(held.select("__m.*"), "mix-marks")
+    sums = saved(marks.groupBy("s", F.substring("h", 1, DIGITS).alias("bin")).agg(F.sum("n").alias("tokens")), "mix-sums")
+    rows, quota = targets(sums.groupBy(F.col("s").alias("pattern")).agg(F.sum("tokens").alias("tokens")), tuple(weights), budget, copies, max_patterns)
     ships = route({p: float(t) for p, t in rows}, quota, copies)
     plan = []
     for p, t in rows:
         passes = min(int(ships[p] / t + 1e-9), copies) if t else 0
         plan.append((list(p), t, float(sum(quota[s] for s in p)), passes, max(0.0, ships[p] - t * passes)))
-    shape = "sources array<string>, pattern_size bigint, quota double, passes int, extra double"
-    quotas = spark.createDataFrame(plan, shape)
-    upto = Window.partitionBy("sources").orderBy("bin")  # at most BINS rows a pattern
-    same = F.col("d.sources").eqNullSafe(F.col("q.sources"))
-    bins = sums.withColumn("before", F.sum("tokens").over(upto) - F.col("tokens")).alias("d").join(F.broadcast(quotas).alias("q"), same)
-    ends = bins.where(F.col("before") + F.col("tokens") > F.col("extra")).groupBy("d.sources").agg(F.min(F.struct("bin", "before")).alias("end"))
-    cuts = quotas.alias("q").join(ends.alias("d"), same, "left").select(F.struct("q.*", F.coalesce("end.bin", F.lit(BINS)).alias("bin"), F.col("end.before").alias("before")).alias("__c"))
-    cuts = saved(cuts, "mix-cuts")
+    quotas = spark.createDataFrame(plan, "sources array<string>, pattern_size bigint, quota double, passes int, extra double")
+    cuts = cuts_of(marks, sums, quotas)
     # a row a pattern, and there are at most max_patterns
-    met = held.join(F.broadcast(cuts), F.col("__m.s").eqNullSafe(F.col("__c.sources"))).withColumn("__w", F.when(F.col("__m.b") < F.col("__c.bin"), 1).when(F.col("__m.b") > F.col("__c.bin"), 0))
-    by_mark = Window.partitionBy("__m.s").orderBy("__m.h", "doc_id", "__m.n").rowsBetween(Window.unboundedPreceding, 0)
-    cut = met.where("__w IS NULL").withColumn("__u", F.col("__c.before") + F.sum("__m.n").over(by_mark))  # one bin a pattern
-    cut = cut.withColumn("__w", (F.col("__u") - F.col("__m.n") / 2 <= F.col("__c.extra")).cast("int")).drop("__u")
-    taken = F.col("__m.n") * F.least(F.lit(copies), F.col("__c.passes") + F.col("__w"))
-    out = F.struct(F.col("__m.s").alias("sources"), F.col("__m.n").alias("size"), F.col("__c.pattern_size").alias("pattern_size"), F.col("__c.quota").alias("quota"), taken.alias("taken"))
-    return met.where("__w IS NOT NULL").unionByName(cut).select(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"], out.alias("mix"))
+    met = held.join(F.broadcast(cuts.select(F.struct("*").alias("__c"))), F.col("__m.s").eqNullSafe(F.col("__c.q.sources")))
+    here = F.col("__m.h") == F.col("__c.h")
+    if cuts.where("j > 0 AND j < c").isEmpty():
+        more = F.when(F.col("__c.h").isNull() | (F.col("__m.h") < F.col("__c.h")), 1).when(here & (F.col("__c.j") > 0), 1).otherwise(0)
+        met = met.withColumn("__w", more)
+    else:  # the quota ends between rows that share id and size: so many of them are numbered
+        split = here & (F.col("__c.j") > 0) & (F.col("__c.j") < F.col("__c.c"))
+        more = F.when(F.col("__c.h").isNull() | (F.col("__m.h") < F.col("__c.h")), 1).when(here & (F.col("__c.j") > 0), 1).otherwise(0)
+        number = F.row_number().over(Window.partitionBy("__m.s").orderBy("__m.h"))
+        met = met.where(~F.coalesce(split, F.lit(False))).withColumn("__w", more).unionByName(met.where(split).withColumn("__w", (number <= F.col("__c.j")).cast("int")))
+    taken = F.col("__m.n") * F.least(F.lit(copies), F.col("__c.q.passes") + F.col("__w"))
+    out = F.struct(F.col("__m.s").alias("sources"), F.col("__m.n").alias("size"), F.col("__c.q.pattern_size").alias("pattern_size"), F.col("__c.q.quota").alias("quota"), taken.alias("taken"))
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"], out.alias("mix"))
