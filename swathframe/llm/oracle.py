@@ -54,14 +54,14 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() O
 """
 
 MIX = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS name, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS held, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
 w AS (SELECT source, held, 2.0::DOUBLE * held AS cap, [5, 2, 1][i % 3 + 1]::DOUBLE AS weight, 1.5::DOUBLE * sum(held) OVER () AS total FROM s),
 f AS (SELECT *, coalesce(sum(cap) OVER p, 0) AS spent, sum(weight) OVER r AS open_weight FROM w WHERE held > 0 WINDOW p AS (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), r AS (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 u AS (SELECT *, (total - spent) / open_weight AS unit, (total - spent) / open_weight * weight >= cap AS is_full FROM f),
 t AS (SELECT source, held, CASE WHEN is_full THEN cap ELSE (SELECT unit FROM u WHERE NOT is_full ORDER BY cap / weight, source LIMIT 1) * weight END AS target FROM u UNION ALL SELECT source, held, 0 FROM w WHERE held = 0),
 k AS (SELECT d.doc_id, d.size, t.held, t.target, CASE WHEN t.held = 0 THEN 0 ELSE least(floor(t.target / t.held + 1e-9), 2) END AS passes,
- sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(concat_ws('/', '11', d.doc_id::VARCHAR, d.size::VARCHAR)), d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) AS upto
+ sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(concat_ws('/', '11', d.name, d.size::VARCHAR)), d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) AS upto
  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, held AS source_size, target::DOUBLE AS target, (size * least(2, passes + CASE WHEN upto - size / 2 <= greatest(0, target - held * passes) THEN 1 ELSE 0 END))::BIGINT AS taken FROM k
 """

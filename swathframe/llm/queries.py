@@ -28,14 +28,15 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words_of(F.col("text")).alias("size"))
-    mixed = mixing.mix(docs, weights=(5, 2, 1), budget=1.5, copies=2, size=F.col("size"))
-    return mixed.select("doc_id", "size", F.col("mix.pattern_size").alias("source_size"), F.col("mix.quota").alias("target"), F.col("mix.taken").alias("taken"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs, weights=(5, 2, 1), budget=1.5, copies=2)
+    return mixed.select("doc_id", F.col("mix.size").alias("size"), F.col("mix.pattern_size").alias("source_size"), F.col("mix.quota").alias("target"), F.col("mix.taken").alias("taken"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = secrets_ledger.RULES
-    found, _ = secrets_ledger.scan(table(spark, sf_dir, "documents"))
+    rules, docs = secrets_ledger.RULES, table(spark, sf_dir, "documents")
+    _, ledger = secrets_ledger.scan(docs, rules=secrets_ledger.BASE)
+    found, _ = secrets_ledger.scan(docs, ledger, rules)  # of the ledger's blobs only the pairs with the added rules are unseen
     count = lambda k: F.size(F.filter("spans", lambda s: s["k"] == k)).cast("bigint")
     base = F.filter("spans", lambda s: s["k"] < len(secrets_ledger.BASE))
     return found.select(F.col("path").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets_ledger.listed(base, rules), 256).alias("base_sha256"), secrets_ledger.listed(F.col("spans"), rules).alias("spans"))

@@ -1,9 +1,10 @@
 """Secret scans over an incremental blob ledger: DataFrame and SQL functions only.
 
 Every version of every text is content-addressed by its SHA-256. The ledger remembers which
-(blob, rule version) pairs have been scanned; a scan reads only blobs that are new to it
-under the current rules, once each however many paths hold them, and findings are joined
-back to all paths. Copies are combined before the shuffle.
+(blob, rule version) pairs have been scanned, with what was found; each rule has a version
+of its own, so a changed or added rule is scanned alone. A scan reads a blob only for the
+rules that are new to it, once however many paths hold it, and findings are joined back to
+all paths. Copies are combined before the shuffle.
 
 Spans are code points of the text, end exclusive. ``split`` at a rule's matches gives the
 texts between them, so offsets follow from lengths without a user-defined function.
@@ -14,6 +15,7 @@ is kept; an empty table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -49,13 +51,13 @@ MORE = [
 ]
 RULES = BASE + MORE
 SPAN = "array<struct<start:int,k:int,end:int>>"
+#: As the ledger keeps them: by the rule's version, which outlives its place in a list.
+KEPT = "array<struct<start:int,rule:string,end:int>>"
 
 
-def rule_version(rules: list[Rule]) -> str:
-    """Names the whole rule set: any changed rule makes blobs unseen again."""
-    import hashlib
-
-    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+def rule_version(rule: Rule) -> str:
+    """Names a rule as it is: any change of it makes blobs unseen by it."""
+    return f"{rule.kind}@{hashlib.sha256(repr(rule).encode()).hexdigest()[:12]}"
 
 
 def spans_of(text: Column, rule: Rule, place: int) -> Column:
@@ -88,26 +90,40 @@ def versions(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(path_col).alias("path"), F.sha2(text, 256).alias("blob"), text.alias("text"))
 
 
+def unseen(held: DataFrame, ledger: DataFrame, now: Column) -> DataFrame:
+    """(blob, missing): blobs of ``held`` and the rule versions of ``now`` under which the ledger has not seen them."""
+    seen = ledger.groupBy("blob").agg(F.flatten(F.collect_list("versions")).alias("seen"))
+    missing = F.array_except(now, F.coalesce("seen", F.array().cast("array<string>")))
+    return held.select("blob").distinct().join(seen, "blob", "left").select("blob", missing.alias("missing")).where(F.size("missing") > 0)
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] | None = None, path_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(findings of every path, ledger to hand to the next scan).
 
-    findings: path, blob, spans. ledger: (blob, version, spans), one row a scanned pair;
-    pairs of the given ledger are not scanned again.
+    findings: path, blob, spans. ledger: (blob, versions, spans), a row for each blob and
+    scan of it: the rule versions that were scanned then, and what they found. Pairs of the
+    given ledger are not scanned again; it may hold rules that are no longer in use.
     """
     rules = RULES if rules is None else rules
-    version = rule_version(rules)
+    names = [rule_version(r) for r in rules]
+    now = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
     held = versions(docs, path_col, text_col)
-    fresh = held.select("blob", "text")
-    if ledger is not None:
-        seen = ledger.where(F.col("version") == version)
-        fresh = fresh.join(seen.select("blob"), "blob", "left_anti")
-    blobs = fresh.groupBy("blob").agg(F.first("text").alias("text"))
-    every = F.array_sort(F.flatten(F.array(*[spans_of(F.col("text"), r, i) for i, r in enumerate(rules)])))
-    scanned = saved(blobs.select("blob", F.lit(version).alias("version"), every.alias("spans")), "secret-ledger")
-    book = scanned if ledger is None else ledger.select("blob", "version", "spans").unionByName(scanned)
-    found = book.where((F.col("version") == version) & (F.size("spans") > 0)).select("blob", "spans")
+    blobs = held.groupBy("blob").agg(F.first("text").alias("text"))
+    if ledger is None:
+        blobs = blobs.withColumn("missing", now)
+    else:
+        blobs = blobs.join(saved(unseen(held, ledger, now), "secret-unseen"), "blob")
+    none = F.array().cast(SPAN)
+    new = [spans_of(F.col("text"), r, i) for i, r in enumerate(rules)]
+    new = [F.when(F.array_contains("missing", n), x).otherwise(none) for n, x in zip(names, new)] if ledger is not None else new
+    kept = F.transform(F.flatten(F.array(*new)) if new else none, lambda s: F.struct(s["start"].alias("start"), F.get(now, s["k"]).alias("rule"), s["end"].alias("end")))
+    scanned = saved(blobs.select("blob", F.col("missing").alias("versions"), kept.cast(KEPT).alias("spans")), "secret-ledger")
+    book = scanned if ledger is None else ledger.select("blob", "versions", "spans").unionByName(scanned)
+    placed = F.transform(F.filter("spans", lambda s: F.array_contains(now, s["rule"])), lambda s: F.struct(s["start"].alias("start"), (F.array_position(now, s["rule"]) - 1).cast("int").alias("k"), s["end"].alias("end")))
+    found = book.select("blob", placed.alias("spans")).where(F.size("spans") > 0)
+    found = found.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     paths = held.select("path", "blob").join(found, "blob", "left")
-    return paths.select("path", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans")), book
+    return paths.select("path", "blob", F.coalesce("spans", none).alias("spans")), book
 
 
 def listed(spans: Column, rules: list[Rule]) -> Column:
