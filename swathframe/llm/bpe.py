@@ -1,12 +1,16 @@
 """Byte-level BPE by merge replay.
 
-The distinct words of a slice of the corpus are laid out side by side, one node a byte. An
-inverted index holds, for every token pair that is a vocabulary entry, the positions where
-it stands; merges are applied to all their positions at once, in rank order, and only the
-neighbours of what was merged are looked up again and put back into the index. Words are
-independent, so the global order gives each word just what merging it alone would give.
-Texts are then gathered from the words. A slice is a bounded part of one task's rows and the
-words of earlier slices are remembered by the worker; nothing is shuffled.
+The distinct words of the corpus are counted, copies combined before the shuffle. Those of
+each partition are laid out side by side, one node a byte. An inverted index holds, for
+every token pair that is a vocabulary entry, the positions where it stands; merges are
+applied to all their positions at once, in rank order, and only the neighbours of what was
+merged are looked up again and put back into the index. Words are independent, so the global
+order gives each word just what merging it alone would give.
+
+Texts are then gathered from the words where they lie, without a shuffle. For that the
+``TABLE`` most frequent words of the corpus, a bounded table, go to every task; rarer words
+and long ones are replayed by the task that meets them, a slice of its texts at a time, and
+remembered.
 
 Edge cases: a null text is an empty text with no ids; lone surrogates cannot occur in a
 Spark string; repeated rows are encoded like any other; an empty table gives an empty
@@ -18,6 +22,8 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +32,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import saved
 from .words import LETTERS, PLAIN, WordTable, slices
 
 #: Bytes of text in a slice and words that a worker remembers: what bounds its memory.
 SLICE, HELD = 1 << 22, 400_000
+#: Words of the corpus that every task gets, and the characters of the longest of them.
+TABLE, LONGEST = 150_000, 32
 #: Unicode white space, as the tokenizer's \s means it.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -174,12 +183,61 @@ def replay(path: str, pattern: str) -> Replay:
     return _replays[path, pattern]
 
 
+def word_counts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(word, n): the distinct words of at most ``LONGEST`` characters of all texts; docs: (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, tally = replay(ranks_path, pattern), Counter()
+
+        def counted() -> pa.RecordBatch:
+            words = [w for w in tally if len(w) <= LONGEST]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([tally[w] for w in words], pa.int64())], ["word", "n"])
+
+        for batch in slices(batches, SLICE):
+            for text in batch.column(1).to_pylist():
+                tally.update(own.cut(text or ""))
+            if len(tally) > HELD:
+                yield counted()
+                tally.clear()
+        yield counted()
+
+    return docs.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def corpus_table(docs: DataFrame, ranks_path: str, pattern: str, most: int = TABLE) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(words, ids of all of them, ids a word) of the most frequent words of the corpus, ``most`` of them at the most.
+
+    How often a word must occur is read off a histogram of counts with 16 steps to a doubling.
+    """
+    step = F.floor(F.log2("n") * 16).cast("int")
+    counts = saved(word_counts(docs, ranks_path, pattern), "bpe-words")
+    held, least = 0, 1 << 30
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):
+        held += r["count"]
+        if held > most:
+            break
+        least = r.step
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = [w for batch in batches for w in batch.column(0).to_pylist()]  # a share of at most TABLE words
+        if words:
+            flat, size = replay(ranks_path, pattern).encode_words(words)
+            parts = np.split(flat.astype("<u4"), np.cumsum(size)[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([x.tobytes() for x in parts], pa.binary())], ["word", "ids"])
+
+    rows = saved(counts.where(step >= least).select("word").mapInArrow(run, "word string, ids binary"), "bpe-table").collect()
+    return [r.word for r in rows], np.frombuffer(b"".join(r.ids for r in rows), "<u4"), np.array([len(r.ids) // 4 for r in rows], np.int64)
+
+
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): ids as little-endian unsigned 32-bit integers, and the bytes that they decode to."""
     kind = docs.schema[id_col].dataType.simpleString()
+    own_docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    table = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, *corpus_table(own_docs, ranks_path, pattern)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = replay(ranks_path, pattern)
+        own.words.begin_with(*table.value)
         for batch in slices(batches, SLICE):
             ids = own.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
@@ -187,4 +245,4 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
                 ["doc_id", "n_tokens", "ids", "decoded"],
             )
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary, decoded binary")
+    return own_docs.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary, decoded binary")

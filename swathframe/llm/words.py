@@ -13,17 +13,25 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
 
 
 class WordTable(dict):
-    """word -> its place; ids of place i are ``flat[start[i] : start[i] + size[i]]``. Beyond ``held`` words it starts afresh."""
+    """word -> its place; ids of place i are ``flat[start[i] : start[i] + size[i]]``. Beyond ``held`` words it starts afresh, with those it was given."""
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype, held: int = 1_000_000):
         self.encode, self.dtype, self.held = encode, dtype, held
+        self.given: tuple = (None, [], np.zeros(0, dtype), np.zeros(0, np.int64))
         self.reset()
 
+    def begin_with(self, name: str, words: list[str], flat: np.ndarray, size: np.ndarray) -> None:
+        """Words with their ids, known by a name: what the table starts with from now on."""
+        if name != self.given[0]:
+            self.given = (name, words, flat.astype(self.dtype), size)
+            self.reset()
+
     def reset(self) -> None:
         self.clear()
         self.fresh: list[str] = []
-        self.flat = np.zeros(0, self.dtype)
-        self.start = self.size = np.zeros(0, np.int64)
+        _, words, self.flat, self.size = self.given
+        self.update(zip(words, range(len(words))))
+        self.start = np.cumsum(self.size) - self.size
 
     def __missing__(self, word: str) -> int:
         self[word] = place = len(self)

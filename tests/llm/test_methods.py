@@ -5,8 +5,9 @@ import random
 import time
 
 import numpy as np
+import public_tokenizers as P
 
-from swathframe.llm import eps_grid, html_extract, mixing, secrets_ledger, simhash, topk_nra
+from swathframe.llm import bpe, eps_grid, html_extract, mixing, secrets_ledger, simhash, topk_nra
 
 
 def test_blocks_of_far_fingerprints_are_abandoned():
@@ -172,3 +173,17 @@ def test_a_changed_rule_is_scanned_alone(spark):
     again, same = secrets_ledger.scan(docs, book, [access, hex_])
     assert same.count() == 6  # nothing is unseen, in whatever order rules come
     assert {r.path: [(s.k, s.start, s.end) for s in r.spans] for r in again.collect()} == {1: [(0, 0, 20), (1, 21, 37)], 2: [(1, 0, 16)], 3: []}
+
+
+def test_rare_and_long_words_beside_the_corpus_table(spark, monkeypatch):
+    """A table of three words: the rest is replayed where it is met, with the same ids."""
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "x" * 90, f"w{rng.randint(0, 400)}"]) for _ in range(60)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    words, flat, size = bpe.corpus_table(docs, path, P.PATTERN, most=3)
+    assert 1 <= len(words) <= 3 and set(words) <= {" alpha", " beta", " gamma"} and size.sum() == len(flat)
+    monkeypatch.setattr(bpe.corpus_table, "__defaults__", (3,))
+    own = bpe.Replay(path, P.PATTERN)
+    for r in bpe.encode_decode(docs, path, P.PATTERN).collect():
+        assert bytes(r.ids) == own.encode([texts[r.doc_id]])[0].astype("<u4").tobytes() and bytes(r.decoded) == texts[r.doc_id].encode()
