@@ -78,9 +78,12 @@ def scene_of(path: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key in which runs of digits compare as numbers."""
-    parts = F.regexp_extract_all(name, F.lit(r"\d+|\D+"), F.lit(0))
-    return F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(F.regexp_replace(x, "^0+(?=.)", ""), 20, "0")).otherwise(x))
+    """Sort key in which letters compare without case and runs of digits, of any length, as numbers; texts and numbers alternate, a text first."""
+    lower = F.lower(name)
+    parts = F.regexp_extract_all(lower, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+    parts = F.when(lower.rlike("^[0-9]"), F.concat(F.array(F.lit("")), parts)).otherwise(parts)
+    plain = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    return F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(plain(x)).cast("string"), 10, "0"), plain(x))).otherwise(x))
 
 
 # times

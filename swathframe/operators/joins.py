@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.storage import saved
+from .ranges import earlier, handed_on, ranged
+
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row a key: the first in the order."""
@@ -54,10 +57,13 @@ def nearest_cell(points: DataFrame, cells: DataFrame, key: str, step: float = 8.
         placed = cells.withColumnsRenamed({"lat": "__lat", "lon": "__lon"}).withColumn("__y", F.floor(F.col("__lat") / size).cast("int")).withColumn("__x", F.floor(F.col("__lon") / size).cast("int"))
         met = looks.join(placed, ["__y", "__x"]).withColumn("d2", F.pow(F.col("lat") - F.col("__lat"), 2) + F.pow(F.col("lon") - F.col("__lon"), 2))
         best = met.groupBy(key).agg(F.min(F.struct("d2", *columns)).alias("b")).where(F.col("b.d2") <= size * size).select(key, "b.*")
+        best = saved(best, "nearest")
         done = best if done is None else done.unionByName(best)
         if size >= widest:
             return done
-        left, size = left.join(best, key, "left_anti"), min(size * 4, widest)
+        left, size = saved(left.join(best, key, "left_anti"), "nearest-left"), min(size * 4, widest)
+        if left.isEmpty():
+            return done
 
 
 def grid_distance(matches: DataFrame, grid: DataFrame) -> DataFrame:
@@ -92,15 +98,21 @@ def inside_edges() -> Column:
 def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], key: str, value: str) -> DataFrame:
     """``left`` (keys, key, ts) with the ``value`` of the right row closest in time, the earlier of equals.
 
-    One pass over the union of both sides: the last right row before and the first after.
+    One pass over the union of both sides, cut into ranges of time: the last right row before
+    and the first after, within the range or else handed over from the ranges beside it.
     """
     both = left.select(*keys, "ts", F.col(key).alias("__l"), F.lit(None).cast(right.schema[value].dataType).alias("__v")).unionByName(right.select(*keys, "ts", F.lit(None).cast(left.schema[key].dataType).alias("__l"), F.col(value).alias("__v")))
+    own = ranged(both, keys, "ts")
     seen = F.when(F.col("__v").isNotNull(), F.struct("ts", F.col("__v").alias("v")))
-    order = [F.col("ts"), F.col("__v").isNull(), F.col("__v")]
-    before = F.last(seen, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    within = Window.partitionBy(*keys, "__p")
+    before = F.last(seen, ignorenulls=True).over(within.orderBy("ts", F.col("__v").isNull(), "__v").rowsBetween(Window.unboundedPreceding, 0))
     back = [F.col("ts").desc(), F.col("__v").isNull().desc(), F.col("__v").desc()]  # a growing frame, read backwards
-    after = F.last(seen, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*back).rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("__b", before).withColumn("__a", after).where(F.col("__l").isNotNull())
+    after = F.last(seen, ignorenulls=True).over(within.orderBy(*back).rowsBetween(Window.unboundedPreceding, 0))
+    ends = own.groupBy(*keys, "__p").agg(F.max(seen).alias("last"), F.min(seen).alias("first"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, -1)
+    beside = handed_on(ends, keys, __pb=F.last("last", ignorenulls=True).over(earlier(keys)), __pa=F.last("first", ignorenulls=True).over(later))
+    found = own.withColumn("__b", before).withColumn("__a", after).where(F.col("__l").isNotNull()).join(beside, [*keys, "__p"])
+    found = found.withColumn("__b", F.coalesce("__b", "__pb")).withColumn("__a", F.coalesce("__a", "__pa"))
     gap = lambda a, b: F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))
     take_after = F.col("__b").isNull() | (gap(F.col("__a.ts"), F.col("ts")) < gap(F.col("ts"), F.col("__b.ts")))
     return found.select(*keys, F.col("__l").alias(key), "ts", F.when(take_after, F.col("__a.v")).otherwise(F.col("__b.v")).alias(value))

@@ -76,24 +76,21 @@ def rasterise(polygons: DataFrame, key: str, size: int) -> DataFrame:
     return pixels.withColumns({"px": F.col("c") + 0.5, "py": F.col("r") + 0.5}).where(inside_edges()).select(key, "r", "c")
 
 
-def diamond(radius: int) -> Column:
-    """Offsets (dr, dc, d) within an L1 distance."""
-    rows = [(a, b, abs(a) + abs(b)) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if abs(a) + abs(b) <= radius]
-    return F.explode(F.expr("array(" + ",".join(f"struct({a} as dr,{b} as dc,{d} as d)" for a, b, d in rows) + ")"))
-
-
 def background_ring(labelled: DataFrame, pixels: DataFrame, inner: int = 3, outer: int = 12) -> DataFrame:
     """(tile_id, region, r, c, ...) of pixels at an L1 distance in (inner, outer] of a region and in none.
 
-    Only border pixels are spread: a pixel outside a region is nearest to its border.
+    What lies within a distance of a run of columns is an interval on each row near it, so a
+    run is spread over 2 * outer + 1 rows and not over every pixel around every pixel; the
+    intervals of a row then give its columns once.
     """
-    kin = labelled.select("tile_id", "region", "r", "c")
-    inside = F.count("*").over(Window.partitionBy("tile_id", "region", "r", "c"))
-    around = kin.withColumn("o", F.explode(F.expr("array(struct(0 as a,0 as b),struct(1 as a,0 as b),struct(-1 as a,0 as b),struct(0 as a,1 as b),struct(0 as a,-1 as b))")))
-    held = around.select("tile_id", "region", (F.col("r") + F.col("o.a")).alias("r"), (F.col("c") + F.col("o.b")).alias("c")).withColumn("n", inside)
-    border = kin.join(held.where("n < 5").distinct(), ["tile_id", "region", "r", "c"], "left_semi")
-    spread = border.withColumn("o", diamond(outer)).select("tile_id", "region", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), F.col("o.d").alias("d"))
-    near = spread.groupBy("tile_id", "region", "r", "c").agg(F.min("d").alias("d")).where(F.col("d") > inner)
+    row = Window.partitionBy("tile_id", "region", "r").orderBy("c")
+    runs = labelled.select("tile_id", "region", "r", "c", (F.col("c") - F.row_number().over(row)).alias("run"))
+    runs = runs.groupBy("tile_id", "region", "r", "run").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    reach = lambda d: F.when(F.abs("dr") <= d, F.struct((F.col("lo") - d + F.abs("dr")).alias("lo"), (F.col("hi") + d - F.abs("dr")).alias("hi")))
+    spread = runs.withColumn("dr", F.explode(F.sequence(F.lit(-outer), F.lit(outer)))).select("tile_id", "region", (F.col("r") + F.col("dr")).alias("r"), reach(outer).alias("far"), reach(inner).alias("close"))
+    rows = spread.groupBy("tile_id", "region", "r").agg(F.collect_set("far").alias("far"), F.collect_set("close").alias("close"))
+    columns = lambda spans: F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["lo"], s["hi"]))))
+    near = rows.select("tile_id", "region", "r", F.explode(F.array_except(columns("far"), columns("close"))).alias("c"))
     return near.join(labelled.select(*PIXEL), PIXEL, "left_anti").join(pixels, PIXEL)
 
 

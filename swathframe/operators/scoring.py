@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranges import running_sums
+
 
 def over(a: Column, b: Column, empty: float | None = 0.0) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(empty).cast("double"))
@@ -58,10 +60,16 @@ def threshold_sweep(pred: DataFrame, keys: list[str], thresholds: list[float], b
     One pass: each pixel falls in the bin of the largest threshold that it reaches; sums
     from the top give the counts at all thresholds.
     """
-    held = F.size(F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= F.col("prob")))
+    cuts = sorted(thresholds)
+
+    def reached(lo: int, hi: int) -> Column:  # how many thresholds, by halving
+        mid = (lo + hi) // 2
+        return F.lit(lo) if lo == hi else F.when(F.col("prob") >= cuts[mid], reached(mid + 1, hi)).otherwise(reached(lo, mid))
+
+    held = reached(0, len(cuts))
     bins = pred.where("valid").groupBy(*keys, held.alias("bin")).agg(F.count_if("gt").alias("pos"), F.count_if(~F.col("gt")).alias("neg"))
     whole = bins.groupBy(*keys).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    grid = pred.sparkSession.createDataFrame([(i + 1, float(x)) for i, x in enumerate(thresholds)], "bin int, threshold double")
+    grid = pred.sparkSession.createDataFrame([(i + 1, float(x)) for i, x in enumerate(cuts)], "bin int, threshold double")
     spread = whole.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(len(thresholds))))).join(grid, "bin")
     down = Window.partitionBy(*keys).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
     own = spread.join(bins, [*keys, "bin"], "left").fillna(0, ["pos", "neg"]).withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
@@ -95,15 +103,10 @@ def match_boxes(detections: DataFrame, truth: DataFrame, thresholds: list[float]
     return every.join(won, ["threshold", "image_id", "det_no"], "left").fillna(False, ["hit"])
 
 
-def average_precision(matched: DataFrame, n_truth: Column, bins: int = 1000) -> DataFrame:
-    """(threshold, precision, recall, ap): area under precision over recall, cumulated over confidence bins.
-
-    Confidences are rounded to ``bins`` steps, so the running sums are over at most that
-    many rows a threshold and not over all detections.
-    """
-    own = matched.groupBy("threshold", F.round(F.col("conf") * bins).cast("int").alias("c")).agg(F.count_if("hit").alias("tp"), F.count("*").alias("n"))
-    down = Window.partitionBy("threshold").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = own.withColumn("ctp", F.sum("tp").over(down)).withColumn("cn", F.sum("n").over(down)).withColumn("gts", n_truth)
+def average_precision(matched: DataFrame, n_truth: Column) -> DataFrame:
+    """(threshold, precision, recall, ap): area under precision over recall, cumulated over distinct confidences, however many."""
+    own = matched.groupBy("threshold", "conf").agg(F.count_if("hit").alias("tp"), F.count("*").alias("n"))
+    curve = running_sums(own, ["threshold"], F.desc("conf"), ctp="tp", cn="n").withColumn("gts", n_truth)
     area = F.sum(F.col("tp") / F.col("gts") * (F.col("ctp") / F.col("cn")))
     return curve.groupBy("threshold").agg((F.max("ctp") / F.max("cn")).alias("precision"), (F.max("ctp") / F.max("gts")).alias("recall"), area.alias("ap"))
 

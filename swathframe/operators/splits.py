@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.storage import saved
+from .ranges import range_ranked
 
 
 def hash_order(seed: int, key: Column) -> Column:
@@ -43,19 +43,6 @@ def hold_out(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
     return own.select(key, F.when(F.col("rn") <= F.floor(F.col("n") * F.lit(fraction)), "val").otherwise("train").alias("split"))
 
 
-def range_ranked(df: DataFrame, cls: str, *order: str) -> DataFrame:
-    """``df`` with the rank of each row inside its class (``rn``, from 1), however large the class.
-
-    Range partitions hold neighbouring rows; ranks inside them are shifted by the counts of
-    the partitions before, a row a partition and class.
-    """
-    ranged = saved(df.repartitionByRange(cls, *order).withColumn("__p", F.spark_partition_id()), "ranged")  # one set of bounds for both uses
-    counts = ranged.groupBy(cls, "__p").agg(F.count("*").alias("__k"))
-    before = counts.withColumn("__b", F.sum("__k").over(Window.partitionBy(cls).orderBy("__p")) - F.col("__k")).drop("__k")
-    own = ranged.withColumn("__n", F.row_number().over(Window.partitionBy(cls, "__p").orderBy(*order)))
-    return own.join(before, [cls, "__p"]).withColumn("rn", F.col("__n") + F.col("__b")).drop("__p", "__n", "__b")
-
-
 def balanced(df: DataFrame, cls: str, name: str, caps: dict | None = None) -> DataFrame:
     """The same number of each class (that of the rarest, at most its cap), in name order."""
     sizes = df.groupBy(cls).agg(F.count("*").alias("k"))
@@ -84,8 +71,9 @@ def leakage_verdict(assigned: DataFrame) -> DataFrame:
 
 
 def membership(assigned: DataFrame, name: str) -> DataFrame:
-    """(split, scene, n, names): the report of what is where."""
-    return assigned.groupBy("split", "scene").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(name)).alias("names"))
+    """(split, scene, name, n): the report of what is where, a row a name, with the number of names of its scene there."""
+    sizes = assigned.groupBy("split", "scene").agg(F.count("*").alias("n"))
+    return assigned.select("split", "scene", F.col(name).alias("name")).join(sizes, ["split", "scene"])
 
 
 def manifest(files: DataFrame, splits: DataFrame, root: str = "dataset") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.storage import saved
+from .ranges import earlier, handed_on, range_ranked, ranged, running_sums
 
 
 def best_match(df: DataFrame, keys: list[str], distance: str, *order: Column) -> DataFrame:
@@ -31,21 +31,30 @@ def forward_fill(df: DataFrame, columns: list[str], order: list[str], within: li
     if within:
         over = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({c: F.last(blank(c), ignorenulls=True).over(over) for c in columns})
-    ranged = saved(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranged")  # one set of bounds for both uses
+    own = ranged(df, [], *order)
     over = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    filled = ranged.withColumns({c: F.last(blank(c), ignorenulls=True).over(over) for c in columns})
+    filled = own.withColumns({c: F.last(blank(c), ignorenulls=True).over(over) for c in columns})
     ends = filled.groupBy("__p").agg(F.max(F.struct(*order, *columns)).alias("e"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     above = ends.select("__p", *[F.last(f"e.{c}", ignorenulls=True).over(before).alias(f"__{c}") for c in columns])
     return filled.join(above, "__p").select(*[F.coalesce(c, f"__{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def runs_of(pulses: DataFrame, keys: list[str], order: list[str], swath: str = "swath", ts: str = "ts") -> DataFrame:
+    """Runs of one swath in order: (keys, swath, run, start_ts, stop_ts, n); run grows along a key. A key of any size is cut into ranges of its order."""
+    own = ranged(pulses, keys, *order)
+    within = Window.partitionBy(*keys, "__p").orderBy(*order)
+    ends = own.groupBy(*keys, "__p").agg(F.max_by(F.struct(swath), F.struct(*order)).alias("end"))
+    above = handed_on(ends, keys, __above=F.last("end").over(earlier(keys)))
+    first = F.row_number().over(within) == 1
+    previous = F.when(first, F.col("__above")).otherwise(F.lag(F.struct(swath)).over(within))
+    marked = own.join(above, [*keys, "__p"]).withColumn("__turn", F.coalesce((previous[swath] != F.col(swath)).cast("int"), F.lit(0)))
+    return running_sums(marked.drop("__p", "__above"), keys, F.struct(*order), run="__turn").groupBy(*keys, swath, "run").agg(F.min(ts).alias("start_ts"), F.max(ts).alias("stop_ts"), F.count("*").alias("n"))
+
+
 def bursts(pulses: DataFrame, keys: list[str], order: list[str], swath: str = "swath", ts: str = "ts") -> DataFrame:
     """Runs of one swath: (keys, swath, burst, start_ts, stop_ts, n); bursts count from 1 per swath."""
-    seq = Window.partitionBy(*keys).orderBy(*order)
-    marked = pulses.withColumn("__run", F.sum(F.coalesce((F.lag(swath).over(seq) != F.col(swath)).cast("int"), F.lit(0))).over(seq.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = marked.groupBy(*keys, swath, "__run").agg(F.min(ts).alias("start_ts"), F.max(ts).alias("stop_ts"), F.count("*").alias("n"))
-    return runs.withColumn("burst", F.row_number().over(Window.partitionBy(*keys, swath).orderBy("__run"))).drop("__run")
+    return range_ranked(runs_of(pulses, keys, order, swath, ts), [*keys, swath], "run").withColumnRenamed("rn", "burst").drop("run")
 
 
 def numbered(df: DataFrame, keys: list[str], *order: Column, name: str = "n") -> DataFrame:

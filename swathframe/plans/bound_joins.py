@@ -199,7 +199,7 @@ def _(t):
 
 @bound("w04_bursts", "WITH m AS (SELECT *, CASE WHEN lag(swath) OVER (PARTITION BY stream ORDER BY ts, seq) <> swath THEN 1 ELSE 0 END AS c FROM pulse), r AS (SELECT *, sum(c) OVER (PARTITION BY stream ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS run FROM m), g AS (SELECT stream, swath, run, min(ts) AS start_ts, max(ts) AS stop_ts, count(*) AS n FROM r GROUP BY ALL) SELECT stream, swath, row_number() OVER (PARTITION BY stream, swath ORDER BY run)::INT AS burst, start_ts, stop_ts, n FROM g")
 def _(t):
-    return W.bursts(t.pulse, ["stream"], ["ts", "seq"]).select("stream", "swath", "burst", "start_ts", "stop_ts", "n")
+    return W.bursts(t.pulse, ["stream"], ["ts", "seq"]).select("stream", "swath", F.col("burst").cast("int").alias("burst"), "start_ts", "stop_ts", "n")
 
 
 @bound("w05_patch_counter", "SELECT patch_id, row_number() OVER (PARTITION BY scene ORDER BY swath, x0, y0, patch_id)::INT AS n FROM patch")

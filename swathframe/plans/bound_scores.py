@@ -202,7 +202,7 @@ def _(t):
     return G.match_boxes(t.detection, t.gt_box, [0.5, 0.75]).select("threshold", "image_id", "det_no", "hit")
 
 
-@bound("g02b_average_precision", IOUS + ", h AS (SELECT threshold, round(conf * 1000)::INT AS c, count(*) FILTER (hit) AS tp, count(*) AS n FROM e LEFT JOIN w USING (threshold, image_id, det_no) GROUP BY ALL), k AS (SELECT *, sum(tp) OVER (PARTITION BY threshold ORDER BY c DESC) AS ctp, sum(n) OVER (PARTITION BY threshold ORDER BY c DESC) AS cn, (SELECT count(*) FROM gt_box) AS gts FROM h) SELECT threshold, round(max(ctp) / max(cn), 6) AS precision, round(max(ctp) / max(gts), 6) AS recall, round(sum(tp / gts * ctp / cn), 6) AS ap FROM k GROUP BY threshold")
+@bound("g02b_average_precision", IOUS + ", h AS (SELECT threshold, conf AS c, count(*) FILTER (hit) AS tp, count(*) AS n FROM e LEFT JOIN w USING (threshold, image_id, det_no) GROUP BY ALL), k AS (SELECT *, sum(tp) OVER (PARTITION BY threshold ORDER BY c DESC) AS ctp, sum(n) OVER (PARTITION BY threshold ORDER BY c DESC) AS cn, (SELECT count(*) FROM gt_box) AS gts FROM h) SELECT threshold, round(max(ctp) / max(cn), 6) AS precision, round(max(ctp) / max(gts), 6) AS recall, round(sum(tp / gts * ctp / cn), 6) AS ap FROM k GROUP BY threshold")
 def _(t):
     matched = G.match_boxes(t.detection, t.gt_box, [0.5, 0.75])
     return G.average_precision(matched, F.lit(t.gt_box.count())).withColumns(R6("precision", "recall", "ap"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import natural_key
 from ..operators import splits as T
+from ..operators.ranges import range_ranked
 from .registry import bound
 
 SPLIT = "CASE WHEN rn <= floor(n * 0.7) THEN 'train' WHEN rn <= floor(n * 0.7) + floor(n * 0.15) THEN 'val' ELSE 'test' END AS split"
@@ -17,10 +18,9 @@ def hashed(key: str, source: str, seed: int = 42, within: str = "") -> str:
 
 @bound("t01_natural_order", "SELECT name, row_number() OVER (ORDER BY a, lpad(b, 20, '0'), c) AS place FROM (SELECT DISTINCT concat(source, '.xml') AS name, regexp_extract(source, '^\\D*', 0) AS a, regexp_extract(source, '\\d+', 0) AS b, '' AS c FROM documents)")
 def _(t):
-    from pyspark.sql.window import Window
-
     names = t.documents.select(F.concat("source", F.lit(".xml")).alias("name")).distinct()
-    return names.select("name", F.row_number().over(Window.orderBy(natural_key(F.col("name")))).cast("bigint").alias("place"))
+    keyed = names.withColumn("key", natural_key(F.col("name"))).withColumn("all", F.lit(1))
+    return range_ranked(keyed, "all", "key", "name").select("name", F.col("rn").cast("bigint").alias("place"))
 
 
 @bound("t02_scene_split", f"SELECT scene, {SPLIT} FROM {hashed('scene', 'patch')}")
@@ -104,9 +104,9 @@ def _(t):
     return t.labels.where("toxic = 1").select("doc_id", F.lit(1).alias("positive")).union(t.labels.where("toxic = 0").select("doc_id", F.lit(0).alias("positive")))
 
 
-@bound("s15_membership_report", f"SELECT split, scene, count(*) AS n, string_agg(doc_id, ',' ORDER BY doc_id) AS names FROM ({ASSIGNED}) GROUP BY ALL")
+@bound("s15_membership_report", f"SELECT split, scene, doc_id AS name, count(*) OVER (PARTITION BY split, scene) AS n FROM ({ASSIGNED})")
 def _(t):
-    return T.membership(t.sql(ASSIGNED), "doc_id").withColumn("names", F.array_join(F.transform("names", lambda x: x.cast("string")), ","))
+    return T.membership(t.sql(ASSIGNED), "doc_id")
 
 
 @bound("s17_split_manifest", f"WITH s AS (SELECT scene, {SPLIT} FROM {hashed('scene', '(SELECT folder AS scene FROM file)')}) SELECT split, pol AS kind, path AS src, concat('dataset/', split, '/', pol, '/', doc_id) AS dst FROM (SELECT source AS scene, pol, path, doc_id FROM tile_file) JOIN s USING (scene)")

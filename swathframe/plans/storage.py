@@ -13,17 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset, a temporary one, but only if all of Spark is on this machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="swathframe-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back; the result has no lineage."""
+    """Write ``df`` as Parquet to the shared folder and read it back; the result has no lineage. The table goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(held)
     return spark.read.schema(df.schema).parquet(path)
