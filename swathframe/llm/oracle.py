@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .url_filter import HREF, IS_BASE, IS_CANONICAL, IS_REFRESH, TAGS, TARGET
+
 LETTERS = {c: f"[{c.upper()}{c}]" for c in "abcdefghijklmnopqrstuvwxyz"}
 
 
@@ -35,15 +37,71 @@ SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_a
 FROM d LEFT JOIN grouped USING (r)"""
 )
 
-URLS = """
-WITH RECURSIVE pg AS (SELECT page_id, url, coalesce(html, '') AS html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
-parts AS (SELECT *, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
- coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM pg),
+def rest(url: str) -> str:
+    return f"CASE WHEN instr({url}, '://') > 0 THEN substr({url}, instr({url}, '://') + 3) END"
+
+
+def host(url: str) -> str:
+    return f"coalesce(translate(regexp_extract({rest(url)}, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+
+
+def path(url: str) -> str:
+    return f"coalesce(regexp_extract({rest(url)}, '^[^/?#]*([^?#]*)', 1), '')"
+
+
+def slashed(url: str) -> str:
+    return f"coalesce(nullif({path(url)}, ''), '/')"
+
+
+def address(url: str) -> str:
+    """Host without a default port, path without dot segments, and query."""
+    parts = f"string_split({slashed(url)}, '/')[2:]"
+    kept = f"list_reduce(list_concat([[]::VARCHAR[]], list_transform({parts}, lambda x: [x])), lambda a, x: CASE WHEN x[1] = '..' THEN a[1:len(a) - 1] WHEN x[1] = '.' THEN a ELSE list_concat(a, x) END)"
+    plain = f"CASE WHEN contains({slashed(url)}, '/.') THEN '/' || array_to_string({kept}, '/') || CASE WHEN {parts}[-1] IN ('.', '..') AND len({kept}) > 0 THEN '/' ELSE '' END ELSE {slashed(url)} END"
+    port = f"regexp_replace({host(url)}, CASE WHEN regexp_matches({url}, '^(?i)http:') THEN ':80$' WHEN regexp_matches({url}, '^(?i)https:') THEN ':443$' ELSE 'never^' END, '')"
+    return f"CASE WHEN {host(url)} <> '' THEN {port} || {plain} || coalesce(regexp_extract({rest(url)}, '^[^?#]*(\\??[^#]*)', 1), '') END"
+
+
+def unescaped(text: str) -> str:
+    ref = "'^(?:#([0-9]{1,7})|#[xX]([0-9a-fA-F]{1,6})|(amp|lt|gt|quot|apos));?'"
+    number = f"coalesce(try_cast(regexp_extract(p, {ref}, 1) AS INT), try_cast('0x' || regexp_extract(p, {ref}, 2) AS INT))"
+    char = f"CASE regexp_extract(p, {ref}, 3) WHEN 'amp' THEN '&' WHEN 'lt' THEN '<' WHEN 'gt' THEN '>' WHEN 'quot' THEN chr(34) WHEN 'apos' THEN chr(39) ELSE CASE WHEN {number} > 0 AND {number} < 1114112 AND NOT {number} BETWEEN 55296 AND 57343 THEN chr({number}) END END"
+    return f"array_to_string(list_concat(string_split({text}, '&')[1:1], list_transform(string_split({text}, '&')[2:], lambda p: coalesce({char} || regexp_replace(p, {ref}, ''), '&' || p))), '')"
+
+
+def target(href: str, url: str) -> str:
+    scheme = f"regexp_extract({url}, '^([^:/?#]+)://', 1)"
+    site = f"{scheme} || '://' || {host(url)}"
+    return (
+        f"CASE WHEN regexp_matches({href}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {href} WHEN regexp_matches({href}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with({href}, '//') THEN {scheme} || ':' || {href}"
+        f" WHEN starts_with({href}, '/') THEN {site} || {href} WHEN starts_with({href}, '#') THEN {url} WHEN starts_with({href}, '?') THEN {site} || {slashed(url)} || {href} ELSE {site} || regexp_replace({slashed(url)}, '[^/]*$', '') || {href} END"
+    )
+
+
+def quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def linked(test: str, pattern: str) -> str:
+    return f"list_transform(list_filter(tags, lambda t: regexp_matches(t, {quoted(test)})), lambda t: {unescaped(f'regexp_extract(t, {quoted(pattern)}, 1)')})"
+
+
+URLS = f"""
+WITH RECURSIVE pg AS (SELECT row_number() OVER () AS r, page_id, url, html, {host('url')} AS host, {path('url')} AS path, {address('url')} AS address FROM pages),
 rules(allow, rh, rp) AS (VALUES (true, 'org', '/'), (false, 'example.org', '/es/'), (false, 'example.org', '/en/1'), (true, 'com', '/fr/'), (false, 'com', '/de/')),
-ruled AS (SELECT p.page_id, max_by(rh || rp, length(rh || rp) * 2 + allow::INT) AS rule, max_by(allow, length(rh || rp) * 2 + allow::INT) AS allow
- FROM (SELECT DISTINCT page_id, host, path FROM parts) p JOIN rules ON (p.host = rh OR ends_with(p.host, '.' || rh)) AND starts_with(p.path, rp) GROUP BY p.page_id)
-SELECT p.page_id, host, path, rule, CASE WHEN allow IS NULL OR allow THEN 'allow' ELSE 'block' END AS verdict
-FROM parts p LEFT JOIN ruled USING (page_id)
+tagged AS (SELECT url, regexp_extract_all(html, {quoted(TAGS)}) AS tags FROM pg WHERE html IS NOT NULL AND instr(url, '://') > 0),
+named AS (SELECT url, list_filter({linked(IS_BASE, HREF)}, lambda h: h <> '')[1] AS base, list_concat({linked(IS_CANONICAL, HREF)}, {linked(IS_REFRESH, TARGET)}) AS links FROM tagged),
+based AS (SELECT url, coalesce({target('base', 'url')}, url) AS base, links FROM named WHERE len(links) > 0),
+led AS (SELECT url, {target('href', 'base')} AS goal FROM (SELECT url, base, unnest(list_distinct(links)) AS href FROM based) WHERE href <> ''),
+edges AS (SELECT DISTINCT {address('url')} AS a, {address('goal')} AS b FROM led),
+ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
+reach(n, m) AS (SELECT a, a FROM ways UNION SELECT reach.n, ways.b FROM reach JOIN ways ON reach.m = ways.a),
+nodes AS (SELECT DISTINCT m, {host("'x://' || m")} AS host, {path("'x://' || m")} AS path FROM reach),
+judged AS (SELECT m, max_by(allow, length(rh || rp) * 2 + allow::INT) AS allow FROM nodes JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY m),
+classes AS (SELECT n, coalesce(bool_or(NOT allow), false) AND NOT coalesce(bool_or(allow), false) AS by_alias FROM reach LEFT JOIN judged USING (m) GROUP BY n),
+ruled AS (SELECT r, max_by(rh || rp, length(rh || rp) * 2 + allow::INT) AS rule, max_by(allow, length(rh || rp) * 2 + allow::INT) AS allow FROM pg JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY r)
+SELECT page_id, host, path, rule, CASE WHEN coalesce(NOT allow, by_alias, false) THEN 'block' ELSE 'allow' END AS verdict
+FROM pg LEFT JOIN ruled USING (r) LEFT JOIN classes ON address = n
 """
 
 TOPK = """

@@ -41,7 +41,7 @@ FEATURES = ["words", "hits", "density", "best", "weight", "kinds", "fixed", "hid
 _word = re.compile(r"[^\W_]+")
 _shout = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
 _runs = re.compile(r"[!?*#$%&@]{2,}")
-_mixed = re.compile(r"[^\W\d_]+(?:[0-9@$!|*€]+|(?:[.\-_][^\W\d_](?=[.\-_]))+[.\-_])[^\W\d_]+")
+_mixed = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$!|*€]+|(?:[.\-_][^\W\d_](?=[.\-_]))+[.\-_])[^\W\d_]+")
 _you = re.compile(r"\b(?:" + "|".join(SECOND) + r")\b")
 
 

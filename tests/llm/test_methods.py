@@ -2,12 +2,13 @@
 
 import itertools
 import random
+import re
 import time
 
 import numpy as np
 import public_tokenizers as P
 
-from swathframe.llm import bpe, eps_grid, html_extract, mixing, secrets_ledger, simhash, topk_nra
+from swathframe.llm import bpe, eps_grid, html_extract, mixing, secrets_ledger, simhash, topk_nra, toxicity
 
 
 def test_blocks_of_far_fingerprints_are_abandoned():
@@ -187,3 +188,71 @@ def test_rare_and_long_words_beside_the_corpus_table(spark, monkeypatch):
     own = bpe.Replay(path, P.PATTERN)
     for r in bpe.encode_decode(docs, path, P.PATTERN).collect():
         assert bytes(r.ids) == own.encode([texts[r.doc_id]])[0].astype("<u4").tobytes() and bytes(r.decoded) == texts[r.doc_id].encode()
+
+
+def test_labels_are_the_likeliest_without_contradictions():
+    """Against every labelling of small trees in which nothing below a rejected node is kept."""
+    rng = random.Random(11)
+    for _ in range(60):
+        page, depth = "", 0
+        for _ in range(rng.randint(1, 7)):
+            if depth and rng.random() < 0.4:
+                page, depth = page + "</div>", depth - 1
+            page, depth = page + "<div>", depth + 1
+        nodes = html_extract.parse(page)
+        p = [rng.uniform(0.02, 0.98) for _ in nodes]
+        score = lambda keep: sum(np.log(x if k else 1 - x) for k, x in zip(keep, p))  # noqa: E731, B023
+        able = [k for k in itertools.product([False, True], repeat=len(nodes)) if k[0] and all(k[n.up] or not own for n, own in zip(nodes[1:], k[1:]))]
+        assert abs(score(html_extract.decode(nodes, np.array(p))) - max(map(score, able))) < 1e-9
+
+
+def test_node_features_against_walks_of_the_tree():
+    page = "<body><nav><ul><li><a href=x>one, two</a><li>three</ul></nav><div class='main-text'><p>Some words. Here<p>more <b>bold</b> text<input></div><footer id=foot>end</footer>"
+    nodes = html_extract.parse(page)
+    kids = {i: [j for j, n in enumerate(nodes) if n.up == i] for i in range(len(nodes))}
+    whole = lambda i, f: f(nodes[i]) + sum(whole(j, f) for j in kids[i])
+    single = html_extract.node_features(nodes)[:, 2 * len(html_extract.KINDS) + 2 * len(html_extract.GROUPS) :]
+    for i, n in enumerate(nodes):
+        chars, tags = whole(i, lambda x: x.chars), whole(i, lambda x: x.tags + 1)
+        kin = kids[n.up] if i else [i]
+        want = [n.depth, kin.index(i), len(kin), sum(nodes[j].tag == n.tag for j in kin), kin.index(i) / len(kin), np.log1p(chars), np.log1p(n.chars), whole(i, lambda x: x.linked) / (chars + 1), chars / tags]
+        assert np.allclose(single[i, 3:12], want) and single[i, 16] == len(kids[i])
+    by_tag = {n.tag: n for n in nodes}
+    assert by_tag["footer"].own == 1 << html_extract.GROUPS.index("foot") and by_tag["li"].linked == 0 and nodes[[n.tag for n in nodes].index("li")].linked == 8
+
+
+def plain_features(text, lexicon):
+    """The dense features by plain loops over words and characters."""
+    text, low = text or "", (text or "").lower()
+    entries = {w: (w, True, 0.0) for w in toxicity.INSULTS} | {e.rstrip("*"): (e, e in toxicity.INSULTS, w) for e, w in lexicon.items()}
+
+    def hits(low):
+        found = []
+        for key, (entry, fixed, weight) in entries.items():
+            at = low.find(key)
+            while at >= 0:
+                end = at + len(key)
+                if not (at and low[at - 1].isalnum()) and (entry.endswith("*") or not low[end : end + 1].isalnum()):
+                    found.append((at, entry, fixed, weight))
+                at = low.find(key, at + 1)
+        return found
+
+    found, n, chars = hits(low), low.count(" ") + low.count("\n") + 1, len(text) + 1
+    words = [m for m in re.finditer(r"\w+", low)]
+    second = [m.start() for m in words if m[0] in toxicity.SECOND]
+    near = sum(any(start - 40 <= s and s + len(re.match(r"\w+", low[s:])[0]) <= start + 40 for s in second) for start, *_ in found)
+    weights = [w for *_, w in found]
+    return [np.log1p(n), np.log1p(len(found)), 1000 * len(found) / n, max(weights, default=0.0), 1000 * sum(weights) / n, len({e for _, e, _, _ in found}), sum(f for _, _, f, _ in found), near, 1000 * len(second) / n if found else 0.0, sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in text) / chars, 1000 * text.count("!") / chars, 1000 * text.count("?") / chars, 1000 * sum(c in "!?*#$%&@" for c in text) / chars]
+
+
+def test_toxicity_features_against_plain_loops():
+    lexicon = {"zork": 3.0, "flib*": 2.5, "you": 1.0}
+    own, rng = toxicity.Features(lexicon), random.Random(13)
+    bits = ["you", "idiot", "zork", "zorks", "flibber", "a", "tree", "!", "??", "STUPID", "Your", "\n", "d'you", "clown", "ünï", "id-iot", "1d10t", "YOU", "x" * 50]
+    places = [toxicity.FEATURES.index(f) for f in ("words", "hits", "density", "best", "weight", "kinds", "fixed", "near_you", "you", "capitals", "exclaim", "question", "symbols")]
+    for text in [None, "", " "] + [" ".join(rng.choice(bits) for _ in range(rng.randint(1, 40))) for _ in range(300)]:
+        assert np.allclose(np.array(own.of(text))[places], plain_features(text, lexicon)), text
+    assert own.of("1d10t and s.t.u.p.i.d")[toxicity.FEATURES.index("hidden")] >= 1
+    began = time.process_time()
+    own.of("a" * 1_000_000)  # one endless word
+    assert time.process_time() - began < 10
