@@ -8,9 +8,9 @@ query. Once few candidates are open, or no query has more than it may return, re
 and the final scores are resolved for the open ones alone. Where the bounds close little
 (vectors without structure), the lists are read to their end.
 
-Query and candidate blocks meet by an equi-join on the query block's number, a pair a
-task's row; only k rows a query and pair leave it. The k best of all pairs are ranked by a
-window over those.
+Query and candidate blocks are dealt in cells of ``CELL`` by ``CELL`` blocks. A cell gets each
+of its blocks once and gives k rows a query; the k best of all cells are ranked by a window
+over those.
 
 Arithmetic is exact: in double precision below 2 ** 51; where products may be larger, the
 candidates that rounding cannot decide are scored in whole numbers of any length. A score
@@ -38,6 +38,8 @@ from .eps_grid import usable
 
 #: Vectors in a block; queries that read the lists together; shares of a list read from either end before bounds are looked at.
 BLOCK, ROUND, DEPTHS = 2048, 256, (0.0625, 0.25, 0.375, 0.4375)
+#: Blocks to a side of a cell.
+CELL = 4
 #: Share of open pairs from which on they are resolved singly; products up to here are exact in double precision.
 FEW, EXACT = 0.1, 2.0**51
 NONE = np.iinfo(np.int64).max
@@ -167,22 +169,45 @@ def top_k(embeddings: DataFrame, every: int = 50, k: int = 5, scale: float = 256
     rows = saved(rows.select(F.monotonically_increasing_id().alias("uid"), "vec_id", F.size("v").alias("dim"), whole.alias("x")), "topk-rows")
     blocks = packed(rows, BLOCK)
     asked = saved(packed(rows.where(F.pmod("vec_id", F.lit(every)) == 0), BLOCK), "topk-queries")
-    # each candidate block is sent to every query block of its length
-    number = asked.groupBy("dim").agg(F.max("block").alias("last"))
-    sent = blocks.join(number, "dim").select("dim", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("q"), "uids", "ids", "vectors")
-    to = asked.select("dim", F.col("block").alias("q"), F.col("uids").alias("own"), F.col("ids").alias("names"), F.col("vectors").alias("weights"))
-    work = sent.join(to, ["dim", "q"])
+    group = F.floor((F.col("block") - 1) / CELL).cast("int")
+    groups = lambda df: df.groupBy("dim").agg(F.max(group).alias("last"))
+    cell = ["dim", "c", "q"]
+
+    def sent(own: DataFrame, to: DataFrame, mine: str, other: str, kind: int) -> DataFrame:
+        """Each block once to every group of the other side's blocks of its length."""
+        spread = own.join(groups(to), "dim").withColumn(mine, group).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("last"))))
+        return spread.select(*cell, F.lit(kind).alias("kind"), "block", "uids", "ids", "vectors")
+
+    work = sent(asked, blocks, "q", "c", 0).union(sent(blocks, asked, "c", "q", 1))
+    work = work.repartition(*cell).sortWithinPartitions(*cell, "kind", "block")
 
     def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        queries: list[tuple[np.ndarray, ...]] = []
+        found: list[pd.DataFrame] = []
+        last = None
+
+        def best() -> pd.DataFrame:
+            every = pd.concat(found).sort_values(["query", "score", "vec_id"], ascending=[True, False, True], na_position="last")
+            return every[every.groupby("query").cumcount() < k]
+
         for batch in batches:
-            for r in batch.itertuples():
-                own, names, uids, ids = (np.frombuffer(m, np.int64) for m in (r.own, r.names, r.uids, r.ids))
-                q, x = (np.frombuffer(m, np.float64).reshape(-1, r.dim) for m in (r.weights, r.vectors))
-                row, col, score = best_of_block(q, own, x, uids, ids, k)
-                named = pd.Series(ids[col]).astype("Int64").mask(ids[col] == NONE)
-                yield pd.DataFrame({"query": own[row], "query_id": names[row], "vec_id": named, "score": score.astype(np.int64)})
-
-    spread = work.repartition(F.xxhash64("uids", "q"))
-    found = spread.mapInPandas(searched, "query bigint, query_id bigint, vec_id bigint, score bigint")
+            for r in batch.itertuples(index=False):
+                if (now := (r.dim, r.c, r.q)) != last:
+                    if found:
+                        yield best()
+                    queries, found, last = [], [], now
+                own = (np.frombuffer(r.uids, np.int64), np.frombuffer(r.ids, np.int64), np.frombuffer(r.vectors, np.float64).reshape(-1, r.dim))
+                if r.kind == 0:  # queries come before candidates
+                    queries.append(own)
+                    continue
+                uids, ids, x = own
+                for asking, names, q in queries:
+                    row, col, score = best_of_block(q, asking, x, uids, ids, k)
+                    named = pd.Series(ids[col]).astype("Int64").mask(ids[col] == NONE)
+                    found.append(pd.DataFrame({"query": asking[row], "query_id": names[row], "vec_id": named, "score": score.astype(np.int64)}))
+        if found:
+            yield best()
+
+    found = work.select(*cell, "kind", "uids", "ids", "vectors").mapInPandas(searched, "query bigint, query_id bigint, vec_id bigint, score bigint")
     by = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
