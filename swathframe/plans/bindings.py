@@ -22,6 +22,6 @@ CTE = {
     "gt_box": "SELECT patch_id AS image_id, ship_no AS gt_no, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(w AS DOUBLE) AS w, CAST(h AS DOUBLE) AS h FROM ship WHERE ship_no % 4 <> 0",
     "detection": "SELECT patch_id AS image_id, ship_no AS det_no, CAST(x + ship_no % 3 AS DOUBLE) AS x, CAST(y - ship_no % 2 AS DOUBLE) AS y, CAST(w + ship_no % 2 AS DOUBLE) AS w, CAST(h AS DOUBLE) AS h, CAST((patch_id * 7 + ship_no * 13) % 1000 AS DOUBLE) / 1000 AS conf FROM ship WHERE ship_no % 5 <> 0",
     "file": "SELECT doc_id, concat(CASE doc_id % 3 WHEN 0 THEN 's1a-iw-raw-s-vv-' WHEN 1 THEN 's1a-iw-raw-s-vh-' ELSE 's1a-iw-slc-' END, '20200407t052956-20200407t053029-0', CAST(32000 + doc_id % 9 AS VARCHAR(9)), '-03b2e2-IW', CAST(doc_id % 3 + 1 AS VARCHAR(2)), CASE WHEN doc_id % 5 = 0 THEN '-VD_' ELSE '-RFI_' END, CAST(CAST(floor(doc_id / 2) AS BIGINT) AS VARCHAR(20)), CASE doc_id % 4 WHEN 0 THEN '.dat' WHEN 1 THEN '_scaled.npy' WHEN 2 THEN '.xml' ELSE '.tiff' END) AS name, CASE doc_id % 10 WHEN 8 THEN 'val' WHEN 9 THEN 'test' ELSE 'train' END AS split, source AS folder, n_chars AS bytes FROM documents",
-    "tile_file": "SELECT doc_id, concat('DB_SAR_', CASE WHEN doc_id % 2 = 0 THEN 'VH_' ELSE 'VV_' END, CAST(CAST(floor(doc_id / 2) AS BIGINT) AS VARCHAR(20))) AS stem, CAST(floor(doc_id / 2) AS BIGINT) AS base, CASE WHEN doc_id % 2 = 0 THEN 'vh' ELSE 'vv' END AS pol, CASE doc_id % 10 WHEN 8 THEN 'val' WHEN 9 THEN 'test' ELSE 'train' END AS split, concat(source, '/', CAST(doc_id AS VARCHAR(20))) AS path, source FROM documents WHERE doc_id % 11 <> 5",
+    "tile_file": "SELECT doc_id, concat('DB_SAR_', CASE WHEN doc_id % 2 = 0 THEN 'VH_' ELSE 'VV_' END, CAST(CAST(floor(doc_id / 2) AS BIGINT) AS VARCHAR(20))) AS stem, CAST(floor(doc_id / 2) AS BIGINT) AS base, CASE WHEN doc_id % 2 = 0 THEN 'vh' ELSE 'vv' END AS pol, CASE doc_id % 10 WHEN 8 THEN 'val' WHEN 9 THEN 'test' ELSE 'train' END AS split, concat(source, '/', CAST(doc_id AS VARCHAR(20))) AS path, source FROM documents",
     "mask_file": "SELECT doc_id, CAST(floor(doc_id / 2) AS BIGINT) AS base, quality, toxic, CASE doc_id % 10 WHEN 8 THEN 'val' WHEN 9 THEN 'test' ELSE 'train' END AS split, concat('masks/', CAST(doc_id AS VARCHAR(20)), '.png') AS path FROM labels",
 }

@@ -38,16 +38,48 @@ def _(t):
     return S.read_targets(t.spark, path)
 
 
-@bound("s04_annotations", "SELECT count(*) AS bursts, sum(k * 10 + patch_id)::BIGINT AS mark, (SELECT count(*) FROM patch) AS headers FROM patch, (SELECT unnest([1, 2, 3]) AS k)")
-def _(t):
+def enclosed(batches):
+    """Each file's rows inside one root element."""
+    tag = lambda text: pa.RecordBatch.from_arrays([pa.array([text], pa.string())], ["value"])
+    yield tag("<products>")
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string())], ["value"])
+    yield tag("</products>")
+
+
+def annotations(t):
+    """Annotation files of three bursts, two grid points and two state vectors a patch, read back."""
     path = S.scratch(t.spark, "annotations")
-    burst = F.array_join(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda k: F.concat(F.lit("<burst><azimuthTime>t</azimuthTime><line>"), (k * 10 + F.col("patch_id")).cast("string"), F.lit("</line></burst>"))), "")
-    text = F.concat(F.lit("<product><header><start>a</start><stop>b</stop></header><burstList>"), burst, F.lit("</burstList><grid><point><line>0</line><pixel>0</pixel><latitude>1.5</latitude><longitude>2</longitude></point></grid></product>"))
-    files = t.patch.select("scene", "swath", text.alias("x")).groupBy("scene", "swath").agg(F.concat(F.lit("<products>"), F.array_join(F.collect_list("x"), "\n"), F.lit("</products>")).alias("value"))
-    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
-    held = S.read_annotations(t.spark, path)
-    n = held["header"].agg(F.count("*").alias("headers"))
-    return held["burst"].agg(F.count("*").alias("bursts"), F.sum("line").alias("mark")).join(n)
+    own, text = F.col("patch_id"), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    burst = F.array_join(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda k: text("<burst><azimuthTime>t</azimuthTime><line>", k * 10 + own, "</line></burst>")), "")
+    point = F.array_join(F.transform(F.array(F.lit(0), F.lit(1)), lambda k: text("<point><line>", k * 100, "</line><pixel>", own % 7 + k, "</pixel><latitude>", own % 90 + k * 0.5, "</latitude><longitude>", own % 180, "</longitude></point>")), "")
+    orbit = F.array_join(F.transform(F.array(F.lit(0), F.lit(1)), lambda k: text("<orbit><time>2020-04-07T05:29:", F.lpad((k * 10 + 5).cast("string"), 2, "0"), ".25</time><position><x>", own + k, "</x><y>-2.5</y><z>", k, "</z></position><velocity><x>7.5</x><y>", own % 11, "</y><z>0</z></velocity></orbit>")), "")
+    product = text("<product><header><start>s", own, "</start><stop>e", own, "</stop></header><burstList>", burst, "</burstList><grid>", point, "</grid><generalAnnotation><orbitList>", orbit, "</orbitList></generalAnnotation></product>")
+    t.patch.select(product.alias("value")).mapInArrow(enclosed, "value string").write.text(path)
+    return S.read_annotations(t.spark, path)
+
+
+STEPS = "(SELECT unnest([0, 1]) AS k)"
+
+
+@bound("s04_annotations", "SELECT concat('s', patch_id) AS start, (k - 1)::INT AS burst, (k * 10 + patch_id)::INT AS line FROM patch, (SELECT unnest([1, 2, 3]) AS k)")
+def _(t):
+    return annotations(t)["burst"].select("start", "burst", "line")
+
+
+@bound("s04b_annotation_headers", "SELECT concat('s', patch_id) AS start, concat('e', patch_id) AS stop FROM patch")
+def _(t):
+    return annotations(t)["header"].select("start", "stop")
+
+
+@bound("s04c_annotation_grids", f"SELECT concat('s', patch_id) AS start, (k * 100)::INT AS line, (patch_id % 7 + k)::INT AS pixel, (patch_id % 90 + k * 0.5)::DOUBLE AS latitude, (patch_id % 180)::DOUBLE AS longitude FROM patch, {STEPS}")
+def _(t):
+    return annotations(t)["grid"].select("start", "line", "pixel", "latitude", "longitude")
+
+
+@bound("s04d_annotation_orbits", f"SELECT concat('s', patch_id) AS start, k::INT AS orbit, (k * 10)::DOUBLE AS t, (patch_id + k)::DOUBLE AS x, -2.5::DOUBLE AS y, k::DOUBLE AS z, 7.5::DOUBLE AS vx, (patch_id % 11)::DOUBLE AS vy, 0::DOUBLE AS vz FROM patch, {STEPS}")
+def _(t):
+    return annotations(t)["orbit"].drop("file")
 
 
 LABEL = "concat('<label><Scene_ID>DB_', patch_id, '</Scene_ID><SARProduct> S1A_', patch_id, '.SAFE </SARProduct><Number_of_ships>', count(*), '</Number_of_ships><List_of_ships>', string_agg(concat('<Ship><Name>Ship_', ship_no, '</Name><Size>', x, '</Size></Ship>'), '' ORDER BY ship_no), '</List_of_ships></label>')"
@@ -71,7 +103,7 @@ def _(t):
     return label_xml(t).select("patch_id", S.scene_of_content(F.encode("text", "UTF-8")).alias("scene"))
 
 
-@bound("s07_file_inventory")
+@bound("s07_file_inventory", r"SELECT name, 'parquet' AS ext, try_cast(regexp_extract(name, '_(\d+)[^_]*$', 1) AS BIGINT) AS file_id FROM (SELECT regexp_extract(file, '[^/]+$') AS name FROM glob('/root/testdata/sf0.01/*.parquet'))")
 def _(t):
     return S.file_inventory(t.spark, t.sf_dir, ["parquet"]).select("name", "ext", "file_id")
 
@@ -176,7 +208,7 @@ def _(t):
     for part in (pulses.where(early), pulses.where(~early)):
         part.write.mode("append").parquet(f"{base}/in")
         jobs.run_bursts(t.spark, f"{base}/in", schema, f"{base}/checkpoint", f"{base}/out")
-    return jobs.latest_bursts(t.spark.read.parquet(f"{base}/out").drop("batch"))
+    return jobs.latest_bursts(t.spark.read.parquet(f"{base}/out/updates").drop("batch"))
 
 
 @bound("x02_mask_resolver", "SELECT f.doc_id, m.path FROM tile_file f LEFT JOIN mask_file m ON m.doc_id = f.doc_id")

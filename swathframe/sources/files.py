@@ -60,7 +60,7 @@ def read_targets(spark: SparkSession, path: str) -> DataFrame:
 
 
 LABEL_SCHEMA = "Scene_ID string, SARProduct string, Number_of_ships string, List_of_ships struct<Ship:array<struct<Name:string,Size:string,is_vessel:string,Is_Vessel_Alt:string>>>"
-ANNOTATION_SCHEMA = "header struct<start:string,stop:string>, burstList struct<burst:array<struct<azimuthTime:string,line:int>>>, grid struct<point:array<struct<line:int,pixel:int,latitude:double,longitude:double>>>"
+ANNOTATION_SCHEMA = "header struct<start:string,stop:string>, burstList struct<burst:array<struct<azimuthTime:string,line:int>>>, grid struct<point:array<struct<line:int,pixel:int,latitude:double,longitude:double>>>, generalAnnotation struct<orbitList:struct<orbit:array<struct<time:string,position:struct<x:double,y:double,z:double>,velocity:struct<x:double,y:double,z:double>>>>>"
 
 
 def parse_labels(texts: DataFrame, column: str = "text") -> DataFrame:
@@ -73,12 +73,20 @@ def ships_of(labels: DataFrame) -> DataFrame:
 
 
 def read_annotations(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Header, burst and grid tables of a tree of annotation files."""
-    product = spark.read.format("xml").option("rowTag", "product").schema(ANNOTATION_SCHEMA).load(path).withColumn("file", F.col("_metadata.file_name"))
+    """Header, burst, grid and orbit tables of a tree of annotation files, keyed by file and start of the product.
+
+    orbit: state vectors with their seconds since the first of the product.
+    """
+    product = spark.read.format("xml").option("rowTag", "product").schema(ANNOTATION_SCHEMA).load(path).select(F.col("_metadata.file_name").alias("file"), "*")
+    key = ["file", F.col("header.start").alias("start")]
+    vectors = F.col("generalAnnotation.orbitList.orbit")
+    time = lambda c: F.unix_micros(F.to_timestamp(c))
+    orbit = product.select(*key, vectors[0]["time"].alias("t0"), F.posexplode(vectors).alias("orbit", "o"))
     return {
         "header": product.select("file", "header.*"),
-        "burst": product.select("file", F.posexplode("burstList.burst").alias("burst", "b")).select("file", "burst", "b.*"),
-        "grid": product.select("file", F.explode("grid.point").alias("g")).select("file", "g.*"),
+        "burst": product.select(*key, F.posexplode("burstList.burst").alias("burst", "b")).select("file", "start", "burst", "b.*"),
+        "grid": product.select(*key, F.explode("grid.point").alias("g")).select("file", "start", "g.*"),
+        "orbit": orbit.select("file", "start", "orbit", ((time(F.col("o.time")) - time(F.col("t0"))) / 1e6).alias("t"), "o.position.*", *[F.col(f"o.velocity.{c}").alias(f"v{c}") for c in "xyz"]),
     }
 
 

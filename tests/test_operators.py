@@ -1,5 +1,7 @@
 """Literal fixtures, semantic traps and properties of single operators."""
 
+import re
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -7,9 +9,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from swathframe.functions import columns as C
-from swathframe.operators import filters, joins, raster, scoring, splits, windows
+from swathframe.operators import aggregates, filters, joins, ranges, raster, scoring, splits, windows
 from swathframe.operators.components import connected_components
 from swathframe.sources import files
+from swathframe.streaming import jobs
 
 NAN = float("nan")
 
@@ -147,3 +150,99 @@ def test_labels_with_one_ship_and_none(spark):
 def test_missing_columns(spark):
     with pytest.raises(ValueError, match="swath"):
         files.require_columns(spark.range(1), ["id", "swath"])
+
+
+def test_natural_order_without_case_and_with_long_numbers(spark):
+    names = ["b2", "B10", "a" + "9" * 21, "a1" + "0" * 22, "A007", "a7", "10x", "9x", "x", "a07b", "a7B"]
+    df = spark.createDataFrame([(n,) for n in names], "name string").withColumn("key", C.natural_key(F.col("name"))).withColumn("all", F.lit(1))
+    out = [r.name for r in ranges.range_ranked(df, "all", "key", "name").orderBy("rn").collect()]
+    assert out == sorted(names, key=lambda n: (re_key(n), n))
+
+
+def re_key(name):
+    """Texts and numbers in turn, a text first."""
+    return [int(p) if p.isdigit() else p.lower() for p in re.split(r"(\d+)", name)]
+
+
+def test_deviation_of_large_values(spark):
+    df = spark.createDataFrame([("i", 1e9), ("i", 1e9 + 1)], "channel string, value double")
+    assert aggregates.channel_stats(df).first().std == pytest.approx(0.5)
+
+
+@pytest.fixture(scope="module")
+def pulses(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(s), i, "IW1" if rng.random() < 0.7 else "IW2", int(t)) for i, (s, t) in enumerate(zip(rng.choice([0, 0, 0, 1], 600), rng.integers(0, 150, 600)))]
+    return rows
+
+
+def brute_runs(rows):
+    out, counts = [], {}
+    for s in sorted({r[0] for r in rows}):
+        last = None
+        for _, _, swath, ts in sorted((r for r in rows if r[0] == s), key=lambda r: (r[3], r[1])):
+            if swath != last:
+                counts[s, swath] = counts.get((s, swath), 0) + 1
+                out.append([s, swath, counts[s, swath], ts, ts, 0])
+                last = swath
+            out[-1][4], out[-1][5] = ts, out[-1][5] + 1
+    return sorted(map(tuple, out))
+
+
+def test_bursts_over_ranges(spark, pulses):
+    df = spark.createDataFrame(pulses, "stream bigint, seq bigint, swath string, ts bigint")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # keeps all ranges apart
+    try:
+        out = windows.bursts(df, ["stream"], ["ts", "seq"]).select("stream", "swath", "burst", "start_ts", "stop_ts", "n").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted(map(tuple, out)) == brute_runs(pulses)
+
+
+def test_burst_stream_in_batches_with_late_pulses(spark, pulses):
+    schema, held = "stream bigint, seq bigint, swath string, ts_us bigint", {}
+    state = spark.createDataFrame([], jobs.STATE)
+    cut = [[r for r in pulses if lo <= r[3] < hi] for lo, hi in ((0, 40), (40, 41), (41, 110), (110, 150))]
+    for part in cut:
+        updates, state, late = jobs.segment(spark.createDataFrame(part, schema), state)
+        held.update({(r.stream, r.swath, r.burst): (r.start_us, r.stop_us, r.n) for r in updates.collect()})
+        assert late.count() == 0
+    assert sorted((*k, *v) for k, v in held.items()) == brute_runs(pulses)
+    updates, _, late = jobs.segment(spark.createDataFrame([(0, 9999, "IW1", 3), (5, 1, "IW2", 3)], schema), state)
+    assert [r.seq for r in late.collect()] == [9999] and [tuple(r) for r in updates.collect()] == [(5, "IW2", 1, 3, 3, 1)]
+
+
+def test_nearest_in_time_over_ranges(spark):
+    rng = np.random.default_rng(6)
+    left = [(int(rng.integers(0, 2)), i, int(t)) for i, t in enumerate(rng.integers(0, 5000, 200))]
+    right = [(int(rng.integers(0, 2)), i, int(t)) for i, t in enumerate(rng.integers(0, 5000, 12))]
+    frame = lambda rows, n: spark.createDataFrame(rows, f"k int, {n} int, s int").select("k", n, F.timestamp_seconds("s").alias("ts"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = {r.l: r.r for r in joins.nearest_in_time(frame(left, "l"), frame(right, "r"), ["k"], "l", "r").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for k, i, t in left:
+        best = min(((abs(t - u), u, j) for q, j, u in right if q == k), default=(0, 0, None))
+        assert out[i] == best[2]
+
+
+def test_average_precision_of_fine_confidences(spark):
+    rng = np.random.default_rng(7)
+    rows = [(0.5, float(c), bool(h)) for c, h in zip(0.5 + rng.random(300) / 1e4, rng.random(300) < 0.6)]
+    out = scoring.average_precision(spark.createDataFrame(rows, "threshold double, conf double, hit boolean"), F.lit(400)).first()
+    hits = [h for _, _, h in sorted(rows, key=lambda r: -r[1])]
+    assert out.ap == pytest.approx(sum(h / 400 * (sum(hits[: i + 1]) / (i + 1)) for i, h in enumerate(hits)))
+
+
+def test_ring_against_distances(spark):
+    rng = np.random.default_rng(8)
+    mask = rng.random((24, 30)) < 0.03
+    px = spark.createDataFrame([(1, r, c, bool(mask[r, c])) for r in range(24) for c in range(30)], "tile_id bigint, r int, c int, m boolean")
+    labelled = raster.regions(px.where("m")).persist()
+    regions = {}
+    for r in labelled.collect():
+        regions.setdefault(r.region, []).append((r.r, r.c))
+    out = {(x.region, x.r, x.c) for x in raster.background_ring(labelled, px, 2, 5).collect()}
+    near = lambda own, r, c: min(abs(r - a) + abs(c - b) for a, b in own)
+    assert out == {(k, r, c) for k, own in regions.items() for r in range(24) for c in range(30) if not mask[r, c] and 2 < near(own, r, c) <= 5}
