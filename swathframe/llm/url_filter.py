@@ -22,6 +22,8 @@ gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
 SENT = 100_000
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def rest_of(url: Column) -> Column:
     """What follows the first ``://``; null without one."""
     return F.when(F.instr(url, "://") > 0, F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1))
@@ -53,22 +60,30 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest_of(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def slashed(path: Column) -> Column:
+    return F.coalesce(F.nullif(path, F.lit("")), F.lit("/"))
+
+
 def without_dots(path: Column) -> Column:
     """The path without its segments . and .. (RFC 3986, 5.2.4)."""
     parts = F.slice(F.split(path, "/"), 2, 1 << 20)
     up = lambda kept: F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
     kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", up(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
-    end = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
-    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(kept, "/"), end)).otherwise(path)
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+    whole = let(kept, lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(F.size(k) > 0, end).otherwise("")))
+    return F.when(path.contains("/."), whole).otherwise(path)
 
 
 def address_of(url: Column) -> Column:
     """The key under which a URL is an alias: host without its scheme's default port, path and query; null for no URL."""
-    query = F.regexp_extract(rest_of(url), r"^[^?#]*(\??[^#]*)", 1)
-    path = F.when(path_of(url) == "", F.lit("/")).otherwise(without_dots(path_of(url)))
-    usual = F.when(url.rlike("^(?i)http:"), ":80").when(url.rlike("^(?i)https:"), ":443")
-    host = F.when(host_of(url).endswith(usual), F.regexp_replace(host_of(url), r":[0-9]+$", "")).otherwise(host_of(url))
-    return F.when(host_of(url) != "", F.concat(host, path, query))
+
+    def keyed(u: Column) -> Column:
+        usual = F.when(u.rlike("^(?i)http:"), ":80").when(u.rlike("^(?i)https:"), ":443")
+        host = let(host_of(u), lambda h: F.when(h.endswith(usual), F.regexp_replace(h, r":[0-9]+$", "")).otherwise(h))
+        query = F.regexp_extract(rest_of(u), r"^[^?#]*(\??[^#]*)", 1)
+        return let(host, lambda h: F.when(h != "", F.concat(h, let(slashed(path_of(u)), without_dots), query)))
+
+    return let(url, keyed)
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -99,39 +114,43 @@ def unescaped(text: Column) -> Column:
 
     def decoded(part: Column) -> Column:
         number = F.coalesce(F.nullif(F.regexp_extract(part, reference, 1), F.lit("")).cast("int"), F.conv(F.nullif(F.regexp_extract(part, reference, 2), F.lit("")), 16, 10).cast("int"))
-        name = F.regexp_extract(part, reference, 3)
-        char = F.coalesce(*[F.when(name == n, F.lit(c)) for n, c in NAMED.items()], F.when((number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")))
-        return F.when(char.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(char, F.regexp_replace(part, reference, "")))
+        coded = let(number, lambda n: F.when((n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+        named = let(F.regexp_extract(part, reference, 3), lambda n: F.coalesce(*[F.when(n == name, F.lit(c)) for name, c in NAMED.items()]))
+        return let(F.coalesce(named, coded), lambda c: F.when(c.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(c, F.regexp_replace(part, reference, ""))))
 
-    parts = F.split(text, "&")
-    return F.when(text.contains("&"), F.array_join(F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, F.lit(2), F.size(parts)), decoded)), "")).otherwise(text)
+    return let(F.split(text, "&"), lambda parts: F.array_join(F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, F.lit(2), F.size(parts)), decoded)), ""))
 
 
 def target_of(href: Column, url: Column) -> Column:
     """The absolute form of a reference found under the base ``url`` (RFC 3986, 5.2.2; dot segments go with the address)."""
-    scheme = F.regexp_extract(url, r"^([^:/?#]+)://", 1)
-    path = F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url))
-    site = F.concat(scheme, F.lit("://"), host_of(url))
-    return (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href)
-        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))  # another kind of address
-        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(site, href))
-        .when(href.startswith("#"), url)
-        .when(href.startswith("?"), F.concat(site, path, href))
-        .otherwise(F.concat(site, F.regexp_replace(path, r"[^/]*$", ""), href))
-    )
+
+    def found(h: Column, u: Column) -> Column:
+        scheme = F.regexp_extract(u, r"^([^:/?#]+)://", 1)
+        site = F.concat(scheme, F.lit("://"), host_of(u))
+        path = slashed(path_of(u))
+        return (
+            F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), h)
+            .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))  # another kind of address
+            .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
+            .when(h.startswith("/"), F.concat(site, h))
+            .when(h.startswith("#"), u)
+            .when(h.startswith("?"), F.concat(site, path, h))
+            .otherwise(F.concat(site, F.regexp_replace(path, r"[^/]*$", ""), h))
+        )
+
+    return let(href, lambda h: let(url, lambda u: found(h, u)))
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): addresses of pages and of what they redirect to or name as canonical."""
+    """(a, b): addresses of pages and of what they redirect to or name as canonical. Links are saved before they are resolved."""
     found = pages.where("html IS NOT NULL AND url LIKE '%://%'").where(F.col("html").rlike(r"(?i)canonical|http-equiv"))
     found = found.select("url", F.regexp_extract_all("html", F.lit(TAGS), F.lit(0)).alias("tags"))
-    of = lambda test, pattern: F.transform(F.filter("tags", lambda t: t.rlike(test)), lambda t: unescaped(F.regexp_extract(t, pattern, 1)))
-    found = found.select("url", F.get(F.filter(of(IS_BASE, HREF), lambda h: h != ""), F.lit(0)).alias("base"), F.concat(of(IS_CANONICAL, HREF), of(IS_REFRESH, TARGET)).alias("links"))
-    found = found.select("url", F.coalesce(target_of(F.col("base"), F.col("url")), F.col("url")).alias("base"), F.explode(F.array_distinct("links")).alias("href")).where("href <> ''")
-    found = found.select("url", target_of(F.col("href"), F.col("base")).alias("to"))
-    return found.select(address_of(F.col("url")).alias("a"), address_of(F.col("to")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    of = lambda test, pattern: F.transform(F.filter("tags", lambda t: t.rlike(test)), lambda t: F.regexp_extract(t, pattern, 1))
+    found = found.select("url", F.get(F.filter(of(IS_BASE, HREF), lambda h: h != ""), F.lit(0)).alias("base"), F.explode(F.array_distinct(F.concat(of(IS_CANONICAL, HREF), of(IS_REFRESH, TARGET)))).alias("href"))
+    links = saved(found.where("href <> ''"), "url-links")
+    base = F.coalesce(target_of(unescaped(F.col("base")), F.col("url")), F.col("url"))
+    ways = links.select(address_of(F.col("url")).alias("a"), address_of(target_of(unescaped(F.col("href")), base)).alias("b"))
+    return saved(ways, "url-edges").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None) -> DataFrame:
