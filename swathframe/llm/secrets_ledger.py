@@ -121,7 +121,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] | N
     book = scanned if ledger is None else ledger.select("blob", "versions", "spans").unionByName(scanned)
     placed = F.transform(F.filter("spans", lambda s: F.array_contains(now, s["rule"])), lambda s: F.struct(s["start"].alias("start"), (F.array_position(now, s["rule"]) - 1).cast("int").alias("k"), s["end"].alias("end")))
     found = book.select("blob", placed.alias("spans")).where(F.size("spans") > 0)
-    found = found.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    found = saved(found.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")), "secret-found")  # so that a blob of many paths can be split in the join
     paths = held.select("path", "blob").join(found, "blob", "left")
     return paths.select("path", "blob", F.coalesce("spans", none).alias("spans")), book
 
