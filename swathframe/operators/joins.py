@@ -110,8 +110,8 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], key: str
     after = F.last(seen, ignorenulls=True).over(within.orderBy(*back).rowsBetween(Window.unboundedPreceding, 0))
     ends = own.groupBy(*keys, "__p").agg(F.max(seen).alias("last"), F.min(seen).alias("first"))
     later = Window.partitionBy(*keys).orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, -1)
-    beside = handed_on(ends, keys, __pb=F.last("last", ignorenulls=True).over(earlier(keys)), __pa=F.last("first", ignorenulls=True).over(later))
-    found = own.withColumn("__b", before).withColumn("__a", after).where(F.col("__l").isNotNull()).join(beside, [*keys, "__p"])
+    found = own.withColumn("__b", before).withColumn("__a", after).where(F.col("__l").isNotNull())
+    found = handed_on(found, ends, keys, __pb=F.last("last", ignorenulls=True).over(earlier(keys)), __pa=F.last("first", ignorenulls=True).over(later))
     found = found.withColumn("__b", F.coalesce("__b", "__pb")).withColumn("__a", F.coalesce("__a", "__pa"))
     gap = lambda a, b: F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))
     take_after = F.col("__b").isNull() | (gap(F.col("__a.ts"), F.col("ts")) < gap(F.col("ts"), F.col("__b.ts")))

@@ -19,9 +19,14 @@ def ranged(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
     return saved(df.repartitionByRange(*keys, *order).withColumn("__p", F.spark_partition_id()), "ranged")
 
 
-def handed_on(parts: DataFrame, keys: list[str], **carried: Column) -> DataFrame:
-    """(keys, __p, carried): aggregates over the windows ``carried`` of ``parts``, a row for each key and range."""
-    return parts.select(*keys, "__p", *[c.alias(n) for n, c in carried.items()])
+def handed_on(own: DataFrame, parts: DataFrame, keys: list[str], **carried: Column) -> DataFrame:
+    """``own`` with what ``carried``, expressions over the windows of ``parts``, hands to its key and range; parts: a row for each of them. Null keys are a key."""
+    same = {k: f"__k{i}" for i, k in enumerate(keys)}
+    other = parts.select(*[F.col(k).alias(n) for k, n in same.items()], F.col("__p").alias("__q"), *[c.alias(n) for n, c in carried.items()])
+    met = F.col("__p") == F.col("__q")
+    for k, n in same.items():
+        met &= F.col(k).eqNullSafe(F.col(n))
+    return own.join(other, met).drop("__q", *same.values())
 
 
 def earlier(keys: list[str]):
@@ -33,16 +38,16 @@ def range_ranked(df: DataFrame, cls: str | list[str], *order: str | Column) -> D
     keys = [cls] if isinstance(cls, str) else cls
     own = ranged(df, keys, *order)
     counts = own.groupBy(*keys, "__p").agg(F.count("*").alias("__k"))
-    before = handed_on(counts, keys, __b=F.coalesce(F.sum("__k").over(earlier(keys)), F.lit(0)))
     own = own.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "__p").orderBy(*order)))
-    return own.join(before, [*keys, "__p"]).withColumn("rn", F.col("__n") + F.col("__b")).drop("__p", "__n", "__b")
+    own = handed_on(own, counts, keys, __b=F.coalesce(F.sum("__k").over(earlier(keys)), F.lit(0)))
+    return own.withColumn("rn", F.col("__n") + F.col("__b")).drop("__p", "__n", "__b")
 
 
 def running_sums(df: DataFrame, keys: list[str], order: str | Column, **sums: str) -> DataFrame:
     """``df`` with running sums (name=column) in an order in which rows of a key do not tie."""
     own = ranged(df, keys, order)
     parts = own.groupBy(*keys, "__p").agg(*[F.sum(c).alias(f"__s{n}") for n, c in sums.items()])
-    before = handed_on(parts, keys, **{f"__b{n}": F.coalesce(F.sum(f"__s{n}").over(earlier(keys)), F.lit(0)) for n in sums})
     upto = Window.partitionBy(*keys, "__p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    own = own.withColumns({f"__u{n}": F.sum(c).over(upto) for n, c in sums.items()}).join(before, [*keys, "__p"])
+    own = own.withColumns({f"__u{n}": F.sum(c).over(upto) for n, c in sums.items()})
+    own = handed_on(own, parts, keys, **{f"__b{n}": F.coalesce(F.sum(f"__s{n}").over(earlier(keys)), F.lit(0)) for n in sums})
     return own.select(*[F.col(c) for c in df.columns], *[(F.col(f"__u{n}") + F.col(f"__b{n}")).alias(n) for n in sums])

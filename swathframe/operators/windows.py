@@ -45,10 +45,9 @@ def runs_of(pulses: DataFrame, keys: list[str], order: list[str], swath: str = "
     own = ranged(pulses, keys, *order)
     within = Window.partitionBy(*keys, "__p").orderBy(*order)
     ends = own.groupBy(*keys, "__p").agg(F.max_by(F.struct(swath), F.struct(*order)).alias("end"))
-    above = handed_on(ends, keys, __above=F.last("end").over(earlier(keys)))
     first = F.row_number().over(within) == 1
     previous = F.when(first, F.col("__above")).otherwise(F.lag(F.struct(swath)).over(within))
-    marked = own.join(above, [*keys, "__p"]).withColumn("__turn", F.coalesce((previous[swath] != F.col(swath)).cast("int"), F.lit(0)))
+    marked = handed_on(own, ends, keys, __above=F.last("end").over(earlier(keys))).withColumn("__turn", F.coalesce((previous[swath] != F.col(swath)).cast("int"), F.lit(0)))
     return running_sums(marked.drop("__p", "__above"), keys, F.struct(*order), run="__turn").groupBy(*keys, swath, "run").agg(F.min(ts).alias("start_ts"), F.max(ts).alias("stop_ts"), F.count("*").alias("n"))
 
 

@@ -46,7 +46,7 @@ def segment(fresh: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame, D
     runs = saved(runs_of(placed.where(~late).drop("__stop"), ["stream"], ["ts_us", "seq"], ts="ts_us"), "burst-runs")
     told = range_ranked(runs, ["stream", "swath"], "run").join(state.select("stream", "swath", "bursts"), ["stream", "swath"], "left").join(at, "stream", "left")
     first = runs.groupBy("stream").agg(F.min_by("swath", "run").alias("__first"))
-    told = told.join(first, "stream")
+    told = told.join(first, "stream", "left")
     goes_on = F.coalesce(F.col("__swath") == F.col("__first"), F.lit(False)) & (F.col("swath") == F.col("__swath"))
     same = goes_on & (F.col("rn") == 1)
     told = told.select("stream", "swath", "run", (F.coalesce("bursts", F.lit(0)) + F.col("rn") - goes_on.cast("int")).alias("burst"), F.when(same, F.col("__start")).otherwise(F.col("start_ts")).alias("start_us"), F.col("stop_ts").alias("stop_us"), (F.col("n") + F.when(same, F.col("__n")).otherwise(0)).alias("n"))

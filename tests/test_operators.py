@@ -246,3 +246,11 @@ def test_ring_against_distances(spark):
     out = {(x.region, x.r, x.c) for x in raster.background_ring(labelled, px, 2, 5).collect()}
     near = lambda own, r, c: min(abs(r - a) + abs(c - b) for a, b in own)
     assert out == {(k, r, c) for k, own in regions.items() for r in range(24) for c in range(30) if not mask[r, c] and 2 < near(own, r, c) <= 5}
+
+
+def test_null_keys_are_a_key(spark):
+    rows = [(None, i, "IW1" if i % 3 else "IW2", i) for i in range(40)] + [(1, i, "IW1", i) for i in range(5)]
+    df = spark.createDataFrame(rows, "stream bigint, seq bigint, swath string, ts bigint")
+    out = windows.bursts(df, ["stream"], ["ts", "seq"]).collect()
+    assert sum(r.n for r in out) == 45 and max(r.burst for r in out if r.stream is None) == 14
+    assert sorted(r.rn for r in ranges.range_ranked(df, "stream", "seq").where("stream IS NULL").collect()) == list(range(1, 41))
