@@ -161,9 +161,20 @@ def _(t):
     return own.select(F.col("l_suppkey").alias("g"), F.round("c0", 2).alias("c0"), F.round("c1", 2).alias("c1"))
 
 
-@bound("a25b_polynomial_fit")
+def fitted_sql(degree: int) -> str:
+    """Values of least-squares polynomials at five places, by orthogonal polynomials; the places are rows of weight 0."""
+    steps = ["e AS (SELECT l_suppkey AS g, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY ALL)", "t0 AS (SELECT g, 1 AS w, (l_quantity - lo) / (hi - lo) AS u, l_extendedprice AS y, 0.0::DOUBLE AS q, 1.0::DOUBLE AS p, 0.0::DOUBLE AS f, 1.0::DOUBLE AS m FROM lineitem JOIN e ON g = l_suppkey UNION ALL SELECT g, 0, i / 4.0, 0, 0, 1, 0, 1 FROM e, range(5) r(i))"]
+    for k in range(degree + 1):
+        steps.append(f"a{k} AS (SELECT g, sum(w * p * p) AS n, sum(w * u * p * p) / sum(w * p * p) AS al, sum(w * y * p) / sum(w * p * p) AS c FROM t{k} GROUP BY g)")
+        steps.append(f"t{k + 1} AS (SELECT g, w, u, y, p AS q, (u - al) * p - {'n / m * q' if k else '0'} AS p, f + c * p AS f, n AS m FROM t{k} JOIN a{k} USING (g))")
+    return f"WITH {', '.join(steps)} SELECT g, lo::DOUBLE AS lo, hi::DOUBLE AS hi, " + ", ".join(f"round(sum(f) FILTER (w = 0 AND u = {i / 4}), 2) AS f{i}" for i in range(5)) + f" FROM t{degree + 1} JOIN e USING (g) GROUP BY g, lo, hi"
+
+
+@bound("a25b_polynomial_fit", fitted_sql(4))
 def _(t):
-    return A.polynomial_fit(t.lineitem, ["l_suppkey"], "l_quantity", "l_extendedprice", 4)
+    own = A.polynomial_fit(t.lineitem, ["l_suppkey"], "l_quantity", "l_extendedprice", 4)
+    at = lambda u: sum((F.col(f"c{k}") * u**k for k in range(1, 5)), F.col("c0"))
+    return own.select(F.col("l_suppkey").alias("g"), F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), *[F.round(at(i / 4), 2).alias(f"f{i}") for i in range(5)])
 
 
 @bound("a26_tile_profile", "SELECT vec_id AS tile_id, round(min(x), 6) AS min, round(max(x), 6) AS max, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY vec_id")
