@@ -69,11 +69,21 @@ def region_table(labelled: DataFrame, least: int = 1) -> DataFrame:
 
 
 def rasterise(polygons: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, r, c) of every pixel of a size x size raster whose centre lies inside the polygon (key, ord, px, py)."""
-    from .joins import inside_edges, polygon_edges
+    """(key, r, c) of every pixel of a size x size raster whose centre lies inside the polygon (key, ord, px, py).
 
-    pixels = polygon_edges(polygons, key).withColumn("r", span(size)).withColumn("c", span(size))
-    return pixels.withColumns({"px": F.col("c") + 0.5, "py": F.col("r") + 0.5}).where(inside_edges()).select(key, "r", "c")
+    By rows: an edge cuts the centre lines of the rows that it spans (half-open), and what
+    lies between an odd cut of a row and the next is inside, so work grows with rows and
+    pixels inside, not with the raster.
+    """
+    from .joins import polygon_edges
+
+    start, stop = lambda x: F.greatest(F.lit(0), F.ceil(x - 0.5).cast("int")), lambda x: F.least(F.lit(size), F.ceil(x - 0.5).cast("int")) - 1
+    edges = polygon_edges(polygons, key).select(key, F.inline("edges")).withColumn("lo", start(F.least("y1", "y2"))).withColumn("hi", stop(F.greatest("y1", "y2"))).where("lo <= hi")
+    met = edges.withColumn("r", F.explode(F.sequence("lo", "hi"))).withColumn("x", (F.col("x2") - F.col("x1")) * (F.col("r") + 0.5 - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
+    cuts = met.groupBy(key, "r").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    spans = F.transform(F.sequence(F.lit(1), F.expr("size(x) div 2").cast("int")), lambda i: F.struct(start(F.element_at("x", 2 * i - 1)).alias("lo"), stop(F.element_at("x", 2 * i)).alias("hi")))
+    inside = cuts.select(key, "r", F.inline(F.filter(spans, lambda s: s["lo"] <= s["hi"])))
+    return inside.select(key, "r", F.explode(F.sequence("lo", "hi")).alias("c"))
 
 
 def background_ring(labelled: DataFrame, pixels: DataFrame, inner: int = 3, outer: int = 12) -> DataFrame:

@@ -117,19 +117,23 @@ def _(t):
     return R.keep_summary(R.patch_contrast(t.pixel_mask, 0.2), t.tile)
 
 
-@bound("r11_rasterise", "WITH e AS (SELECT patch_id, px / 16 AS x1, py / 16 AS y1, coalesce(lead(px) OVER w, first_value(px) OVER w) / 16 AS x2, coalesce(lead(py) OVER w, first_value(py) OVER w) / 16 AS y2 FROM patch_polygon WINDOW w AS (PARTITION BY patch_id ORDER BY ord)), g AS (SELECT patch_id, a.v AS r, b.v AS c FROM patch CROSS JOIN (SELECT unnest(range(0, 8)) * 4 AS v) a CROSS JOIN (SELECT unnest(range(0, 8)) * 4 AS v) b), k AS (SELECT g.patch_id, r, c FROM g JOIN e USING (patch_id) GROUP BY ALL HAVING count(*) FILTER ((y1 > r + 0.5) <> (y2 > r + 0.5) AND c + 0.5 < (x2 - x1) * (r + 0.5 - y1) / (y2 - y1) + x1) % 2 = 1) SELECT patch_id, count(*) AS n, sum(r * 100 + c)::BIGINT AS mark FROM k GROUP BY patch_id")
+@bound("r11_rasterise", """WITH e AS (SELECT patch_id, px / 16 AS x1, py / 16 AS y1, coalesce(lead(px) OVER w, first_value(px) OVER w) / 16 AS x2, coalesce(lead(py) OVER w, first_value(py) OVER w) / 16 AS y2 FROM patch_polygon WINDOW w AS (PARTITION BY patch_id ORDER BY ord)),
+ h AS (SELECT patch_id, r, list((x2 - x1) * (r + 0.5 - y1) / (y2 - y1) + x1) AS cuts FROM e, (SELECT unnest(range(0, 32)) AS r) WHERE (y1 > r + 0.5) <> (y2 > r + 0.5) GROUP BY ALL),
+ k AS (SELECT patch_id, r, c FROM h, (SELECT unnest(range(0, 32)) AS c) WHERE len(list_filter(cuts, lambda x: c + 0.5 < x)) % 2 = 1)
+ SELECT patch_id, count(*) AS n, sum(r * 100 + c)::BIGINT AS mark FROM k GROUP BY patch_id""")
 def _(t):
-    grid = t.patch.select("patch_id", R.span(8).alias("r")).withColumn("c", R.span(8)).select("patch_id", (F.col("r") * 4).alias("r"), (F.col("c") * 4).alias("c"))
-    points = grid.withColumn("px", F.col("c") + 0.5).withColumn("py", F.col("r") + 0.5)
+    return rastered(t)
+
+
+def rastered(t):
+    """Pixels inside every polygon on the whole raster of 32 x 32."""
     poly = t.patch_polygon.withColumn("px", F.col("px") / 16).withColumn("py", F.col("py") / 16)
-    return J.points_in_polygons(points, poly, "patch_id").groupBy("patch_id").agg(F.count("*").alias("n"), F.sum(F.col("r") * 100 + F.col("c")).cast("bigint").alias("mark"))
+    return R.rasterise(poly, "patch_id", 32).groupBy("patch_id").agg(F.count("*").alias("n"), F.sum(F.col("r") * 100 + F.col("c")).cast("bigint").alias("mark"))
 
 
 @bound("r11_rasterise_whole")
 def _(t):
-    """Every pixel centre of a 32 x 32 raster."""
-    poly = t.patch_polygon.withColumn("px", F.col("px") / 16).withColumn("py", F.col("py") / 16)
-    return R.rasterise(poly, "patch_id", 32).groupBy("patch_id").agg(F.count("*").alias("n"), F.sum(F.col("r") * 100 + F.col("c")).cast("bigint").alias("mark"))
+    return rastered(t)
 
 
 WINDOWS = "SELECT vec_id AS tile_id, w.i AS window, w.i * 10 AS top, w.i * 7 AS l, w.i * 10 + 5 AS bottom, w.i * 7 + 3 AS rt FROM embeddings CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS w(i)"
