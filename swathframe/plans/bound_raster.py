@@ -91,14 +91,19 @@ def _(t):
     return own.select("tile_id", "region", "area", F.round("db", 6).alias("db"), "keep")
 
 
-@bound("r07_background_ring_whole")
+RINGS = LABELS + """, o AS (SELECT dr, dc, abs(dr) + abs(dc) AS d FROM (SELECT unnest(range(-12, 13)) AS dr), (SELECT unnest(range(-12, 13)) AS dc) WHERE abs(dr) + abs(dc) <= 12),
+near AS (SELECT tile_id, region, lab.r + dr AS r, lab.c + dc AS c FROM lab, o GROUP BY ALL HAVING min(d) > 3),
+ring AS (SELECT n.tile_id, n.region, p.r, p.c, p.power FROM near n JOIN pixel_mask p ON p.tile_id = n.tile_id AND p.r = n.r AND p.c = n.c AND NOT p.is_mask)"""
+
+
+@bound("r07_background_ring_whole", f"WITH RECURSIVE {RINGS} SELECT tile_id, region, count(*) AS n, sum(power)::BIGINT AS power FROM ring GROUP BY ALL")
 def _(t):
     """The ring (3, 12] around the regions of is_mask."""
     ring = R.background_ring(labelled(t), t.pixel_mask.select(*R.PIXEL, "power"))
     return ring.groupBy("tile_id", "region").agg(F.count("*").alias("n"), F.sum("power").alias("power"))
 
 
-@bound("r08_region_contrast_whole")
+@bound("r08_region_contrast_whole", f"WITH RECURSIVE {RINGS}, s AS (SELECT tile_id, region, count(*) AS area, avg(p.power) AS signal FROM lab JOIN pixel_mask p USING (tile_id, r, c) GROUP BY ALL), g AS (SELECT tile_id, region, quantile_cont(power, 0.5) AS bg FROM ring GROUP BY ALL), d AS (SELECT tile_id, region, area, 10 * log10(greatest(signal, 1e-12) / greatest(bg, 1e-12)) AS x FROM s LEFT JOIN g USING (tile_id, region)) SELECT tile_id, region, area, round(x, 6) AS db, coalesce(x > 0.5, true) AS keep FROM d")
 def _(t):
     own = R.region_contrast(labelled(t), t.pixel_mask.select(*R.PIXEL, "power"), 0.5)
     return own.select("tile_id", "region", "area", F.round("db", 6).alias("db"), "keep")
