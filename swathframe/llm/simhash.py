@@ -36,7 +36,7 @@ from ..plans.storage import saved
 
 SEED = 42
 #: Rows of one key that meet in a cell, and fingerprints compared in one go.
-CHUNK, BLOCK, STRIP = 2048, 4096, 256
+CHUNK, BLOCK, STRIP = 1024, 4096, 256
 #: Bytes of shingle sets that are compared in one go.
 SET_BYTES = 1 << 26
 
@@ -102,7 +102,7 @@ def sketched(text: Column, width: int, lanes: int, keys: int) -> Column:
     return both(text)
 
 
-def band_keys(fps: DataFrame, radius: int, hot: int = 16 * CHUNK) -> DataFrame:
+def band_keys(fps: DataFrame, radius: int, hot: int = 32_768) -> DataFrame:
     """(key, fp) for 64-bit fingerprints: two within ``radius`` agree on one of radius + 1 bands.
 
     The rows of a band value held by over ``hot`` fingerprints are keyed again, by as many
