@@ -23,7 +23,6 @@ import base64
 import heapq
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -183,25 +182,15 @@ def replay(path: str, pattern: str) -> Replay:
     return _replays[path, pattern]
 
 
-def word_counts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(word, n): the distinct words of at most ``LONGEST`` characters of all texts; docs: (doc_id, text)."""
+def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
+    """(word, n): the distinct words of at most ``LONGEST`` characters of all texts; docs: (doc_id, text).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, tally = replay(ranks_path, pattern), Counter()
-
-        def counted() -> pa.RecordBatch:
-            words = [w for w in tally if len(w) <= LONGEST]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([tally[w] for w in words], pa.int64())], ["word", "n"])
-
-        for batch in slices(batches, SLICE):
-            for text in batch.column(1).to_pylist():
-                tally.update(own.cut(text or ""))
-            if len(tally) > HELD:
-                yield counted()
-                tally.clear()
-        yield counted()
-
-    return docs.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    Texts are cut by the JVM, which is quicker. Where its classes of characters differ from
+    the tokenizer's, a word is counted that no text is cut into, or one is missing from the
+    table; texts themselves are always cut by ``Replay.cut``.
+    """
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("word"))
+    return words.where(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def corpus_table(docs: DataFrame, ranks_path: str, pattern: str, most: int = TABLE) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -210,7 +199,7 @@ def corpus_table(docs: DataFrame, ranks_path: str, pattern: str, most: int = TAB
     How often a word must occur is read off a histogram of counts with 16 steps to a doubling.
     """
     step = F.floor(F.log2("n") * 16).cast("int")
-    counts = saved(word_counts(docs, ranks_path, pattern), "bpe-words")
+    counts = saved(word_counts(docs, pattern), "bpe-words")
     held, least = 0, 1 << 30
     for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):
         held += r["count"]
