@@ -23,11 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back; the result has no lineage. The table goes when the application ends."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends, whole or not."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(held)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def saved(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back; the result has no lineage."""
+    path = scratch_path(df.sparkSession, tag)
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
