@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, with production parameters, and SQL where it can say the same."""
+"""The operators over their whole tables, with production parameters, and SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import shared_dir
 
-from . import bpe, eps_grid, html_extract, mixing, secrets_ledger, simhash, token_store, topk_nra, toxicity, url_filter
+from . import bpe, collocations, eps_grid, html_extract, mixing, pieces, secrets_ledger, simhash, spelling, token_store, topk_nra, toxicity, url_filter
 from .words import small_batches
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -75,6 +75,22 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_nra.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256.0)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"), least=100, longest=5, best=2000)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    coded = pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), every=199), ratio=5)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_html_extraction, op2_url_filter, op3_source_mix, op4_secret_scan, op5_toxicity, op6_byte_bpe, op7_embedding_near_dedup, op8_token_store, op9_simhash_near_dedup, op10_exact_top_k, pipeline]
+    found = [op1_html_extraction, op2_url_filter, op3_source_mix, op4_secret_scan, op5_toxicity, op6_byte_bpe, op7_embedding_near_dedup, op8_token_store, op9_simhash_near_dedup, op10_exact_top_k, op11_phrase_collocations, op12_sentencepiece, op13_spelling_variants, pipeline]
     return {f.__name__: f for f in found}
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow.compute as pc
@@ -82,3 +83,15 @@ def slices(batches, chars: int = 1 << 24):
 def small_batches(spark, rows: int = 1000) -> None:
     """Arrow batches of fewer rows, as whole texts may be long: a worker's memory is that of a few batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+@contextmanager
+def batches_of(spark, rows: int):
+    """Arrow batches of so many rows for what is run inside, where single rows are large; the setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
