@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.storage import saved
+from .words import free_names
 
 #: Hex digits of the seeded order that a round of bins looks at, and rounds until whole hashes are compared.
 DIGITS, ROUNDS = 3, 4
@@ -174,8 +175,8 @@ def cuts_of(marks: DataFrame, sums: DataFrame, quotas: DataFrame) -> DataFrame:
     return saved(met.select(F.struct("q.*").alias("q"), F.col("e.d.h").alias("h"), F.col("e.d.j").alias("j"), F.col("e.d.c").alias("c")), "mix-cuts")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, copies: int = 2, seed: int = 11, sources: Column | None = None, size: Column | None = None, max_patterns: int = 200_000) -> DataFrame:
-    """``docs`` with a struct ``mix``: sources, size, pattern_size, quota (of its sources) and taken, the words that the mix takes of it, repeats counted.
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, copies: int = 2, seed: int = 11, sources: Column | None = None, size: Column | None = None, max_patterns: int = 200_000, out: str = "mix") -> DataFrame:
+    """``docs`` with a struct ``out``, which takes the place of a column of that name: sources, size, pattern_size, quota (of its sources) and taken, the words that the mix takes of it, repeats counted.
 
     sources: array column of the sources of a document, by default its one ``source``.
     size: its words, by default counted in ``text``.
@@ -186,8 +187,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     name = F.col("doc_id").cast("string")
     name = F.coalesce(name, F.md5(F.coalesce("text", F.lit("")))) if "text" in docs.columns else name
     mark = F.md5(F.concat_ws("/", F.lit(str(seed)), name, size.cast("string")))
-    held = docs.withColumn("__m", F.struct(pattern.alias("s"), size.alias("n"), mark.alias("h")))
-    marks = saved(held.select("__m.*"), "mix-marks")
+    m, c, w, part = free_names(docs.columns, "m", "c", "w", "part")
+    held = docs.withColumn(m, F.struct(pattern.alias("s"), size.alias("n"), mark.alias("h")))
+    marks = saved(held.select(f"{m}.*"), "mix-marks")
     sums = saved(marks.groupBy("s", F.substring("h", 1, DIGITS).alias("bin")).agg(F.sum("n").alias("tokens")), "mix-sums")
     rows, quota = targets(sums.groupBy(F.col("s").alias("pattern")).agg(F.sum("tokens").alias("tokens")), tuple(weights), budget, copies, max_patterns)
     ships = route({p: float(t) for p, t in rows}, quota, copies)
@@ -198,16 +200,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     quotas = spark.createDataFrame(plan, "sources array<string>, pattern_size bigint, quota double, passes int, extra double")
     cuts = cuts_of(marks, sums, quotas)
     # a row a pattern, and there are at most max_patterns
-    met = held.join(F.broadcast(cuts.select(F.struct("*").alias("__c"))), F.col("__m.s").eqNullSafe(F.col("__c.q.sources")))
-    here = F.col("__m.h") == F.col("__c.h")
+    met = held.join(F.broadcast(cuts.select(F.struct("*").alias(c))), F.col(f"{m}.s").eqNullSafe(F.col(f"{c}.q.sources")))
+    here = F.col(f"{m}.h") == F.col(f"{c}.h")
+    more = F.when(F.col(f"{c}.h").isNull() | (F.col(f"{m}.h") < F.col(f"{c}.h")), 1).when(here & (F.col(f"{c}.j") > 0), 1).otherwise(0)
     if cuts.where("j > 0 AND j < c").isEmpty():
-        more = F.when(F.col("__c.h").isNull() | (F.col("__m.h") < F.col("__c.h")), 1).when(here & (F.col("__c.j") > 0), 1).otherwise(0)
-        met = met.withColumn("__w", more)
-    else:  # the quota ends between rows that share id and size: so many of them are numbered
-        split = here & (F.col("__c.j") > 0) & (F.col("__c.j") < F.col("__c.c"))
-        more = F.when(F.col("__c.h").isNull() | (F.col("__m.h") < F.col("__c.h")), 1).when(here & (F.col("__c.j") > 0), 1).otherwise(0)
-        number = F.row_number().over(Window.partitionBy("__m.s").orderBy("__m.h"))
-        met = met.where(~F.coalesce(split, F.lit(False))).withColumn("__w", more).unionByName(met.where(split).withColumn("__w", (number <= F.col("__c.j")).cast("int")))
-    taken = F.col("__m.n") * F.least(F.lit(copies), F.col("__c.q.passes") + F.col("__w"))
-    out = F.struct(F.col("__m.s").alias("sources"), F.col("__m.n").alias("size"), F.col("__c.q.pattern_size").alias("pattern_size"), F.col("__c.q.quota").alias("quota"), taken.alias("taken"))
-    return met.select(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"], out.alias("mix"))
+        met = met.withColumn(w, more)
+    else:  # the quota ends between rows that share id and size: so many of them are numbered, part by part of the table they are written to
+        split = here & (F.col(f"{c}.j") > 0) & (F.col(f"{c}.j") < F.col(f"{c}.c"))
+        tied = saved(met.where(split).withColumn(part, F.spark_partition_id()), "mix-tied")
+        sizes = tied.groupBy(F.col(f"{m}.s").alias("s"), F.col(part).alias("p")).agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        offset = sizes.select(F.struct("s", "p", before.alias("before")).alias(w))
+        number = F.row_number().over(Window.partitionBy(f"{m}.s", part).orderBy(f"{m}.h")) + F.col(f"{w}.before")
+        tied = tied.join(offset, F.col(f"{m}.s").eqNullSafe(F.col(f"{w}.s")) & (F.col(part) == F.col(f"{w}.p")))
+        tied = tied.withColumn(w, (number <= F.col(f"{c}.j")).cast("int")).drop(part)
+        met = met.where(~F.coalesce(split, F.lit(False))).withColumn(w, more).unionByName(tied)
+    taken = F.col(f"{m}.n") * F.least(F.lit(copies), F.col(f"{c}.q.passes") + F.col(w))
+    mixed = F.struct(F.col(f"{m}.s").alias("sources"), F.col(f"{m}.n").alias("size"), F.col(f"{c}.q.pattern_size").alias("pattern_size"), F.col(f"{c}.q.quota").alias("quota"), taken.alias("taken"))
+    return met.select(*[F.col(f"`{x}`") for x in docs.columns if x != out], mixed.alias(out))

@@ -165,8 +165,8 @@ one AS (SELECT a.word AS a, b.word AS b FROM k a JOIN k b ON a.i = b.i AND a.key
  UNION SELECT k.word, v.word FROM k JOIN v ON v.word = k.key UNION SELECT v.word, k.word FROM k JOIN v ON v.word = k.key),
 best AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-n, b)) AS near, max(n) AS near_n FROM one JOIN v ON v.word = b GROUP BY a),
 f AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM v LEFT JOIN best USING (word)),
-path(word, at) AS (SELECT word, word FROM f UNION ALL SELECT path.word, f.form FROM path JOIN f ON f.word = path.at WHERE f.form IS NOT NULL)
-SELECT f.word, form, at AS root, n, n_near, form_n FROM f JOIN path ON path.word = f.word JOIN (SELECT word AS last FROM f WHERE form IS NULL) ON at = last
+path(word, stop) AS (SELECT word, word FROM f UNION ALL SELECT path.word, f.form FROM path JOIN f ON f.word = path.stop WHERE f.form IS NOT NULL)
+SELECT f.word, form, stop AS root, n, n_near, form_n FROM f JOIN path ON path.word = f.word JOIN (SELECT word AS last FROM f WHERE form IS NULL) ON stop = last
 """
 
 SQL = {"op11_phrase_collocations": PHRASES, "op13_spelling_variants": SPELLING, "op3_source_mix": MIX, "op7_embedding_near_dedup": NEAR, "op2_url_filter": URLS, "op4_secret_scan": SECRETS, "op10_exact_top_k": TOPK}

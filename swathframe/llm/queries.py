@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import shared_dir
+from ..plans.storage import scratch_path
 
 from . import bpe, collocations, eps_grid, html_extract, mixing, pieces, secrets_ledger, simhash, spelling, token_store, topk_nra, toxicity, url_filter
 from .words import small_batches
@@ -59,9 +59,7 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    path = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "token-store")
     token_store.write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return token_store.read_store(spark, path).select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..plans.storage import saved
+from .words import free_names
 
 SEED = 42
 #: Rows of one key that meet in a cell, and fingerprints compared in one go.
@@ -389,18 +390,19 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int =
     The document with the smallest id (nulls last) and then the smallest row key stays; of
     identical rows, one stays; texts without words are copies of each other.
     """
-    held = docs.withColumn("__row", row_key(docs))
-    marks = held.select("doc_id", "__row", sketched(F.col("text"), width, lanes, keys).alias("s"))
-    marks = saved(marks.select("doc_id", "__row", "s.fp", "s.sketch"), "simhash-docs")
-    first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__row")
+    (row,) = free_names(docs.columns, "row")
+    held = docs.withColumn(row, row_key(docs))
+    marks = held.select("doc_id", F.col(row).alias("row"), sketched(F.col("text"), width, lanes, keys).alias("s"))
+    marks = saved(marks.select("doc_id", "row", "s.fp", "s.sketch"), "simhash-docs")
+    first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
     fps = saved(marks.groupBy("fp").agg(F.min(first).alias("best"), F.min("sketch").alias("sketch")), "simhash-distinct")
     coarse = connected_components(near_links(sketch_keys(fps), radius))
-    near = saved(fps.join(coarse, fps.fp == coarse.node).select("fp", F.col("best.__row").alias("__row"), F.col("component").alias("group")), "simhash-near")
-    once = held.select("__row", "text").join(near, "__row").dropDuplicates(["__row"])
+    near = saved(fps.join(coarse, fps.fp == coarse.node).select("fp", F.col("best.row").alias("row"), F.col("component").alias("group")), "simhash-near")
+    once = held.select(F.col(row).alias("row"), "text").join(near, "row").dropDuplicates(["row"])
     sets = saved(once.select("group", "fp", shingle_set(F.col("text"), width).alias("shingles")), "simhash-sets")
     roots = connected_components(alike_links(sets, radius, least))
     rooted = fps.join(roots, fps.fp == roots.node, "left").select("best", F.coalesce("component", "fp").alias("root"))
-    chosen = saved(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.__row").alias("__row")).distinct(), "simhash-chosen")
+    chosen = saved(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row)).distinct(), "simhash-chosen")
     # copies of a whole row are combined on the map side before they meet
-    kept = held.dropDuplicates(["__row"]).join(chosen, "__row", "left_semi")
+    kept = held.dropDuplicates([row]).join(chosen, row, "left_semi")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

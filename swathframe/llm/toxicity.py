@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import saved
+from .words import free_names
 
 # Common insults, second-person words and look-alike characters.
 INSULTS = "idiot idiots moron morons stupid dumb loser losers pathetic scum worthless trash clown disgusting imbecile fool dumbass asshole bitch bastard idiote imbécile connard stupide crétin salaud dummkopf arschloch trottel idiota imbécil estúpido estúpida cabrón tonto gilipollas".split()
@@ -129,21 +130,26 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame, text_col: str = "text", out: str = "score") -> DataFrame:
         """``docs`` with a column of scores from 0 to 1."""
-        held = docs.withColumn("__x", features(F.col(text_col), self.lexicon))
+        x, own = free_names(docs.columns, "x", out)  # the score takes the place of a column of its name at the end
+        held = docs.withColumn(x, features(F.col(text_col), self.lexicon))
         if self.trees is None:
-            fixed = F.col("__x")[FEATURES.index("fixed")]
-            return held.withColumn(out, fixed / (fixed + 1.0)).drop("__x")
-        raw = self.raw(held)
-        if self.isotonic is None:
-            return raw.withColumnRenamed("__p", out)
-        calibrated = self.isotonic.setFeaturesCol("__p").setPredictionCol("__c").transform(raw)
-        return calibrated.withColumn(out, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("__c")))).drop("__p", "__c")
-
-    def raw(self, held: DataFrame) -> DataFrame:
-        names = {"featuresCol": "__v", "predictionCol": "__k", "rawPredictionCol": "__r", "probabilityCol": "__q"}
-        model = self.trees.copy({getattr(self.trees, k): v for k, v in names.items()})
-        scored = model.transform(held.withColumn("__v", array_to_vector("__x")))
-        return scored.withColumn("__p", vector_to_array("__q")[1]).drop("__x", "__v", "__k", "__r", "__q")
+            fixed = F.col(x)[FEATURES.index("fixed")]
+            found = held.withColumn(own, fixed / (fixed + 1.0))
+        elif self.isotonic is None:
+            found = self.raw(held, x, own)
+        else:
+            p, c = free_names([*docs.columns, x, own], "p", "c")
+            calibrated = self.isotonic.copy({self.isotonic.featuresCol: p, self.isotonic.predictionCol: c}).transform(self.raw(held, x, p))
+            found = calibrated.withColumn(own, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c))))
+        return found.select(*[F.col(f"`{k}`") for k in docs.columns if k != out], F.col(own).alias(out))
+
+    def raw(self, held: DataFrame, x: str = "__x", out: str = "__p") -> DataFrame:
+        """``held`` with the trees' probability of label 1; ``x`` has the features, and goes."""
+        v, k, r, q = free_names([*held.columns, out], "v", "k", "r", "q")
+        names = {"featuresCol": v, "predictionCol": k, "rawPredictionCol": r, "probabilityCol": q}
+        model = self.trees.copy({getattr(self.trees, param): name for param, name in names.items()})
+        scored = model.transform(held.withColumn(v, array_to_vector(x)))
+        return scored.withColumn(out, vector_to_array(q)[1]).drop(x, v, k, r, q)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, rounds: int = 20, depth: int = 4) -> ToxicityModel:

@@ -95,3 +95,14 @@ def batches_of(spark, rows: int):
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores as it takes to be none of the columns."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
