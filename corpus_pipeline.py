@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swathframe.llm import bpe, mixing, secrets_ledger, simhash, toxicity
-from swathframe.llm.words import small_batches
+from swathframe.llm.words import free_names, small_batches
 from swathframe.plans.shipping import ship_package
 from swathframe.plans.storage import saved
 
@@ -31,7 +31,8 @@ def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ready(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels)
-    return model.score(docs, out="__score").where("__score < 0.5").drop("__score")
+    (score,) = free_names(docs.columns, "score")
+    return model.score(docs, out=score).where(F.col(score) < 0.5).drop(score)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,21 +43,23 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by their kind; every document stays. n_chars follows the text where it was set."""
-    held = docs.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")), 256))
+    blob, hit, spans = free_names(docs.columns, "blob", "hit", "spans")
     found, _ = secrets_ledger.scan(docs.select("doc_id", "text"))
-    spans = saved(found.where(F.size("spans") > 0).groupBy(F.col("blob").alias("__found")).agg(F.first("spans").alias("__spans")), "pipeline-secrets")
-    joined = held.join(spans, F.col("__blob") == F.col("__found"), "left")
-    changed = joined.withColumn("text", F.when(F.col("__spans").isNotNull(), secrets_ledger.redact(F.col("text"), F.col("__spans"))).otherwise(F.col("text")))
+    found = found.where(F.size("spans") > 0).groupBy(F.col("blob").alias(hit)).agg(F.first("spans").alias(spans))
+    joined = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256)).join(saved(found, "pipeline-secrets"), F.col(blob) == F.col(hit), "left")
+    is_hit = F.col(hit).isNotNull()
+    changed = joined.withColumn("text", F.when(is_hit, secrets_ledger.redact(F.col("text"), F.col(spans))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        changed = changed.withColumn("n_chars", F.when(is_hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return changed.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: none, once or twice; a document without words passes once."""
-    mixed = mixing.mix(docs, weights=(5, 2, 1), budget=1.5, copies=2)
-    passes = F.when(F.col("mix.size") > 0, (F.col("mix.taken") / F.col("mix.size")).cast("int")).otherwise(1)
-    repeated = mixed.where(passes > 0).withColumn("__pass", F.explode(F.sequence(F.lit(1), passes)))
+    mix, turn = free_names(docs.columns, "mix", "turn")
+    mixed = mixing.mix(docs, weights=(5, 2, 1), budget=1.5, copies=2, out=mix)
+    passes = F.when(F.col(f"{mix}.size") > 0, (F.col(f"{mix}.taken") / F.col(f"{mix}.size")).cast("int")).otherwise(1)
+    repeated = mixed.where(passes > 0).withColumn(turn, F.explode(F.sequence(F.lit(1), passes)))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
