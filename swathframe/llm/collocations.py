@@ -21,6 +21,7 @@ table gives an empty table; ties are ordered by the phrase's bytes; other column
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from .words import batches_of, slices
 
 #: Bytes of text in a block, blocks in an Arrow batch, and how Parquet is told that its rows are large.
 BLOCK, TOGETHER = 6_000_000, 4
-LARGE_ROWS = {"parquet.block.size.row.check.min": "4", "parquet.page.size.row.check.min": "4"}
+LARGE_ROWS = {"parquet.block.size.row.check.min": "4", "parquet.page.size.row.check.min": "4", "compression": "zstd"}
 #: Fixed: 1 ends a word, 2 also ends a piece.
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
@@ -42,6 +43,22 @@ KIND[[ord(c) for c in ".,;:!?\n\v\f\r"]] = 2
 OCCURRENCES = "block bigint, at binary, of binary"
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 as compressed bytes, in the width that they need."""
+    width = 1 if numbers.max(initial=0) < 1 << 8 else 2 if numbers.max(initial=0) < 1 << 16 else 4
+    return struct.pack("<BI", width, len(numbers)) + pa.compress(numbers.astype(f"<u{width}").tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    width, n = struct.unpack_from("<BI", raw)
+    return np.frombuffer(pa.decompress(raw[5:], width * n, "zstd", asbytes=True), f"<u{width}").astype(np.int64)
+
+
+def packed_steps(positions: np.ndarray) -> bytes:
+    """Ascending positions as the steps between them."""
+    return packed(np.diff(positions, prepend=0))
+
+
 def occurrences(text: bytes) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct words, their counts, positions, word number at each position) of a block of UTF-8 texts."""
     raw = np.frombuffer(text.lower(), np.uint8)  # bytes know only A-Z as capitals
@@ -69,7 +86,7 @@ def word_blocks(docs: DataFrame) -> DataFrame:
             for lang, texts in held.items():
                 words, n, at, of = occurrences("\n".join(texts).encode())
                 if len(at):
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([made], pa.int64()), "lang": pa.array([lang]), "at": pa.array([at.tobytes()], pa.binary()), "of": pa.array([of.tobytes()], pa.binary()), "words": pa.array([words.cast(pa.string())], pa.list_(pa.string())), "n": pa.array([n], pa.list_(pa.int64()))})
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([made], pa.int64()), "lang": pa.array([lang]), "at": pa.array([packed_steps(at)], pa.binary()), "of": pa.array([packed(of)], pa.binary()), "words": pa.array([words.cast(pa.string())], pa.list_(pa.string())), "n": pa.array([n], pa.list_(pa.int64()))})
                     made += 1
 
         for batch in slices(batches, BLOCK):
@@ -93,7 +110,7 @@ def extended(relation: DataFrame, kept: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                block, at, of = batch.column(0)[k].as_py(), *(np.frombuffer(batch.column(c)[k].as_buffer(), np.int32) for c in (1, 2))
+                block, at, of = batch.column(0)[k].as_py(), np.cumsum(unpacked(batch.column(1)[k].as_py())), unpacked(batch.column(2)[k].as_py())
                 places, ids = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (3, 4))
                 new = np.full(of.max() + 1, -1, np.int64)
                 new[places] = np.arange(len(places))
@@ -102,7 +119,7 @@ def extended(relation: DataFrame, kept: DataFrame) -> DataFrame:
                 meets = np.flatnonzero(at[1:] == at[:-1] + 1)  # the merge-join at the next position
                 if len(meets):
                     pairs, place, n = np.unique(group[meets] * len(ids) + group[meets + 1], return_inverse=True, return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "at": pa.array([at[meets].tobytes()], pa.binary()), "of": pa.array([place.astype(np.int32).tobytes()], pa.binary()), "first": pa.array([ids[pairs // len(ids)]], pa.list_(pa.int64())), "second": pa.array([ids[pairs % len(ids)]], pa.list_(pa.int64())), "n": pa.array([n], pa.list_(pa.int64()))})
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "at": pa.array([packed_steps(at[meets])], pa.binary()), "of": pa.array([packed(place)], pa.binary()), "first": pa.array([ids[pairs // len(ids)]], pa.list_(pa.int64())), "second": pa.array([ids[pairs % len(ids)]], pa.list_(pa.int64())), "n": pa.array([n], pa.list_(pa.int64()))})
 
     return relation.select("block", "at", "of").join(frequent, "block").mapInArrow(run, OCCURRENCES + ", first array<bigint>, second array<bigint>, n array<bigint>")
 

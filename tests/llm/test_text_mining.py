@@ -61,8 +61,15 @@ def test_scores_pass_64_bits(spark, monkeypatch):
 
 def test_a_block_sends_a_row_a_group(spark):
     relation = collocations.word_blocks(docs_of(spark, [(i, "of the " * 500, "en") for i in range(40)]).repartition(4))
-    groups = relation.selectExpr("sum(size(n)) AS groups", "count(*) AS blocks", "sum(octet_length(at) div 4) AS places").first()
-    assert groups.places == 40_000 and groups.groups == 2 * groups.blocks <= 8
+    groups = relation.selectExpr("sum(size(n)) AS groups", "count(*) AS blocks", "sum(aggregate(n, 0L, (a, x) -> a + x)) AS places", "sum(octet_length(at) + octet_length(of)) AS bytes").first()
+    assert groups.places == 40_000 and groups.groups == 2 * groups.blocks <= 8 and groups.bytes < 2000
+
+
+def test_packed_numbers():
+    for most in (0, 255, 256, 65535, 65536, 2**31 - 1):
+        numbers = np.array([0, most, 1, most])
+        assert collocations.unpacked(collocations.packed(numbers)).tolist() == numbers.tolist()
+    assert len(collocations.unpacked(collocations.packed(np.zeros(0, np.int64)))) == 0
 
 
 # -------------------------------------------------------------- sentencepiece
