@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..sources import files as S
-from ..streaming import jobs
+from ..sources import png, tiles
+from ..streaming import jobs, keyed
 from .bound_joins import whole_targets
-from .registry import bound
+from .registry import ORACLE, bound
 
 
 @bound("s01_scene_mapping", "SELECT CAST(o_orderkey AS VARCHAR) AS num, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('GRD_', o_custkey) END AS grd, concat('SLC_', o_orderkey) AS slc FROM orders WHERE o_orderkey % 10 <> 0")
@@ -103,9 +104,24 @@ def _(t):
     return label_xml(t).select("patch_id", S.scene_of_content(F.encode("text", "UTF-8")).alias("scene"))
 
 
-@bound("s07_file_inventory", r"SELECT name, 'parquet' AS ext, try_cast(regexp_extract(name, '_(\d+)[^_]*$', 1) AS BIGINT) AS file_id FROM (SELECT regexp_extract(file, '[^/]+$') AS name FROM glob('/root/testdata/sf0.01/*.parquet'))")
+def touch_files(batches, folder):
+    """Empty files of the given names in ``folder``."""
+    system, path = tiles.opened(folder)
+    for batch in batches:
+        for name in batch.column(0).to_pylist():
+            system.create_dir(f"{path}/{name}".rpartition("/")[0])
+            system.open_output_stream(f"{path}/{name}").close()
+        yield batch
+
+
+@bound("s07_file_inventory", "SELECT concat('SAR_', CASE WHEN s_suppkey % 2 = 0 THEN 'VH_' ELSE 'VV_' END, s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN '_raw' ELSE '' END, CASE WHEN s_suppkey % 3 = 0 THEN '.npy' ELSE '.png' END) AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'npy' ELSE 'png' END AS ext, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey END::BIGINT AS file_id FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 3 <> 1")
 def _(t):
-    return S.file_inventory(t.spark, t.sf_dir, ["parquet"]).select("name", "ext", "file_id")
+    folder = S.scratch(t.spark, "inventory")
+    k = F.col("s_suppkey")
+    ext = F.when(k % 3 == 0, ".npy").when(k % 3 == 1, ".dat").otherwise(".png")
+    name = F.concat("s_nationkey", F.lit("/SAR_"), F.when(k % 2 == 0, "VH_").otherwise("VV_"), k, F.when(k % 5 == 0, "_raw").otherwise(""), ext)
+    t.supplier.select(name.alias("name")).mapInArrow(lambda batches: touch_files(batches, folder), "name string").write.format("noop").mode("overwrite").save()
+    return S.file_inventory(t.spark, folder, ["npy", "png"], ["_VH_"]).select("name", "ext", "file_id")
 
 
 def encode(kind):
@@ -141,6 +157,44 @@ def _(t):
     return S.tile_pixels(S.read_npy(contents(t, "npy"))).withColumnRenamed("key", "k")
 
 
+def mask_images(batches):
+    """(path, embedding) to PNG masks of 4 x 8, white where the first half is positive; each row has another line filter."""
+    for batch in batches:
+        images = [png.encode_mask(255 * (np.array(v[:32], np.float64).reshape(4, 8) > 0), [(k + r) % 5 for r in range(4)]) for k, v in enumerate(batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(images, pa.binary())], ["path", "content"])
+
+
+@bound("s09b_masked_tiles", "SELECT vec_id AS k, (p // 8)::INT AS r, (p % 8)::INT AS c, embedding[p + 1] AS i, embedding[p + 33] AS q, (embedding[p + 1] > 0)::INT AS label FROM embeddings, (SELECT unnest(range(0, 32)) AS p)")
+def _(t):
+    images = t.embeddings.select(F.col("vec_id").alias("path"), "embedding").mapInArrow(mask_images, "path bigint, content binary")
+    masks = png.read_masks(images).where("error IS NULL").select("key", F.posexplode("label").alias("p", "label"), "w").select("key", F.expr("p div w").cast("int").alias("r"), (F.col("p") % F.col("w")).alias("c"), "label")
+    return S.tile_pixels(S.read_npy(contents(t, "npy"))).join(masks, ["key", "r", "c"]).withColumnRenamed("key", "k")
+
+
+def write_files(batches, folder):
+    """(file, rows of embeddings in order) to patch files of ``folder``."""
+    system, path = tiles.opened(folder)
+    for batch in batches:
+        for name, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            iq = np.array(rows, "<f4").reshape(len(rows), 2, 32).transpose(0, 2, 1)
+            with system.open_output_stream(f"{path}/tiles_{name}.dat") as out:
+                out.write(np.array([len(rows), 32], "<u4").tobytes() + np.ascontiguousarray(iq).tobytes())
+        yield batch.select(["file"])
+
+
+@bound("s08b_tile_windows", "SELECT vec_id AS k, (5 + p)::INT AS c, embedding[6 + p] AS i, embedding[38 + p] AS q FROM embeddings, (SELECT unnest(range(0, 12)) AS p) WHERE vec_id % 64 >= 10 AND vec_id % 64 < 50")
+def _(t):
+    tiles.register(t.spark)
+    folder = S.scratch(t.spark, "tile-files")
+    system, path = tiles.opened(folder)
+    system.create_dir(path)
+    files = t.embeddings.groupBy(F.expr("vec_id div 64").alias("file")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("rows"))
+    files.mapInArrow(lambda batches: write_files(batches, folder), "file bigint").write.format("noop").mode("overwrite").save()
+    lines = t.spark.read.format("patch_tiles").options(path=folder, row=10, rows=40, col=5, cols=12, split=8000).load()
+    k = F.regexp_extract("path", r"tiles_(\d+)\.dat$", 1).cast("bigint") * 64 + F.col("row")
+    return lines.select(k.alias("k"), "col", F.posexplode(F.arrays_zip("i", "q")).alias("p", "v")).select("k", (F.col("col") + F.col("p")).alias("c"), F.col("v.i").alias("i"), F.col("v.q").alias("q"))
+
+
 @bound("s10_match_table", "SELECT target_id, product_id FROM target t JOIN product p ON t.start_ts <= p.start_ts AND t.stop_ts >= p.stop_ts")
 def _(t):
     path = S.scratch(t.spark, "matches")
@@ -211,6 +265,20 @@ def _(t):
     return jobs.latest_bursts(t.spark.read.parquet(f"{base}/out/updates").drop("batch"))
 
 
+@bound("st2b_keyed_bursts", ORACLE["st2_burst_stream"])
+def _(t):
+    base = S.scratch(t.spark, "keyed-bursts")
+    pulses = t.pulse.select("stream", "seq", "ts", "swath", F.lit(False).alias("ends"))
+    middle = pulses.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.5).alias("m")).first().m
+    early = F.unix_micros(F.col("ts").cast("timestamp")) <= middle
+    marks = pulses.select("stream").distinct().select("stream", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast(pulses.schema["ts"].dataType).alias("ts"), F.lit(None).cast("string").alias("swath"), F.lit(True).alias("ends"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pulses.schema)
+    for part in (pulses.where(early), pulses.where(~early), marks):
+        part.write.mode("append").parquet(f"{base}/in")
+        keyed.start_keyed_bursts(t.spark, f"{base}/in", schema, f"{base}/checkpoint", f"{base}/out").awaitTermination()
+    return t.spark.read.schema(keyed.OUT).parquet(f"{base}/out").where("NOT late").drop("late")
+
+
 @bound("x02_mask_resolver", "SELECT f.doc_id, m.path FROM tile_file f LEFT JOIN mask_file m ON m.doc_id = f.doc_id")
 def _(t):
     def by_id(tiles, masks):
@@ -227,3 +295,10 @@ def resolve(tiles, masks, strategy):
 @bound("x04_binary_decoder", "SELECT vec_id AS k, 4 AS h, 8 AS w, 32 AS n FROM embeddings")
 def _(t):
     return S.read_l0(contents(t, "l0")).select(F.col("key").alias("k"), "h", "w", F.size("i").alias("n"))
+
+
+@bound("x04b_tile_pixels", IQ)
+def _(t):
+    tiles.register(t.spark)
+    contents(t, "l0").createOrReplaceTempView("tile_contents")
+    return t.spark.sql("SELECT path AS k, p.* FROM tile_contents, LATERAL tile_pixels(content) AS p")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import struct
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import shared_dir
+from ..plans.storage import scratch_path as scratch
 
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -22,10 +21,6 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
 def round_trip_csv(df: DataFrame, sep: str = ",") -> DataFrame:
     """Written as CSV with a header and read back under the same schema."""
     path = scratch(df.sparkSession, "csv")
@@ -130,16 +125,31 @@ def read_l0(contents: DataFrame, key: str = "path") -> DataFrame:
     return contents.select(F.col(key).alias("key"), "content").mapInArrow(decode_l0, f"key {kind}, h int, w int, i array<float>, q array<float>")
 
 
+def iq_of(a: np.ndarray) -> list[np.ndarray]:
+    """Finite (h, w) parts of a complex, (h, w, 2) or (2, h, w) array."""
+    if np.iscomplexobj(a) and a.ndim == 2:
+        parts = a.real, a.imag
+    elif a.ndim == 3 and a.shape[-1] == 2:
+        parts = a[..., 0], a[..., 1]
+    elif a.ndim == 3 and a.shape[0] == 2:
+        parts = a[0], a[1]
+    else:
+        raise ValueError(f"no tile: shape {a.shape}")
+    return [np.nan_to_num(x.astype(np.float32), nan=0, posinf=0, neginf=0) for x in parts]
+
+
 def decode_npy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, content) of .npy tiles: complex, (H, W, 2) or (2, H, W); NaN and infinities become 0."""
+    """(key, content) of .npy tiles: complex, (H, W, 2) or (2, H, W); NaN and infinities become 0. What is no tile, damaged or null is an error row with h null."""
     for batch in batches:
         keys, out = [], {"h": [], "w": [], "i": [], "q": []}
         for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            a = np.load(io.BytesIO(raw), allow_pickle=False)
-            i, q = (a.real, a.imag) if np.iscomplexobj(a) else (a[..., 0], a[..., 1]) if a.shape[-1] == 2 else (a[0], a[1])
-            i, q = (np.nan_to_num(x.astype(np.float32), nan=0, posinf=0, neginf=0) for x in (i, q))
+            try:
+                i, q = iq_of(np.load(io.BytesIO(raw or b""), allow_pickle=False))
+                found = (i.shape[0], i.shape[1], i.ravel(), q.ravel())
+            except (ValueError, EOFError, OSError):
+                found = (None, None, None, None)
             keys.append(key)
-            for k, v in (("h", i.shape[0]), ("w", i.shape[1]), ("i", i.ravel()), ("q", q.ravel())):
+            for k, v in zip(out, found):
                 out[k].append(v)
         yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(out["h"], pa.int32()), pa.array(out["w"], pa.int32()), pa.array(out["i"], pa.list_(pa.float32())), pa.array(out["q"], pa.list_(pa.float32()))], ["key", *out])
 
