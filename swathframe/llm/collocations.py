@@ -7,12 +7,15 @@ one apart are neighbours in one piece. A length is mined in three steps:
 
 * the relation is merge-joined with itself at the next position: a phrase and the one that
   begins a word later make one that is a word longer, in the same piece. Groups are counted
-  block by block and what leaves a block is a row for each of its groups;
-* these rows are summed, and groups of at least ``least`` occurrences are numbered and kept;
-* the relation is semi-joined with the frequent groups before it is extended again.
+  block by block, and leave a block as sorted lists, one for each bucket of groups;
+* a bucket merges the lists of all blocks. It numbers the groups of at least ``least``
+  occurrences and tells each block which of its groups they are;
+* the relation is semi-joined with these before it is extended again.
 
-Only rows of (block, group) and, once a length, the blocks themselves are shuffled: however
-often a phrase occurs, it is one row a block. Blocks hold about ``BLOCK`` bytes, or one text.
+Relations and lists are compressed columns of numbers: a block's positions as steps, its
+groups in the width that they need. However often a phrase occurs, it is one entry a block,
+so no bucket gets more than its share of groups times blocks; buckets grow in number with
+the shuffle's partitions. Blocks hold about ``BLOCK`` bytes, or one text.
 
 Scores are exact (decimals of 38 digits). Edge cases: a null text is an empty one, a null
 language is ``und`` (and so one with rows that say so); repeated rows count again; an empty
@@ -22,9 +25,10 @@ table gives an empty table; ties are ordered by the phrase's bytes; other column
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,19 +37,22 @@ from pyspark.sql import functions as F
 from ..plans.storage import saved
 from .words import batches_of, slices
 
-#: Bytes of text in a block, blocks in an Arrow batch, and how Parquet is told that its rows are large.
-BLOCK, TOGETHER = 6_000_000, 4
+#: Bytes of text in a block, rows of lists or relations in an Arrow batch, buckets a shuffle partition, and how Parquet is told that its rows are large.
+BLOCK, TOGETHER, BUCKETS = 8_000_000, 4, 4
 LARGE_ROWS = {"parquet.block.size.row.check.min": "4", "parquet.page.size.row.check.min": "4", "compression": "zstd"}
 #: Fixed: 1 ends a word, 2 also ends a piece.
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
 KIND[[ord(c) for c in ".,;:!?\n\v\f\r"]] = 2
-OCCURRENCES = "block bigint, at binary, of binary"
+LISTS = "array<struct<bucket:bigint,start:bigint,first:binary,second:binary,n:binary>>"
+RELATION = f"block bigint, lang string, at binary, of binary, words bigint, lists {LISTS}"
+FREQUENT = "id bigint, first bigint, second bigint, lang string, word string, f bigint, block bigint, places binary, ids binary"
 
 
 def packed(numbers: np.ndarray) -> bytes:
     """Whole numbers from 0 as compressed bytes, in the width that they need."""
-    width = 1 if numbers.max(initial=0) < 1 << 8 else 2 if numbers.max(initial=0) < 1 << 16 else 4
+    most = int(numbers.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
     return struct.pack("<BI", width, len(numbers)) + pa.compress(numbers.astype(f"<u{width}").tobytes(), "zstd", asbytes=True)
 
 
@@ -54,13 +61,39 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw[5:], width * n, "zstd", asbytes=True), f"<u{width}").astype(np.int64)
 
 
-def packed_steps(positions: np.ndarray) -> bytes:
-    """Ascending positions as the steps between them."""
-    return packed(np.diff(positions, prepend=0))
+def packed_steps(ascending: np.ndarray) -> bytes:
+    """Ascending numbers as the steps between them."""
+    return packed(np.diff(ascending, prepend=0))
 
 
-def occurrences(text: bytes) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct words, their counts, positions, word number at each position) of a block of UTF-8 texts."""
+def unpacked_steps(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw))
+
+
+def packed_words(words: list[str]) -> bytes:
+    """Words, none of which has a line end."""
+    raw = "\n".join(words).encode()
+    return struct.pack("<I", len(raw)) + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked_words(raw: bytes) -> list[str]:
+    return pa.decompress(raw[4:], struct.unpack_from("<I", raw)[0], "zstd", asbytes=True).decode().split("\n")
+
+
+def lists_of(bucket: np.ndarray, columns: list[Callable[[slice], bytes]]) -> list[dict]:
+    """A list for each bucket of groups that are sorted by it. columns: what packs a slice of first, second and n."""
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
+    return [{"bucket": int(bucket[a]), "start": int(a), **{k: pack(slice(a, b)) for k, pack in zip(("first", "second", "n"), columns)}} for a, b in zip(cuts, cuts[1:])]
+
+
+def relation_row(block: int, lang: str, at: np.ndarray, of: np.ndarray, lists: list[dict]) -> pa.RecordBatch:
+    kinds = pa.struct([("bucket", pa.int64()), ("start", pa.int64()), ("first", pa.binary()), ("second", pa.binary()), ("n", pa.binary())])
+    columns = [pa.array([block], pa.int64()), pa.array([lang], pa.string()), pa.array([packed_steps(at)], pa.binary()), pa.array([packed(of)], pa.binary()), pa.array([len(at)], pa.int64()), pa.array([lists], pa.list_(kinds))]
+    return pa.RecordBatch.from_arrays(columns, ["block", "lang", "at", "of", "words", "lists"])
+
+
+def occurrences(text: bytes) -> tuple[pa.LargeStringArray, np.ndarray, np.ndarray]:
+    """(distinct words, positions, word number at each position) of a block of UTF-8 texts."""
     raw = np.frombuffer(text.lower(), np.uint8)  # bytes know only A-Z as capitals
     kind = KIND[raw]
     inside = np.zeros(len(raw) + 2, bool)
@@ -70,12 +103,11 @@ def occurrences(text: bytes) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np
     skipped = np.cumsum(np.diff(piece, prepend=piece[:1]) > 0)
     offsets = np.concatenate([[0], np.cumsum(end - first)]).astype(np.int64)
     words = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(raw[inside[1:-1]])).dictionary_encode()
-    number = words.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-    return words.dictionary, np.bincount(number, minlength=len(words.dictionary)), (np.arange(len(first)) + skipped).astype(np.int32), number
+    return words.dictionary, np.arange(len(first)) + skipped, words.indices.to_numpy(zero_copy_only=False)
 
 
-def word_blocks(docs: DataFrame) -> DataFrame:
-    """(block, lang, at, of, words, n): the relation of single words."""
+def word_blocks(docs: DataFrame, buckets: int) -> DataFrame:
+    """The relation of single words: a row a block, with its positions, the number of the word at each, and lists of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[str]] = {}
@@ -84,9 +116,16 @@ def word_blocks(docs: DataFrame) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             nonlocal made
             for lang, texts in held.items():
-                words, n, at, of = occurrences("\n".join(texts).encode())
+                distinct, at, of = occurrences("\n".join(texts).encode())
                 if len(at):
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([made], pa.int64()), "lang": pa.array([lang]), "at": pa.array([packed_steps(at)], pa.binary()), "of": pa.array([packed(of)], pa.binary()), "words": pa.array([words.cast(pa.string())], pa.list_(pa.string())), "n": pa.array([n], pa.list_(pa.int64()))})
+                    words = np.array(distinct.to_pylist(), object)
+                    bucket = pd.util.hash_array(words, categorize=False) % np.uint64(buckets)
+                    order = np.argsort(bucket, kind="stable")
+                    number = np.empty(len(order), np.int64)
+                    number[order] = np.arange(len(order))
+                    of, words = number[of], words[order]
+                    n = np.bincount(of, minlength=len(order))
+                    yield relation_row(made, lang, at, of, lists_of(bucket[order], [lambda s: packed_words(words[s].tolist()), lambda s: b"", lambda s: packed(n[s])]))
                     made += 1
 
         for batch in slices(batches, BLOCK):
@@ -100,18 +139,24 @@ def word_blocks(docs: DataFrame) -> DataFrame:
         yield from out()
 
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    return texts.mapInArrow(run, "block bigint, lang string, at binary, of binary, words array<string>, n array<bigint>")
+    return texts.mapInArrow(run, RELATION)
+
+
+def bucket_of(first: np.ndarray, second: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) % np.uint64(buckets)
 
 
-def extended(relation: DataFrame, kept: DataFrame) -> DataFrame:
-    """(block, at, of, first, second, n): phrases a word longer. relation: (block, at, of), kept: (block, of, id) of its frequent groups."""
-    frequent = kept.groupBy("block").agg(F.collect_list("of").alias("places"), F.collect_list("id").alias("ids"))
+def extended(relation: DataFrame, frequent: DataFrame, buckets: int) -> DataFrame:
+    """The relation of phrases a word longer. frequent: (block, places, ids) of the groups that go on."""
+    kept = frequent.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("places", "ids")).alias("kept"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                block, at, of = batch.column(0)[k].as_py(), np.cumsum(unpacked(batch.column(1)[k].as_py())), unpacked(batch.column(2)[k].as_py())
-                places, ids = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (3, 4))
+            for row in batch.to_pylist():
+                at, of = unpacked_steps(row["at"]), unpacked(row["of"])
+                places = np.concatenate([unpacked_steps(x["places"]) for x in row["kept"]])
+                ids = np.concatenate([unpacked(x["ids"]) for x in row["kept"]])
                 new = np.full(of.max() + 1, -1, np.int64)
                 new[places] = np.arange(len(places))
                 stays = new[of] >= 0  # the semi-join
@@ -119,32 +164,99 @@ def extended(relation: DataFrame, kept: DataFrame) -> DataFrame:
                 meets = np.flatnonzero(at[1:] == at[:-1] + 1)  # the merge-join at the next position
                 if len(meets):
                     pairs, place, n = np.unique(group[meets] * len(ids) + group[meets + 1], return_inverse=True, return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "at": pa.array([packed_steps(at[meets])], pa.binary()), "of": pa.array([packed(place)], pa.binary()), "first": pa.array([ids[pairs // len(ids)]], pa.list_(pa.int64())), "second": pa.array([ids[pairs % len(ids)]], pa.list_(pa.int64())), "n": pa.array([n], pa.list_(pa.int64()))})
+                    first, second = ids[pairs // len(ids)], ids[pairs % len(ids)]
+                    bucket = bucket_of(first, second, buckets)
+                    order = np.lexsort((second, first, bucket))
+                    number = np.empty(len(order), np.int64)
+                    number[order] = np.arange(len(order))
+                    first, second, n = first[order], second[order], n[order]
+                    yield relation_row(row["block"], row["lang"], at[meets], number[place], lists_of(bucket[order], [lambda s: packed_steps(first[s]), lambda s: packed(second[s]), lambda s: packed(n[s])]))
+
+    return relation.select("block", "lang", "at", "of").join(kept, "block").mapInArrow(run, RELATION)
+
+
+def merged(lists: list[dict], single: bool, least: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Frequent groups of a bucket, and for each block which of its groups they are."""
+    bucket, n = lists[0]["bucket"], np.concatenate([unpacked(x["n"]) for x in lists])
+    if single:
+        held = [unpacked_words(x["first"]) for x in lists]
+        size = [len(x) for x in held]
+        every = pa.array([f"{x['lang']}\n{w}" for x, words in zip(lists, held) for w in words], pa.large_string()).dictionary_encode()
+        code, distinct = every.indices.to_numpy(zero_copy_only=False), every.dictionary
+    else:
+        firsts = [unpacked_steps(x["first"]) for x in lists]
+        size, first, second = [len(x) for x in firsts], np.concatenate(firsts), np.concatenate([unpacked(x["second"]) for x in lists])
+        (a, i), (b, j) = np.unique(first, return_inverse=True), np.unique(second, return_inverse=True)
+        distinct, code = np.unique(i * len(b) + j, return_inverse=True)
+    f = np.zeros(len(distinct), np.int64)
+    np.add.at(f, code, n)
+    able = np.flatnonzero(f >= least)
+    if not len(able):
+        return
+    ids = np.full(len(distinct), -1, np.int64)
+    ids[able] = np.arange(len(able)) * buckets + bucket  # no other bucket has these
+    if single:
+        lang, word = zip(*(x.split("\n", 1) for x in distinct.take(pa.array(able)).to_pylist()))
+        columns = {"id": ids[able], "lang": lang, "word": word, "f": f[able]}
+    else:
+        columns = {"id": ids[able], "first": a[distinct[able] // len(b)], "second": b[distinct[able] % len(b)], "f": f[able]}
+    yield frequent_rows(len(able), columns)
+    told = {"block": [], "places": [], "ids": []}
+    for x, own in zip(lists, np.split(ids[code], np.cumsum(size)[:-1])):
+        places = np.flatnonzero(own >= 0)
+        if len(places):
+            for k, v in (("block", x["block"]), ("places", packed_steps(x["start"] + places)), ("ids", packed(own[places]))):
+                told[k].append(v)
+    yield frequent_rows(len(told["block"]), told)
+
+
+def frequent_rows(n: int, columns: dict) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [x.split() for x in FREQUENT.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[k], kinds[t]) if k in columns else pa.nulls(n, kinds[t]) for k, t in fields], [k for k, _ in fields])
+
+
+def frequent_groups(relation: DataFrame, single: bool, least: int, buckets: int) -> DataFrame:
+    """Rows of ``FREQUENT``: a row (id, first, second or lang, word, f) a frequent group, and (block, places, ids) for blocks and buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[0]["bucket"] != row["bucket"]:
+                    yield from merged(held, single, least, buckets)
+                    held = []
+                held.append(row)
+        if held:
+            yield from merged(held, single, least, buckets)
 
-    return relation.select("block", "at", "of").join(frequent, "block").mapInArrow(run, OCCURRENCES + ", first array<bigint>, second array<bigint>, n array<bigint>")
+    lists = relation.select("block", "lang", F.explode("lists").alias("x")).select("x.bucket", "block", "lang", "x.start", "x.first", "x.second", "x.n")
+    return lists.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, FREQUENT)
 
 
 def frequent_phrases(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, m, f) of phrases of up to ``longest`` words that occur ``least`` times, (lang, n) with the words of each language)."""
     spark = docs.sparkSession
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     with batches_of(spark, 1000):
-        relation = saved(word_blocks(docs), "phrase-words", **LARGE_ROWS)
-    totals = relation.select("lang", F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    groups = relation.select("block", "lang", F.posexplode(F.arrays_zip("words", "n")).alias("of", "x")).select("block", "lang", "of", F.col("x.words").alias("word"), "x.n")
-    sums = groups.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    numbered = saved(sums.select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f"), "phrase-frequent")
-    kept = groups.join(numbered.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]).select("block", "of", "id")
-    found = numbered.select("lang", "phrase", F.lit(1).alias("m"), "f")
-    for m in range(2, longest + 1):
-        with batches_of(spark, TOGETHER):
-            relation = saved(extended(relation, kept), f"phrase-{m}", **LARGE_ROWS)
-        groups = relation.select("block", F.posexplode(F.arrays_zip("first", "second", "n")).alias("of", "x")).select("block", "of", "x.first", "x.second", "x.n")
-        sums = groups.groupBy("first", "second").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        begin, end = numbered.select(F.col("id").alias("first"), "lang", "phrase"), numbered.select(F.col("id").alias("second"), "last")
-        named = sums.join(begin, "first").join(end, "second")
-        numbered = saved(named.select(F.monotonically_increasing_id().alias("id"), "first", "second", "lang", F.concat("phrase", F.lit(" "), "last").alias("phrase"), "last", "f"), "phrase-frequent")
-        kept = groups.join(numbered.select("first", "second", "id"), ["first", "second"]).select("block", "of", "id")
-        found = found.unionByName(numbered.select("lang", "phrase", F.lit(m).alias("m"), "f"))
+        relation = saved(word_blocks(docs, buckets), "phrase-words", **LARGE_ROWS)
+    totals = relation.groupBy("lang").agg(F.sum("words").alias("n"))
+    found = names = None
+    for m in range(1, longest + 1):
+        if m > 1:
+            with batches_of(spark, TOGETHER):
+                relation = saved(extended(relation, frequent, buckets), f"phrase-{m}", **LARGE_ROWS)
+        with batches_of(spark, 1000):
+            frequent = saved(frequent_groups(relation, m == 1, least, buckets), "phrase-frequent")
+        own = frequent.where("id IS NOT NULL")
+        if m == 1:
+            own = own.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f")
+        else:
+            begin, end = names.select(F.col("id").alias("first"), "lang", "phrase"), names.select(F.col("id").alias("second"), "last")
+            own = own.select("id", "first", "second", "f").join(begin, "first").join(end, "second").select("id", "lang", F.concat("phrase", F.lit(" "), "last").alias("phrase"), "last", "f")
+        names = saved(own, "phrase-names")
+        own = names.select("lang", "phrase", F.lit(m).alias("m"), "f")
+        found = own if found is None else found.unionByName(own)
     return found, totals
 
 

@@ -59,14 +59,20 @@ def test_scores_pass_64_bits(spark, monkeypatch):
     assert row.score == 1000 * row.a * row.n // (row.l * row.r) and row.a * row.n > 2**63
 
 
-def test_a_block_sends_a_row_a_group(spark):
-    relation = collocations.word_blocks(docs_of(spark, [(i, "of the " * 500, "en") for i in range(40)]).repartition(4))
-    groups = relation.selectExpr("sum(size(n)) AS groups", "count(*) AS blocks", "sum(aggregate(n, 0L, (a, x) -> a + x)) AS places", "sum(octet_length(at) + octet_length(of)) AS bytes").first()
-    assert groups.places == 40_000 and groups.groups == 2 * groups.blocks <= 8 and groups.bytes < 2000
+def test_a_block_sends_an_entry_a_group(spark):
+    relation = collocations.word_blocks(docs_of(spark, [(i, "of the " * 500, "en") for i in range(40)]).repartition(4), 3)
+    rows = relation.collect()
+    assert sum(r.words for r in rows) == 40_000 and len(rows) <= 4
+    entries = [collocations.unpacked(x.n) for r in rows for x in r.lists]
+    assert sum(len(x) for x in entries) == 2 * len(rows) and sum(int(x.sum()) for x in entries) == 40_000
+    assert sum(len(r["at"]) + len(r.of) for r in rows) < 2000
+    frequent = collocations.frequent_groups(relation, True, 20_000, 3).collect()
+    assert sorted((r.word, r.f) for r in frequent if r.id is not None) == [("of", 20_000), ("the", 20_000)]
+    assert len({r.id for r in frequent if r.id is not None}) == 2
 
 
 def test_packed_numbers():
-    for most in (0, 255, 256, 65535, 65536, 2**31 - 1):
+    for most in (0, 255, 256, 65535, 65536, 2**31 - 1, 2**40):
         numbers = np.array([0, most, 1, most])
         assert collocations.unpacked(collocations.packed(numbers)).tolist() == numbers.tolist()
     assert len(collocations.unpacked(collocations.packed(np.zeros(0, np.int64)))) == 0
