@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.storage import saved
+from .ranges import range_ranked
 
 
 def ships_per_patch(patches: DataFrame, ships: DataFrame) -> DataFrame:
@@ -48,10 +51,19 @@ def power_sums(i: Column, q: Column) -> Column:
     return F.aggregate(i, F.lit(0.0), add) + F.aggregate(q, F.lit(0.0), add)
 
 
-def dataset_rms(tiles: DataFrame) -> DataFrame:
-    """One row: rms = sqrt(sum(i^2 + q^2) / samples) and the number of samples."""
-    own = tiles.agg(F.sum(power_sums(F.col("i"), F.col("q"))).alias("s"), F.sum(F.size("i")).alias("samples"))
-    return own.select(F.sqrt(F.col("s") / F.col("samples")).alias("rms"), "samples")
+def dataset_rms(tiles: DataFrame, valid: str | None = None) -> DataFrame:
+    """One row: rms = sqrt(sum(i^2 + q^2) / samples) and the number of samples.
+
+    ``valid``: an array of flags, one a sample; those not set do not count. Without samples
+    the rms is null; tiles without samples add nothing, a tile with a null mask counts whole.
+    """
+    i, q = F.col("i"), F.col("q")
+    if valid:
+        flags = F.coalesce(F.col(valid), F.transform(i, lambda _: F.lit(True)))
+        some = lambda x: F.filter(F.transform(F.arrays_zip(x.alias("x"), flags.alias("ok")), lambda z: F.when(z["ok"], z["x"])), lambda v: v.isNotNull())
+        i, q = some(i), some(q)
+    own = tiles.select(i.alias("i"), q.alias("q")).agg(F.sum(power_sums(F.col("i"), F.col("q"))).alias("s"), F.coalesce(F.sum(F.when(F.col("i").isNotNull(), F.size("i"))), F.lit(0)).cast("bigint").alias("samples"))
+    return own.select(F.sqrt(F.try_divide("s", "samples")).alias("rms"), "samples")
 
 
 def channel_stats(values: DataFrame, channel: str = "channel", value: str = "value") -> DataFrame:
@@ -89,15 +101,15 @@ def bounds(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
 
 
 def mean_pulse(samples: DataFrame) -> DataFrame:
-    """(stream, sample, value): mean over pulses, scaled to unit length per stream."""
+    """(stream, sample, value): mean over pulses, scaled to unit length per stream; a pulse of zeros has no direction and gives null."""
     own = samples.groupBy("stream", "sample").agg(F.avg("value").alias("m"))
     norm = F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy("stream")))
-    return own.select("stream", "sample", (F.col("m") / norm).alias("value"))
+    return own.select("stream", "sample", F.try_divide(F.col("m"), norm).alias("value"))
 
 
 def per_threshold(detections: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Detections at or above each threshold, in one pass: a detection counts for every threshold up to its confidence."""
-    reached = F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= F.col("conf"))
+    """Detections at or above each threshold, in one pass: a detection counts for every threshold up to its confidence, one of NaN for none."""
+    reached = F.filter(F.array(*map(F.lit, thresholds)), lambda t: (t <= F.col("conf")) & ~F.isnan("conf"))
     counted = detections.select(F.explode(reached).alias("threshold")).groupBy("threshold").agg(F.count("*").alias("n"))
     every = detections.sparkSession.createDataFrame([(float(x),) for x in thresholds], "threshold double")
     return every.join(counted, "threshold", "left").fillna(0)
@@ -112,14 +124,52 @@ def region_stat(value: str, method: str) -> Column:
     return {"mean": F.avg(value), "median": F.percentile(F.col(value), F.lit(0.5)), "p90": F.percentile(F.col(value), F.lit(0.9))}[method]
 
 
-def background_stat(df: DataFrame, keys: list[str], value: str, method: str = "median", trim: float = 0.1) -> DataFrame:
-    """(keys, background): mean, median, or the mean without int(n * trim) values at either end."""
+#: Rows of the largest group whose values one task may hold or order.
+LARGE_GROUP = 1_000_000
+
+
+def ranked_groups(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows with their rank (__r, from 1) in their group's order of values and its rows (__k), in ranges, however large a group. Nulls go."""
+    own = range_ranked(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value)), keys, value).withColumnRenamed("rn", "__r")
+    counts = own.groupBy(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(keys)]).agg(F.count("*").alias("__k"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(keys)])
+    return own.join(counts, same).drop(*[f"__g{i}" for i in range(len(keys))])
+
+
+def has_large_groups(df: DataFrame, keys: list[str], most: int) -> bool:
+    return not df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most).isEmpty()
+
+
+def group_quantiles(df: DataFrame, keys: list[str], value: str, most: int | None = None, **quantiles: float) -> DataFrame:
+    """(keys, name=quantile, ...): exact, between two values by their distance, as ``percentile`` has them.
+
+    A group of over ``most`` rows is ordered in ranges and its values at the ranks are picked out.
+    """
+    if not has_large_groups(df, keys, LARGE_GROUP if most is None else most):
+        return df.groupBy(*keys).agg(*[F.percentile(F.col(value), F.lit(q)).alias(n) for n, q in quantiles.items()])
+    at = {n: q * (F.col("__k") - 1) for n, q in quantiles.items()}
+    own = ranked_groups(df, keys, value)
+    pick = lambda rank: F.max(F.when(F.col("__r") == rank + 1, F.col(value)))
+    found = own.groupBy(*keys, "__k").agg(*[c for n, x in at.items() for c in (pick(F.floor(x)).alias(f"__l{n}"), pick(F.ceil(x)).alias(f"__h{n}"))])
+    found = found.select(*keys, *[(F.col(f"__l{n}") * (F.ceil(x) - x) + F.col(f"__h{n}") * (x - F.floor(x)) + F.when(F.ceil(x) == F.floor(x), F.col(f"__l{n}")).otherwise(0.0)).alias(n) for n, x in at.items()])
+    every = df.select(*keys).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(f"e.{c}").eqNullSafe(F.col(f"f.{c}")) for c in keys])
+    return every.alias("e").join(found.alias("f"), same, "left").select("e.*", *[f"f.{n}" for n in quantiles])
+
+
+def background_stat(df: DataFrame, keys: list[str], value: str, method: str = "median", trim: float = 0.1, most: int | None = None) -> DataFrame:
+    """(keys, background): mean, median, p90, or the mean without int(n * trim) values at either end; groups of over ``most`` rows are ordered in ranges."""
+    if method in ("median", "p90"):
+        return group_quantiles(df, keys, value, most, background={"median": 0.5, "p90": 0.9}[method])
     if method != "trimmed_mean":
         return df.groupBy(*keys).agg(region_stat(value, method).alias("background"))
-    by = Window.partitionBy(*keys)
-    ranked = df.withColumn("__n", F.row_number().over(by.orderBy(value))).withColumn("__k", F.count("*").over(by))
+    if has_large_groups(df, keys, LARGE_GROUP if most is None else most):
+        ranked = ranked_groups(df, keys, value)
+    else:
+        by = Window.partitionBy(*keys)
+        ranked = df.where(F.col(value).isNotNull()).withColumn("__r", F.row_number().over(by.orderBy(value))).withColumn("__k", F.count("*").over(by))
     cut = F.floor(F.col("__k") * trim)
-    return ranked.where((F.col("__n") > cut) & (F.col("__n") <= F.col("__k") - cut)).groupBy(*keys).agg(F.avg(value).alias("background"))
+    return ranked.where((F.col("__r") > cut) & (F.col("__r") <= F.col("__k") - cut)).groupBy(*keys).agg(F.avg(value).alias("background"))
 
 
 def resource_use(samples: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .components import connected_components
+from .blocks import adaptive_filter, regions  # noqa: F401
+from .lines import best_lag  # noqa: F401
 
 PIXEL = ["tile_id", "r", "c"]
 
@@ -45,23 +46,6 @@ def pixel_id(width: int = 1 << 20) -> Column:
     return F.col("tile_id") * (width * width) + F.col("r") * width + F.col("c")
 
 
-def regions(mask: DataFrame, width: int = 1 << 14) -> DataFrame:
-    """(tile_id, r, c, region) of set pixels, 4-neighbours; region is the smallest pixel number r * width + c of its tile.
-
-    Runs of a row are found with a window first; runs of adjoining rows that overlap are
-    the edges, so long rows cost one node and not one a pixel.
-    """
-    row = Window.partitionBy("tile_id", "r").orderBy("c")
-    runs = mask.select(*PIXEL).withColumn("start", F.col("c") - F.row_number().over(row))
-    first = F.min("c").over(Window.partitionBy("tile_id", "r", "start"))
-    runs = runs.withColumn("node", F.col("tile_id") * (width * width) + F.col("r") * width + first)
-    up = runs.select("tile_id", (F.col("r") + 1).alias("r"), "c", F.col("node").alias("above"))
-    edges = runs.join(up, PIXEL).select(F.col("node").alias("a"), F.col("above").alias("b")).distinct()
-    alone = runs.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct()
-    labels = connected_components(edges.union(alone))
-    return runs.join(labels, "node").select(*PIXEL, (F.col("component") - F.col("tile_id") * (width * width)).alias("region"))
-
-
 def region_table(labelled: DataFrame, least: int = 1) -> DataFrame:
     """(tile_id, region, area, box) of regions of at least ``least`` pixels."""
     own = labelled.groupBy("tile_id", "region").agg(F.count("*").alias("area"), F.min("r").alias("top"), F.min("c").alias("left"), F.max("r").alias("bottom"), F.max("c").alias("right"))
@@ -101,27 +85,51 @@ def background_ring(labelled: DataFrame, pixels: DataFrame, inner: int = 3, oute
     rows = spread.groupBy("tile_id", "region", "r").agg(F.collect_set("far").alias("far"), F.collect_set("close").alias("close"))
     columns = lambda spans: F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["lo"], s["hi"]))))
     near = rows.select("tile_id", "region", "r", F.explode(F.array_except(columns("far"), columns("close"))).alias("c"))
-    return near.join(labelled.select(*PIXEL), PIXEL, "left_anti").join(pixels, PIXEL)
+    # what is spread out here is far more than its source, by which Spark would choose to broadcast it
+    return near.join(labelled.select(*PIXEL).hint("shuffle_merge"), PIXEL, "left_anti").join(pixels.hint("shuffle_merge"), PIXEL)
+
 
+#: What is done with a region or patch whose contrast passes the threshold.
+MODES = ("keep_high_rfi", "remove_high_rfi")
 
-def region_contrast(labelled: DataFrame, pixels: DataFrame, threshold: float, region: str = "mean", background: str = "median", least: int = 1, inner: int = 3, outer: int = 12) -> DataFrame:
-    """(tile_id, region, area, db, keep): contrast of each region with its ring; without a ring it is kept."""
+
+def decided(high: Column, mode: str) -> Column:
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {', '.join(MODES)}")
+    return high if mode == "keep_high_rfi" else ~high
+
+
+def region_contrast(labelled: DataFrame, pixels: DataFrame, threshold: float, region: str = "mean", background: str = "median", least: int = 1, inner: int = 3, outer: int = 12, mode: str = "keep_high_rfi") -> DataFrame:
+    """(tile_id, region, area, db, keep): contrast of each region with its ring, and whether the mode keeps it.
+
+    A region without a ring, or without power, has neither contrast nor a place in the mask, in either mode.
+    """
     from ..functions.columns import contrast_db
-    from .aggregates import background_stat, region_stat
+    from .aggregates import background_stat
 
     table = region_table(labelled, least)
-    inside = labelled.join(pixels, PIXEL).groupBy("tile_id", "region").agg(region_stat("power", region).alias("signal"))
+    inside = background_stat(labelled.join(pixels.hint("shuffle_merge"), PIXEL).where(F.col("power").isNotNull() & ~F.isnan(F.col("power").cast("double"))), ["tile_id", "region"], "power", region).withColumnRenamed("background", "signal")
     ring = background_stat(background_ring(labelled, pixels, inner, outer), ["tile_id", "region"], "power", background)
-    own = table.join(inside, ["tile_id", "region"]).join(ring, ["tile_id", "region"], "left").withColumn("db", contrast_db(F.col("signal"), F.col("background")))
-    return own.withColumn("keep", F.coalesce(F.col("db") > threshold, F.lit(True)))
+    own = table.join(inside, ["tile_id", "region"], "left").join(ring, ["tile_id", "region"], "left")
+    known = F.col("signal").isNotNull() & F.col("background").isNotNull()
+    own = own.withColumn("db", F.when(known, contrast_db(F.col("signal"), F.col("background"))))
+    return own.withColumn("keep", F.when(known, decided(F.col("db") > threshold, mode)).otherwise(F.lit(False)))
 
 
-def patch_contrast(pixels: DataFrame, threshold: float) -> DataFrame:
-    """(tile_id, db, kept): mean power of mask pixels against the median of the others; a tile without either is not kept."""
+def patch_contrast(pixels: DataFrame, threshold: float, mode: str = "keep_high_rfi") -> DataFrame:
+    """(tile_id, db, kept): mean power of mask pixels against the median of the others.
+
+    A tile without mask pixels is not kept; one that is all mask has no contrast and is kept, in either mode.
+    """
     from ..functions.columns import contrast_db
+    from .aggregates import group_quantiles
 
-    own = pixels.groupBy("tile_id").agg(F.avg(F.when(F.col("is_mask"), F.col("power"))).alias("signal"), F.percentile(F.when(~F.col("is_mask"), F.col("power")), F.lit(0.5)).alias("background"))
-    return own.withColumn("db", contrast_db(F.col("signal"), F.col("background"))).withColumn("db", F.when(F.col("signal").isNotNull() & F.col("background").isNotNull(), F.col("db"))).withColumn("kept", F.coalesce(F.col("db") > threshold, F.lit(False)))
+    signal = pixels.groupBy("tile_id").agg(F.avg(F.when(F.col("is_mask"), F.col("power"))).alias("signal"))
+    others = group_quantiles(pixels.where(~F.col("is_mask")), ["tile_id"], "power", background=0.5)
+    own = signal.join(others, "tile_id", "left")
+    db = F.when(F.col("signal").isNotNull() & F.col("background").isNotNull(), contrast_db(F.col("signal"), F.col("background")))
+    kept = F.when(F.col("signal").isNull(), F.lit(False)).when(F.col("background").isNull(), F.lit(True)).otherwise(decided(F.col("db") > threshold, mode))
+    return own.withColumn("db", db).withColumn("kept", kept)
 
 
 def keep_summary(decisions: DataFrame, expected: DataFrame) -> DataFrame:
@@ -154,26 +162,6 @@ def multilook(pixels: DataFrame, m: int, n: int, height: int, width: int, value:
     return kept.groupBy("tile_id", F.expr(f"r div {m}").alias("r"), F.expr(f"c div {n}").alias("c")).agg(F.avg(value).alias(value))
 
 
-def neighbourhood(pixels: DataFrame, value: str, height: int, width: int) -> DataFrame:
-    """(tile_id, r, c, v): the nine values around each pixel; beyond an edge, the edge counts.
-
-    A pixel sends its value to those that see it, as often as they do.
-    """
-    offs = F.expr("array(-1,0,1)")
-    grid = pixels.select(*PIXEL).withColumn("a", F.explode(offs)).withColumn("b", F.explode(offs))
-    seen = grid.select(*PIXEL, F.greatest(F.lit(0), F.least(F.lit(height - 1), F.col("r") + F.col("a"))).alias("sr"), F.greatest(F.lit(0), F.least(F.lit(width - 1), F.col("c") + F.col("b"))).alias("sc"))
-    return seen.join(pixels.select("tile_id", F.col("r").alias("sr"), F.col("c").alias("sc"), F.col(value).cast("double").alias("v")), ["tile_id", "sr", "sc"]).select(*PIXEL, "v")
-
-
-def adaptive_filter(pixels: DataFrame, value: str, height: int, width: int) -> DataFrame:
-    """Local mean plus the share of local variance above the tile's noise times the deviation from it."""
-    local = neighbourhood(pixels, value, height, width).groupBy(*PIXEL).agg(F.avg("v").alias("m"), F.var_pop("v").alias("s"))
-    noise = local.groupBy("tile_id").agg(F.avg("s").alias("noise"))
-    joined = local.join(noise, "tile_id").join(pixels.select(*PIXEL, F.col(value).cast("double").alias("v")), PIXEL)
-    gain = F.when(F.col("s") > 0, F.greatest(F.col("s") - F.col("noise"), F.lit(0.0)) / F.greatest(F.col("s"), F.col("noise"))).otherwise(0.0)
-    return joined.select(*PIXEL, (F.col("m") + gain * (F.col("v") - F.col("m"))).alias("filtered"))
-
-
 def sinc_resample(samples: DataFrame, keys: list[str], n_in: int, n_out: int, half: int = 8) -> DataFrame:
     """Lines (keys, s, value) of n_in samples at n_out positions: Hann-windowed sinc over 2 * half neighbours, weights summing to 1."""
     pos = F.col("o") * n_in / n_out
@@ -187,13 +175,6 @@ def sinc_resample(samples: DataFrame, keys: list[str], n_in: int, n_out: int, ha
     return met.groupBy(*keys, "o").agg((F.sum(F.col("wt") * F.col("value")) / F.sum("wt")).alias("value"))
 
 
-def best_lag(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, lag, score): lag of b against a with the largest absolute correlation sum, the smallest of equals."""
-    met = a.alias("a").join(b.alias("b"), keys).groupBy(*keys, (F.col("a.s") - F.col("b.s")).alias("lag")).agg(F.sum(F.col("a.value") * F.col("b.value")).alias("score"))
-    best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.round(F.abs("score"), 9)), "lag"))
-    return met.withColumn("n", best).where("n = 1").drop("n")
-
-
 def sub_window(pixels: DataFrame, windows: DataFrame, extent: tuple[int, int]) -> DataFrame:
     """Pixels of windows (tile_id, window, top, left, height, width) in window coordinates, clipped to the extent, with a warning where clipped."""
     h, w = extent

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,9 +15,14 @@ def over(a: Column, b: Column, empty: float | None = 0.0) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(empty).cast("double"))
 
 
+def ordered(value: str) -> Column:
+    """A value to compare with a threshold: NaN reaches none, though Spark sorts it above all numbers."""
+    return F.nanvl(F.col(value).cast("double"), F.lit(float("-inf")))
+
+
 def confusion(threshold: float, strict: bool = True) -> list[Column]:
-    """tp, fp, fn, tn over valid pixels. strict: above the threshold, else at or above it."""
-    hit = F.col("prob") > threshold if strict else F.col("prob") >= threshold
+    """tp, fp, fn, tn over valid pixels. strict: above the threshold, else at or above it. A NaN probability is no hit."""
+    hit = ordered("prob") > threshold if strict else ordered("prob") >= threshold
     on = lambda c: F.count_if(F.col("valid") & c)
     return [on(hit & F.col("gt")).alias("tp"), on(hit & ~F.col("gt")).alias("fp"), on(~hit & F.col("gt")).alias("fn"), on(~hit & ~F.col("gt")).alias("tn")]
 
@@ -64,7 +71,7 @@ def threshold_sweep(pred: DataFrame, keys: list[str], thresholds: list[float], b
 
     def reached(lo: int, hi: int) -> Column:  # how many thresholds, by halving
         mid = (lo + hi) // 2
-        return F.lit(lo) if lo == hi else F.when(F.col("prob") >= cuts[mid], reached(mid + 1, hi)).otherwise(reached(lo, mid))
+        return F.lit(lo) if lo == hi else F.when(ordered("prob") >= cuts[mid], reached(mid + 1, hi)).otherwise(reached(lo, mid))
 
     held = reached(0, len(cuts))
     bins = pred.where("valid").groupBy(*keys, held.alias("bin")).agg(F.count_if("gt").alias("pos"), F.count_if(~F.col("gt")).alias("neg"))
@@ -86,19 +93,51 @@ def bucketed_scores(pred: DataFrame, buckets: DataFrame, threshold: float) -> Da
 
 
 def iou(a: str, b: str) -> Column:
-    """Of centre boxes."""
+    """Of centre boxes; 0 for two boxes without area."""
     side = lambda s, c, d: (F.col(f"{s}.{c}") - F.col(f"{s}.{d}") / 2, F.col(f"{s}.{c}") + F.col(f"{s}.{d}") / 2)
     shared = lambda c, d: F.greatest(F.lit(0.0), F.least(side(a, c, d)[1], side(b, c, d)[1]) - F.greatest(side(a, c, d)[0], side(b, c, d)[0]))
     inter = shared("x", "w") * shared("y", "h")
-    return inter / (F.col(f"{a}.w") * F.col(f"{a}.h") + F.col(f"{b}.w") * F.col(f"{b}.h") - inter)
+    return F.coalesce(F.try_divide(inter, F.col(f"{a}.w") * F.col(f"{a}.h") + F.col(f"{b}.w") * F.col(f"{b}.h") - inter), F.lit(0.0))
+
+
+def in_cells(boxes: DataFrame, levels: int) -> DataFrame:
+    """Boxes (image_id, x, y, w, h, ...) in the cells that they touch on grids of about their size.
+
+    A side of a box has a level, the power of two that it reaches; a grid's cells are as wide
+    and as high as the boxes of its levels. With ``levels`` also on grids so many levels
+    coarser or finer, on either side.
+    """
+    near = F.array(*[F.lit(k) for k in range(-levels, levels + 1)])
+    level = lambda side: F.ceil(F.log2(side)).cast("int")
+    own = boxes.where((F.col("w") > 0) & (F.col("h") > 0)).withColumn("dw", F.explode(near)).withColumn("dh", F.explode(near))
+    own = own.withColumn("lw", level("w") + F.col("dw")).withColumn("lh", level("h") + F.col("dh"))
+    cells = lambda c, side, lv: F.sequence(F.floor((F.col(c) - F.col(side) / 2) / F.pow(F.lit(2.0), lv)), F.floor((F.col(c) + F.col(side) / 2) / F.pow(F.lit(2.0), lv)))
+    return own.withColumn("cx", F.explode(cells("x", "w", F.col("lw")))).withColumn("cy", F.explode(cells("y", "h", F.col("lh")))).drop("dw", "dh")
+
+
+def close_pairs(detections: DataFrame, truth: DataFrame, least: float) -> DataFrame:
+    """(image_id, det_no, conf, gt_no, iou) of pairs with an IoU of ``least`` or more.
+
+    Sides of such a pair differ by at most a factor of 1 / least, so the two meet on the grid
+    of the truth's levels; a pair is taken in the cell of its common lower corner alone.
+    """
+    levels = max(0, math.ceil(math.log2(1 / least)))
+    met = in_cells(detections, levels).alias("d").join(in_cells(truth, 0).alias("g"), ["image_id", "lw", "lh", "cx", "cy"])
+    corner = lambda c, side, lv: F.floor(F.greatest(F.col(f"d.{c}") - F.col(f"d.{side}") / 2, F.col(f"g.{c}") - F.col(f"g.{side}") / 2) / F.pow(F.lit(2.0), F.col(lv)))
+    own = met.where((corner("x", "w", "lw") == F.col("cx")) & (corner("y", "h", "lh") == F.col("cy")))
+    return own.select("image_id", "d.det_no", "d.conf", "g.gt_no", iou("d", "g").alias("iou")).where(F.col("iou") >= least)
 
 
 def match_boxes(detections: DataFrame, truth: DataFrame, thresholds: list[float]) -> DataFrame:
-    """(threshold, image_id, det_no, conf, hit): a detection is a hit if of all detections whose best box is that truth it is the most confident."""
-    met = detections.alias("d").join(truth.alias("g"), "image_id").select("image_id", "d.det_no", "d.conf", "g.gt_no", iou("d", "g").alias("iou"))
+    """(threshold, image_id, det_no, conf, hit): a detection is a hit if of all detections whose best box is that truth it is the most confident.
+
+    Thresholds are above 0, so only boxes that overlap so far are compared (see ``close_pairs``),
+    however many an image has. A NaN confidence is the least one.
+    """
+    met = close_pairs(detections, truth, min(thresholds))
     best = met.withColumn("n", F.row_number().over(Window.partitionBy("image_id", "det_no").orderBy(F.desc("iou"), "gt_no"))).where("n = 1").drop("n")
     at = best.withColumn("threshold", F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= F.col("iou"))))
-    won = at.withColumn("n", F.row_number().over(Window.partitionBy("threshold", "image_id", "gt_no").orderBy(F.desc("conf"), "det_no"))).where("n = 1").select("threshold", "image_id", "det_no", F.lit(True).alias("hit"))
+    won = at.withColumn("n", F.row_number().over(Window.partitionBy("threshold", "image_id", "gt_no").orderBy(F.desc(ordered("conf")), "det_no"))).where("n = 1").select("threshold", "image_id", "det_no", F.lit(True).alias("hit"))
     every = detections.select("image_id", "det_no", "conf").withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     return every.join(won, ["threshold", "image_id", "det_no"], "left").fillna(False, ["hit"])
 
@@ -107,17 +146,17 @@ def average_precision(matched: DataFrame, n_truth: Column) -> DataFrame:
     """(threshold, precision, recall, ap): area under precision over recall, cumulated over distinct confidences, however many."""
     own = matched.groupBy("threshold", "conf").agg(F.count_if("hit").alias("tp"), F.count("*").alias("n"))
     curve = running_sums(own, ["threshold"], F.desc("conf"), ctp="tp", cn="n").withColumn("gts", n_truth)
-    area = F.sum(F.col("tp") / F.col("gts") * (F.col("ctp") / F.col("cn")))
-    return curve.groupBy("threshold").agg((F.max("ctp") / F.max("cn")).alias("precision"), (F.max("ctp") / F.max("gts")).alias("recall"), area.alias("ap"))
+    area = F.sum(F.try_divide("tp", "gts") * (F.col("ctp") / F.col("cn")))
+    return curve.groupBy("threshold").agg((F.max("ctp") / F.max("cn")).alias("precision"), F.try_divide(F.max("ctp"), F.max("gts")).alias("recall"), area.alias("ap"))
 
 
 # gates
 
 
 def tolerance_gate(metrics: DataFrame, gates: DataFrame, near: str = "ALMOST_PASS", tolerance: float = 0.05) -> DataFrame:
-    """PASS at or above expected, ``near`` within the tolerance below it, else FAIL; a missing metric fails."""
+    """PASS at or above expected, ``near`` within the tolerance below it, else FAIL; a metric that is missing or NaN fails."""
     joined = gates.join(metrics, "metric", "left")
-    return joined.withColumn("verdict", F.when(F.col("value") >= F.col("expected"), "PASS").when(F.col("value") >= F.col("expected") - tolerance, near).otherwise("FAIL"))
+    return joined.withColumn("verdict", F.when(ordered("value") >= F.col("expected"), "PASS").when(ordered("value") >= F.col("expected") - tolerance, near).otherwise("FAIL"))
 
 
 def degradation_gate(metrics: DataFrame, general: str = "all", most: float = 0.10) -> DataFrame:
@@ -125,10 +164,11 @@ def degradation_gate(metrics: DataFrame, general: str = "all", most: float = 0.1
     whole = metrics.where(F.col("bucket") == general).select(F.col("precision").alias("general"), F.lit(1).alias("j"))
     subsets = metrics.where(F.col("bucket") != general).withColumn("j", F.lit(1))
     joined = subsets.join(F.broadcast(whole), "j").drop("j")  # the general side is one row
-    return joined.withColumn("drop", F.col("general") - F.col("precision")).withColumn("verdict", F.when(F.col("drop") <= most, "PASS").otherwise("FAIL"))
+    return joined.withColumn("drop", F.col("general") - F.col("precision")).withColumn("verdict", F.when(~F.isnan("drop") & (F.col("drop") <= most), "PASS").otherwise("FAIL"))
 
 
 def limit_gate(value: Column, limit: float) -> Column:
+    """NaN sorts above every limit, and fails."""
     return F.when(value < limit, "PASS").otherwise("FAIL")
 
 

@@ -19,6 +19,8 @@ CTE = {
     "tile": "SELECT vec_id AS tile_id, label AS scene, embedding FROM embeddings",
     "pixel_mask": "SELECT vec_id AS tile_id, a.r * 8 + b.r AS r, c.r * 8 + d.r AS c, ((a.r * 8 + b.r) * 7 + (c.r * 8 + d.r) * 3 + vec_id) % 11 < 4 AS is_mask, CAST((a.r * 8 + b.r) * (c.r * 8 + d.r) + vec_id AS BIGINT) % 101 + 1 AS power FROM embeddings CROSS JOIN (VALUES (0), (1), (2), (3)) AS a(r) CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS b(r) CROSS JOIN (VALUES (0), (1), (2), (3)) AS c(r) CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS d(r)",
     "prediction": "SELECT l_orderkey AS image_id, l_linenumber AS px, CAST(l_partkey % 100 AS DOUBLE) / 100 AS prob, l_returnflag = 'R' AS gt, l_linestatus = 'F' AS valid, l_suppkey AS model FROM lineitem",
+    "odd_prediction": "SELECT image_id, px, CASE WHEN image_id % 41 = 7 THEN CAST('NaN' AS DOUBLE) ELSE prob END AS prob, gt, valid, model FROM prediction",
+    "odd_detection": "SELECT image_id, det_no, CASE WHEN image_id % 41 = 7 THEN CAST('NaN' AS DOUBLE) ELSE conf END AS conf FROM detection",
     "gt_box": "SELECT patch_id AS image_id, ship_no AS gt_no, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(w AS DOUBLE) AS w, CAST(h AS DOUBLE) AS h FROM ship WHERE ship_no % 4 <> 0",
     "detection": "SELECT patch_id AS image_id, ship_no AS det_no, CAST(x + ship_no % 3 AS DOUBLE) AS x, CAST(y - ship_no % 2 AS DOUBLE) AS y, CAST(w + ship_no % 2 AS DOUBLE) AS w, CAST(h AS DOUBLE) AS h, CAST((patch_id * 7 + ship_no * 13) % 1000 AS DOUBLE) / 1000 AS conf FROM ship WHERE ship_no % 5 <> 0",
     "file": "SELECT doc_id, concat(CASE doc_id % 3 WHEN 0 THEN 's1a-iw-raw-s-vv-' WHEN 1 THEN 's1a-iw-raw-s-vh-' ELSE 's1a-iw-slc-' END, '20200407t052956-20200407t053029-0', CAST(32000 + doc_id % 9 AS VARCHAR(9)), '-03b2e2-IW', CAST(doc_id % 3 + 1 AS VARCHAR(2)), CASE WHEN doc_id % 5 = 0 THEN '-VD_' ELSE '-RFI_' END, CAST(CAST(floor(doc_id / 2) AS BIGINT) AS VARCHAR(20)), CASE doc_id % 4 WHEN 0 THEN '.dat' WHEN 1 THEN '_scaled.npy' WHEN 2 THEN '.xml' ELSE '.tiff' END) AS name, CASE doc_id % 10 WHEN 8 THEN 'val' WHEN 9 THEN 'test' ELSE 'train' END AS split, source AS folder, n_chars AS bytes FROM documents",

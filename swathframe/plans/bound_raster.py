@@ -69,57 +69,56 @@ def _(t):
     return R.region_table(labelled(t), 3).select("tile_id", "region", "area", F.col("top").alias("t"), F.col("left").alias("l"), F.col("bottom").alias("b"), F.col("right").alias("rt"))
 
 
-def blobs(t):
-    """Square regions four apart, so that rings have room."""
-    return t.pixel_mask.withColumn("is_mask", (F.col("r") % 12 < 3) & (F.col("c") % 16 < 4))
-
-
-BLOBS = "blob AS (SELECT tile_id, r, c, power, (r % 12 < 3) AND (c % 16 < 4) AS is_mask FROM pixel_mask), lab AS (SELECT tile_id, r, c, power, ((r // 12) * 12 * 16384 + (c // 16) * 16) AS region FROM blob WHERE is_mask), boxes AS (SELECT DISTINCT tile_id, region, (region // 16384) AS r0, (region % 16384) AS c0 FROM lab), ring AS (SELECT b.tile_id, b.region, p.r, p.c, p.power FROM boxes b JOIN blob p ON p.tile_id = b.tile_id AND NOT p.is_mask AND greatest(r0 - p.r, 0, p.r - r0 - least(2, 31 - r0)) + greatest(c0 - p.c, 0, p.c - c0 - 3) BETWEEN 3 AND 6)"
-
-
-@bound("r07_background_ring", f"WITH {BLOBS} SELECT tile_id, region, count(*) AS n, sum(power)::BIGINT AS power FROM ring GROUP BY ALL")
-def _(t):
-    p = blobs(t)
-    ring = R.background_ring(R.regions(p.where("is_mask")), p.select(*R.PIXEL, "power"), 2, 6)
-    return ring.groupBy("tile_id", "region").agg(F.count("*").alias("n"), F.sum("power").alias("power"))
-
-
-@bound("r08_region_contrast", f"WITH {BLOBS}, s AS (SELECT tile_id, region, count(*) AS area, avg(power) AS signal FROM lab GROUP BY ALL), g AS (SELECT tile_id, region, quantile_cont(power, 0.5) AS bg FROM ring GROUP BY ALL) SELECT tile_id, region, area, round(10 * log10(greatest(signal, 1e-12) / greatest(bg, 1e-12)), 6) AS db, coalesce(10 * log10(greatest(signal, 1e-12) / greatest(bg, 1e-12)) > 0.5, true) AS keep FROM s LEFT JOIN g USING (tile_id, region)")
-def _(t):
-    p = blobs(t)
-    own = R.region_contrast(R.regions(p.where("is_mask")), p.select(*R.PIXEL, "power"), 0.5, inner=2, outer=6)
-    return own.select("tile_id", "region", "area", F.round("db", 6).alias("db"), "keep")
-
-
 RINGS = LABELS + """, o AS (SELECT dr, dc, abs(dr) + abs(dc) AS d FROM (SELECT unnest(range(-12, 13)) AS dr), (SELECT unnest(range(-12, 13)) AS dc) WHERE abs(dr) + abs(dc) <= 12),
 near AS (SELECT tile_id, region, lab.r + dr AS r, lab.c + dc AS c FROM lab, o GROUP BY ALL HAVING min(d) > 3),
 ring AS (SELECT n.tile_id, n.region, p.r, p.c, p.power FROM near n JOIN pixel_mask p ON p.tile_id = n.tile_id AND p.r = n.r AND p.c = n.c AND NOT p.is_mask)"""
 
 
-@bound("r07_background_ring_whole", f"WITH RECURSIVE {RINGS} SELECT tile_id, region, count(*) AS n, sum(power)::BIGINT AS power FROM ring GROUP BY ALL")
+@bound("r07_background_ring", f"WITH RECURSIVE {RINGS} SELECT tile_id, region, count(*) AS n, sum(power)::BIGINT AS power FROM ring GROUP BY ALL")
 def _(t):
     """The ring (3, 12] around the regions of is_mask."""
     ring = R.background_ring(labelled(t), t.pixel_mask.select(*R.PIXEL, "power"))
     return ring.groupBy("tile_id", "region").agg(F.count("*").alias("n"), F.sum("power").alias("power"))
 
 
-@bound("r08_region_contrast_whole", f"WITH RECURSIVE {RINGS}, s AS (SELECT tile_id, region, count(*) AS area, avg(p.power) AS signal FROM lab JOIN pixel_mask p USING (tile_id, r, c) GROUP BY ALL), g AS (SELECT tile_id, region, quantile_cont(power, 0.5) AS bg FROM ring GROUP BY ALL), d AS (SELECT tile_id, region, area, 10 * log10(greatest(signal, 1e-12) / greatest(bg, 1e-12)) AS x FROM s LEFT JOIN g USING (tile_id, region)) SELECT tile_id, region, area, round(x, 6) AS db, coalesce(x > 0.5, true) AS keep FROM d")
+CONTRASTS = RINGS + """, s AS (SELECT tile_id, region, count(*) AS area, avg(p.power) AS signal FROM lab JOIN pixel_mask p USING (tile_id, r, c) GROUP BY ALL),
+g AS (SELECT tile_id, region, quantile_cont(power, 0.5) AS bg FROM ring GROUP BY ALL),
+d AS (SELECT tile_id, region, area, CASE WHEN bg IS NOT NULL THEN 10 * log10(greatest(signal, 1e-12) / greatest(bg, 1e-12)) END AS x FROM s LEFT JOIN g USING (tile_id, region))"""
+
+
+@bound("r08_region_contrast", f"WITH RECURSIVE {CONTRASTS} SELECT tile_id, region, area, round(x, 6) AS db, coalesce(x > 0.5, false) AS keep FROM d")
 def _(t):
     own = R.region_contrast(labelled(t), t.pixel_mask.select(*R.PIXEL, "power"), 0.5)
     return own.select("tile_id", "region", "area", F.round("db", 6).alias("db"), "keep")
 
 
-PATCH = "SELECT tile_id, avg(power) FILTER (is_mask) AS s, quantile_cont(CASE WHEN NOT is_mask THEN power END, 0.5) AS b FROM pixel_mask GROUP BY tile_id"
+# one region a tile without a ring: all of it is mask
+WHOLE = "SELECT tile_id, r, c, power, tile_id % 7 = 3 OR is_mask AS is_mask FROM pixel_mask WHERE r < 24"
+
+
+@bound("r08b_region_removal", f"WITH RECURSIVE w AS ({WHOLE}), {CONTRASTS.replace('pixel_mask', 'w')} SELECT tile_id, region, area, round(x, 6) AS db, coalesce(NOT (x > 0.5), false) AS keep FROM d")
+def _(t):
+    pixels = t.sql(WHOLE)
+    own = R.region_contrast(R.regions(pixels.where("is_mask")), pixels.select(*R.PIXEL, "power"), 0.5, mode="remove_high_rfi")
+    return own.select("tile_id", "region", "area", F.round("db", 6).alias("db"), "keep")
+
+
+# tiles of three kinds: as they are, without mask pixels, all mask
+KINDS = "SELECT tile_id, r, c, power, CASE tile_id % 5 WHEN 3 THEN false WHEN 4 THEN true ELSE is_mask END AS is_mask FROM pixel_mask"
+PATCH = f"SELECT tile_id, avg(power) FILTER (is_mask) AS s, quantile_cont(CASE WHEN NOT is_mask THEN power END, 0.5) AS b FROM ({KINDS}) GROUP BY tile_id"
+KEPT = "CASE WHEN s IS NULL THEN false WHEN b IS NULL THEN true ELSE {} END"
 
 
-@bound("r09_patch_contrast", f"SELECT tile_id, round(10 * log10(s / b), 6) AS db, 10 * log10(s / b) > 0.2 AS kept FROM ({PATCH})")
+@bound("r09_patch_contrast", f"SELECT tile_id, round(10 * log10(s / b), 6) AS db, {KEPT.format('10 * log10(s / b) > 0.2')} AS kept, {KEPT.format('NOT (10 * log10(s / b) > 0.2)')} AS kept_by_removal FROM ({PATCH})")
 def _(t):
-    return R.patch_contrast(t.pixel_mask, 0.2).select("tile_id", F.round("db", 6).alias("db"), "kept")
+    pixels = t.sql(KINDS)
+    other = R.patch_contrast(pixels, 0.2, "remove_high_rfi").select("tile_id", F.col("kept").alias("kept_by_removal"))
+    return R.patch_contrast(pixels, 0.2).select("tile_id", F.round("db", 6).alias("db"), "kept").join(other, "tile_id")
 
 
-@bound("r10_keep_summary", f"SELECT count(*) FILTER (10 * log10(s / b) > 0.2) AS kept, count(*) FILTER (10 * log10(s / b) <= 0.2) AS rejected, 0::BIGINT AS failed FROM ({PATCH})")
+@bound("r10_keep_summary", f"SELECT count(*) FILTER ({KEPT.format('10 * log10(s / b) > 0.2')}) AS kept, count(*) FILTER (NOT ({KEPT.format('10 * log10(s / b) > 0.2')})) AS rejected, 0::BIGINT AS failed FROM ({PATCH})")
 def _(t):
-    return R.keep_summary(R.patch_contrast(t.pixel_mask, 0.2), t.tile)
+    return R.keep_summary(R.patch_contrast(t.sql(KINDS), 0.2), t.tile)
 
 
 @bound("r11_rasterise", """WITH e AS (SELECT patch_id, px / 16 AS x1, py / 16 AS y1, coalesce(lead(px) OVER w, first_value(px) OVER w) / 16 AS x2, coalesce(lead(py) OVER w, first_value(py) OVER w) / 16 AS y2 FROM patch_polygon WINDOW w AS (PARTITION BY patch_id ORDER BY ord)),
@@ -136,11 +135,6 @@ def rastered(t):
     return R.rasterise(poly, "patch_id", 32).groupBy("patch_id").agg(F.count("*").alias("n"), F.sum(F.col("r") * 100 + F.col("c")).cast("bigint").alias("mark"))
 
 
-@bound("r11_rasterise_whole")
-def _(t):
-    return rastered(t)
-
-
 WINDOWS = "SELECT vec_id AS tile_id, w.i AS window, w.i * 10 AS top, w.i * 7 AS l, w.i * 10 + 5 AS bottom, w.i * 7 + 3 AS rt FROM embeddings CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS w(i)"
 
 

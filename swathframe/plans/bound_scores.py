@@ -26,12 +26,13 @@ def _(t):
     return A.coverage(t.sql(META))
 
 
-COUNTS = "count(*) FILTER (valid AND prob {op} 0.4 AND gt) AS tp, count(*) FILTER (valid AND prob {op} 0.4 AND NOT gt) AS fp, count(*) FILTER (valid AND NOT prob {op} 0.4 AND gt) AS fn, count(*) FILTER (valid AND NOT prob {op} 0.4 AND NOT gt) AS tn"
+HIT = "(NOT isnan(prob) AND prob {op} 0.4)"
+COUNTS = f"count(*) FILTER (valid AND {HIT} AND gt) AS tp, count(*) FILTER (valid AND {HIT} AND NOT gt) AS fp, count(*) FILTER (valid AND NOT {HIT} AND gt) AS fn, count(*) FILTER (valid AND NOT {HIT} AND NOT gt) AS tn"
 
 
-@bound("a04_pooled_scores", f"WITH c AS (SELECT model, {COUNTS.format(op='>')} FROM prediction GROUP BY model) SELECT model, tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(tp / nullif(tp + fp + fn, 0), 0), 6) AS iou, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS dice, round(coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0), 6) AS accuracy, round(coalesce(tn / nullif(tn + fp, 0), 0), 6) AS specificity FROM c")
+@bound("a04_pooled_scores", f"WITH c AS (SELECT model, {COUNTS.format(op='>')} FROM odd_prediction GROUP BY model) SELECT model, tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(tp / nullif(tp + fp + fn, 0), 0), 6) AS iou, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS dice, round(coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0), 6) AS accuracy, round(coalesce(tn / nullif(tn + fp, 0), 0), 6) AS specificity FROM c")
 def _(t):
-    return G.pooled_scores(t.prediction, ["model"], 0.4).withColumns(R6("precision", "recall", "iou", "dice", "accuracy", "specificity"))
+    return G.pooled_scores(t.odd_prediction, ["model"], 0.4).withColumns(R6("precision", "recall", "iou", "dice", "accuracy", "specificity"))
 
 
 @bound("a05_smooth_scores", f"WITH c AS (SELECT model, {COUNTS.format(op='>=')}, sum(prob * gt::INT) FILTER (valid) AS py, sum(prob) FILTER (valid) AS p, sum(gt::INT) FILTER (valid) AS y FROM prediction GROUP BY model) SELECT model, tp, fp, fn, tn, round(tp / (tp + fp + 1e-8), 6) AS precision, round(tp / (tp + fn + 1e-8), 6) AS recall, round(tp / (tp + fp + fn + 1e-8), 6) AS iou, round(2 * tp / (2 * tp + fp + fn + 1e-8), 6) AS dice, round((2 * py + 1e-8) / (p + y + 1e-8), 6) AS soft_dice FROM c")
@@ -39,19 +40,19 @@ def _(t):
     return G.smooth_scores(t.prediction, ["model"], 0.4).withColumns(R6("precision", "recall", "iou", "dice", "soft_dice"))
 
 
-@bound("a06_macro_scores", f"WITH c AS (SELECT image_id, {COUNTS.format(op='>')} FROM prediction GROUP BY image_id) SELECT image_id % 10 AS k, round(avg((2 * tp + 1e-6) / (2 * tp + fp + fn + 1e-6)), 6) AS dice, round(avg((tp + 1e-6) / (tp + fp + fn + 1e-6)), 6) AS iou, count(*) AS images FROM c GROUP BY k")
+@bound("a06_macro_scores", f"WITH c AS (SELECT image_id, {COUNTS.format(op='>')} FROM odd_prediction GROUP BY image_id) SELECT image_id % 10 AS k, round(avg((2 * tp + 1e-6) / (2 * tp + fp + fn + 1e-6)), 6) AS dice, round(avg((tp + 1e-6) / (tp + fp + fn + 1e-6)), 6) AS iou, count(*) AS images FROM c GROUP BY k")
 def _(t):
-    return G.macro_scores(t.prediction.withColumn("k", F.col("image_id") % 10), ["k"], 0.4).withColumns(R6("dice", "iou"))
+    return G.macro_scores(t.odd_prediction.withColumn("k", F.col("image_id") % 10), ["k"], 0.4).withColumns(R6("dice", "iou"))
 
 
-@bound("a07_guarded_scores", f"WITH c AS (SELECT model, {COUNTS.format(op='>')} FROM prediction GROUP BY model), s AS (SELECT *, tp / (tp + fp + 1e-8) AS p, tp / (tp + fn + 1e-8) AS r FROM c) SELECT model, round(p, 6) AS precision, round(r, 6) AS recall, round(tn / (tn + fp + 1e-8), 6) AS specificity, round(2 * p * r / (p + r + 1e-8), 6) AS f1 FROM s")
+@bound("a07_guarded_scores", f"WITH c AS (SELECT model, {COUNTS.format(op='>')} FROM odd_prediction GROUP BY model), s AS (SELECT *, tp / (tp + fp + 1e-8) AS p, tp / (tp + fn + 1e-8) AS r FROM c) SELECT model, round(p, 6) AS precision, round(r, 6) AS recall, round(tn / (tn + fp + 1e-8), 6) AS specificity, round(2 * p * r / (p + r + 1e-8), 6) AS f1 FROM s")
 def _(t):
-    return G.guarded_scores(t.prediction, ["model"], 0.4).select("model", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "specificity", "f1")])
+    return G.guarded_scores(t.odd_prediction, ["model"], 0.4).select("model", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "specificity", "f1")])
 
 
-@bound("a08_threshold_sweep", "WITH g AS (SELECT i / 100.0::DOUBLE AS threshold FROM range(1, 100) r(i)), c AS (SELECT threshold, count(*) FILTER (prob >= threshold AND gt) AS tp, count(*) FILTER (prob >= threshold AND NOT gt) AS fp, count(*) FILTER (prob < threshold AND gt) AS fn FROM prediction CROSS JOIN g WHERE valid GROUP BY threshold), s AS (SELECT *, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS d FROM c) SELECT threshold, tp, fp, fn, round(d, 6) AS dice, row_number() OVER (ORDER BY d DESC, threshold) = 1 AS best FROM s")
+@bound("a08_threshold_sweep", "WITH g AS (SELECT i / 100.0::DOUBLE AS threshold FROM range(1, 100) r(i)), c AS (SELECT threshold, count(*) FILTER (NOT isnan(prob) AND prob >= threshold AND gt) AS tp, count(*) FILTER (NOT isnan(prob) AND prob >= threshold AND NOT gt) AS fp, count(*) FILTER ((isnan(prob) OR prob < threshold) AND gt) AS fn FROM odd_prediction CROSS JOIN g WHERE valid GROUP BY threshold), s AS (SELECT *, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS d FROM c) SELECT threshold, tp, fp, fn, round(d, 6) AS dice, row_number() OVER (ORDER BY d DESC, threshold) = 1 AS best FROM s")
 def _(t):
-    own = G.threshold_sweep(t.prediction.withColumn("one", F.lit(1)), ["one"], [i / 100 for i in range(1, 100)])
+    own = G.threshold_sweep(t.odd_prediction.withColumn("one", F.lit(1)), ["one"], [i / 100 for i in range(1, 100)])
     return own.select("threshold", "tp", "fp", "fn", F.round("dice", 6).alias("dice"), "best")
 
 
@@ -134,9 +135,9 @@ def _(t):
     return A.mean_pulse(own).withColumn("value", F.round("value", 6))
 
 
-@bound("a21_per_threshold", "SELECT v.t::DOUBLE AS threshold, count(conf) AS n FROM (VALUES (0.1), (0.25), (0.5), (0.9)) v(t) LEFT JOIN detection ON conf >= v.t::DOUBLE GROUP BY v.t")
+@bound("a21_per_threshold", "SELECT v.t::DOUBLE AS threshold, count(conf) AS n FROM (VALUES (0.1), (0.25), (0.5), (0.9)) v(t) LEFT JOIN odd_detection ON NOT isnan(conf) AND conf >= v.t::DOUBLE GROUP BY v.t")
 def _(t):
-    return A.per_threshold(t.detection, [0.1, 0.25, 0.5, 0.9])
+    return A.per_threshold(t.odd_detection, [0.1, 0.25, 0.5, 0.9])
 
 
 @bound("a22_latency", "SELECT coalesce(event_type, 'all') AS bucket, round(avg(value), 6) AS ms, count(*) AS n FROM events GROUP BY ROLLUP (event_type)")
@@ -146,10 +147,18 @@ def _(t):
 
 @bound("a23_region_background", "WITH b AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS n, count(*) OVER (PARTITION BY user_id) AS k FROM events) SELECT user_id, round(avg(value), 9) AS mean, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.9), 9) AS p90, round(avg(value) FILTER (n > floor(k * 0.1) AND n <= k - floor(k * 0.1)), 9) AS trimmed FROM b GROUP BY user_id")
 def _(t):
-    own = t.events.groupBy("user_id").agg(*[F.round(A.region_stat("value", m), 9).alias(m) for m in ("mean", "median", "p90")])
+    own = t.events.groupBy("user_id").agg(F.round(F.avg("value"), 9).alias("mean"))
+    own = own.join(A.group_quantiles(t.events, ["user_id"], "value", median=0.5, p90=0.9).withColumns({n: F.round(n, 9) for n in ("median", "p90")}), "user_id")
     return own.join(A.background_stat(t.events, ["user_id"], "value", "trimmed_mean").select("user_id", F.round("background", 9).alias("trimmed")), "user_id")
 
 
+@bound("a23b_large_groups", "WITH b AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS n, count(*) OVER (PARTITION BY event_type) AS k FROM events) SELECT event_type, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.9), 9) AS p90, round(avg(value) FILTER (n > floor(k * 0.1) AND n <= k - floor(k * 0.1)), 9) AS trimmed FROM b GROUP BY event_type")
+def _(t):
+    """Few groups of many rows, ordered in ranges."""
+    own = A.group_quantiles(t.events, ["event_type"], "value", most=0, median=0.5, p90=0.9).withColumns({n: F.round(n, 9) for n in ("median", "p90")})
+    return own.join(A.background_stat(t.events, ["event_type"], "value", "trimmed_mean", most=0).select("event_type", F.round("background", 9).alias("trimmed")), "event_type")
+
+
 @bound("a24_resource_use", "SELECT event_type, round(avg(value), 6) AS avg_power, max(value) AS peak_power, count(*) AS samples FROM events GROUP BY event_type")
 def _(t):
     return A.resource_use(t.events.withColumnRenamed("value", "power"), ["event_type"]).withColumn("avg_power", F.round("avg_power", 6))
@@ -200,9 +209,9 @@ def _(t):
 IMAGE_BUCKETS = "SELECT DISTINCT image_id, concat('b', CAST(image_id % 6 AS VARCHAR(3))) AS bucket FROM prediction"
 
 
-@bound("g01_bucketed_scores", f"WITH b AS ({IMAGE_BUCKETS}), u AS (SELECT bucket, prob, gt, valid FROM prediction JOIN b USING (image_id) UNION ALL SELECT 'all', prob, gt, valid FROM prediction), c AS (SELECT bucket, {COUNTS.format(op='>')} FROM u GROUP BY bucket) SELECT bucket, tp, fp, fn, tn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall FROM c")
+@bound("g01_bucketed_scores", f"WITH b AS ({IMAGE_BUCKETS}), u AS (SELECT bucket, prob, gt, valid FROM odd_prediction JOIN b USING (image_id) UNION ALL SELECT 'all', prob, gt, valid FROM odd_prediction), c AS (SELECT bucket, {COUNTS.format(op='>')} FROM u GROUP BY bucket) SELECT bucket, tp, fp, fn, tn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall FROM c")
 def _(t):
-    return G.bucketed_scores(t.prediction, t.sql(IMAGE_BUCKETS), 0.4).select("bucket", "tp", "fp", "fn", "tn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    return G.bucketed_scores(t.odd_prediction, t.sql(IMAGE_BUCKETS), 0.4).select("bucket", "tp", "fp", "fn", "tn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 IOUS = "WITH m AS (SELECT d.image_id, det_no, conf, gt_no, greatest(0, least(d.x + d.w / 2, g.x + g.w / 2) - greatest(d.x - d.w / 2, g.x - g.w / 2)) * greatest(0, least(d.y + d.h / 2, g.y + g.h / 2) - greatest(d.y - d.h / 2, g.y - g.h / 2)) AS i, d.w * d.h + g.w * g.h AS s FROM detection d JOIN gt_box g USING (image_id)), b AS (SELECT *, i / (s - i) AS iou FROM m QUALIFY row_number() OVER (PARTITION BY image_id, det_no ORDER BY i / (s - i) DESC, gt_no) = 1), a AS (SELECT t.t::DOUBLE AS threshold, * EXCLUDE (t) FROM b CROSS JOIN (VALUES (0.5), (0.75)) t(t) WHERE iou >= t.t::DOUBLE), w AS (SELECT threshold, image_id, det_no, true AS hit FROM a QUALIFY row_number() OVER (PARTITION BY threshold, image_id, gt_no ORDER BY conf DESC, det_no) = 1), e AS (SELECT image_id, det_no, conf, t.t::DOUBLE AS threshold FROM detection CROSS JOIN (VALUES (0.5), (0.75)) t(t))"
@@ -219,18 +228,18 @@ def _(t):
     return G.average_precision(matched, F.lit(t.gt_box.count())).withColumns(R6("precision", "recall", "ap"))
 
 
-METRICS = "SELECT 'm' || CAST(model % 4 AS VARCHAR(3)) AS metric, avg(prob) AS value FROM prediction GROUP BY 1"
-GATES = "SELECT 'm' || CAST(v.i AS VARCHAR(3)) AS metric, CAST(v.e AS DOUBLE) AS expected FROM (VALUES (0, 0.3), (1, 0.52), (2, 0.9), (7, 0.5)) AS v(i, e)"
+METRICS = "SELECT 'm' || CAST(model % 4 AS VARCHAR(3)) AS metric, avg(CASE WHEN model % 4 = 3 THEN CAST('NaN' AS DOUBLE) ELSE prob END) AS value FROM prediction GROUP BY 1"
+GATES = "SELECT 'm' || CAST(v.i AS VARCHAR(3)) AS metric, CAST(v.e AS DOUBLE) AS expected FROM (VALUES (0, 0.3), (1, 0.52), (2, 0.9), (3, 0.1), (7, 0.5)) AS v(i, e)"
 
 
-@bound("g03_tolerance_gate", f"WITH m AS ({METRICS}), g AS ({GATES}) SELECT metric, expected, round(value, 6) AS value, CASE WHEN value >= expected THEN 'PASS' WHEN value >= expected - 0.05 THEN 'ALMOST_PASS' ELSE 'FAIL' END AS verdict FROM g LEFT JOIN m USING (metric)")
+@bound("g03_tolerance_gate", f"WITH m AS ({METRICS}), g AS ({GATES}) SELECT metric, expected, round(value, 6) AS value, CASE WHEN isnan(value) THEN 'FAIL' WHEN value >= expected THEN 'PASS' WHEN value >= expected - 0.05 THEN 'ALMOST_PASS' ELSE 'FAIL' END AS verdict FROM g LEFT JOIN m USING (metric)")
 def _(t):
     return G.tolerance_gate(t.sql(METRICS), t.sql(GATES)).select("metric", "expected", F.round("value", 6).alias("value"), "verdict")
 
 
-@bound("g04_degradation_gate", f"WITH b AS ({IMAGE_BUCKETS}), u AS (SELECT bucket, prob, gt, valid FROM prediction JOIN b USING (image_id) UNION ALL SELECT 'all', prob, gt, valid FROM prediction), c AS (SELECT bucket, {COUNTS.format(op='>')} FROM u GROUP BY bucket), p AS (SELECT bucket, tp / (tp + fp) AS precision FROM c), a AS (SELECT precision AS general FROM p WHERE bucket = 'all') SELECT bucket, round(general - precision, 6) AS drop, CASE WHEN general - precision <= 0.0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM p, a WHERE bucket <> 'all'")
+@bound("g04_degradation_gate", f"WITH b AS ({IMAGE_BUCKETS}), u AS (SELECT bucket, prob, gt, valid FROM odd_prediction JOIN b USING (image_id) UNION ALL SELECT 'all', prob, gt, valid FROM odd_prediction), c AS (SELECT bucket, {COUNTS.format(op='>')} FROM u GROUP BY bucket), p AS (SELECT bucket, tp / (tp + fp) AS precision FROM c), a AS (SELECT precision AS general FROM p WHERE bucket = 'all') SELECT bucket, round(general - precision, 6) AS drop, CASE WHEN general - precision <= 0.0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM p, a WHERE bucket <> 'all'")
 def _(t):
-    own = G.bucketed_scores(t.prediction, t.sql(IMAGE_BUCKETS), 0.4)
+    own = G.bucketed_scores(t.odd_prediction, t.sql(IMAGE_BUCKETS), 0.4)
     return G.degradation_gate(own, most=0.0).select("bucket", F.round("drop", 6).alias("drop"), "verdict")
 
 

@@ -71,7 +71,7 @@ def _(t):
     return T.leakage(t.sql(ASSIGNED))
 
 
-@bound("u01b_split_is_clean", "SELECT 0::BIGINT AS leaking, 'PASS' AS verdict")
+@bound("u01b_split_is_clean", f"WITH s AS (SELECT scene, {SPLIT} FROM {hashed('scene', 'patch')}), l AS (SELECT scene FROM patch JOIN s USING (scene) GROUP BY scene HAVING count(DISTINCT split) > 1) SELECT count(*)::BIGINT AS leaking, CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM l")
 def _(t):
     return T.leakage_verdict(t.patch.join(T.split_keys(t.patch, "scene"), "scene"))
 

@@ -38,7 +38,7 @@ def part(name, n, tmp_path):
 
 
 def test_every_pixel_centre_is_rasterised(spark, tmp_path):
-    got = {r.patch_id: (r.n, r.mark) for r in QUERIES["r11_rasterise_whole"](spark, part("orders", 20, tmp_path)).collect()}
+    got = {r.patch_id: (r.n, r.mark) for r in QUERIES["r11_rasterise"](spark, part("orders", 20, tmp_path)).collect()}
     keys = pd.read_parquet(tmp_path / "orders.parquet").o_orderkey
     assert set(got) == set(keys)
     y, x = np.mgrid[:32, :32] + 0.5
@@ -55,8 +55,8 @@ def test_every_pixel_centre_is_rasterised(spark, tmp_path):
 def test_rings_of_mask_regions(spark, tmp_path):
     sf = part("embeddings", 2, tmp_path)
     tiles = QUERIES["r05_regions"](spark, sf).toPandas()
-    rings = QUERIES["r07_background_ring_whole"](spark, sf).toPandas().set_index(["tile_id", "region"])
-    contrast = QUERIES["r08_region_contrast_whole"](spark, sf).toPandas().set_index(["tile_id", "region"])
+    rings = QUERIES["r07_background_ring"](spark, sf).toPandas().set_index(["tile_id", "region"])
+    contrast = QUERIES["r08_region_contrast"](spark, sf).toPandas().set_index(["tile_id", "region"])
     r, c = np.mgrid[:32, :32]
     seen = 0
     for tile in sorted(tiles.tile_id.unique()):
