@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from .url_filter import HREF, IS_BASE, IS_CANONICAL, IS_REFRESH, TAGS, TARGET
-
 LETTERS = {c: f"[{c.upper()}{c}]" for c in "abcdefghijklmnopqrstuvwxyz"}
 
 
@@ -82,15 +80,36 @@ def quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def linked(test: str, pattern: str) -> str:
-    return f"list_transform(list_filter(tags, lambda t: regexp_matches(t, {quoted(test)})), lambda t: {unescaped(f'regexp_extract(t, {quoted(pattern)}, 1)')})"
+WS = "[ \\t\\n\\f\\r]"
+RAW = "|".join(f"<{e}\\b[^>]*>.*?(?:</{e}{WS}*>|\\z)" for e in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"))
+ELEMENT = """(?i)<(?:link|meta|base)\\b(?:[^>"']|"[^"]*"|'[^']*'|["'])*>"""
+PART = f"""([^ \\t\\n\\f\\r"'<>/=]+){WS}*(?:={WS}*(?:"([^"]*)"|'([^']*)'|([^ \\t\\n\\f\\r"'>]*)))?"""
+REFRESH_URL = f"""(?i)\\burl{WS}*={WS}*["']?([^"' \\t\\n\\f\\r]+)"""
+
+
+def attribute(name: str) -> str:
+    """Of a tag t: the trimmed value of the first attribute of that name, else empty."""
+    names = f"list_transform(regexp_extract_all(t, {quoted(PART)}, 1), lambda n: lower(n))"
+    value = " || ".join(f"coalesce(regexp_extract_all(t, {quoted(PART)}, {k})[list_position({names}, '{name}')], '')" for k in (2, 3, 4))
+    return f"regexp_replace(coalesce({value}, ''), '^{WS}+|{WS}+$', '', 'g')"
+
+
+def read_of(element: str, test: str, value: str) -> str:
+    return f"list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<{element}\\b') AND {test}), lambda t: {value})"
+
+
+def linked(element: str, test: str, value: str) -> str:
+    return f"list_transform({read_of(element, test, value)}, lambda h: {unescaped('h')})"
+
 
+IS_CANONICAL = f"list_contains(regexp_split_to_array(lower({attribute('rel')}), '{WS}+'), 'canonical')"
+IS_REFRESH = f"lower({attribute('http-equiv')}) = 'refresh'"
 
 URLS = f"""
 WITH RECURSIVE pg AS (SELECT row_number() OVER () AS r, page_id, url, html, {host('url')} AS host, {path('url')} AS path, {address('url')} AS address FROM pages),
 rules(allow, rh, rp) AS (VALUES (true, 'org', '/'), (false, 'example.org', '/es/'), (false, 'example.org', '/en/1'), (true, 'com', '/fr/'), (false, 'com', '/de/')),
-tagged AS (SELECT url, regexp_extract_all(html, {quoted(TAGS)}) AS tags FROM pg WHERE html IS NOT NULL AND instr(url, '://') > 0),
-named AS (SELECT url, list_filter({linked(IS_BASE, HREF)}, lambda h: h <> '')[1] AS base, list_concat({linked(IS_CANONICAL, HREF)}, {linked(IS_REFRESH, TARGET)}) AS links FROM tagged),
+tagged AS (SELECT url, regexp_extract_all(regexp_replace(html, {quoted('(?is)<!--.*?(?:-->|' + chr(92) + 'z)|' + RAW)}, ' ', 'g'), {quoted(ELEMENT)}) AS tags FROM pg WHERE html IS NOT NULL AND instr(url, '://') > 0),
+named AS (SELECT url, list_filter({linked('base', 'true', attribute('href'))}, lambda h: h <> '')[1] AS base, list_concat({linked('link', IS_CANONICAL, attribute('href'))}, {linked('meta', IS_REFRESH, f"regexp_extract({attribute('content')}, {quoted(REFRESH_URL)}, 1)")}) AS links FROM tagged),
 based AS (SELECT url, coalesce({target('base', 'url')}, url) AS base, links FROM named WHERE len(links) > 0),
 led AS (SELECT url, {target('href', 'base')} AS goal FROM (SELECT url, base, unnest(list_distinct(links)) AS href FROM based) WHERE href <> ''),
 edges AS (SELECT DISTINCT {address('url')} AS a, {address('goal')} AS b FROM led),

@@ -31,11 +31,14 @@ from ..operators.components import connected_components
 from ..plans.storage import saved
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Elements that name another address, and what is read of them.
-TAGS = r"(?i)<(?:link|meta|base)\b[^>]*>"
-IS_CANONICAL, IS_REFRESH, IS_BASE = r"(?is)^<link\b.*\brel\s*=\s*(?:\"[^\"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)", r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b", r"(?is)^<base\b"
-HREF = r"(?is)\shref\s*=\s*[\"']?([^\"'\s>]+)"
-TARGET = r"(?is)\scontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
+#: Comments, and elements whose content is text; one that is not closed goes to the end.
+UNREAD = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|xmp|iframe|noembed|noframes)\b[^>]*>.*?(?:</\1[ \t\n\f\r]*>|\z)"
+#: Elements that name another address, up to the > outside of quotes; their parts are bounded, as each takes stack.
+TAGS = r"(?i)<(?:link|meta|base)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"']){0,400}+>"
+#: An attribute: name, and the value in double quotes, in single quotes or without.
+ATTRIBUTE = r"([^ \t\n\f\r\"'<>/=]+)[ \t\n\f\r]*(?:=[ \t\n\f\r]*(?:\"([^\"]*)\"|'([^']*)'|([^ \t\n\f\r\"'>]*)))?"
+BLANKS, ENDS = r"[ \t\n\f\r]+", r"^[ \t\n\f\r]+|[ \t\n\f\r]+$"
+TARGET = r"(?i)\burl[ \t\n\f\r]*=[ \t\n\f\r]*[\"']?([^\"' \t\n\f\r]+)"
 #: Named character references that may stand in a link.
 NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
 #: Up to so many rules the table is sent to every task instead of shuffling the pages.
@@ -141,12 +144,30 @@ def target_of(href: Column, url: Column) -> Column:
     return let(href, lambda h: let(url, lambda u: found(h, u)))
 
 
+def attributes(tag: Column) -> Column:
+    """struct(names, values) of a tag's attributes, names in lower case; the first is the element's name."""
+    of = lambda k: F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(k))
+    both = lambda x, y: F.concat(x, y)
+    values = F.zip_with(F.zip_with(of(2), of(3), both), of(4), both)
+    return F.struct(F.transform(of(1), lambda n: F.lower(n)).alias("names"), F.transform(values, lambda v: F.regexp_replace(v, ENDS, "")).alias("values"))
+
+
+def value_of(tag: Column, name: str) -> Column:
+    """The first value of an attribute, empty without one."""
+    return let(F.array_position(tag["names"], name), lambda i: F.when(i > 0, F.get(tag["values"], (i - 1).cast("int"))).otherwise(""))
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(a, b): addresses of pages and of what they redirect to or name as canonical. Links are saved before they are resolved."""
     found = pages.where("html IS NOT NULL AND url LIKE '%://%'").where(F.col("html").rlike(r"(?i)canonical|http-equiv"))
-    found = found.select("url", F.regexp_extract_all("html", F.lit(TAGS), F.lit(0)).alias("tags"))
-    of = lambda test, pattern: F.transform(F.filter("tags", lambda t: t.rlike(test)), lambda t: F.regexp_extract(t, pattern, 1))
-    found = found.select("url", F.get(F.filter(of(IS_BASE, HREF), lambda h: h != ""), F.lit(0)).alias("base"), F.explode(F.array_distinct(F.concat(of(IS_CANONICAL, HREF), of(IS_REFRESH, TARGET)))).alias("href"))
+    tags = F.regexp_extract_all(F.regexp_replace("html", UNREAD, " "), F.lit(TAGS), F.lit(0))
+    found = found.select("url", F.transform(tags, attributes).alias("tags"))
+    own = lambda name, test, read: F.transform(F.filter("tags", lambda t: (t["names"][0] == name) & test(t)), read)
+    href = lambda t: value_of(t, "href")
+    canonical = own("link", lambda t: F.array_contains(F.split(F.lower(value_of(t, "rel")), BLANKS), "canonical"), href)
+    refresh = own("meta", lambda t: F.lower(value_of(t, "http-equiv")) == "refresh", lambda t: F.regexp_extract(value_of(t, "content"), TARGET, 1))
+    base = F.get(F.filter(own("base", lambda t: F.lit(True), href), lambda h: h != ""), F.lit(0))
+    found = found.select("url", base.alias("base"), F.explode(F.array_distinct(F.concat(canonical, refresh))).alias("href"))
     links = saved(found.where("href <> ''"), "url-links")
     base = F.coalesce(target_of(unescaped(F.col("base")), F.col("url")), F.col("url"))
     ways = links.select(address_of(F.col("url")).alias("a"), address_of(target_of(unescaped(F.col("href")), base)).alias("b"))
@@ -167,7 +188,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFr
     ruled = with_best_rule(nodes.select("node", "component", host_of(at).alias("host"), path_of(at).alias("path")), rules)
     classes = ruled.groupBy("component").agg(F.max(F.col("best.allow")).alias("allowed"), F.max(~F.col("best.allow")).alias("blocked"))
     known = saved(ruled.join(saved(classes, "url-classes"), "component").select(F.col("node").alias("address"), (F.coalesce("blocked", F.lit(False)) & ~F.coalesce("allowed", F.lit(False))).alias("by_alias")), "url-aliases")
-    own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.coalesce(address_of(F.col("url")), F.concat(F.lit("://"), F.xxhash64("page_id").cast("string"))).alias("address"))  # pages without an address are dealt out
+    own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.coalesce(address_of(F.col("url")), F.concat(F.lit("://"), F.xxhash64("page_id", "url", "html").cast("string"))).alias("address"))  # pages without an address are dealt out
     joined = with_best_rule(own, rules).join(known, "address", "left")
     blocked = F.when(F.col("best").isNotNull(), ~F.col("best.allow")).otherwise(F.coalesce("by_alias", F.lit(False)))
     return joined.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.when(blocked, "block").otherwise("allow").alias("verdict"))

@@ -45,6 +45,32 @@ def test_sql_follows_the_same_aliases(spark):
     assert kept[1, "free.net"] == "allow" and kept[22, "o.net:8080"] == "allow" and kept[26, "q.net"] == "allow" and kept[28, "shop.com"] == "block" and kept[None, "p.net"] == "block"
 
 
+UNREAD = [
+    '<!-- <link rel="canonical" href="{}"> -->', "<script>var s='<link rel=\"canonical\" href=\"{}\">'</script>", '<link rel="alternate" data-x=" rel=canonical " href="{}">', '<style>/* <link rel=canonical href={}> */</style>',
+    '<!-- a > <meta http-equiv=refresh content="0;url={}">', '<textarea><link rel=canonical href={}></textarea >', '<meta name="x" content="http-equiv=refresh url={}">', '<link rel="uncanonical" href="{}">', '<link title="rel=canonical" href="{}">', "<SCRIPT SRC=x>'<link rel=canonical href={}>'", '<link a="open rel=x rel=canonical href={}>',
+]
+READ = [
+    '<link title="a>b" rel="canonical" href="{}">', "<script>1</script><link href='{}' rel='next CANONICAL'>", '<!-- x --><LINK REL = canonical HREF = {} >', '<script><!-- </script><link rel=canonical href={}>', '<title>a > b</title><meta content="3; URL=\'{}\'" HTTP-EQUIV=" Refresh ">',
+    '<link data-a=\'"\' rel=canonical href="{}"/>', '<link rel=canonical\n\thref="\n {} ">',
+]
+
+
+def test_markup_that_is_no_link_and_links_in_odd_markup(spark):
+    forms = [(k, f"https://a{k}.net/", form.format(f"https://b{k}.com/de/1")) for k, form in enumerate(UNREAD + READ)]
+    pages = spark.createDataFrame(forms, "page_id bigint, url string, html string")
+    out = {r.page_id: r.verdict for r in url_filter.judge(pages, URL_RULES).collect()}
+    assert [out[k] for k in range(len(forms))] == ["allow"] * len(UNREAD) + ["block"] * len(READ)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", forms)
+    assert {r[0]: r[4] for r in con.execute(URLS).fetchall()} == out
+
+
+def test_hostile_markup(spark):
+    rows = [(1, "http://a.net/", "<link " + 'a="b" ' * 50_000 + "rel=canonical href=http://shop.com/de/1>"), (2, "http://b.net/", "<!--" * 100_000 + "canonical"), (3, "http://c.net/", "<script>" * 50_000 + "canonical"), (4, "http://d.net/", '<link "' * 50_000 + "canonical")]
+    assert url_filter.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string"), URL_RULES).where("verdict = 'allow'").count() == 4
+
+
 def test_without_rules_nothing_is_blocked(spark):
     pages = spark.createDataFrame(ROWS, "page_id bigint, url string, html string")
     assert url_filter.judge(pages, []).where("verdict = 'block' OR rule IS NOT NULL").count() == 0
