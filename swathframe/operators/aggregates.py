@@ -172,6 +172,29 @@ def background_stat(df: DataFrame, keys: list[str], value: str, method: str = "m
     return ranked.where((F.col("__r") > cut) & (F.col("__r") <= F.col("__k") - cut)).groupBy(*keys).agg(F.avg(value).alias("background"))
 
 
+def list_stat(values: Column, method: str, trim: float = 0.1) -> Column:
+    """The same statistics of an array's values."""
+    mean = lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x))
+    if method == "mean":
+        return mean(values)
+    n, own = F.size(values), F.array_sort(values)
+    if method == "trimmed_mean":
+        cut = F.floor(n * trim).cast("int")
+        return mean(F.slice(own, cut + 1, n - 2 * cut))
+    at = {"median": 0.5, "p90": 0.9}[method] * (n - 1)
+    lo, hi = F.get(own, F.floor(at).cast("int")), F.get(own, F.ceil(at).cast("int"))
+    return F.when(F.ceil(at) == F.floor(at), lo).otherwise(lo * (F.ceil(at) - at) + hi * (at - F.floor(at)))
+
+
+def parts_stat(parts: DataFrame, keys: list[str], values: str, method: str, most: int | None = None) -> DataFrame:
+    """(keys, background) of values that come in arrays; groups of over ``most`` values are ordered in ranges."""
+    sizes = parts.groupBy(*keys).agg(F.sum(F.size(values)).alias("n"))
+    if not sizes.where(F.col("n") > (LARGE_GROUP if most is None else most)).isEmpty():
+        return background_stat(parts.select(*keys, F.explode(values).alias("v")), keys, "v", method, most=most)
+    own = parts.groupBy(*keys).agg(F.flatten(F.collect_list(values)).alias("v"))
+    return own.select(*keys, list_stat(F.col("v"), method).alias("background"))
+
+
 def resource_use(samples: DataFrame, keys: list[str]) -> DataFrame:
     return samples.groupBy(*keys).agg(F.avg("power").alias("avg_power"), F.max("power").alias("peak_power"), F.count("*").alias("samples"))
 

@@ -205,3 +205,75 @@ def adaptive_filter(pixels: DataFrame, value: str, height: int, width: int, rows
     kinds = {f.name: f.dataType for f in pixels.schema}
     own = local.select("tile_id", "block", "v", "s", "mean", "var").join(noise, "tile_id").mapInArrow(lambda b: filtered_pixels(b, rows, width), "tile_id bigint, r bigint, c bigint, filtered double")
     return own.select(*[F.col(c).cast(kinds[c]).alias(c) for c in ("tile_id", "r", "c")], "filtered")
+
+
+# -------------------------------------------------------------------- rings
+#: Cells of distances that are computed from a region's pixels at once; larger regions are widened step by step.
+NEAR_CELLS = 1 << 18
+
+
+def distance_rings(r: np.ndarray, c: np.ndarray, shape: tuple[int, int], inner: int, outer: int) -> np.ndarray:
+    """Which cells of a window lie at an L1 distance in (inner, outer] of its pixels (r, c)."""
+    if len(r) * shape[0] * shape[1] <= NEAR_CELLS:
+        y, x = np.arange(shape[0])[:, None], np.arange(shape[1])[:, None]
+        far = (np.abs(y - r)[:, None, :] + np.abs(x - c)[None, :, :]).min(-1)
+        return (far > inner) & (far <= outer)
+    grown = np.zeros(shape, bool)
+    grown[r, c] = True
+    close = grown
+    for k in range(1, outer + 1):
+        wide = grown.copy()
+        wide[1:] |= grown[:-1]
+        wide[:-1] |= grown[1:]
+        wide[:, 1:] |= grown[:, :-1]
+        wide[:, :-1] |= grown[:, 1:]
+        grown = wide
+        close = grown if k == inner else close
+    return grown & ~close
+
+
+def block_rings(batches: Iterator[pa.RecordBatch], rows: int, inner: int, outer: int) -> Iterator[pa.RecordBatch]:
+    """(tile_id, region, values): what the rings of regions hold on the rows of a block, from rows (tile_id, block, r, c, value, region, held)."""
+    for (tile, block), (r, c, value, region, held) in grouped(batches, 2):
+        r, c, region, held = r.astype(np.int64), c.astype(np.int64), region.astype(np.int64), held.astype(bool)
+        top, left = block * rows, int(c.min())
+        r, c, width = r - top, c - left, int(c.max()) - left + 1  # rows of the block itself are 0 to rows - 1
+        inside, low = region >= 0, min(0, int(r.min()))
+        power, free = np.zeros((rows, width)), np.zeros((rows, width), bool)
+        own = held & (r >= 0) & (r < rows)
+        power[r[own], c[own]] = value[own]
+        free[r[own], c[own]] = True
+        marked = inside & (r >= 0) & (r < rows)
+        free[r[marked], c[marked]] = False
+        order = np.argsort(region[inside], kind="stable")
+        rr, cc, names = r[inside][order], c[inside][order], region[inside][order]
+        cuts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1], [True]])) if len(names) else np.zeros(1, np.int64)
+        found, size, parts = [], [], []
+        for a, b in zip(cuts, cuts[1:]):
+            y, x = rr[a:b], cc[a:b]
+            y0, y1 = max(low, int(y.min()) - outer), min(rows + outer, int(y.max()) + outer + 1)
+            x0, x1 = max(0, int(x.min()) - outer), min(width, int(x.max()) + outer + 1)
+            ring = distance_rings(y - y0, x - x0, (y1 - y0, x1 - x0), inner, outer)
+            f0, f1 = max(y0, 0), min(y1, rows)
+            if f1 > f0:
+                values = power[f0:f1, x0:x1][ring[f0 - y0 : f1 - y0] & free[f0:f1, x0:x1]]
+                if len(values):
+                    found.append(names[a])
+                    size.append(len(values))
+                    parts.append(values)
+        if found:
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]).astype(np.int32)), pa.array(np.concatenate(parts)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), tile)), pa.array(np.array(found, np.int64)), lists], ["tile_id", "region", "values"])
+
+
+def ring_values(labelled: DataFrame, pixels: DataFrame, value: str, inner: int = 3, outer: int = 12, rows: int = ROWS) -> DataFrame:
+    """(tile_id, region, values): the values of the pixels at an L1 distance in (inner, outer] of a region and in none, in parts by blocks of rows.
+
+    A block also gets the ``outer`` rows before and after it, so a row is sent to two blocks
+    near a border and else to one. Pixels without a value are left out.
+    """
+    places = lambda df, v, region, held: df.select(*[F.col(k).cast("bigint").alias(k) for k in ("tile_id", "r", "c")], v.alias("value"), region.alias("region"), F.lit(held).alias("held"))
+    both = places(pixels.where(F.col(value).isNotNull()), F.col(value).cast("double"), F.lit(-1).cast("bigint"), 1).unionByName(places(labelled, F.lit(0.0), F.col("region").cast("bigint"), 0))
+    block = F.explode(F.sequence(F.floor((F.col("r") - outer) / rows), F.floor((F.col("r") + outer) / rows)))
+    dealt = both.dropna().withColumn("block", block).repartition("tile_id", "block").sortWithinPartitions("tile_id", "block")
+    return dealt.select("tile_id", "block", "r", "c", "value", "region", "held").mapInArrow(lambda b: block_rings(b, rows, inner, outer), "tile_id bigint, region bigint, values array<double>")

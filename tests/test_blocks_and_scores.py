@@ -63,6 +63,35 @@ def test_only_seams_are_linked(spark, monkeypatch):
     assert seen == [3]  # 19,200 pixels, four blocks, a link for each of three seams
 
 
+def test_rings_of_large_regions(monkeypatch):
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        r, c = np.nonzero((rng.random((9, 12)) < 0.1) | (np.add.outer(np.arange(9), np.arange(12)) == 7))
+        near = [blocks.distance_rings(r + 3, c + 3, (15, 18), inner, 5) for inner in (1, 3)]
+        monkeypatch.setattr(blocks, "NEAR_CELLS", 0)
+        assert all((a == b).all() for a, b in zip(near, [blocks.distance_rings(r + 3, c + 3, (15, 18), inner, 5) for inner in (1, 3)]))
+        monkeypatch.undo()
+
+
+@pytest.mark.parametrize("rows", [3, 5, 256])
+def test_rings_by_blocks(spark, rows):
+    rng = np.random.default_rng(12)
+    mask = rng.random((14, 18)) < 0.12
+    values = [(1, r, c, None if (r, c) == (2, 2) else float(100 * r + c)) for r in range(14) for c in range(18) if (r + c) % 13]
+    px = spark.createDataFrame(values, "tile_id bigint, r int, c int, power double")
+    marked = raster.regions(pixels(spark, {1: mask}))
+    found: dict = {}
+    for x in blocks.ring_values(marked, px, "power", 1, 4, rows=rows).collect():
+        found.setdefault(x.region, []).extend(x["values"])
+    whole: dict = {}
+    for x in raster.background_ring(marked, px, 1, 4).where("power IS NOT NULL").collect():
+        whole.setdefault(x.region, []).append(x.power)
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in whole.items()} and found
+    for method in ("mean", "median", "p90", "trimmed_mean"):
+        stats = [{r.region: round(r.background, 9) for r in df.collect()} for df in (A.parts_stat(blocks.ring_values(marked, px, "power", 1, 4, rows=rows), ["region"], "values", method), A.background_stat(raster.background_ring(marked, px, 1, 4), ["region"], "power", method))]
+        assert stats[0] == stats[1]
+
+
 # ------------------------------------------------------------ local filter
 def brute_filter(v):
     h, w = v.shape
