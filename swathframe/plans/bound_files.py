@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import joins as J
+from ..operators import masks
 from ..sources import files as S
 from ..sources import png, tiles
 from ..streaming import jobs, keyed
@@ -167,8 +168,8 @@ def mask_images(batches):
 @bound("s09b_masked_tiles", "SELECT vec_id AS k, (p // 8)::INT AS r, (p % 8)::INT AS c, embedding[p + 1] AS i, embedding[p + 33] AS q, (embedding[p + 1] > 0)::INT AS label FROM embeddings, (SELECT unnest(range(0, 32)) AS p)")
 def _(t):
     images = t.embeddings.select(F.col("vec_id").alias("path"), "embedding").mapInArrow(mask_images, "path bigint, content binary")
-    masks = png.read_masks(images).where("error IS NULL").select("key", F.posexplode("label").alias("p", "label"), "w").select("key", F.expr("p div w").cast("int").alias("r"), (F.col("p") % F.col("w")).alias("c"), "label")
-    return S.tile_pixels(S.read_npy(contents(t, "npy"))).join(masks, ["key", "r", "c"]).withColumnRenamed("key", "k")
+    labels = png.read_masks(images).where("error IS NULL").select("key", F.posexplode("label").alias("p", "label"), "w").select("key", F.expr("p div w").cast("int").alias("r"), (F.col("p") % F.col("w")).alias("c"), "label")
+    return S.tile_pixels(S.read_npy(contents(t, "npy"))).join(labels, ["key", "r", "c"]).withColumnRenamed("key", "k")
 
 
 def write_files(batches, folder):
@@ -281,15 +282,19 @@ def _(t):
 
 @bound("x02_mask_resolver", "SELECT f.doc_id, m.path FROM tile_file f LEFT JOIN mask_file m ON m.doc_id = f.doc_id")
 def _(t):
-    def by_id(tiles, masks):
-        return tiles.join(masks.select("doc_id", F.col("path").alias("mask")), "doc_id", "left")
+    return masks.resolve_masks(t.tile_file, t.mask_file, "by_id").select("doc_id", F.col("mask").alias("path"))
 
-    return resolve(t.tile_file, t.mask_file, by_id).select("doc_id", F.col("mask").alias("path"))
 
+# tiles in and outside of split folders, with and without a number; masks of either spelling or of none
+FOLDER = "CASE doc_id % 10 WHEN 8 THEN '/d/val' WHEN 9 THEN '/d/Train/x/test2' WHEN 7 THEN '/d/other' ELSE '/d/Train' END"
+RC_TILES = f"SELECT doc_id, concat({FOLDER}, '/rc/', source, '/s1a-iw-raw-s-vv-IW1-', CASE WHEN doc_id % 11 = 0 THEN 'VD_' ELSE 'RFI_' END, CAST(doc_id AS VARCHAR(20)), '_scaled.npy') AS path FROM documents"
+RC_MASKS = f"SELECT doc_id, concat({FOLDER}, '/mask/', CASE WHEN doc_id % 3 = 0 THEN concat('DB_OPENSAR_RFI_', CAST(doc_id AS VARCHAR(20)), '_MASK.png') ELSE concat('db_opensar_rfi_', CAST(doc_id AS VARCHAR(20)), '_mask.png') END) AS path FROM labels WHERE doc_id % 5 <> 1"
 
-def resolve(tiles, masks, strategy):
-    """Tiles with their masks under a join strategy: a function of both tables."""
-    return strategy(tiles, masks)
+
+@bound("x02b_split_folder_masks", f"SELECT t.doc_id, CASE WHEN t.doc_id % 10 <> 7 AND t.doc_id % 11 <> 0 THEN m.path END AS mask, t.doc_id % 10 = 7 OR t.doc_id % 11 = 0 AS without_candidate FROM ({RC_TILES}) t LEFT JOIN ({RC_MASKS}) m ON m.doc_id = t.doc_id")
+def _(t):
+    found = masks.resolve_masks(t.sql(RC_TILES), t.sql(RC_MASKS), "split_folder")
+    return found.select("doc_id", "mask", F.coalesce(F.col("reason") == "no candidate", F.lit(False)).alias("without_candidate"))
 
 
 @bound("x04_binary_decoder", "SELECT vec_id AS k, 4 AS h, 8 AS w, 32 AS n FROM embeddings")

@@ -196,3 +196,18 @@ def test_bursts_by_ranges_equal_keyed_ones(spark, tmp_path):
     jobs.run_bursts(spark, f"{tmp_path}/in", SCHEMA, f"{tmp_path}/checkpoint", f"{tmp_path}/out")
     told = jobs.latest_bursts(spark.read.parquet(f"{tmp_path}/out/updates").drop("batch")).select("stream", "swath", "burst", "start_us", "stop_us", "n").collect()
     assert sorted(map(tuple, told)) == runs(pulses)
+
+
+# -------------------------------------------------------------------- masks
+def test_mask_strategies(spark):
+    from swathframe.operators import masks
+
+    tiles = spark.createDataFrame([(1, "/a/train/x/RFI_7_scaled.npy"), (2, "/train/val/rc/rfi_8.npy"), (3, "/a/other/RFI_9.npy"), (4, "/a/val/none.npy"), (5, "/a/test2/RFI_5.npy"), (6, None)], "doc_id int, path string")
+    known = [(1, "/a/train/mask/DB_OPENSAR_RFI_7_MASK.png"), (1, "/a/train/mask/db_opensar_rfi_7_mask.png"), (2, "/train/val/mask/db_opensar_rfi_8_mask.png"), (2, "/train/mask/DB_OPENSAR_RFI_8_MASK.png"), (3, "/a/other/mask/DB_OPENSAR_RFI_9_MASK.png")]
+    found = {r.doc_id: r for r in masks.resolve_masks(tiles, spark.createDataFrame(known, "doc_id int, path string"), "split_folder").collect()}
+    assert len(found) == 6 and (found[1].mask, found[2].mask) == (known[0][1], known[2][1])
+    assert all(found[k].mask is None for k in (3, 4, 5, 6)) and found[3].reason == found[4].reason == found[6].reason == "no candidate" and found[5].reason.startswith("not found: /a/test2/mask/DB_OPENSAR_RFI_5_MASK.png, ")
+    own = masks.resolve_masks(tiles, tiles, lambda t, m: t.withColumnRenamed("path", "mask"))
+    assert own.columns == ["doc_id", "mask"]
+    with pytest.raises(ValueError, match="unknown strategy"):
+        masks.resolve_masks(tiles, tiles, "other")
