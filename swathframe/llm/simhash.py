@@ -92,13 +92,13 @@ def fingerprint(text: Column, width: int = 3, lanes: int = 1, distinct: bool = F
 
 
 def sketched(text: Column, width: int, lanes: int, keys: int) -> Column:
-    """struct(fp, sketch): fingerprint over distinct shingles and their ``keys`` smallest hashes."""
+    """struct(fp, sketch, n): fingerprint over distinct shingles, their ``keys`` smallest hashes and their number."""
 
-    @F.pandas_udf("fp string, sketch array<bigint>")
+    @F.pandas_udf("fp string, sketch array<bigint>, n bigint")
     def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             found = [np.unique(shingle_hashes(t, width)) for t in batch]
-            yield pd.DataFrame({"fp": [majority_bits(x, lanes).hex() for x in found], "sketch": [x[:keys].view(np.int64) for x in found]})
+            yield pd.DataFrame({"fp": [majority_bits(x, lanes).hex() for x in found], "sketch": [x[:keys].view(np.int64) for x in found], "n": [len(x) for x in found]})
 
     return both(text)
 
@@ -132,7 +132,7 @@ def band_keys(fps: DataFrame, radius: int, hot: int = 32_768) -> DataFrame:
 
 
 def sketch_keys(fps: DataFrame) -> DataFrame:
-    """(key, fp): a row for each of a fingerprint's smallest shingle hashes.
+    """(key, fp): a row for each of a fingerprint's smallest shingle hashes, which are distinct.
 
     Two sets with Jaccard similarity J share none of their k smallest with a chance near
     (1 - J) ** k: under 3 in a million for 0.8 and k = 8.
@@ -236,8 +236,8 @@ def compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
 
 
 def near_links(keyed: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) that span the components of fingerprints meeting under a key of ``keyed`` (key, fp) within ``radius`` bits."""
-    keyed = saved(keyed.distinct(), "simhash-keys")
+    """Links (a, b) that span the components of fingerprints meeting under a key of ``keyed`` (key, fp), distinct rows, within ``radius`` bits."""
+    keyed = saved(keyed, "simhash-keys")
     sizes = saved(keyed.groupBy("key").count().where("count > 1"), "simhash-sizes")
     parts = F.ceil(F.col("count") / chunk).cast("int")
     met = keyed.join(sizes, "key").select("key", "fp", parts.alias("k"), F.pmod(F.xxhash64("fp", "key"), parts).cast("int").alias("c"))
@@ -251,7 +251,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, fingerprint, component_id): one row a document, linked at ``radius`` or fewer differing bits."""
     own = saved(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), width).alias("fingerprint")), "simhash-docs")
     fps = saved(own.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    return own.join(fp_components(fps, near_links(band_keys(fps.select("fp"), radius), radius)), own.fingerprint == F.col("fp")).select("doc_id", "fingerprint", "component_id")
+    return own.join(fp_components(fps, near_links(band_keys(fps.select("fp"), radius).distinct(), radius)), own.fingerprint == F.col("fp")).select("doc_id", "fingerprint", "component_id")
 
 
 def fp_components(fps: DataFrame, links: DataFrame) -> DataFrame:
@@ -341,17 +341,20 @@ def row_key(df: DataFrame) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-def alike_links(sets: DataFrame, radius: int, least: float) -> DataFrame:
-    """Links (a, b) that span the components of similar sets inside each group. sets: (group, fp, shingles).
+def group_sizes(members: DataFrame) -> DataFrame:
+    """(group, k, leader) of (group, fp, n): in how many chunks a group is dealt, by its members and by their shingles, and its first fingerprint."""
+    deal = lambda n, size: F.greatest(F.ceil(n / (CHUNK // 2)), F.ceil(size / (SET_BYTES // 2))).cast("int")
+    return members.groupBy("group").agg(deal(F.count("*"), F.sum(8 * F.col("n"))).alias("k"), F.min("fp").alias("leader"))
+
+
+def alike_links(sets: DataFrame, sizes: DataFrame, radius: int, least: float) -> DataFrame:
+    """Links (a, b) that span the components of similar sets inside each group. sets: (group, k, leader, fp, shingles), sizes: (group, k, leader).
 
     A group is dealt in chunks, and its first member is in each of them. Where all members
     turn out to hang together with that one, which is so in a group of copies, the work and
     the bytes moved are linear in the group. Only members that do not are compared with all
     chunks of their group.
     """
-    deal = lambda n, size: F.greatest(F.ceil(n / (CHUNK // 2)), F.ceil(size / (SET_BYTES // 2))).cast("int")
-    sizes = sets.groupBy("group").agg(deal(F.count("*"), F.sum(F.octet_length("shingles"))).alias("k"), F.min("fp").alias("leader"))
-    sizes = saved(sizes, "simhash-sizes")
     at = lambda parts: F.pmod(F.xxhash64("fp"), parts).cast("int")
     every = lambda parts: F.sequence(F.lit(0), parts - 1)
 
@@ -360,7 +363,7 @@ def alike_links(sets: DataFrame, radius: int, least: float) -> DataFrame:
         return saved(dealt.mapInArrow(lambda b: verify(b, radius, least), "a string, b string"), "simhash-alike")
 
     chunks = F.when(F.col("fp") == F.col("leader"), every(F.col("k"))).otherwise(F.array(at(F.col("k"))))
-    links = met(sets.join(sizes, "group").select("group", "fp", "shingles", F.lit(0).alias("i"), F.explode(chunks).alias("j")))
+    links = met(sets.select("group", "fp", "shingles", F.lit(0).alias("i"), F.explode(chunks).alias("j")))
     large = sizes.where("k > 1")
     if large.isEmpty():
         return links
@@ -372,7 +375,7 @@ def alike_links(sets: DataFrame, radius: int, least: float) -> DataFrame:
     if rest.isEmpty():
         return links
     left = saved(rest.groupBy("group").agg(F.ceil(F.count("*") / (CHUNK // 2)).cast("int").alias("r")), "simhash-left")
-    again = sets.join(left, "group").join(large.select("group", "k"), "group")
+    again = sets.select("group", "k", "fp", "shingles").join(left, "group")
     everyone = again.select("group", "fp", "shingles", F.explode(every(F.col("r"))).alias("i"), at(F.col("k")).alias("j"), "k")
     outside = again.join(rest, ["group", "fp"], "left_semi").select("group", "fp", "shingles", at(F.col("r")).alias("i"), F.explode(every(F.col("k"))).alias("j"), "k")
     return links.union(met(everyone.union(outside)))
@@ -393,14 +396,15 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int =
     (row,) = free_names(docs.columns, "row")
     held = docs.withColumn(row, row_key(docs))
     marks = held.select("doc_id", F.col(row).alias("row"), sketched(F.col("text"), width, lanes, keys).alias("s"))
-    marks = saved(marks.select("doc_id", "row", "s.fp", "s.sketch"), "simhash-docs")
+    marks = saved(marks.select("doc_id", "row", "s.fp", "s.sketch", "s.n"), "simhash-docs")
     first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
-    fps = saved(marks.groupBy("fp").agg(F.min(first).alias("best"), F.min("sketch").alias("sketch")), "simhash-distinct")
+    fps = saved(marks.groupBy("fp").agg(F.min(first).alias("best"), F.min("sketch").alias("sketch"), F.min("n").alias("n")), "simhash-distinct")
     coarse = connected_components(near_links(sketch_keys(fps), radius))
-    near = saved(fps.join(coarse, fps.fp == coarse.node).select("fp", F.col("best.row").alias("row"), F.col("component").alias("group")), "simhash-near")
-    once = held.select(F.col(row).alias("row"), "text").join(near, "row").dropDuplicates(["row"])
-    sets = saved(once.select("group", "fp", shingle_set(F.col("text"), width).alias("shingles")), "simhash-sets")
-    roots = connected_components(alike_links(sets, radius, least))
+    near = saved(fps.join(coarse, fps.fp == coarse.node).select("fp", F.col("best.row").alias("row"), F.col("component").alias("group"), "n"), "simhash-near")
+    sizes = saved(group_sizes(near), "simhash-sizes")
+    once = held.select(F.col(row).alias("row"), "text").join(near.join(sizes, "group"), "row").dropDuplicates(["row"])
+    sets = saved(once.select("group", "k", "leader", "fp", shingle_set(F.col("text"), width).alias("shingles")), "simhash-sets")
+    roots = connected_components(alike_links(sets, sizes, radius, least))
     rooted = fps.join(roots, fps.fp == roots.node, "left").select("best", F.coalesce("component", "fp").alias("root"))
     chosen = saved(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row)).distinct(), "simhash-chosen")
     # copies of a whole row are combined on the map side before they meet
