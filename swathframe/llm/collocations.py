@@ -38,7 +38,7 @@ from ..plans.storage import saved
 from .words import batches_of, slices
 
 #: Bytes of text in a block, rows of lists or relations in an Arrow batch, buckets a shuffle partition, and how Parquet is told that its rows are large.
-BLOCK, TOGETHER, BUCKETS = 8_000_000, 4, 4
+BLOCK, TOGETHER, BUCKETS = 3_000_000, 4, 4
 LARGE_ROWS = {"parquet.block.size.row.check.min": "4", "parquet.page.size.row.check.min": "4", "compression": "zstd"}
 #: Fixed: 1 ends a word, 2 also ends a piece.
 KIND = np.zeros(256, np.uint8)
@@ -99,7 +99,7 @@ def occurrences(text: bytes) -> tuple[pa.LargeStringArray, np.ndarray, np.ndarra
     inside = np.zeros(len(raw) + 2, bool)
     inside[1:-1] = kind == 0
     first, end = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
-    piece = np.cumsum(kind == 2)[first] if len(first) else first
+    piece = np.cumsum(kind == 2, dtype=np.int32)[first] if len(first) else first
     skipped = np.cumsum(np.diff(piece, prepend=piece[:1]) > 0)
     offsets = np.concatenate([[0], np.cumsum(end - first)]).astype(np.int64)
     words = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(raw[inside[1:-1]])).dictionary_encode()
@@ -136,6 +136,7 @@ def word_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                     if size >= BLOCK:
                         yield from out()
                         held, size = {}, 0
+                        pa.default_memory_pool().release_unused()
         yield from out()
 
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
@@ -246,7 +247,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int) -> tuple[DataFra
         if m > 1:
             with batches_of(spark, TOGETHER):
                 relation = saved(extended(relation, frequent, buckets), f"phrase-{m}", **LARGE_ROWS)
-        with batches_of(spark, 1000):
+        with batches_of(spark, 300):
             frequent = saved(frequent_groups(relation, m == 1, least, buckets), "phrase-frequent")
         own = frequent.where("id IS NOT NULL")
         if m == 1:
