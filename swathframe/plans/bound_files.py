@@ -106,12 +106,13 @@ def _(t):
 
 
 def touch_files(batches, folder):
-    """Empty files of the given names in ``folder``."""
+    """Files of one byte with the given names in ``folder``; the scan passes over empty ones."""
     system, path = tiles.opened(folder)
     for batch in batches:
         for name in batch.column(0).to_pylist():
             system.create_dir(f"{path}/{name}".rpartition("/")[0])
-            system.open_output_stream(f"{path}/{name}").close()
+            with system.open_output_stream(f"{path}/{name}") as out:
+                out.write(b"\0")
         yield batch
 
 
