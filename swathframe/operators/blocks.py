@@ -232,8 +232,24 @@ def distance_rings(r: np.ndarray, c: np.ndarray, shape: tuple[int, int], inner:
     return grown & ~close
 
 
-def block_rings(batches: Iterator[pa.RecordBatch], rows: int, inner: int, outer: int) -> Iterator[pa.RecordBatch]:
-    """(tile_id, region, values): what the rings of regions hold on the rows of a block, from rows (tile_id, block, r, c, value, region, held)."""
+def stat_of(values: np.ndarray, method: str, trim: float = 0.1) -> float:
+    """Mean, median, p90 or trimmed mean, as ``aggregates.list_stat`` has them."""
+    if method == "mean":
+        return float(values.mean())
+    own, n = np.sort(values), len(values)
+    if method == "trimmed_mean":
+        cut = int(n * trim)
+        return float(own[cut : n - cut].mean())
+    at = {"median": 0.5, "p90": 0.9}[method] * (n - 1)
+    lo = int(at)
+    return float(own[lo] if lo == at else own[lo] * (lo + 1 - at) + own[lo + 1] * (at - lo))
+
+
+def block_rings(batches: Iterator[pa.RecordBatch], rows: int, inner: int, outer: int, method: str | None = None) -> Iterator[pa.RecordBatch]:
+    """(tile_id, region, background, values): what the rings of regions hold on the rows of a block, from rows (tile_id, block, r, c, value, region, held).
+
+    With a method, a ring that lies in the block alone is its statistic, and has no values.
+    """
     for (tile, block), (r, c, value, region, held) in grouped(batches, 2):
         r, c, region, held = r.astype(np.int64), c.astype(np.int64), region.astype(np.int64), held.astype(bool)
         top, left = block * rows, int(c.min())
@@ -248,7 +264,7 @@ def block_rings(batches: Iterator[pa.RecordBatch], rows: int, inner: int, outer:
         order = np.argsort(region[inside], kind="stable")
         rr, cc, names = r[inside][order], c[inside][order], region[inside][order]
         cuts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1], [True]])) if len(names) else np.zeros(1, np.int64)
-        found, size, parts = [], [], []
+        found, size, parts, stats = [], [], [], []
         for a, b in zip(cuts, cuts[1:]):
             y, x = rr[a:b], cc[a:b]
             y0, y1 = max(low, int(y.min()) - outer), min(rows + outer, int(y.max()) + outer + 1)
@@ -258,12 +274,22 @@ def block_rings(batches: Iterator[pa.RecordBatch], rows: int, inner: int, outer:
             if f1 > f0:
                 values = power[f0:f1, x0:x1][ring[f0 - y0 : f1 - y0] & free[f0:f1, x0:x1]]
                 if len(values):
+                    alone = method and (block == 0 or y.min() >= outer) and y.max() + outer < rows
                     found.append(names[a])
-                    size.append(len(values))
-                    parts.append(values)
+                    stats.append(stat_of(values, method) if alone else None)
+                    size.append(0 if alone else len(values))
+                    parts.append(values[:0] if alone else values)
         if found:
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]).astype(np.int32)), pa.array(np.concatenate(parts)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), tile)), pa.array(np.array(found, np.int64)), lists], ["tile_id", "region", "values"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), tile)), pa.array(np.array(found, np.int64)), pa.array(stats, pa.float64()), lists], ["tile_id", "region", "background", "values"])
+
+
+def ring_rows(labelled: DataFrame, pixels: DataFrame, value: str, inner: int, outer: int, rows: int, method: str | None) -> DataFrame:
+    places = lambda df, v, region, held: df.select(*[F.col(k).cast("bigint").alias(k) for k in ("tile_id", "r", "c")], v.alias("value"), region.alias("region"), F.lit(held).alias("held"))
+    both = places(pixels.where(F.col(value).isNotNull()), F.col(value).cast("double"), F.lit(-1).cast("bigint"), 1).unionByName(places(labelled, F.lit(0.0), F.col("region").cast("bigint"), 0))
+    block = F.explode(F.sequence(F.floor((F.col("r") - outer) / rows), F.floor((F.col("r") + outer) / rows)))
+    dealt = both.dropna().withColumn("block", block).repartition("tile_id", "block").sortWithinPartitions("tile_id", "block")
+    return dealt.select("tile_id", "block", "r", "c", "value", "region", "held").mapInArrow(lambda b: block_rings(b, rows, inner, outer, method), "tile_id bigint, region bigint, background double, values array<double>")
 
 
 def ring_values(labelled: DataFrame, pixels: DataFrame, value: str, inner: int = 3, outer: int = 12, rows: int = ROWS) -> DataFrame:
@@ -272,8 +298,13 @@ def ring_values(labelled: DataFrame, pixels: DataFrame, value: str, inner: int =
     A block also gets the ``outer`` rows before and after it, so a row is sent to two blocks
     near a border and else to one. Pixels without a value are left out.
     """
-    places = lambda df, v, region, held: df.select(*[F.col(k).cast("bigint").alias(k) for k in ("tile_id", "r", "c")], v.alias("value"), region.alias("region"), F.lit(held).alias("held"))
-    both = places(pixels.where(F.col(value).isNotNull()), F.col(value).cast("double"), F.lit(-1).cast("bigint"), 1).unionByName(places(labelled, F.lit(0.0), F.col("region").cast("bigint"), 0))
-    block = F.explode(F.sequence(F.floor((F.col("r") - outer) / rows), F.floor((F.col("r") + outer) / rows)))
-    dealt = both.dropna().withColumn("block", block).repartition("tile_id", "block").sortWithinPartitions("tile_id", "block")
-    return dealt.select("tile_id", "block", "r", "c", "value", "region", "held").mapInArrow(lambda b: block_rings(b, rows, inner, outer), "tile_id bigint, region bigint, values array<double>")
+    return ring_rows(labelled, pixels, value, inner, outer, rows, None).drop("background")
+
+
+def ring_stats(labelled: DataFrame, pixels: DataFrame, value: str, method: str, inner: int = 3, outer: int = 12, rows: int = ROWS) -> DataFrame:
+    """(tile_id, region, background): a statistic of each ring. Only rings that reach over blocks are put together from their values."""
+    from .aggregates import parts_stat
+
+    parts = saved(ring_rows(labelled, pixels, value, inner, outer, rows, method), "rings")
+    own = parts.where("background IS NOT NULL").select("tile_id", "region", "background")
+    return own.unionByName(parts_stat(parts.where("background IS NULL"), ["tile_id", "region"], "values", method))

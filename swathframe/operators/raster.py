@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.storage import saved
-from .blocks import adaptive_filter, regions, ring_values  # noqa: F401
+from .blocks import adaptive_filter, regions, ring_stats, ring_values  # noqa: F401
 from .lines import best_lag  # noqa: F401
 
 PIXEL = ["tile_id", "r", "c"]
@@ -106,11 +105,11 @@ def region_contrast(labelled: DataFrame, pixels: DataFrame, threshold: float, re
     A region without a ring, or without power, has neither contrast nor a place in the mask, in either mode.
     """
     from ..functions.columns import contrast_db
-    from .aggregates import background_stat, parts_stat
+    from .aggregates import background_stat
 
     table = region_table(labelled, least)
     inside = background_stat(labelled.join(pixels.hint("shuffle_merge"), PIXEL).where(F.col("power").isNotNull() & ~F.isnan(F.col("power").cast("double"))), ["tile_id", "region"], "power", region).withColumnRenamed("background", "signal")
-    ring = parts_stat(saved(ring_values(labelled, pixels, "power", inner, outer), "rings"), ["tile_id", "region"], "values", background)
+    ring = ring_stats(labelled, pixels, "power", background, inner, outer)
     own = table.join(inside, ["tile_id", "region"], "left").join(ring, ["tile_id", "region"], "left")
     known = F.col("signal").isNotNull() & F.col("background").isNotNull()
     own = own.withColumn("db", F.when(known, contrast_db(F.col("signal"), F.col("background"))))

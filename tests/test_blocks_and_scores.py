@@ -88,8 +88,8 @@ def test_rings_by_blocks(spark, rows):
         whole.setdefault(x.region, []).append(x.power)
     assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in whole.items()} and found
     for method in ("mean", "median", "p90", "trimmed_mean"):
-        stats = [{r.region: round(r.background, 9) for r in df.collect()} for df in (A.parts_stat(blocks.ring_values(marked, px, "power", 1, 4, rows=rows), ["region"], "values", method), A.background_stat(raster.background_ring(marked, px, 1, 4), ["region"], "power", method))]
-        assert stats[0] == stats[1]
+        stats = [{r.region: round(r.background, 9) for r in df.collect()} for df in (blocks.ring_stats(marked, px, "power", method, 1, 4, rows=rows), A.parts_stat(blocks.ring_values(marked, px, "power", 1, 4, rows=rows), ["region"], "values", method), A.background_stat(raster.background_ring(marked, px, 1, 4), ["region"], "power", method))]
+        assert stats[0] == stats[1] == stats[2]
 
 
 # ------------------------------------------------------------ local filter
