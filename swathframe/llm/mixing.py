@@ -187,7 +187,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     name = F.col("doc_id").cast("string")
     name = F.coalesce(name, F.md5(F.coalesce("text", F.lit("")))) if "text" in docs.columns else name
     mark = F.md5(F.concat_ws("/", F.lit(str(seed)), name, size.cast("string")))
-    m, c, w, part = free_names(docs.columns, "m", "c", "w", "part")
+    m, c, w = free_names(docs.columns, "m", "c", "w")
+    source, mark_, room, part, before = (f"{x}_tied" for x in free_names([k.removesuffix("_tied") for k in docs.columns], "s", "h", "j", "p", "b"))
     held = docs.withColumn(m, F.struct(pattern.alias("s"), size.alias("n"), mark.alias("h")))
     marks = saved(held.select(f"{m}.*"), "mix-marks")
     sums = saved(marks.groupBy("s", F.substring("h", 1, DIGITS).alias("bin")).agg(F.sum("n").alias("tokens")), "mix-sums")
@@ -206,14 +207,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     if cuts.where("j > 0 AND j < c").isEmpty():
         met = met.withColumn(w, more)
     else:  # the quota ends between rows that share id and size: so many of them are numbered, part by part of the table they are written to
+        met = saved(met, "mix-met")  # conditions on both sides' fields must not be pushed into the join
         split = here & (F.col(f"{c}.j") > 0) & (F.col(f"{c}.j") < F.col(f"{c}.c"))
-        tied = saved(met.where(split).withColumn(part, F.spark_partition_id()), "mix-tied")
-        sizes = tied.groupBy(F.col(f"{m}.s").alias("s"), F.col(part).alias("p")).agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        offset = sizes.select(F.struct("s", "p", before.alias("before")).alias(w))
-        number = F.row_number().over(Window.partitionBy(f"{m}.s", part).orderBy(f"{m}.h")) + F.col(f"{w}.before")
-        tied = tied.join(offset, F.col(f"{m}.s").eqNullSafe(F.col(f"{w}.s")) & (F.col(part) == F.col(f"{w}.p")))
-        tied = tied.withColumn(w, (number <= F.col(f"{c}.j")).cast("int")).drop(part)
+        flat = [F.col(f"{m}.s").alias(source), F.col(f"{m}.h").alias(mark_), F.col(f"{c}.j").alias(room), F.spark_partition_id().alias(part)]
+        tied = saved(met.where(split).select("*", *flat), "mix-tied")
+        sizes = tied.groupBy(F.col(source).alias("s"), F.col(part).alias("p")).agg(F.count("*").alias("n"))
+        earlier = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        offset = saved(sizes.select(F.col("s").alias(f"{source}_"), F.col("p").alias(f"{part}_"), earlier.alias(before)), "mix-offsets")
+        tied = tied.join(offset, F.col(source).eqNullSafe(F.col(f"{source}_")) & (F.col(part) == F.col(f"{part}_")))
+        number = F.row_number().over(Window.partitionBy(source, part).orderBy(mark_)) + F.col(before)
+        tied = saved(tied.withColumn(w, (number <= F.col(room)).cast("int")).drop(source, mark_, room, part, before, f"{source}_", f"{part}_"), "mix-numbered")
         met = met.where(~F.coalesce(split, F.lit(False))).withColumn(w, more).unionByName(tied)
     taken = F.col(f"{m}.n") * F.least(F.lit(copies), F.col(f"{c}.q.passes") + F.col(w))
     mixed = F.struct(F.col(f"{m}.s").alias("sources"), F.col(f"{m}.n").alias("size"), F.col(f"{c}.q.pattern_size").alias("pattern_size"), F.col(f"{c}.q.quota").alias("quota"), taken.alias("taken"))

@@ -256,3 +256,14 @@ def test_toxicity_features_against_plain_loops():
     began = time.process_time()
     own.of("a" * 1_000_000)  # one endless word
     assert time.process_time() - began < 10
+
+
+def test_repeated_rows_share_the_end_of_a_quota(spark):
+    """Rows of one id and size are numbered part by part: as many are taken as the quota has room for."""
+    from swathframe.llm import mixing
+
+    docs = spark.createDataFrame([(7, "a b c d", "s", i) for i in range(50)], "doc_id int, text string, source string, mix int").repartition(4)
+    mixed = mixing.mix(docs, weights=(1,), budget=0.5, copies=2, out="got").collect()
+    assert len(mixed) == 50 and sorted(r.mix for r in mixed) == list(range(50))
+    assert sorted(r.got.taken for r in mixed) == [0] * 25 + [4] * 25
+    assert [r.got.taken for r in mixing.mix(docs.limit(0), out="got").collect()] == []
