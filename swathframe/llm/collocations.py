@@ -38,7 +38,7 @@ from ..plans.storage import saved
 from .words import batches_of, slices
 
 #: Bytes of text in a block, rows of lists or relations in an Arrow batch, buckets a shuffle partition, and how Parquet is told that its rows are large.
-BLOCK, TOGETHER, BUCKETS = 3_000_000, 4, 4
+BLOCK, TOGETHER, BUCKETS = 5_000_000, 4, 1
 LARGE_ROWS = {"parquet.block.size.row.check.min": "4", "parquet.page.size.row.check.min": "4", "compression": "zstd"}
 #: Fixed: 1 ends a word, 2 also ends a piece.
 KIND = np.zeros(256, np.uint8)
