@@ -7,6 +7,8 @@ task holds them all.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,16 +33,21 @@ def ranked(df: DataFrame, key: str, seed: int, within: list[str]) -> DataFrame:
     return joined.withColumn("rn", F.col("before") + F.row_number().over(Window.partitionBy(*within, "bin").orderBy("h"))).select(*within, key, "rn", "n")
 
 
+def share(n: Column, ratio: float) -> Column:
+    """The whole part of n times a ratio as it is written: 90 * 0.7 is 63, though less in floating point."""
+    return F.floor(n * F.lit(Decimal(str(ratio))))
+
+
 def split_keys(df: DataFrame, key: str, ratios: tuple[float, float] = (0.7, 0.15), seed: int = 42, within: list[str] | None = None) -> DataFrame:
     """(within, key, split): floors for train and val, the rest is test."""
     own = ranked(df, key, seed, within or [])
-    train, val = F.floor(F.col("n") * F.lit(ratios[0])), F.floor(F.col("n") * F.lit(ratios[1]))
+    train, val = share(F.col("n"), ratios[0]), share(F.col("n"), ratios[1])
     return own.select(*(within or []), key, F.when(F.col("rn") <= train, "train").when(F.col("rn") <= train + val, "val").otherwise("test").alias("split"))
 
 
 def hold_out(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
     own = ranked(df, key, seed, [])
-    return own.select(key, F.when(F.col("rn") <= F.floor(F.col("n") * F.lit(fraction)), "val").otherwise("train").alias("split"))
+    return own.select(key, F.when(F.col("rn") <= share(F.col("n"), fraction), "val").otherwise("train").alias("split"))
 
 
 def balanced(df: DataFrame, cls: str, name: str, caps: dict | None = None) -> DataFrame:
