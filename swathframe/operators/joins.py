@@ -44,26 +44,34 @@ def containing_windows(targets: DataFrame, products: DataFrame, days: int = 32)
 def nearest_cell(points: DataFrame, cells: DataFrame, key: str, step: float = 8.0, widest: float = 512.0) -> DataFrame:
     """Each point (key, lat, lon) with its nearest cell (cell, lat, lon, ...) by squared degrees, the smallest cell of equals.
 
-    Points look in their own and adjoining grid squares; the answer holds if it is closer
-    than the nearest unseen square, else the point looks again in squares four times as
-    wide. Squares of ``widest`` degrees see every cell of the globe, so all points end.
+    Points of one place look once, and cells of one place are their smallest. Places look in
+    their own and adjoining grid squares, of at most ``step`` degrees and of a few cells each;
+    the answer holds if it is closer than the nearest unseen square, else the place looks
+    again in squares four times as wide. Squares of ``widest`` degrees see every cell of the
+    globe, so all places end.
     """
     columns = [c for c in cells.columns if c not in ("lat", "lon")]
-    left, done, size = points.select(key, "lat", "lon"), None, step
+    spots = saved(cells.groupBy(F.col("lat").alias("__lat"), F.col("lon").alias("__lon")).agg(F.min(F.struct(*columns)).alias("__c")), "nearest-spots")
+    whole = spots.agg(F.count("*").alias("n"), (F.max("__lat") - F.min("__lat")).alias("h"), (F.max("__lon") - F.min("__lon")).alias("w")).first()
+    h, w, n = whole.h or 0.0, whole.w or 0.0, max(whole.n, 1)
+    room = max((4 * h * w / n) ** 0.5, 4 * max(h, w) / n)  # squares of four spots on average
+    left, done, size = saved(points.select("lat", "lon").distinct(), "nearest-left"), None, min(step, max(room, 1e-3)) if room else step
+    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
     while True:
         square = lambda c: F.floor(F.col(c) / size).cast("int")  # noqa: E731, B023
-        near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-        looks = left.withColumn("__a", near).withColumn("__o", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("__y", square("lat") + F.col("__a")).withColumn("__x", square("lon") + F.col("__o"))
-        placed = cells.withColumnsRenamed({"lat": "__lat", "lon": "__lon"}).withColumn("__y", F.floor(F.col("__lat") / size).cast("int")).withColumn("__x", F.floor(F.col("__lon") / size).cast("int"))
+        looks = left.withColumn("__a", near).withColumn("__o", near).withColumn("__y", square("lat") + F.col("__a")).withColumn("__x", square("lon") + F.col("__o"))
+        placed = spots.withColumn("__y", square("__lat")).withColumn("__x", square("__lon"))
         met = looks.join(placed, ["__y", "__x"]).withColumn("d2", F.pow(F.col("lat") - F.col("__lat"), 2) + F.pow(F.col("lon") - F.col("__lon"), 2))
-        best = met.groupBy(key).agg(F.min(F.struct("d2", *columns)).alias("b")).where(F.col("b.d2") <= size * size).select(key, "b.*")
+        best = met.groupBy("lat", "lon").agg(F.min(F.struct("d2", "__c")).alias("b")).where(F.col("b.d2") <= size * size).select("lat", "lon", "b")
         best = saved(best, "nearest")
         done = best if done is None else done.unionByName(best)
         if size >= widest:
-            return done
-        left, size = saved(left.join(best, key, "left_anti"), "nearest-left"), min(size * 4, widest)
+            break
+        left, size = saved(left.join(best, ["lat", "lon"], "left_anti"), "nearest-left"), min(size * 4, widest)
         if left.isEmpty():
-            return done
+            break
+    found = points.select(key, "lat", "lon").join(done, ["lat", "lon"]).groupBy(key).agg(F.min("b").alias("b"))
+    return found.select(key, "b.d2", "b.__c.*")
 
 
 def grid_distance(matches: DataFrame, grid: DataFrame) -> DataFrame:
