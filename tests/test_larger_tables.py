@@ -1,10 +1,12 @@
 """What came out only on larger tables: sizes at which steps gave other rows, or moved more than their input."""
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
-from swathframe.operators import scoring, splits
+from swathframe.operators import joins, raster, scoring, splits
 from swathframe.plans.bound import ORACLE, QUERIES
+from swathframe.plans.storage import saved
 
 
 def test_split_shares_are_those_of_the_sql(spark, tmp_path):
@@ -36,3 +38,55 @@ def test_boxes_of_images_with_few_meet_by_image(spark):
     wanted = rows(scoring.match_crowded(found, truth, [0.25, 0.5]))
     assert rows(few) == wanted and len(wanted) == 1200 and any(r[4] for r in wanted)
     assert rows(mixed) == rows(scoring.match_crowded(found.where("image_id % 2 = 0 OR det_no < 5"), truth, [0.25, 0.5]))
+
+
+def test_resampling_joins_nothing(spark):
+    """Lines of samples were joined with their positions, by a broadcast of all samples."""
+    own = spark.range(64 * 5).selectExpr("id div 64 AS tile_id", "int(id % 64) AS s", "double(id * 37 % 101) AS value").where("s <> 9")
+    out = raster.sinc_resample(own, ["tile_id"], 64, 80)
+    assert "Join" not in plan(out)
+    held = {(r.tile_id, r.s): r.value for r in own.collect()}
+    got = {(r.tile_id, r.o): r.value for r in out.collect()}
+    assert len(got) == 400
+    for (tile, o), value in got.items():
+        x = o * 64 / 80
+        near = [(np.sinc(x - s) * (0.5 + 0.5 * np.cos((x - s) * np.pi / 8)), held[tile, s]) for s in range(max(0, int(x) - 7), min(63, int(x) + 8) + 1) if (tile, s) in held]
+        assert abs(value - sum(a * b for a, b in near) / sum(a for a, _ in near)) < 1e-9
+
+
+def test_nearest_cells_of_crowded_places(spark, monkeypatch):
+    """As brute force, where many points share places and squares of the first step hold all cells; a key of two places has one row."""
+    points = spark.range(3000).selectExpr("id % 2990 AS patch_id", "double(id * 7 % 31) / 9 AS lat", "IF(id >= 2990, 150.0, double(id * 11 % 23) / 7) AS lon")
+    cells = spark.range(400).selectExpr("id AS cell", "double(id * 13 % 200) / 50 AS lat", "double(id * 29 % 190) / 50 AS lon")
+    kept = []
+
+    def spied(df, tag):
+        out = saved(df, tag)
+        kept.extend([out] if tag == "nearest" else [])
+        return out
+
+    monkeypatch.setattr(joins, "saved", spied)
+    found = joins.nearest_cell(points, cells, "patch_id").collect()
+    assert sum(df.count() for df in kept) == points.select("lat", "lon").distinct().count() < 1000  # places look, not points
+    got = {r.patch_id: r.cell for r in found}
+    held, wanted = [(c.lat, c.lon, c.cell) for c in cells.collect()], {}
+    for p in points.collect():
+        best = min((pow(p.lat - lat, 2) + pow(p.lon - lon, 2), cell) for lat, lon, cell in held)
+        wanted[p.patch_id] = min(best, wanted.get(p.patch_id, best))
+    assert len(found) == 2990 and got == {k: v[1] for k, v in wanted.items()}
+
+
+def test_rings_are_not_grouped_again_by_rows(spark):
+    """Rows of a ring stay with it: one grouping, by the ring, is all; what is inside is as by crossing number."""
+    rng = np.random.default_rng(3)
+    rings = [(k, i, float(x), float(y)) for k in range(20) for i, (x, y) in enumerate(rng.uniform(-4, 20, (3 + k % 4, 2)))]
+    rings += [(20, 0, float("nan"), 1.0), (20, 1, 9.0, float("nan")), (20, 2, 3.0, 9.0), (21, 0, 2.0, 5.0), (21, 1, 8.0, 5.0)]
+    out = raster.rasterise(spark.createDataFrame(rings, "k bigint, ord int, px double, py double"), "k", 16)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+    got = {tuple(r) for r in out.collect()}
+    for k in range(20):
+        own = [r[2:] for r in rings if r[0] == k]
+        for r in range(16):
+            for c in range(16):
+                cut = [(x2 - x1) * (r + 0.5 - y1) / (y2 - y1) + x1 for (x1, y1), (x2, y2) in zip(own, own[1:] + own[:1]) if (y1 > r + 0.5) != (y2 > r + 0.5)]
+                assert (sum(c + 0.5 < x for x in cut) % 2 == 1) == ((k, r, c) in got)
