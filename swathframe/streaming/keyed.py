@@ -17,6 +17,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,26 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def in_order(fresh: pd.DataFrame | None, waiting: list[tuple]) -> pd.DataFrame:
+    """Pulses (ts_us, seq, swath) by time, sequence and swath; those without a swath have None."""
+    parts = [pd.DataFrame(waiting, columns=["ts_us", "seq", "swath"])] if waiting or fresh is None else []
+    parts += [fresh[["ts_us", "seq", "swath"]]] if fresh is not None else []
+    own = pd.concat([p.astype({"ts_us": "int64", "seq": "int64", "swath": object}) for p in parts], ignore_index=True)
+    own["swath"] = own["swath"].where(own["swath"].notna(), None)
+    swaths = pd.factorize(own["swath"], sort=True)[0]
+    return own.iloc[np.lexsort((swaths, own["seq"], own["ts_us"]))].reset_index(drop=True)
+
+
+def runs_of(pulses: pd.DataFrame) -> Iterator[tuple]:
+    """(swath, first time, last time, pulses) of neighbours of one swath."""
+    if not len(pulses):
+        return
+    codes, ts = pd.factorize(pulses["swath"], use_na_sentinel=True)[0], pulses["ts_us"].to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    last = np.append(first[1:], len(codes)) - 1
+    yield from zip(pulses["swath"].iloc[first].tolist(), ts[first].tolist(), ts[last].tolist(), (last - first + 1).tolist())
+
+
 class BurstProcessor(StatefulProcessor):
     def __init__(self, delay_us: int, idle_ms: int | None):
         self.delay_us, self.idle_ms = delay_us, idle_ms
@@ -49,15 +70,15 @@ class BurstProcessor(StatefulProcessor):
         until = self.cut.get()[0] if self.cut.exists() else None
         late = fresh["ts_us"].isna() | (fresh["ts_us"] < until if until is not None else False)
         told = [(r.swath, None, None if pd.isna(r.ts_us) else int(r.ts_us), None if pd.isna(r.ts_us) else int(r.ts_us), 1, True) for r in fresh[late].itertuples()]
-        held = [(int(t), int(s), w) for t, s, w in zip(fresh["ts_us"][~late], fresh["seq"][~late], fresh["swath"][~late])]
-        held += [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
-        if held:
-            until = max(max(t for t, *_ in held) - self.delay_us, until if until is not None else -(2**62))
-            told += self.cut_runs(sorted(x for x in held if ended or x[0] < until))
+        held = in_order(fresh[~late], [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else [])
+        if len(held):
+            until = max(int(held["ts_us"].iloc[-1]) - self.delay_us, until if until is not None else -(2**62))
+            ready = len(held) if ended else int(held["ts_us"].searchsorted(until, "left"))
+            told += self.cut_runs(held.iloc[:ready])
         if ended:
             told += self.end_burst()
-            until, held = None, []
-        self.keep([x for x in held if x[0] >= until], until)
+            until, held = None, held.iloc[:0]
+        self.keep(held.iloc[int(held["ts_us"].searchsorted(until, "left")) :] if len(held) else held, until)
         if self.idle_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
@@ -66,26 +87,29 @@ class BurstProcessor(StatefulProcessor):
         yield self.rows(key, told)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
-        told = self.cut_runs(held)
+        told = self.cut_runs(in_order(None, [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []))
         until = self.open.get()[3] + 1 if self.open.exists() else None  # what comes from now on begins a burst of its own
         told += self.end_burst()
-        self.keep([], until if until is not None else self.cut.get()[0] if self.cut.exists() else None)
+        self.keep(in_order(None, []), until if until is not None else self.cut.get()[0] if self.cut.exists() else None)
         yield self.rows(key, told)
 
-    def cut_runs(self, pulses: list[tuple]) -> list[tuple]:
-        """Pulses in order go on with the open burst or close it; closed bursts are handed back."""
+    def cut_runs(self, pulses: pd.DataFrame) -> list[tuple]:
+        """Pulses in order go on with the open burst or close it; closed bursts are handed back. Only runs of one swath are looked at one by one."""
         told = []
         burst = list(self.open.get()) if self.open.exists() else None
-        for ts, _, swath in pulses:
+        numbers: dict = {}
+        for swath, start, stop, n in runs_of(pulses):
             if burst and burst[0] == swath:
-                burst[3], burst[4] = ts, burst[4] + 1
+                burst[3], burst[4] = stop, burst[4] + n
                 continue
             told += [(*burst, False)] if burst else []
-            name = (swath or "",)
-            number = (self.bursts.getValue(name)[0] if self.bursts.containsKey(name) else 0) + 1
-            self.bursts.updateValue(name, (number,))
-            burst = [swath, number, ts, ts, 1]
+            name = swath or ""
+            if name not in numbers:
+                numbers[name] = self.bursts.getValue((name,))[0] if self.bursts.containsKey((name,)) else 0
+            numbers[name] += 1
+            burst = [swath, numbers[name], start, stop, n]
+        for name, number in numbers.items():
+            self.bursts.updateValue((name,), (number,))
         if burst:
             self.open.update(tuple(burst))
         return told
@@ -97,10 +121,10 @@ class BurstProcessor(StatefulProcessor):
         self.open.clear()
         return [(*burst, False)]
 
-    def keep(self, held: list[tuple], until: int | None) -> None:
+    def keep(self, held: pd.DataFrame, until: int | None) -> None:
         self.waiting.clear()
-        if held:
-            self.waiting.put(held)
+        if len(held):
+            self.waiting.put(list(zip(held["ts_us"].tolist(), held["seq"].tolist(), held["swath"].tolist())))
         if until is None:
             self.cut.clear()
         else:

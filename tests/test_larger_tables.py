@@ -2,11 +2,13 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from swathframe.operators import joins, raster, scoring, splits
 from swathframe.plans.bound import ORACLE, QUERIES
 from swathframe.plans.storage import saved
+from swathframe.streaming import keyed
 
 
 def test_split_shares_are_those_of_the_sql(spark, tmp_path):
@@ -90,3 +92,10 @@ def test_rings_are_not_grouped_again_by_rows(spark):
             for c in range(16):
                 cut = [(x2 - x1) * (r + 0.5 - y1) / (y2 - y1) + x1 for (x1, y1), (x2, y2) in zip(own, own[1:] + own[:1]) if (y1 > r + 0.5) != (y2 > r + 0.5)]
                 assert (sum(c + 0.5 < x for x in cut) % 2 == 1) == ((k, r, c) in got)
+
+
+def test_keyed_bursts_look_at_runs_not_pulses():
+    """A stream of 300,000 pulses in 3 runs is cut by its runs; null swaths are runs of their own."""
+    swaths = ["IW1"] * 100_000 + [None] * 100_000 + ["IW1"] * 100_000
+    pulses = keyed.in_order(pd.DataFrame({"ts_us": range(300_000), "seq": 0, "swath": swaths}).sample(frac=1, random_state=1), [(300_000, 1, "IW2"), (300_000, 0, "IW1")])
+    assert list(keyed.runs_of(pulses)) == [("IW1", 0, 99_999, 100_000), (None, 100_000, 199_999, 100_000), ("IW1", 200_000, 300_000, 100_001), ("IW2", 300_000, 300_000, 1)]
