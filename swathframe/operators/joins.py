@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.storage import saved
-from .ranges import earlier, handed_on, ranged
+from .ranges import earlier, handed_on, ranged, running_sums
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -41,6 +41,55 @@ def containing_windows(targets: DataFrame, products: DataFrame, days: int = 32)
     return t.join(p, (F.col("t.__b") == F.col("p.__b")) & (F.col("t.start_ts") <= F.col("p.start_ts")) & (F.col("t.stop_ts") >= F.col("p.stop_ts")))
 
 
+def around_windows(spans: DataFrame, windows: DataFrame) -> DataFrame:
+    """(start_ts, stop_ts, n, mark) of windows that spans (start_ts, stop_ts, n, mark) begin before and end after.
+
+    A span lies in two cells or three of the power of two that its length reaches; a window
+    looks in the cell of its start for each such length that there is.
+    """
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    cell = lambda c: F.floor(seconds(c) / F.pow(F.lit(2.0), F.col("level"))).cast("bigint")
+    level = F.ceil(F.log2(seconds("stop_ts") - seconds("start_ts"))).cast("int")
+    held = spans.where("start_ts < stop_ts").withColumn("level", level).withColumn("cell", F.explode(F.sequence(cell("start_ts"), cell("stop_ts"))))
+    levels = sorted(r.level for r in held.select("level").distinct().collect())  # some sixty at most
+    looks = windows.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).withColumn("cell", cell("start_ts"))
+    met = looks.alias("t").join(held.alias("p"), (F.col("t.level") == F.col("p.level")) & (F.col("t.cell") == F.col("p.cell")) & (F.col("p.start_ts") < F.col("t.start_ts")) & (F.col("p.stop_ts") > F.col("t.stop_ts")))
+    return met.groupBy("t.start_ts", "t.stop_ts").agg(F.sum("n").alias("n"), F.sum("mark").alias("mark"))
+
+
+def counted_windows(targets: DataFrame, products: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, mark): how many products ``containing_windows`` gives a target, and the sum of their whole numbers ``value``; targets without any have no row.
+
+    Nothing is paired: of all products those that stop too late and those that start too
+    early are taken off, read from running sums over time. What would be taken off twice,
+    products that begin before a window and end after it, is paired and put back, and
+    products that stop before they start are paired as they are.
+    """
+    both = products.select("start_ts", "stop_ts", F.col(value).alias("__v")).dropna(subset=["start_ts", "stop_ts"])
+    own = targets.select(F.col(key).alias("__t"), "start_ts", "stop_ts").where("start_ts <= stop_ts")
+    forward = both.where("start_ts <= stop_ts")
+    sums = [F.count("*").alias("n"), F.sum("__v").alias("mark")]
+
+    def upto(product: str, target: str, at_end: bool) -> DataFrame:
+        """(time of a target, n, mark) of the products before it, with those at it where ``at_end``."""
+        first, second = F.lit(0 if at_end else 1), F.lit(1 if at_end else 0)
+        times = forward.groupBy(F.col(product).cast("timestamp").alias("__at")).agg(*sums).withColumn("__kind", first)
+        asked = own.select(F.col(target).cast("timestamp").alias("__at")).distinct().select("__at", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("mark"), second.alias("__kind"))
+        order = F.struct("__at", "__kind")
+        run = running_sums(times.unionByName(asked).withColumn("__o", order).fillna(0, ["mark"]), [], "__o", cn="n", cm="mark")
+        return run.where(F.col("__kind") == second).select(F.col("__at").alias(target + "_at"), F.col("cn").alias(target + "_n"), F.col("cm").alias(target + "_m"))
+
+    at = own.withColumn("start_ts_at", F.col("start_ts").cast("timestamp")).withColumn("stop_ts_at", F.col("stop_ts").cast("timestamp"))
+    read = at.join(upto("stop_ts", "stop_ts", True), "stop_ts_at").join(upto("start_ts", "start_ts", False), "start_ts_at")
+    parts = read.select("__t", (F.col("stop_ts_n") - F.col("start_ts_n")).alias("n"), (F.col("stop_ts_m") - F.col("start_ts_m")).alias("mark"))
+    parts = parts.unionByName(own.join(around_windows(forward.groupBy("start_ts", "stop_ts").agg(*sums), own.select("start_ts", "stop_ts").distinct()), ["start_ts", "stop_ts"]).select("__t", "n", "mark"))
+    odd = both.where("start_ts > stop_ts")
+    if not odd.isEmpty():
+        paired = containing_windows(targets.select(F.col(key).alias("__t"), "start_ts", "stop_ts"), odd)
+        parts = parts.unionByName(paired.select("__t", F.lit(1).cast("bigint").alias("n"), F.col("__v").alias("mark")))
+    return parts.groupBy(F.col("__t").alias(key)).agg(F.sum("n").alias("n"), F.sum("mark").alias("mark")).where("n > 0")
+
+
 def nearest_cell(points: DataFrame, cells: DataFrame, key: str, step: float = 8.0, widest: float = 512.0) -> DataFrame:
     """Each point (key, lat, lon) with its nearest cell (cell, lat, lon, ...) by squared degrees, the smallest cell of equals.
 

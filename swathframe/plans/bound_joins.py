@@ -43,7 +43,7 @@ def _(t):
 @bound("j03c_matches_per_target", "SELECT target_id, count(*) AS n, sum(product_id)::BIGINT AS mark FROM (SELECT c_custkey AS target_id, min(o_orderdate) AS a, max(o_orderdate) AS b FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey) JOIN product p ON a <= p.start_ts AND b >= p.stop_ts GROUP BY target_id")
 def _(t):
     """The whole join, a row a target."""
-    return J.containing_windows(whole_targets(t), t.product).groupBy("target_id").agg(F.count("*").alias("n"), F.sum("product_id").alias("mark"))
+    return J.counted_windows(whole_targets(t), t.product, "target_id", "product_id")
 
 
 @bound("j04_nearest_wind", "SELECT patch_id, min(struct_pack(d := pow(c.lat - w.lat, 2) + pow(c.lon - w.lon, 2), cell := cell)).cell AS cell FROM centre c, wind_cell w GROUP BY patch_id")

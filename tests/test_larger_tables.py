@@ -99,3 +99,12 @@ def test_keyed_bursts_look_at_runs_not_pulses():
     swaths = ["IW1"] * 100_000 + [None] * 100_000 + ["IW1"] * 100_000
     pulses = keyed.in_order(pd.DataFrame({"ts_us": range(300_000), "seq": 0, "swath": swaths}).sample(frac=1, random_state=1), [(300_000, 1, "IW2"), (300_000, 0, "IW1")])
     assert list(keyed.runs_of(pulses)) == [("IW1", 0, 99_999, 100_000), (None, 100_000, 199_999, 100_000), ("IW1", 200_000, 300_000, 100_001), ("IW2", 300_000, 300_000, 1)]
+
+
+def test_windows_are_counted_without_pairs(spark):
+    """As the pairs give it: products around a window, at its ends, longer than it, and such as stop before they start."""
+    rng = np.random.default_rng(5)
+    span = lambda n, name, low, high: spark.createDataFrame([(i, int(a), int(a + d)) for i, (a, d) in enumerate(zip(rng.integers(0, 400, n), rng.integers(low, high, n)))], f"{name} bigint, a bigint, b bigint").selectExpr(name, "timestamp_seconds(a * 43200) AS start_ts", "timestamp_seconds(b * 43200) AS stop_ts")
+    targets, products = span(60, "target_id", 0, 60).unionByName(span(5, "target_id", 0, 3).withColumn("target_id", F.col("target_id") + 60)), span(300, "product_id", -1, 12)
+    wanted = {tuple(r) for r in joins.containing_windows(targets, products).groupBy("target_id").agg(F.count("*"), F.sum("product_id")).collect()}
+    assert {tuple(r) for r in joins.counted_windows(targets, products, "target_id", "product_id").collect()} == wanted and len(wanted) > 40
