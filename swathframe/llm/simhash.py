@@ -38,8 +38,8 @@ from .words import free_names
 SEED = 42
 #: Rows of one key that meet in a cell, and fingerprints compared in one go.
 CHUNK, BLOCK, STRIP = 1024, 4096, 256
-#: Bytes of shingle sets that are compared in one go.
-SET_BYTES = 1 << 26
+#: Bytes of shingle sets that are compared in one go, and hashes of them that are sorted at once.
+SET_BYTES, SORTED = 1 << 26, 1 << 20
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -183,10 +183,12 @@ def near_rows(fps: np.ndarray, radius: int, tally: dict[str, int] | None = None)
                         break
         tally["abandoned"] = tally.get("abandoned", 0) + begun - len(row)
         out[at + row, first + word] = ~over
-    row, word = np.nonzero(out)
-    k, lane = np.nonzero(np.unpackbits(out[row, word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-    i, j = row[k], word[k] * 64 + lane
-    np.bitwise_or.at(out, (j, i >> 6), np.uint64(1) << (i & 63).astype(np.uint64))
+    for at in range(0, m, STRIP):  # mirrored strip by strip, as near copies have links by the square of their number
+        bits = np.unpackbits(out[at : at + STRIP].view(np.uint8), axis=1, bitorder="little")[:, :m].T
+        back = np.zeros((m, -(-bits.shape[1] // 64) * 64), np.uint8)
+        back[:, : bits.shape[1]] = bits
+        back = np.packbits(back, axis=1, bitorder="little").view(np.uint64)
+        out[:, at // 64 : at // 64 + back.shape[1]] |= back
     return out
 
 
@@ -263,18 +265,22 @@ def fp_components(fps: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def jaccard(sets: list[np.ndarray]) -> np.ndarray:
-    """Similarity of every two of some sets of hashes; hashes that one set alone has only count in its size."""
-    n, size = len(sets), np.array([len(x) for x in sets], np.float64)
-    owner = np.repeat(np.arange(n), size.astype(np.int64))
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = np.cumsum(count > 1) - 1
-    held = count[column] > 1
-    owner, column, both = owner[held], shared[column[held]], np.zeros((n, n))
-    for at in range(0, int(shared[-1]) + 1 if len(shared) else 0, BLOCK):
-        own = (column >= at) & (column < at + BLOCK)
-        part = np.zeros((n, BLOCK), np.float32)
-        part[owner[own], column[own] - at] = 1
-        both += part @ part.T
+    """Similarity of every two of some sorted sets of hashes, by ranges of hashes; hashes that one set alone has only count in its size."""
+    n, size, both = len(sets), np.array([len(x) for x in sets], np.float64), np.zeros((len(sets), len(sets)))
+    parts = max(1, -(-int(size.sum()) // SORTED))
+    edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+    cuts = np.array([[0, *np.searchsorted(x, edges), len(x)] for x in sets])
+    for k in range(parts):
+        owner = np.repeat(np.arange(n), cuts[:, k + 1] - cuts[:, k])
+        _, column, count = np.unique(np.concatenate([x[a:b] for x, a, b in zip(sets, cuts[:, k], cuts[:, k + 1])]), return_inverse=True, return_counts=True)
+        shared = np.cumsum(count > 1) - 1
+        held = count[column] > 1
+        owner, column = owner[held], shared[column[held]]
+        for at in range(0, int(shared[-1]) + 1 if len(shared) else 0, BLOCK):
+            own = (column >= at) & (column < at + BLOCK)
+            part = np.zeros((n, BLOCK), np.float32)
+            part[owner[own], column[own] - at] = 1
+            both += part @ part.T
     union = size[:, None] + size[None, :] - both
     return np.divide(both, union, out=np.ones((n, n)), where=union > 0)
 
@@ -341,44 +347,53 @@ def row_key(df: DataFrame) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
+def dealt(n: Column, size: Column) -> Column:
+    """In how many chunks so many members with so many bytes of shingles are dealt."""
+    return F.greatest(F.ceil(n / (CHUNK // 2)), F.ceil(size / (SET_BYTES // 2))).cast("int")
+
+
 def group_sizes(members: DataFrame) -> DataFrame:
     """(group, k, leader) of (group, fp, n): in how many chunks a group is dealt, by its members and by their shingles, and its first fingerprint."""
-    deal = lambda n, size: F.greatest(F.ceil(n / (CHUNK // 2)), F.ceil(size / (SET_BYTES // 2))).cast("int")
-    return members.groupBy("group").agg(deal(F.count("*"), F.sum(8 * F.col("n"))).alias("k"), F.min("fp").alias("leader"))
+    return members.groupBy("group").agg(dealt(F.count("*"), F.sum(8 * F.col("n"))).alias("k"), F.min("fp").alias("leader"))
 
 
-def alike_links(sets: DataFrame, sizes: DataFrame, radius: int, least: float) -> DataFrame:
-    """Links (a, b) that span the components of similar sets inside each group. sets: (group, k, leader, fp, shingles), sizes: (group, k, leader).
+def alike_links(sets: DataFrame, members: DataFrame, sizes: DataFrame, radius: int, least: float) -> DataFrame:
+    """Links (a, b) that span the components of similar sets inside each group. sets: (group, k, leader, fp, shingles), members: (group, fp, sketch, n), sizes: (group, k, leader).
 
     A group is dealt in chunks, and its first member is in each of them. Where all members
     turn out to hang together with that one, which is so in a group of copies, the work and
-    the bytes moved are linear in the group. Only members that do not are compared with all
-    chunks of their group.
+    the bytes moved are linear in the group. Otherwise members meet again under the hashes of
+    their sketches, as near copies share one; only hashes at which parts meet that do not
+    hang together yet are looked at, and there members outside the first one's part meet all
+    others. What moves is so bounded by the sketches and not by the square of the group.
     """
     at = lambda parts: F.pmod(F.xxhash64("fp"), parts).cast("int")
     every = lambda parts: F.sequence(F.lit(0), parts - 1)
 
     def met(cells: DataFrame) -> DataFrame:
-        dealt = cells.select(F.xxhash64("group", "i", "j").alias("cell"), "fp", "shingles").repartition("cell").sortWithinPartitions("cell")
-        return saved(dealt.mapInArrow(lambda b: verify(b, radius, least), "a string, b string"), "simhash-alike")
+        own = cells.repartition("cell").sortWithinPartitions("cell")
+        return saved(own.mapInArrow(lambda b: verify(b, radius, least), "a string, b string"), "simhash-alike")
 
     chunks = F.when(F.col("fp") == F.col("leader"), every(F.col("k"))).otherwise(F.array(at(F.col("k"))))
-    links = met(sets.select("group", "fp", "shingles", F.lit(0).alias("i"), F.explode(chunks).alias("j")))
-    large = sizes.where("k > 1")
+    links = met(sets.select("group", "fp", "shingles", F.explode(chunks).alias("j")).select(F.xxhash64("group", "j").alias("cell"), "fp", "shingles"))
+    large = sizes.where("k > 1").select("group", "leader")
     if large.isEmpty():
         return links
     parts = connected_components(links)
-    own = sets.select("group", "fp").join(large, "group").join(parts, F.col("fp") == F.col("node"), "left").select("group", "fp", "leader", "k", F.coalesce("component", "fp").alias("part"))
+    own = members.join(large, "group").join(parts, F.col("fp") == F.col("node"), "left").select("group", "fp", "leader", "sketch", "n", F.coalesce("component", "fp").alias("part"))
     own = saved(own, "simhash-large")
     first = own.where("fp = leader").select("group", F.col("part").alias("main"))
-    rest = saved(own.join(first, "group").where("part <> main").select("group", "fp"), "simhash-rest")
-    if rest.isEmpty():
+    keyed = saved(own.join(first, "group").select("group", "fp", "n", "part", (F.col("part") != F.col("main")).alias("rest"), F.explode("sketch").alias("key")), "simhash-parts")
+    outer = lambda c: F.when(F.col("rest"), c)
+    apart = keyed.groupBy("group", "key").agg(F.min("part").alias("a"), F.max("part").alias("b"), dealt(F.count(outer(F.lit(1))), F.sum(outer(8 * F.col("n")))).alias("r"), dealt(F.count("*"), F.sum(8 * F.col("n"))).alias("k")).where("a <> b")
+    apart = saved(apart.select("group", "key", "r", "k"), "simhash-apart")
+    if apart.isEmpty():
         return links
-    left = saved(rest.groupBy("group").agg(F.ceil(F.count("*") / (CHUNK // 2)).cast("int").alias("r")), "simhash-left")
-    again = sets.select("group", "k", "fp", "shingles").join(left, "group")
-    everyone = again.select("group", "fp", "shingles", F.explode(every(F.col("r"))).alias("i"), at(F.col("k")).alias("j"), "k")
-    outside = again.join(rest, ["group", "fp"], "left_semi").select("group", "fp", "shingles", at(F.col("r")).alias("i"), F.explode(every(F.col("k"))).alias("j"), "k")
-    return links.union(met(everyone.union(outside)))
+    again = keyed.join(apart, ["group", "key"])
+    everyone = again.select("group", "key", "fp", F.explode(every(F.col("r"))).alias("i"), at(F.col("k")).alias("j"))
+    outside = again.where("rest").select("group", "key", "fp", at(F.col("r")).alias("i"), F.explode(every(F.col("k"))).alias("j"))
+    cells = everyone.union(outside).select("fp", F.xxhash64("group", "key", "i", "j").alias("cell")).distinct()
+    return links.union(met(sets.select("fp", "shingles").join(cells, "fp").select("cell", "fp", "shingles")))
 
 
 def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 88, lanes: int = 4, keys: int = 8) -> DataFrame:
@@ -400,11 +415,11 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int =
     first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
     fps = saved(marks.groupBy("fp").agg(F.min(first).alias("best"), F.min("sketch").alias("sketch"), F.min("n").alias("n")), "simhash-distinct")
     coarse = connected_components(near_links(sketch_keys(fps), radius))
-    near = saved(fps.join(coarse, fps.fp == coarse.node).select("fp", F.col("best.row").alias("row"), F.col("component").alias("group"), "n"), "simhash-near")
+    near = saved(fps.join(coarse, fps.fp == coarse.node).select("fp", F.col("best.row").alias("row"), F.col("component").alias("group"), "sketch", "n"), "simhash-near")
     sizes = saved(group_sizes(near), "simhash-sizes")
-    once = held.select(F.col(row).alias("row"), "text").join(near.join(sizes, "group"), "row").dropDuplicates(["row"])
+    once = held.select(F.col(row).alias("row"), "text").join(near.drop("sketch").join(sizes, "group"), "row").dropDuplicates(["row"])
     sets = saved(once.select("group", "k", "leader", "fp", shingle_set(F.col("text"), width).alias("shingles")), "simhash-sets")
-    roots = connected_components(alike_links(sets, sizes, radius, least))
+    roots = connected_components(alike_links(sets, near, sizes, radius, least))
     rooted = fps.join(roots, fps.fp == roots.node, "left").select("best", F.coalesce("component", "fp").alias("root"))
     chosen = saved(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row)).distinct(), "simhash-chosen")
     # copies of a whole row are combined on the map side before they meet

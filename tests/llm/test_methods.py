@@ -4,11 +4,15 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
+from unittest import mock
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 
 from swathframe.llm import bpe, eps_grid, html_extract, mixing, secrets_ledger, simhash, topk_nra, toxicity
+from swathframe.plans.storage import saved
 
 
 def test_blocks_of_far_fingerprints_are_abandoned():
@@ -65,6 +69,48 @@ def test_a_large_group_whose_members_are_not_all_like_the_first(spark, monkeypat
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(comp))
 
 
+def test_links_of_near_copies_take_memory_in_proportion():
+    """Links were listed one by one: 12 million of 5,000 near copies. Similarity takes sets by ranges of hashes."""
+    rng = np.random.default_rng(4)
+    fps = np.zeros((5000, 32), np.uint8)
+    fps[np.arange(4999), rng.integers(0, 32, 4999)] = 1 << rng.integers(0, 8, 4999)
+    fps[4999] = 255
+    tracemalloc.start()
+    near = simhash.near_rows(fps, 88)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    held = np.unpackbits(near.view(np.uint8), axis=1, bitorder="little")[:, :5000]
+    assert (held[:4999, :4999].sum(axis=1) == 4998).all() and not held[4999].any() and not held[:, 4999].any()
+    sets = [np.unique(rng.integers(0, 2**64, 3000, dtype=np.uint64)) for _ in range(3)]
+    sets += [np.unique(np.concatenate([s[:2500], rng.integers(0, 2**64, 300, dtype=np.uint64)])) for s in sets]
+    whole = simhash.jaccard(sets)
+    with mock.patch.object(simhash, "SORTED", 1000):
+        assert (simhash.jaccard(sets) == whole).all()
+    assert abs(whole[0, 3] - len(set(sets[0]) & set(sets[3])) / len(set(sets[0]) | set(sets[3]))) < 1e-12
+
+
+def test_parts_of_a_large_group_meet_by_their_sketches(spark, monkeypatch):
+    """A chain of unlike texts, dealt in many chunks: members were sent to every chunk, by the square of the group."""
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    members = [(0, f"{i:064x}", [i, i + 1], 2) for i in range(200)]  # each shares a hash with the next
+    rows = spark.createDataFrame(members, "group int, fp string, sketch array<bigint>, n bigint")
+    sets = rows.selectExpr("group", "50 AS k", f"'{0:064x}' AS leader", "fp", "unhex(concat(lpad(hex(sketch[0]), 16, '0'), lpad(hex(sketch[1]), 16, '0'))) AS shingles")
+    moved = []
+
+    def spied(batches, radius, least):
+        return ({"a": [str(x) for x in b.column(1).to_pylist()], "b": ["-"] * b.num_rows} for b in batches)
+
+    def counted(df, tag):
+        moved.extend([df.count()] if tag == "simhash-alike" else [])
+        return saved(df, tag)
+
+    monkeypatch.setattr(simhash, "verify", lambda b, radius, least: (pa.RecordBatch.from_pydict(x) for x in spied(b, radius, least)))
+    monkeypatch.setattr(simhash, "saved", counted)
+    monkeypatch.setattr(simhash, "connected_components", lambda links: spark.createDataFrame([], "node string, component string"))
+    simhash.alike_links(sets, rows, simhash.group_sizes(rows), 88, 0.8)
+    assert len(moved) == 2 and moved[1] <= 2 * 2 * len(members)
+
+
 def candidates(kind, rng, n=2000, dims=64):
     if kind == "clusters":
         return np.floor(rng.normal(size=(40, dims))[rng.integers(0, 40, n)] * 60 + rng.normal(size=(n, dims)) * 3)
