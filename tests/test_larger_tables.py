@@ -3,9 +3,10 @@
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from swathframe.operators import joins, raster, scoring, splits
+from swathframe.operators import blocks, joins, raster, scoring, splits
 from swathframe.plans.bound import ORACLE, QUERIES
 from swathframe.plans.storage import saved
 from swathframe.streaming import keyed
@@ -108,3 +109,26 @@ def test_windows_are_counted_without_pairs(spark):
     targets, products = span(60, "target_id", 0, 60).unionByName(span(5, "target_id", 0, 3).withColumn("target_id", F.col("target_id") + 60)), span(300, "product_id", -1, 12)
     wanted = {tuple(r) for r in joins.containing_windows(targets, products).groupBy("target_id").agg(F.count("*"), F.sum("product_id")).collect()}
     assert {tuple(r) for r in joins.counted_windows(targets, products, "target_id", "product_id").collect()} == wanted and len(wanted) > 40
+
+
+def test_rings_of_one_shape_are_found_once(monkeypatch):
+    """Each region had its ring worked out alone. Values and statistics are as by distance, over blocks too."""
+    calls, plain = [], blocks.distance_rings
+    monkeypatch.setattr(blocks, "distance_rings", lambda *a: calls.append(1) or plain(*a))
+    rng = np.random.default_rng(2)
+    r, c = np.mgrid[-3:19, :30]  # block 0 of 16 rows, and three of the next
+    region = np.where((r % 5 == 1) & (c % 6 < 2), r * 100 + c // 6, -1)
+    value, mask = rng.normal(size=r.shape), region >= 0
+    columns = [np.concatenate([x.ravel(), y[mask]]) for x, y in ((r, r), (c, c), (value, value * 0), (np.full(r.shape, -1), region), (np.ones(r.shape, int), np.zeros(r.shape, int)))]
+    columns = [x[columns[0] >= 0] for x in columns]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), k)) for k in (7, 0)] + [pa.array(x) for x in columns], list("tbrcvgh"))
+    medians = [x for b in blocks.block_rings(iter([batch]), 16, 1, 3, "median") for x in b.to_pylist()]
+    assert len(calls) == 1
+    totals = {x["region"]: x for b in blocks.block_rings(iter([batch]), 16, 1, 3, "total") for x in b.to_pylist()}
+    assert len(medians) == len(totals) == len(np.unique(region[mask & (r >= 0)]))
+    for x in medians:
+        y, z = np.nonzero((region == x["region"]) & (r >= 0))
+        far = np.min([abs(r - r[a, b]) + abs(c - c[a, b]) for a, b in zip(y, z)], axis=0)
+        want = value[(far > 1) & (far <= 3) & ~mask & (r >= 0) & (r < 16)]
+        assert totals[x["region"]]["n"] == len(want) and abs(totals[x["region"]]["total"] - want.sum()) < 1e-9
+        assert x["values"] == want.tolist() if x["background"] is None else abs(x["background"] - np.median(want)) < 1e-12
