@@ -49,16 +49,29 @@ RELATION = f"block bigint, lang string, at binary, of binary, words bigint, list
 FREQUENT = "id bigint, first bigint, second bigint, lang string, word string, f bigint, block bigint, places binary, ids binary"
 
 
+#: Marks numbers whose first bytes come before all second bytes.
+PLANES = 128
+
+
 def packed(numbers: np.ndarray) -> bytes:
-    """Whole numbers from 0 as compressed bytes, in the width that they need."""
+    """Whole numbers from 0 as compressed bytes, in the width that they need; byte by byte where that is shorter, as high bytes are alike."""
     most = int(numbers.max(initial=0))
     width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
-    return struct.pack("<BI", width, len(numbers)) + pa.compress(numbers.astype(f"<u{width}").tobytes(), "zstd", asbytes=True)
+    plain = numbers.astype(f"<u{width}")
+    out = struct.pack("<BI", width, len(numbers)) + pa.compress(plain.tobytes(), "zstd", asbytes=True)
+    if width > 1:
+        planes = np.ascontiguousarray(plain.view(np.uint8).reshape(-1, width).T)
+        out = min(out, struct.pack("<BI", width | PLANES, len(numbers)) + pa.compress(planes.tobytes(), "zstd", asbytes=True), key=len)
+    return out
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    width, n = struct.unpack_from("<BI", raw)
-    return np.frombuffer(pa.decompress(raw[5:], width * n, "zstd", asbytes=True), f"<u{width}").astype(np.int64)
+    kind, n = struct.unpack_from("<BI", raw)
+    width = kind & ~PLANES
+    held = pa.decompress(raw[5:], width * n, "zstd", asbytes=True)
+    if kind & PLANES:
+        held = np.ascontiguousarray(np.frombuffer(held, np.uint8).reshape(width, n).T).tobytes()
+    return np.frombuffer(held, f"<u{width}").astype(np.int64)
 
 
 def packed_steps(ascending: np.ndarray) -> bytes:

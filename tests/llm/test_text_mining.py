@@ -78,6 +78,15 @@ def test_packed_numbers():
     assert len(collocations.unpacked(collocations.packed(np.zeros(0, np.int64)))) == 0
 
 
+def test_high_bytes_are_packed_together():
+    """Ids of groups were packed number by number, constant high bytes among bytes that differ."""
+    rng = np.random.default_rng(0)
+    for numbers in (rng.integers(0, 1 << 16, 50_000) + (1 << 20), np.sort(rng.integers(0, 300, 50_000)), rng.integers(0, 1 << 40, 1000)):
+        raw = collocations.packed(numbers)
+        assert (collocations.unpacked(raw) == numbers).all()
+    assert len(collocations.packed(rng.integers(0, 1 << 16, 50_000) + (1 << 20))) < 2.05 * 50_000
+
+
 # -------------------------------------------------------------- sentencepiece
 @pytest.fixture(scope="module")
 def library():
