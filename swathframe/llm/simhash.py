@@ -132,22 +132,23 @@ def band_keys(fps: DataFrame, radius: int, hot: int = 32_768) -> DataFrame:
 
 
 def sketch_keys(fps: DataFrame) -> DataFrame:
-    """(key, fp): a row for each of a fingerprint's smallest shingle hashes, which are distinct.
+    """(key, fp, n): a row for each of a fingerprint's smallest shingle hashes, which are distinct.
 
     Two sets with Jaccard similarity J share none of their k smallest with a chance near
     (1 - J) ** k: under 3 in a million for 0.8 and k = 8.
     """
-    return fps.select(F.explode("sketch").alias("key"), "fp")
+    return fps.select(F.explode("sketch").alias("key"), "fp", "n")
 
 
-def near_rows(fps: np.ndarray, radius: int, tally: dict[str, int] | None = None) -> np.ndarray:
+def near_rows(fps: np.ndarray, radius: int, tally: dict[str, int] | None = None, ends: np.ndarray | None = None) -> np.ndarray:
     """Packed links of some fingerprints: bit j of row i is set if i and j are not the same and differ in ``radius`` bits at most.
 
-    fps: (m, bytes) of uint8, any m. Each row meets the lanes after it; planes on which all
-    rows agree add nothing and are left out. tally: gets the blocks begun, those abandoned,
-    and the planes read of them.
+    fps: (m, bytes) of uint8, any m. Each row meets the lanes after it, with ``ends`` only
+    those before its end; planes on which all rows agree add nothing and are left out.
+    tally: gets the blocks begun, those abandoned, and the planes read of them.
     """
     m, width = len(fps), fps.shape[1] * 8
+    ends = np.full(m, m) if ends is None else ends
     words = -(-m // 64)
     own = np.unpackbits(fps, axis=1)  # (m, width)
     lanes = np.zeros((words * 64, width), np.uint8)
@@ -160,7 +161,7 @@ def near_rows(fps: np.ndarray, radius: int, tally: dict[str, int] | None = None)
     for at in range(0, m, STRIP):
         rows, first = own[at : at + STRIP].astype(bool), at // 64
         lane = np.arange(first * 64, words * 64)
-        barred = (lane[None, :] <= np.arange(at, at + len(rows))[:, None]) | (lane >= m)
+        barred = (lane[None, :] <= np.arange(at, at + len(rows))[:, None]) | (lane[None, :] >= ends[at : at + STRIP, None])
         over = np.packbits(barred, axis=1, bitorder="little").view(np.uint64)
         row, word = np.nonzero(over != ones)  # the blocks that are still counted
         over = over[row, word]
@@ -192,6 +193,11 @@ def near_rows(fps: np.ndarray, radius: int, tally: dict[str, int] | None = None)
     return out
 
 
+def size_ends(sizes: np.ndarray, least: float) -> np.ndarray:
+    """Of ascending set sizes, the place after the last that a set can have a similarity of ``least`` with: no smaller part than that of the larger one."""
+    return np.searchsorted(sizes, np.floor(sizes / least + 1e-9), side="right")
+
+
 def forest(near: np.ndarray) -> list[tuple[int, int]]:
     """(root, member) for each member of each component of the packed links."""
     m = len(near)
@@ -210,26 +216,27 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
-def compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of the rows (cell, fp), which come sorted by cell; a cell may span batches."""
+def compare(batches: Iterator[pa.RecordBatch], radius: int, least: float = 0.0) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of the rows (cell, fp, n), which come sorted by cell; a cell may span batches. With ``least``, sets of n that are too unlike in size do not meet."""
 
-    def links(fps: list[str]) -> pa.RecordBatch:
-        names = sorted(set(fps))
+    def links(fps: list[tuple[int, str]]) -> pa.RecordBatch:
+        rows = sorted(set(fps))
+        names = [fp for _, fp in rows]
         raw = np.frombuffer(bytes.fromhex("".join(names)), np.uint8).reshape(len(names), -1)
-        pairs = forest(near_rows(raw, radius))
+        pairs = forest(near_rows(raw, radius, ends=size_ends(np.array([n for n, _ in rows]), least) if least else None))
         return pa.RecordBatch.from_pydict({"a": pa.array([names[i] for i, _ in pairs], pa.string()), "b": pa.array([names[j] for _, j in pairs], pa.string())})
 
-    whole: list[str] = []  # of ended cells; a block takes several, as links across cells are links too
-    cell: list[str] = []
+    whole: list[tuple[int, str]] = []  # of ended cells; a block takes several, as links across cells are links too
+    cell: list[tuple[int, str]] = []
     last = None
     for batch in batches:
-        for key, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for key, fp, n in zip(*(c.to_pylist() for c in batch.columns)):
             if key != last:
                 if len(whole) + len(cell) > BLOCK and whole:
                     yield links(whole)
                     whole = []
                 whole, cell, last = whole + cell if cell else whole, [], key
-            cell.append(fp)
+            cell.append((n, fp))
     if len(whole) + len(cell) > BLOCK and whole and cell:
         yield links(whole)
         whole = []
@@ -237,16 +244,16 @@ def compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
         yield links(whole + cell)
 
 
-def near_links(keyed: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) that span the components of fingerprints meeting under a key of ``keyed`` (key, fp), distinct rows, within ``radius`` bits."""
+def near_links(keyed: DataFrame, radius: int, chunk: int = CHUNK, least: float = 0.0) -> DataFrame:
+    """Links (a, b) that span the components of fingerprints meeting under a key of ``keyed`` (key, fp), distinct rows, within ``radius`` bits; with ``least``, also of sets whose sizes n allow such a similarity."""
     keyed = saved(keyed, "simhash-keys")
     sizes = saved(keyed.groupBy("key").count().where("count > 1"), "simhash-sizes")
     parts = F.ceil(F.col("count") / chunk).cast("int")
-    met = keyed.join(sizes, "key").select("key", "fp", parts.alias("k"), F.pmod(F.xxhash64("fp", "key"), parts).cast("int").alias("c"))
-    cells = met.select("key", "fp", "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
-    cells = cells.select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("cell"), "fp")
+    met = keyed.join(sizes, "key").select("key", "fp", F.col("n") if least else F.lit(0).alias("n"), parts.alias("k"), F.pmod(F.xxhash64("fp", "key"), parts).cast("int").alias("c"))
+    cells = met.select("key", "fp", "n", "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+    cells = cells.select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("cell"), "fp", "n")
     cells = cells.repartition("cell").sortWithinPartitions("cell")
-    return cells.mapInArrow(lambda b: compare(b, radius), "a string, b string").distinct()
+    return cells.mapInArrow(lambda b: compare(b, radius, least), "a string, b string").distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3) -> DataFrame:
@@ -288,14 +295,15 @@ def jaccard(sets: list[np.ndarray]) -> np.ndarray:
 def verify(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of rows (cell, fp, shingles), sorted by cell, whose sets have a similarity of ``least`` or more.
 
-    Fingerprints within the radius make groups by bit-sliced comparison; sets are compared inside those.
+    Fingerprints within the radius and of like size make groups by bit-sliced comparison; sets are compared inside those.
     """
 
     def links(rows: dict[str, bytes]) -> pa.RecordBatch:
-        names = sorted(rows)
+        names = sorted(rows, key=lambda fp: (len(rows[fp]), fp))
         raw = np.frombuffer(bytes.fromhex("".join(names)), np.uint8).reshape(len(names), -1)
+        ends = size_ends(np.array([len(rows[fp]) // 8 for fp in names]), least)
         groups: dict[int, list[int]] = {}
-        for root, member in forest(near_rows(raw, radius)):
+        for root, member in forest(near_rows(raw, radius, ends=ends)):
             groups.setdefault(root, [root]).append(member)
         pairs = []
         for own in groups.values():
@@ -362,10 +370,11 @@ def alike_links(sets: DataFrame, members: DataFrame, sizes: DataFrame, radius: i
 
     A group is dealt in chunks, and its first member is in each of them. Where all members
     turn out to hang together with that one, which is so in a group of copies, the work and
-    the bytes moved are linear in the group. Otherwise members meet again under the hashes of
-    their sketches, as near copies share one; only hashes at which parts meet that do not
-    hang together yet are looked at, and there members outside the first one's part meet all
-    others. What moves is so bounded by the sketches and not by the square of the group.
+    the bytes moved are linear in the group. Of other groups, members go that can be like no
+    other (``alone``). Those left outside the first one's part meet all others that are left,
+    in cells of the whole group or, where that moves fewer rows, under the hashes of their
+    sketches, as near copies share one; only hashes at which parts meet that do not hang
+    together yet are looked at.
     """
     at = lambda parts: F.pmod(F.xxhash64("fp"), parts).cast("int")
     every = lambda parts: F.sequence(F.lit(0), parts - 1)
@@ -381,21 +390,38 @@ def alike_links(sets: DataFrame, members: DataFrame, sizes: DataFrame, radius: i
         return links
     parts = connected_components(links)
     own = members.join(large, "group").join(parts, F.col("fp") == F.col("node"), "left").select("group", "fp", "leader", "sketch", "n", F.coalesce("component", "fp").alias("part"))
-    own = saved(own, "simhash-large")
-    first = own.where("fp = leader").select("group", F.col("part").alias("main"))
-    keyed = saved(own.join(first, "group").select("group", "fp", "n", "part", (F.col("part") != F.col("main")).alias("rest"), F.explode("sketch").alias("key")), "simhash-parts")
+    own = saved(own.join(alone(sets.where("k > 1"), least), "fp", "left_anti"), "simhash-large")
+    first = large.join(parts, F.col("leader") == F.col("node"), "left").select("group", F.coalesce("component", "leader").alias("main"))
+    own = own.join(first, "group").withColumn("rest", F.col("part") != F.col("main"))
+    keyed = saved(own.select("group", "fp", "n", "part", "rest", F.explode("sketch").alias("key")), "simhash-parts")
     outer = lambda c: F.when(F.col("rest"), c)
-    apart = keyed.groupBy("group", "key").agg(F.min("part").alias("a"), F.max("part").alias("b"), dealt(F.count(outer(F.lit(1))), F.sum(outer(8 * F.col("n")))).alias("r"), dealt(F.count("*"), F.sum(8 * F.col("n"))).alias("k")).where("a <> b")
-    apart = saved(apart.select("group", "key", "r", "k"), "simhash-apart")
+    shares = [dealt(F.count(outer(F.lit(1))), F.sum(outer(8 * F.col("n")))).alias("r"), dealt(F.count("*"), F.sum(8 * F.col("n"))).alias("k")]
+    rows = (F.count("*") * shares[0] + F.count(outer(F.lit(1))) * shares[1]).alias("rows")
+    apart = saved(keyed.groupBy("group", "key").agg(*shares, rows, F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").drop("a", "b"), "simhash-apart")
     if apart.isEmpty():
         return links
-    again = keyed.join(apart, ["group", "key"])
+    by_key = apart.groupBy("group").agg(F.sum("rows").alias("by_key"))
+    whole = saved(own.groupBy("group").agg(*shares, rows).join(by_key, "group").where("rows < by_key").select("group", "r", "k"), "simhash-whole")
+    again = keyed.join(apart.join(whole, "group", "left_anti"), ["group", "key"]).select("group", "key", "fp", "rest", "r", "k")
+    again = again.union(own.join(whole, "group").select("group", F.lit(None).cast("bigint"), "fp", "rest", "r", "k"))
     everyone = again.select("group", "key", "fp", F.explode(every(F.col("r"))).alias("i"), at(F.col("k")).alias("j"))
     outside = again.where("rest").select("group", "key", "fp", at(F.col("r")).alias("i"), F.explode(every(F.col("k"))).alias("j"))
     cells = everyone.union(outside).select("fp", F.xxhash64("group", "key", "i", "j").alias("cell")).distinct()
     return links.union(met(sets.select("fp", "shingles").join(cells, "fp").select("cell", "fp", "shingles")))
 
 
+def alone(sets: DataFrame, least: float) -> DataFrame:
+    """(fp) of sets (group, fp, shingles) that no other of their group can be like: so many of their hashes occur in no other that the rest is too small a part."""
+
+    @F.pandas_udf("array<bigint>")
+    def unpacked(packed: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(x, np.int64) for x in packed], dtype=object)
+
+    held = sets.select("group", "fp", (F.length("shingles") / 8).alias("n"), F.explode(unpacked("shingles")).alias("hash"))
+    own = held.groupBy("group", "hash").agg(F.count("*").alias("sets"), F.min("fp").alias("fp"), F.min("n").alias("n")).where("sets = 1")
+    return own.groupBy("fp").agg(F.count("*").alias("own"), F.min("n").alias("n")).where((F.col("n") - F.col("own")) / F.col("n") < least - 1e-9).select("fp")
+
+
 def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 88, lanes: int = 4, keys: int = 8) -> DataFrame:
     """``docs`` with one row of each group of near copies, all columns kept.
 
@@ -414,7 +440,7 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int =
     marks = saved(marks.select("doc_id", "row", "s.fp", "s.sketch", "s.n"), "simhash-docs")
     first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
     fps = saved(marks.groupBy("fp").agg(F.min(first).alias("best"), F.min("sketch").alias("sketch"), F.min("n").alias("n")), "simhash-distinct")
-    coarse = connected_components(near_links(sketch_keys(fps), radius))
+    coarse = connected_components(near_links(sketch_keys(fps), radius, least=least))
     near = saved(fps.join(coarse, fps.fp == coarse.node).select("fp", F.col("best.row").alias("row"), F.col("component").alias("group"), "sketch", "n"), "simhash-near")
     sizes = saved(group_sizes(near), "simhash-sizes")
     once = held.select(F.col(row).alias("row"), "text").join(near.drop("sketch").join(sizes, "group"), "row").dropDuplicates(["row"])

@@ -111,6 +111,60 @@ def test_parts_of_a_large_group_meet_by_their_sketches(spark, monkeypatch):
     assert len(moved) == 2 and moved[1] <= 2 * 2 * len(members)
 
 
+def test_members_of_a_large_group_that_can_be_like_no_other_do_not_meet(spark, monkeypatch):
+    """Texts with a passage in common, and near copies that share all keys: each went to every chunk of every key."""
+    monkeypatch.setattr(simhash, "CHUNK", 32)
+    rng = np.random.default_rng(9)
+    shared, members = np.arange(1, 101, dtype=np.uint64), []
+    for group, own in ((0, lambda i: 60), (1, lambda i: 60 if i == 0 else 4 + i % 16)):
+        for i in range(400):
+            x = np.unique(np.concatenate([shared, rng.integers(1 << 20, 2**63, own(i), dtype=np.uint64)]))
+            members.append((group, f"{group:032x}{i:032x}", [int(v) for v in x[:8]], len(x), x))
+    rows = spark.createDataFrame([m[:4] for m in members], "group int, fp string, sketch array<bigint>, n bigint")
+    sizes = simhash.group_sizes(rows)
+    sets = spark.createDataFrame([(m[1], m[4].tobytes()) for m in members], "fp string, shingles binary").join(rows.select("group", "fp").join(sizes, "group"), "fp").select("group", "k", "leader", "fp", "shingles")
+    verify = simhash.verify
+    seen = spark.sparkContext.accumulator(0)
+
+    def spied(batches, radius, least):
+        def told():
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return verify(told(), radius, least)
+
+    monkeypatch.setattr(simhash, "verify", spied)
+    pairs = {(r.a, r.b) for r in simhash.alike_links(sets, rows, sizes, 88, 0.8).collect()}
+    assert seen.value < 25_000
+    near = simhash.jaccard([m[4] for m in members]) >= 0.8
+    np.fill_diagonal(near, False)
+    part = {m[1]: m[1] for m in members}
+
+    def root(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for a, b in pairs:
+        part[root(a)] = root(b)
+    names = [m[1] for m in members]
+    found = [root(x) for x in names]
+    assert all(found[i] == found[j] for i, j in zip(*np.nonzero(near)))
+    assert [found.count(found[i]) > 1 for i in range(len(names))] == near.any(axis=1).tolist()
+    assert 0 < near.any(axis=1).sum() < 400
+
+
+def test_sets_of_unlike_size_do_not_meet():
+    sizes = np.sort(np.random.default_rng(2).integers(0, 60, 300))
+    ends = simhash.size_ends(sizes, 0.8)
+    for i, n in enumerate(sizes.tolist()):
+        assert all((j < ends[i]) == (5 * n >= 4 * m) for j, m in enumerate(sizes.tolist()) if j > i)
+    near = simhash.near_rows(np.zeros((300, 32), np.uint8), 88, ends=ends)
+    held = np.unpackbits(near.view(np.uint8), axis=1, bitorder="little")[:, :300]
+    assert (held == [[i != j and 5 * min(a, b) >= 4 * max(a, b) for j, b in enumerate(sizes)] for i, a in enumerate(sizes)]).all()
+
+
 def candidates(kind, rng, n=2000, dims=64):
     if kind == "clusters":
         return np.floor(rng.normal(size=(40, dims))[rng.integers(0, 40, n)] * 60 + rng.normal(size=(n, dims)) * 3)
