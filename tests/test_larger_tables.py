@@ -132,3 +132,22 @@ def test_rings_of_one_shape_are_found_once(monkeypatch):
         want = value[(far > 1) & (far <= 3) & ~mask & (r >= 0) & (r < 16)]
         assert totals[x["region"]]["n"] == len(want) and abs(totals[x["region"]]["total"] - want.sum()) < 1e-9
         assert x["values"] == want.tolist() if x["background"] is None else abs(x["background"] - np.median(want)) < 1e-12
+
+
+def test_distances_in_windows_are_made_where_they_are_handed_on(spark):
+    """36 rows a pair were made and all pairs shuffled; the same rows as by pairs, with odd windows, ids and points."""
+    plan = QUERIES["j05_grid_distance"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "hashpartitioning(target_id" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    rng = np.random.default_rng(5)
+    day = lambda n: (pd.Timestamp("2020-01-01") + pd.Timedelta(hours=int(n))).to_pydatetime()
+    targets = [(i, float(rng.integers(0, 5)), float(rng.integers(0, 5)), day(a := rng.integers(0, 900)), day(a + rng.integers(-5, 200))) for i in range(120)]
+    targets += [(200, None, 1.0, day(0), day(900)), (201, float("nan"), 1.0, day(0), day(900)), (202, 1.0, 1.0, None, day(900))]
+    products = [(int(rng.integers(0, 60)), day(a := rng.integers(0, 900)), day(a + rng.integers(0, 30))) for _ in range(150)] + [(61, day(5), day(6)), (62, day(5), day(6)), (63, None, day(6))]
+    points = [(int(rng.integers(0, 58)), rng.normal() * 5, rng.normal() * 5) for _ in range(400)] + [(61, None, 2.0), (62, 1.0, float("nan")), (62, 2.0, 2.0), (63, 1.0, 1.0)]
+    t = spark.createDataFrame(targets, "target_id bigint, lat double, lon double, start_ts timestamp, stop_ts timestamp")
+    p = spark.createDataFrame(products, "product_id bigint, start_ts timestamp, stop_ts timestamp")
+    g = spark.createDataFrame(points, "product_id bigint, lat double, lon double")
+    rows = lambda df: sorted((r.target_id, r.product_id, None if r.min_distance_deg is None else str(round(r.min_distance_deg, 9))) for r in df.collect())
+    want = rows(joins.grid_distance(joins.containing_windows(t, p).select("target_id", "product_id", "lat", "lon"), g))
+    assert len(want) > 1000 and any(d is None for *_, d in want) and any(d == "nan" for *_, d in want)
+    assert rows(joins.window_distances(t, p, g)) == want == rows(joins.window_distances(t, p, g, block=(7, 3)))
