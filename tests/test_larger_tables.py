@@ -151,3 +151,15 @@ def test_distances_in_windows_are_made_where_they_are_handed_on(spark):
     want = rows(joins.grid_distance(joins.containing_windows(t, p).select("target_id", "product_id", "lat", "lon"), g))
     assert len(want) > 1000 and any(d is None for *_, d in want) and any(d == "nan" for *_, d in want)
     assert rows(joins.window_distances(t, p, g)) == want == rows(joins.window_distances(t, p, g, block=(7, 3)))
+
+
+def test_buckets_of_days_follow_the_windows(spark):
+    """Windows of three days met all products of 32 days."""
+    t = lambda days: spark.range(5).selectExpr("id AS target_id", "timestamp'2020-01-01' AS start_ts", f"timestamp'2020-01-01' + INTERVAL {days} DAYS AS stop_ts")
+    p = spark.range(40).selectExpr("id AS product_id", "timestamp'2020-01-01' + make_dt_interval(CAST(id AS INT)) AS start_ts").selectExpr("*", "start_ts + INTERVAL 30 SECONDS AS stop_ts")
+    for days, bucket, n in ((3, 1, 3), (30, 10, 30), (2000, 32, 40)):
+        assert joins.bucket_days(t(days)) == bucket
+        met = joins.containing_windows(t(days), p)
+        assert f"/ {bucket}.0" in plan(met).replace("cast(", "") or f"/ cast({bucket} as double)" in plan(met)
+        assert met.count() == 5 * n == joins.containing_windows(t(days), p, 32).count()
+    assert joins.bucket_days(t(3).limit(0)) == 1
