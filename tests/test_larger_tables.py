@@ -163,3 +163,18 @@ def test_buckets_of_days_follow_the_windows(spark):
         assert f"/ {bucket}.0" in plan(met).replace("cast(", "") or f"/ cast({bucket} as double)" in plan(met)
         assert met.count() == 5 * n == joins.containing_windows(t(days), p, 32).count()
     assert joins.bucket_days(t(3).limit(0)) == 1
+
+
+def test_pairs_of_windows_are_dealt_to_tasks(spark):
+    """Tables that are small beside their pairs were joined in one task; parts of buckets meet, each pair once."""
+    t = spark.range(300).selectExpr("id AS target_id", "timestamp'2020-01-01' + make_dt_interval(CAST(id % 7 AS INT)) AS start_ts", "timestamp'2020-03-01' + make_dt_interval(CAST(id % 50 AS INT)) AS stop_ts")
+    p = spark.range(400).selectExpr("id AS product_id", "timestamp'2020-01-01' + make_dt_interval(CAST(id % 120 AS INT)) AS start_ts").selectExpr("*", "start_ts + INTERVAL 30 SECONDS AS stop_ts")
+    day = [(a % 7, 60 + a % 50) for a in range(300)]
+    wanted = sorted((a, b) for a, (first, last) in enumerate(day) for b in range(400) if first <= b % 120 < last)
+    for options, tasks in (({}, 1), ({"block": 16, "pairs": 4096}, 16), ({"block": 16, "pairs": 4096, "most": 6}, 6)):
+        met = joins.containing_windows(t, p, **options).select("target_id", "product_id")
+        assert sorted(map(tuple, met.collect())) == wanted
+        assert met.groupBy(F.spark_partition_id()).count().count() >= min(tasks, 4)
+    whole = QUERIES["j03_interval_match_whole"](spark, "/root/testdata/sf0.01")
+    each = [r["count"] for r in whole.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(each) == 17_981_384 and len(each) >= 4 and max(each) < sum(each) / 2
