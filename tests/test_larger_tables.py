@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from swathframe.operators import blocks, joins, raster, scoring, splits
 from swathframe.plans.bound import ORACLE, QUERIES
 from swathframe.plans.storage import saved
+from swathframe.sources import files
 from swathframe.streaming import keyed
 
 
@@ -178,3 +179,27 @@ def test_pairs_of_windows_are_dealt_to_tasks(spark):
     whole = QUERIES["j03_interval_match_whole"](spark, "/root/testdata/sf0.01")
     each = [r["count"] for r in whole.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(each) == 17_981_384 and len(each) >= 4 and max(each) < sum(each) / 2
+
+
+def test_match_tables_are_written_by_lists(spark, tmp_path):
+    """A row a pair went through Spark's CSV writer and parser, in one task; the files have the same lines, each with a header."""
+    rng = np.random.default_rng(7)
+    span = lambda n, name, low, high: spark.createDataFrame([(i, int(a), int(a + d)) for i, (a, d) in enumerate(zip(rng.integers(0, 90, n), rng.integers(low, high, n)))], f"{name} bigint, a bigint, b bigint").selectExpr(name, "timestamp_seconds(a * 43200) AS start_ts", "timestamp_seconds(b * 43200) AS stop_ts")
+    odd = spark.sql("SELECT CAST(NULL AS bigint) AS id, timestamp_seconds(0) AS a, timestamp_seconds(4000000) AS b UNION ALL SELECT 900, NULL, timestamp_seconds(9) UNION ALL SELECT 901, timestamp_seconds(9), NULL UNION ALL SELECT -5, timestamp_seconds(2000000), timestamp_seconds(2000030)").toDF("id", "start_ts", "stop_ts")
+    t = span(60, "target_id", -2, 60).unionByName(odd.withColumnRenamed("id", "target_id"))
+    p = span(300, "product_id", -1, 6).unionByName(odd.withColumnRenamed("id", "product_id"))
+    pairs = lambda rows: sorted(((a, b) for a, b in rows), key=str)
+    wanted = pairs(joins.containing_windows(t, p).select("target_id", "product_id").collect())
+    assert len(wanted) > 1000 and (None, -5) in wanted and (None, None) in wanted
+    for n, sizes in enumerate(({}, {"block": 16, "pairs": 1024})):
+        named = p.withColumn("product_id", F.coalesce(F.col("product_id").cast("string"), F.lit("")))
+        lists = joins.listed_windows(t, named, "target_id", "product_id", **sizes).withColumnRenamed("values", "product_ids")
+        files.write_listed_matches(lists, str(tmp_path / f"m{n}"))
+        read = files.read_matches(spark, str(tmp_path / f"m{n}"))
+        assert pairs(read.collect()) == wanted and [k for _, k in read.dtypes] == ["bigint", "bigint"]
+        held = [x.read_text().split("\n") for x in (tmp_path / f"m{n}").glob("part-*") if x.stat().st_size]
+        assert all(lines[0] == "target_id,product_id" for lines in held) and sum(len(lines) - 2 for lines in held) == len(wanted)
+    files.write_listed_matches(lists.limit(0), str(tmp_path / "none"))
+    assert files.read_matches(spark, str(tmp_path / "none")).count() == 0
+    assert any(x.read_text() == "target_id,product_id\n" for x in (tmp_path / "none").glob("part-*"))
+    assert "FileScan csv" not in plan(QUERIES["s10_match_table"](spark, "/root/testdata/sf0.001"))
