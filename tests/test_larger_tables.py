@@ -203,3 +203,29 @@ def test_match_tables_are_written_by_lists(spark, tmp_path):
     assert files.read_matches(spark, str(tmp_path / "none")).count() == 0
     assert any(x.read_text() == "target_id,product_id\n" for x in (tmp_path / "none").glob("part-*"))
     assert "FileScan csv" not in plan(QUERIES["s10_match_table"](spark, "/root/testdata/sf0.001"))
+
+
+def odd_windows(spark, seed, ntz=False):
+    """Targets and products with null ids and times, windows that end before they start, equal times and products of any length."""
+    rng = np.random.default_rng(seed)
+    kind = "timestamp_ntz" if ntz else "timestamp"
+    span = lambda n, low, high: [(None if i == 3 else i % 90, None if i == 5 else int(a), None if i == 6 else int(a + d)) for i, (a, d) in enumerate(zip(rng.integers(0, 300, n), rng.integers(low, high, n)))]
+    table = lambda rows, name: spark.createDataFrame(rows, f"{name} bigint, a bigint, b bigint").selectExpr(name, f"CAST(timestamp_seconds(a * 21600) AS {kind}) AS start_ts", f"CAST(timestamp_seconds(b * 21600) AS {kind}) AS stop_ts")
+    t, p = span(100, -3, 90), span(400, 0, 9)
+    wanted = sorted(((i, j) for i, a, b in t for j, c, d in p if None not in (a, b, c, d) and a <= c and b >= d), key=str)
+    return table(t, "target_id"), table(p, "product_id"), wanted
+
+
+def test_pairs_leave_as_lists_of_both_sides(spark):
+    """Every row was shuffled once for each part that it meets, and every pair was a row of a join; lists are copied and meet now, and pairs are made last."""
+    for ntz in (False, True):
+        t, p, wanted = odd_windows(spark, 11, ntz)
+        assert len(wanted) > 1000 and any(a is None for a, _ in wanted)
+        for options in [{"block": 16, "pairs": 2048, "tall": 3, "wide": 5}] + [{}, {"block": 16, "most": 2, "days": 7}] * (not ntz):
+            lists = joins.window_rectangles(t, p, "target_id", "product_id", **options).collect()
+            assert sorted(((a, b) for r in lists for a in r["keys"] for b in r["values"]), key=str) == wanted and len(lists) < len(wanted) / 2
+            pairs = joins.containing_windows(t, p, only=("target_id", "product_id"), **options)
+            assert pairs.columns == ["target_id", "product_id"] and sorted(map(tuple, pairs.collect()), key=str) == wanted
+        assert joins.containing_windows(t.limit(0), p, only=("target_id", "product_id")).count() == 0
+    final = plan(QUERIES["j03_interval_match_whole"](spark, "/root/testdata/sf0.001")).split("== Physical Plan ==")[1]
+    assert "MapInArrow" in final and "filename" not in final
