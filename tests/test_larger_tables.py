@@ -229,3 +229,51 @@ def test_pairs_leave_as_lists_of_both_sides(spark):
         assert joins.containing_windows(t.limit(0), p, only=("target_id", "product_id")).count() == 0
     final = plan(QUERIES["j03_interval_match_whole"](spark, "/root/testdata/sf0.001")).split("== Physical Plan ==")[1]
     assert "MapInArrow" in final and "filename" not in final
+
+
+def test_distances_are_rounded_as_spark_does(spark):
+    """Each pair was rounded by itself; distances of a place are rounded now, with the same digits."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.random(3000) * 10.0 ** rng.integers(-9, 12, 3000), np.arange(0.5, 400) / 1e6, [0.0, 2.5, 1.0000005, 0.1234565, 1e300, 123456789012.1234565, np.inf, np.nan]])
+    for digits in (6, 2):
+        wanted = spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "k int, x double").select("k", F.round("x", digits).alias("x")).orderBy("k").toPandas().x.to_numpy(dtype=float)
+        assert np.array_equal(joins.rounded(x[:, None], digits)[:, 0], wanted, equal_nan=True)
+
+
+def test_distances_of_places_are_found_for_all_products_at_once():
+    """Products were looked at one by one, and whole windows pair by pair; sizes that differ, no points and NaN stay right."""
+    rng = np.random.default_rng(4)
+    sizes = np.array([0, 3, 1, 0, 40, 7, 0])
+    lats, lons = rng.normal(size=(2, sizes.sum()))
+    lats[[1, 3, 9]] = np.nan
+    places = rng.normal(size=(2, 50))
+    ends = np.cumsum(sizes)
+    with np.errstate(invalid="ignore"):
+        wanted = np.array([[np.sqrt(np.fmin.reduce((y - lats[e - n : e]) ** 2 + (x - lons[e - n : e]) ** 2)) if n else np.nan for n, e in zip(sizes, ends)] for y, x in places.T])
+    for room in (1, 120, 1 << 16):
+        assert np.array_equal(joins.place_distances(places, lats, lons, sizes, room), wanted, equal_nan=True)
+    assert np.isnan(joins.place_distances(places, lats[:0], lons[:0], sizes * 0)).all()
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 4, 5, 6, 4]), pa.array([1.0, 2.0, None, None, 3.0]), pa.array([1.0, 2.0, 3.0, 4.0, 5.0])], ["product_id", "lat", "lon"])
+    assert [r for b in joins.listed_points(iter([batch])) for r in b.to_pylist()] == [{"product_id": 5, "lats": [1.0], "lons": [1.0]}, {"product_id": 4, "lats": [2.0, 3.0], "lons": [2.0, 5.0]}, {"product_id": 6, "lats": [], "lons": []}]
+
+
+def test_distances_by_lists_are_those_by_pairs(spark):
+    """Also where blocks are cut within a list, batches hold few pairs and points come from several batches."""
+    final = plan(QUERIES["j05_grid_distance"](spark, "/root/testdata/sf0.001")).split("== Physical Plan ==")[1]
+    assert "round(" not in final
+    t, p, pairs = odd_windows(spark, 12)
+    t = t.where("target_id IS NOT NULL").dropDuplicates(["target_id"]).withColumns({"lat": F.expr("target_id % 7 / 3"), "lon": F.expr("target_id % 5 / 7")}).localCheckpoint()
+    g = spark.range(900).selectExpr("id % 70 AS product_id", "if(id % 31 = 0, null, id % 13 / 11D) AS lat", "id % 17 / 13D AS lon").repartition(5)
+    rows = lambda df: sorted((r.target_id, r.product_id, str(r.min_distance_deg)) for r in df.collect())
+    wanted = rows(joins.grid_distance(joins.containing_windows(t, p).select("target_id", "product_id", "lat", "lon"), g).withColumn("min_distance_deg", F.round("min_distance_deg", 6)))
+    assert len(wanted) > 300 and pairs
+    assert rows(joins.window_distances(t, p, g, digits=6)) == wanted == rows(joins.window_distances(t, p, g, block=(9, 40), digits=6))
+    lists = joins.met_lists(*(df.withColumn("b", F.lit(1)) for df in (spark.range(20), spark.range(50))), (8, 16), pairs=100).collect()
+    assert sorted((x.id, y.id) for r in lists for x in r.targets for y in r.products) == [(x, y) for x in range(20) for y in range(50)] and len(lists) > 6
+    span = lambda a, b: {"start": a, "stop": b}
+    targets = [{"id": k, "lat": k / 7, "lon": None if k == 4 else k / 3, "start": k % 5, "stop": 20 + k % 9} for k in range(40)]
+    products = [{"id": k, "lats": [k / 5] * (k % 4), "lons": [k / 9, 1.0, 2.0][: k % 4], "spans": [span(3, 22), span(k % 6, 20 + k % 6)][: 1 + k % 2], "nth": n} for k in range(50) for n in range(1 + k % 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array([targets]), pa.array([products])], ["targets", "products"])
+    found = {(a, b, d) for x in joins.least_distances(iter([batch]), 3, pairs=99, tall=3, cells=1) for r in x.to_pylist() for a, own in zip(r["keys"], r["least"], strict=True) for b, d in zip(r["values"], own, strict=True)}
+    near = lambda t, p: round(min(np.hypot(t["lat"] - y, t["lon"] - x) for y, x in zip(p["lats"], p["lons"])), 3) if p["lats"] and t["id"] != 4 else None
+    assert found == {(t["id"], p["id"], near(t, p)) for t in targets for p in products if any(t["start"] <= x["start"] and t["stop"] >= x["stop"] for x in p["spans"])}
