@@ -277,3 +277,37 @@ def test_distances_by_lists_are_those_by_pairs(spark):
     found = {(a, b, d) for x in joins.least_distances(iter([batch]), 3, pairs=99, tall=3, cells=1) for r in x.to_pylist() for a, own in zip(r["keys"], r["least"], strict=True) for b, d in zip(r["values"], own, strict=True)}
     near = lambda t, p: round(min(np.hypot(t["lat"] - y, t["lon"] - x) for y, x in zip(p["lats"], p["lons"])), 3) if p["lats"] and t["id"] != 4 else None
     assert found == {(t["id"], p["id"], near(t, p)) for t in targets for p in products if any(t["start"] <= x["start"] and t["stop"] >= x["stop"] for x in p["spans"])}
+
+
+def test_match_tables_are_packed(spark, tmp_path, monkeypatch):
+    """A line of 13 bytes a pair was kept as it is; files are compressed, each with a header and every pair a line, and what a failed attempt left is not read."""
+    t, p, wanted = odd_windows(spark, 13)
+    text = lambda c: F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit(""))).alias(c)
+    matches = joins.window_rectangles(t, p, "target_id", "product_id", block=32, pairs=2048).select(text("keys"), text("values"))
+    path = tmp_path / "m"
+    files.write_packed_matches(matches, str(path))
+    assert sorted(map(tuple, files.read_matches(spark, str(path)).collect()), key=str) == wanted
+    lines = []
+    for x in path.glob("*.csv.zst"):
+        with pa.input_stream(x, compression="zstd") as f:
+            head, *own = f.read().decode().splitlines()
+        assert head == "target_id,product_id" and own
+        lines += own
+    show = lambda x: "" if x is None else str(x)
+    assert sorted(lines) == sorted(f"{show(a)},{show(b)}" for a, b in wanted)
+    (path / ".part-failed.csv.zst").write_bytes(b"left")
+    assert files.read_matches(spark, str(path)).count() == len(wanted)
+    files.write_packed_matches(matches.limit(0), str(tmp_path / "none"))
+    assert files.read_matches(spark, str(tmp_path / "none")).count() == 0 and [x.name for x in (tmp_path / "none").iterdir()] == ["part-none.csv.zst"]
+
+    def closed(path):
+        raise pa.ArrowInvalid("no access")
+
+    monkeypatch.setattr(files, "opened", closed)
+    files.write_packed_matches(matches, str(tmp_path / "far"))
+    assert sorted(map(tuple, files.read_matches(spark, str(tmp_path / "far")).collect()), key=str) == wanted and [*(tmp_path / "far").glob("*.txt.gz")]
+    monkeypatch.undo()
+    folder = tmp_path / "query"
+    monkeypatch.setattr(files, "scratch", lambda spark, tag: str(folder))
+    assert QUERIES["s10_match_table_whole"](spark, "/root/testdata/sf0.001").count() == 180_579
+    assert sum(x.stat().st_size for x in folder.iterdir()) < 180_579 * 3
